@@ -26,16 +26,16 @@ _WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP5 = f"""
 with w as (select doc_id, {_WORDS_SQL} as ws from documents),
-starts as (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as at from w where len(ws) >= 50),
-windows as (select doc_id, at, md5(array_to_string(list_slice(ws, at, at + 49), ' ')) as h from starts),
+starts as (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as pos from w where len(ws) >= 50),
+windows as (select doc_id, pos, md5(array_to_string(list_slice(ws, pos, pos + 49), ' ')) as h from starts),
 firsts as (select h, min(doc_id) as lo from windows group by h),
-dead as (select doc_id, at from windows join firsts using (h) where doc_id > lo),
-spots as (select doc_id, unnest(ws) as word, unnest(generate_series(1, len(ws))) as at from w),
-told as (select s.doc_id, s.word, s.at, max(case when d.at is null then 0 else 1 end)
-           over (partition by s.doc_id order by s.at rows between 49 preceding and current row) as gone
-         from spots s left join dead d on d.doc_id = s.doc_id and d.at = s.at),
+dead as (select doc_id, pos from windows join firsts using (h) where doc_id > lo),
+spots as (select doc_id, unnest(ws) as word, unnest(generate_series(1, len(ws))) as pos from w),
+told as (select s.doc_id, s.word, s.pos, max(case when d.pos is null then 0 else 1 end)
+           over (partition by s.doc_id order by s.pos rows between 49 preceding and current row) as gone
+         from spots s left join dead d on d.doc_id = s.doc_id and d.pos = s.pos),
 kept as (select doc_id, cast(sum(gone) as bigint) as n_removed,
-           coalesce(string_agg(word, ' ' order by at) filter (gone = 0), '') as kept from told group by doc_id)
+           coalesce(string_agg(word, ' ' order by pos) filter (gone = 0), '') as kept from told group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from w left join kept using (doc_id)
 """
