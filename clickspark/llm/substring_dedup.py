@@ -91,10 +91,13 @@ def _extended(size: int, thinned: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
+            batch = batch.filter(batch.column("alive").is_valid())
+            if not batch.num_rows:
+                continue
             words, first = _words(batch)
             hashes, at = window_hashes(words, first, size)
             alive = np.zeros(len(words) + size + 1, np.int32)
-            alive[at] = _member(row_of(first, at), hashes, batch.column("alive"))
+            alive[at] = _member(row_of(first, at), hashes, batch.column("alive").fill_null([]))
             longer, start = window_hashes(words, first, 2 * size)
             if thinned:
                 upto = np.concatenate([[0], np.cumsum(alive)])
@@ -107,49 +110,70 @@ def _extended(size: int, thinned: bool):
     return run
 
 
-def _survivors(windows: DataFrame, later_only: bool) -> DataFrame:
+def _shared(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("hash", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+
+
+def _survivors(windows: DataFrame, later_only: bool = False) -> DataFrame:
     """doc_id and the list of its windows that other documents have too, or that a smaller doc_id has."""
-    shared = windows.groupBy("hash", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    found = windows.join(shared, ["hash", "check"])
+    found = windows.join(_shared(windows), ["hash", "check"])
     if later_only:
         found = found.where("doc_id > lo")
     return found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("hash").alias("alive"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    """Both joins on doc_id read the texts from this one plan, so that they are shuffled once."""
+    return docs.select("doc_id", "text")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """_copy: ids of documents whose whole text a smaller doc_id has. All their windows start there, so no search is needed."""
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return keyed.join(first, "key").where("doc_id > lo").select(F.col("doc_id").alias("_copy")).distinct()
+
+
+def _first_level(docs: DataFrame, base: int, dropped: DataFrame) -> DataFrame:
+    """Survivors of the thinned level among documents that are not whole copies."""
+    sent = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(_thinned(base), _WINDOWS)
+    found = sent.join(_shared(sent), ["hash", "check"]).select("hash", "check", "doc_id")
+    return _survivors(found.join(dropped, found.doc_id == dropped._copy, "left_anti"))
 
 
-def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """_id and alive: for each document the hashes of its windows of `words` words that also start in a smaller doc_id."""
+def _longer(docs: DataFrame, alive: DataFrame, size: int, base: int) -> DataFrame:
+    texts = _texts(docs)
+    return texts.join(alive, texts.doc_id == alive._id, "left").select("doc_id", "text", "alive").mapInArrow(_extended(size, size == base), _WINDOWS)
+
+
+def repeated_windows(docs: DataFrame, words: int, dropped: DataFrame) -> DataFrame:
+    """_id and alive: for each document, but for the whole copies `dropped`, the hashes of its windows of `words` words that
+    also start in a smaller doc_id."""
     base = words
     while base % 2 == 0 and base > 24:
         base //= 2
-    texts = _texts(docs)
     if base == words:
         raise ValueError(f"words must be even and over 24, to be reached by doubling; it is {words}")
-    found = texts.mapInArrow(_thinned(base), _WINDOWS)
-    size = base
+    alive, size = _first_level(docs, base, dropped), base
     while size < words:
-        alive = _survivors(found, later_only=False)
-        found = texts.join(alive, texts.doc_id == alive._id).select("doc_id", "text", "alive").mapInArrow(_extended(size, size == base), _WINDOWS)
+        found = _longer(docs, alive, size, base)
         size *= 2
-    return _survivors(found, later_only=True)
+        alive = _survivors(found, later_only=size == words)
+    return alive
 
 
 def longest_levels(docs: DataFrame, base: int = 25) -> DataFrame:
     """level_words, n_windows, n_documents of every level until nothing survives: how long the corpus's repeats are."""
-    spark, texts, size = docs.sparkSession, _texts(docs), base
-    found, levels = texts.mapInArrow(_thinned(base), _WINDOWS), []
+    spark, size, levels = docs.sparkSession, base, []
+    alive = _first_level(docs, base, copies(docs))
     while True:
-        alive = cut(_survivors(found, later_only=False))
-        n, docs_n = alive.agg(F.coalesce(F.sum(F.size("alive")), F.lit(0)), F.count("*")).first()
-        if not docs_n:
-            break
-        levels.append((size, n, docs_n))
-        found = texts.join(alive, texts.doc_id == alive._id).select("doc_id", "text", "alive").mapInArrow(_extended(size, size == base), _WINDOWS)
+        alive = cut(alive)
+        n, holders = alive.agg(F.coalesce(F.sum(F.size("alive")), F.lit(0)), F.count("*")).first()
+        if not holders:
+            return spark.createDataFrame(levels, "level_words long, n_windows long, n_documents long")
+        levels.append((size, n, holders))
+        alive = _survivors(_longer(docs, alive, size, base))
         size *= 2
-    return spark.createDataFrame(levels, "level_words long, n_windows long, n_documents long")
 
 
 def _apply(words: int, names: list[str]):
@@ -161,7 +185,9 @@ def _apply(words: int, names: list[str]):
             hit = at[_member(row_of(first, at), hashes, batch.column("alive").fill_null([]))] if len(at) else at
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + words, -1)
+            copy = batch.column("_copy").is_valid().to_numpy(zero_copy_only=False) & (np.diff(first) >= words)
             covered = np.cumsum(gone) > 0
+            covered[: len(hashed)] |= np.repeat(copy, np.diff(first))
             lost = np.concatenate([[0], np.cumsum(covered[: len(hashed)])])
             removed = lost[first[1:]] - lost[first[:-1]]
             kept = []
@@ -178,16 +204,21 @@ def _apply(words: int, names: list[str]):
 def substring_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: every document without the words that a window of `words` words covers whose
     sequence also starts in a document with a smaller doc_id. Kept words are joined by one blank."""
-    dead = repeated_windows(docs, words)
-    rows = docs.select("doc_id", "text")
-    return rows.join(dead, rows.doc_id == dead._id, "left").select("doc_id", "text", "alive").mapInArrow(_apply(words, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = _texts(docs)
+    told = _told(docs, rows, words).select("doc_id", "text", "alive", "_copy")
+    return told.mapInArrow(_apply(words, ["doc_id"]), "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def _told(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    dropped = copies(docs)
+    dead = repeated_windows(docs, words, dropped)
+    return rows.join(dead, rows.doc_id == dead._id, "left").join(dropped, rows.doc_id == dropped._copy, "left")
 
 
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The same rows and columns; a text that lost words is its kept words joined by one blank, others are untouched."""
-    dead = repeated_windows(docs, words)
     rows = docs.withColumns({"_row": F.struct(*docs.columns)}).select("doc_id", "text", "_row")
-    joined = rows.join(dead, rows.doc_id == dead._id, "left").select("text", "_row", "alive")
+    joined = _told(docs, rows, words).select("text", "_row", "alive", "_copy")
     kind = docs.schema.simpleString()
     out = joined.mapInArrow(_apply(words, ["_row"]), f"_row {kind}, n_words long, n_removed long, kept_text string")
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))}
