@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, substring_dedup
+from . import bpe, common, packing, substring_dedup, token_counts
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +15,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(common.documents(spark, sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = bpe.decode(bpe.encode(common.documents(spark, sf_dir)))
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(common.documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": op3_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_bpe": op6_bpe,
+        "op10_packing": op10_packing,
     }
 
 
