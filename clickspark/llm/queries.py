@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, packing, substring_dedup, token_counts
+from . import backoff_lm, bpe, common, packing, substring_dedup, token_counts
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff_lm.score(common.documents(spark, sf_dir))
+    return out.withColumn("held_out", common.held_out(F.col("doc_id"), backoff_lm.FOLDS, backoff_lm.HELD_OUT))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(common.documents(spark, sf_dir)))
 
@@ -34,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_bpe": op6_bpe,
+        "op9_backoff_lm": op9_backoff_lm,
         "op10_packing": op10_packing,
     }
 
