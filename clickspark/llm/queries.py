@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, packing, substring_dedup, token_counts
+from . import backoff_lm, bpe, common, jaccard_join, packing, substring_dedup, token_counts
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backoff_lm.score(common.documents(spark, sf_dir))
     return out.withColumn("held_out", common.held_out(F.col("doc_id"), backoff_lm.FOLDS, backoff_lm.HELD_OUT))
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_bpe": op6_bpe,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_backoff_lm": op9_backoff_lm,
         "op10_packing": op10_packing,
     }
@@ -63,8 +68,24 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n
 from w left join kept using (doc_id)
 """
 
+_OP8 = f"""
+with recursive texts as (select coalesce(text, '') as text, min(doc_id) as rep, count(*) as copies from documents group by 1),
+w as (select rep, copies, {_WORDS_SQL} as ws from texts),
+sh as (select distinct rep, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(list_slice(ws, pos, pos + 4), ' ') end as s
+       from (select rep, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as pos from w where len(ws) > 0)),
+n as (select rep, count(*) as n from sh group by rep),
+both as (select a.rep as a, b.rep as b, count(*) as k from sh a join sh b on a.s = b.s and a.rep <> b.rep group by 1, 2),
+links as (select a, b from both join n x on x.rep = a join n y on y.rep = b where k >= 0.8 * (x.n + y.n - k) - 1e-9),
+reach(a, b) as (select rep, rep from texts union select reach.a, links.b from reach join links on links.a = reach.b),
+class as (select a as rep, min(b) as class_id from reach group by a),
+counted as (select a as rep, sum(copies) as more, count(*) as texts from links join texts on rep = b group by a)
+select d.doc_id, c.class_id, t.copies as n_copies, cast(t.copies - 1 + coalesce(k.more, 0) as bigint) as n_links, coalesce(k.texts, 0) as n_text_links
+from documents d join texts t on coalesce(d.text, '') = t.text join class c using (rep) left join counted k using (rep)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_jaccard_join": _OP8,
         "op5_substring_dedup": _OP5,
     }
