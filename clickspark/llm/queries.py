@@ -74,8 +74,8 @@ w as (select rep, copies, {_WORDS_SQL} as ws from texts),
 sh as (select distinct rep, case when len(ws) < 5 then array_to_string(ws, ' ') else array_to_string(list_slice(ws, pos, pos + 4), ' ') end as s
        from (select rep, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as pos from w where len(ws) > 0)),
 n as (select rep, count(*) as n from sh group by rep),
-both as (select a.rep as a, b.rep as b, count(*) as k from sh a join sh b on a.s = b.s and a.rep <> b.rep group by 1, 2),
-links as (select a, b from both join n x on x.rep = a join n y on y.rep = b where k >= 0.8 * (x.n + y.n - k) - 1e-9),
+overlap as (select a.rep as a, b.rep as b, count(*) as k from sh a join sh b on a.s = b.s and a.rep <> b.rep group by 1, 2),
+links as (select a, b from overlap join n x on x.rep = a join n y on y.rep = b where k >= 0.8 * (x.n + y.n - k) - 1e-9),
 reach(a, b) as (select rep, rep from texts union select reach.a, links.b from reach join links on links.a = reach.b),
 class as (select a as rep, min(b) as class_id from reach group by a),
 counted as (select a as rep, sum(copies) as more, count(*) as texts from links join texts on rep = b group by a)
