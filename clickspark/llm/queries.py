@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, jaccard_join, packing, substring_dedup, token_counts
+from . import backoff_lm, bpe, common, jaccard_join, packing, substring_dedup, token_counts, toxicity
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    out = toxicity.score(docs, toxicity.fit(docs, toxicity.training_fold(common.labels(spark, sf_dir))))
+    return out.withColumns({"held_out": common.held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(common.documents(spark, sf_dir))
 
@@ -43,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_bpe": op6_bpe,
+        "op7_toxicity": op7_toxicity,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_backoff_lm": op9_backoff_lm,
         "op10_packing": op10_packing,
