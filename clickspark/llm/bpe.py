@@ -82,8 +82,9 @@ class Vocabulary:
         known = self.keys[at] == key
         return np.where(known, self.ranks[at], _NEVER), np.where(known, self.merged[at], 0)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: of all adjacent pairs in a word, the one of lowest rank, leftmost first, merges, until none can."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, little-endian 32-bit: of all adjacent pairs in a word, the one of lowest rank, leftmost first,
+        merges, until none can."""
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -114,8 +115,8 @@ class Vocabulary:
                 rank[left[~ok & (left >= 0) & (left == at)]] = _NEVER
         word, ids = np.concatenate([w for w, _ in done] or [np.zeros(0, np.int64)]), np.concatenate([i for _, i in done] or [np.zeros(0, np.int64)])
         order = np.argsort(word, kind="stable")
-        ends = np.cumsum(np.bincount(word, minlength=len(words)))
-        return np.split(ids[order].astype("<u4"), ends[:-1]) if len(words) else []
+        raw, ends = ids[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -133,7 +134,7 @@ class Transducer:
         self.classes, self.arcs, self.outputs, self.final, self.ends, self.ids = classes, arcs, outputs, final, ends, ids
 
     @classmethod
-    def build(cls, words: dict[bytes, np.ndarray]) -> Transducer:
+    def build(cls, words: dict[bytes, bytes]) -> Transducer:
         """States are made in word order; when a branch ends, each of its states is replaced by an equal one if there is one."""
         table = sorted(w for w in words if w)
         nexts: list[dict[int, int]] = [{}]
@@ -189,8 +190,8 @@ class Transducer:
                 t = nexts[s][byte]
                 arcs[i, classes[byte]], outputs[i, classes[byte]] = number[t], before_here
                 before_here += counts[t]
-        lists = [np.asarray(words[w], "<u4") for w in table]
-        return cls(classes, arcs, outputs, ends, np.cumsum([0, *map(len, lists)]), np.concatenate(lists) if lists else np.zeros(0, "<u4"))
+        lists = [words[w] for w in table]
+        return cls(classes, arcs, outputs, ends, np.cumsum([0, *map(len, lists)]) // 4, np.frombuffer(b"".join(lists), "<u4"))
 
     @classmethod
     def load(cls, file: str) -> Transducer:
@@ -230,42 +231,49 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
-        self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def _new_words(self, words: list[str]) -> None:
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode() for w in words]
         at = self.transducer.find(raw)
-        ends, ids = self.transducer.ends, self.transducer.ids
-        known = np.flatnonzero(at >= 0)
-        for i in known.tolist():
-            self.words[words[i]] = ids[ends[at[i]] : ends[at[i] + 1]].tobytes()
+        table, ends = self.transducer.ids.tobytes(), (4 * self.transducer.ends.astype(np.int64)).tolist()
+        out = {words[i]: table[ends[k] : ends[k + 1]] for i, k in enumerate(at.tolist()) if k >= 0}
         rest = np.flatnonzero(at < 0).tolist()
-        for i, merged in zip(rest, self.vocabulary.merge([raw[i] for i in rest])):
-            self.words[words[i]] = merged.tobytes()
+        out.update(zip([words[i] for i in rest], self.vocabulary.merge([raw[i] for i in rest])))
+        return out
 
     def _pieces(self, text: str) -> list[str]:
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
+    def _remember(self, into: dict[str, bytes], pieces: set[str], lead: str) -> None:
+        """Encodes pieces that are not remembered; when there are too many, those of this batch alone are kept."""
+        new = [p for p in pieces if p not in into]
+        if not new:
+            return
+        if len(into) + len(new) > REMEMBERED:
+            kept = {p: into[p] for p in pieces if p in into}
+            into.clear()
+            into.update(kept)
+        single = [lead + p for p in new if p.isalpha()]
+        others = [(p, _SPLIT.findall(lead + p)) for p in new if not p.isalpha()]
+        words = self._of_words(list(set(single).union(*[ws for _, ws in others])))
+        for p, ws in others:
+            into[p] = b"".join([words[w] for w in ws])
+        skip = len(lead)
+        for w in single:
+            into[w[skip:]] = words[w]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         added = self.vocabulary.split_added
         if added is not None and any(a in t for t in texts for a in self.vocabulary.added):
             return [self._with_added(t) for t in texts]
-        if len(self.words) + len(self.later) + len(self.first) > REMEMBERED:
-            self.words, self.first, self.later = {}, {}, {}
         cut = [self._pieces(t) for t in texts]
-        firsts = [c[0] for c in cut]
-        laters = [c[1:] for c in cut]
-        new_later = set().union(*laters).difference(self.later)
-        new_first = set(firsts).difference(self.first)
-        split = [(self.later, p, _SPLIT.findall(" " + p)) for p in new_later] + [(self.first, p, _SPLIT.findall(p)) for p in new_first]
-        self._new_words(list({w for _, _, ws in split for w in ws}.difference(self.words)))
-        words = self.words
-        for into, piece, ws in split:
-            into[piece] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        firsts = [c.pop(0) for c in cut]
+        self._remember(self.first, set(firsts), "")
+        self._remember(self.later, set().union(*cut), " ")
         later, first = self.later.__getitem__, self.first
-        return [first[f] + b"".join(map(later, c)) for f, c in zip(firsts, laters)]
+        return [first[f] + b"".join(map(later, c)) for f, c in zip(firsts, cut)]
 
     def _with_added(self, text: str) -> bytes:
         out, at = [], 0
@@ -299,15 +307,21 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
     return [r["word"] for r in rows]
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
 def compile_lexicon(docs: DataFrame, path: str, n: int = LEXICON_WORDS) -> str:
-    """Compiles the frequent words, hands the file to all executors and returns its name."""
+    """Compiles the frequent words, hands the file to all executors, once a lexicon, and returns its name."""
     own = vocabulary(path)
     pieces = sorted({p for w in frequent_words(docs, n) for p in _SPLIT.findall(" " + w)})
-    made = Transducer.build(dict(zip((p.encode() for p in pieces), own.merge([p.encode() for p in pieces]))))
     name = "lexicon-" + hashlib.sha256("\0".join([path, *pieces]).encode()).hexdigest()[:16]
-    file = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    made.save(file)
-    docs.sparkSession.sparkContext.addFile(file)
+    sc = docs.sparkSession.sparkContext
+    if (sc.applicationId, name) not in _SENT:
+        raw = [p.encode() for p in pieces]
+        file = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
+        Transducer.build(dict(zip(raw, own.merge(raw)))).save(file)
+        sc.addFile(file)
+        _SENT.add((sc.applicationId, name))
     return name
 
 
