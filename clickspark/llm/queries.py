@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, jaccard_join, packing, substring_dedup, token_counts, toxicity
+from . import backoff_lm, bpe, common, jaccard_join, packing, quality_net, substring_dedup, token_counts, toxicity
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    out = quality_net.score(docs, quality_net.fit(docs, quality_net.training_fold(common.labels(spark, sf_dir))))
+    return out.withColumns({"held_out": common.held_out(F.col("doc_id"), quality_net.FOLDS, quality_net.HELD_OUT), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.documents(spark, sf_dir))
 
@@ -46,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_net": op1_quality_net,
         "op3_token_counts": op3_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_bpe": op6_bpe,
