@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, jaccard_join, packing, quality_net, substring_dedup, token_counts, toxicity
+from . import backoff_lm, bpe, common, fingerprints, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, token_counts, toxicity
+
+
+def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.judge(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,14 @@ def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"held_out": common.held_out(F.col("doc_id"), quality_net.FOLDS, quality_net.HELD_OUT), "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compared(common.documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("bits")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_bits")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.documents(spark, sf_dir))
 
@@ -53,7 +65,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_net": op1_quality_net,
+        "op2_fingerprints": op2_fingerprints,
         "op3_token_counts": op3_token_counts,
+        "op4_ngram_rules": op4_ngram_rules,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_bpe": op6_bpe,
         "op7_toxicity": op7_toxicity,
