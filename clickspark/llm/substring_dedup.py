@@ -217,11 +217,14 @@ def _told(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The same rows and columns; a text that lost words is its kept words joined by one blank, others are untouched."""
-    rows = docs.withColumns({"_row": F.struct(*docs.columns)}).select("doc_id", "text", "_row")
-    joined = _told(docs, rows, words).select("text", "_row", "alive", "_copy")
-    kind = docs.schema.simpleString()
-    out = joined.mapInArrow(_apply(words, ["_row"]), f"_row {kind}, n_words long, n_removed long, kept_text string")
-    changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
-    return out.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+    others = {f"_c{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    rows = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for n, c in others.items()))
+    names = rows.columns
+    joined = _told(docs, rows, words).select(*names, "alive", "_copy")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    out = joined.mapInArrow(_apply(words, names), f"{kind}, n_words long, n_removed long, kept_text string")
+    lost = F.col("n_removed") > 0
+    told = {c: F.col(n) for n, c in others.items()} | {"doc_id": F.col("doc_id"), "text": F.when(lost, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in told:
+        told["n_chars"] = F.when(lost, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(told["n_chars"])
+    return out.select(*(told[c].alias(c) for c in docs.columns))
