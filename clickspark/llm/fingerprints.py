@@ -79,8 +79,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (equal / F.lit(float(BINS)) - F.lit(chance)) / F.lit(1.0 - chance))
 
 
-def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds next_<column> of the row that follows in descending order of key; the first row follows the last.
+def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", prepare=lambda df: df) -> DataFrame:
+    """Adds next_<column> of the row that follows in descending order of key; the first row follows the last. `prepare` adds
+    costly columns to rows once their neighbours are known.
 
     Rows are dealt into buckets of neighbouring keys by quantiles. Each bucket also gets the first row of the bucket after it,
     so that no window spans the whole table and texts are shuffled once."""
@@ -103,22 +104,25 @@ def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: st
     extra = dealt.drop("_bucket").join(F.broadcast(wanted), "_place")
     one = F.row_number().over(Window.partitionBy("_to").orderBy(text))
     extra = extra.withColumn("_one", one).where("_one = 1").drop("_one").withColumnRenamed("_to", "_bucket")
-    both = dealt.withColumn("_extra", F.lit(False)).unionByName(extra.withColumn("_extra", F.lit(True)))
+    both = prepare(dealt).withColumn("_extra", F.lit(False)).unionByName(prepare(extra).withColumn("_extra", F.lit(True)))
     order = Window.partitionBy("_bucket").orderBy("_extra", F.desc("_place"), text)
     out = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_extra"))
     return out.drop("_bucket", "_place", "_extra")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars (code points), bits: the fingerprint of every row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_fingerprint(rows.withColumn("n_chars", F.length("text").cast("long")), "text", "bits")
+    return with_fingerprint(_rows(docs), "text", "bits")
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited, bits, edited_bits, near_edited, near_next: every row against its text with the second half
     replaced by the beginning of the next document, and against that document."""
-    rows = with_next(fingerprints(docs), ["text", "bits"])
+    rows = with_next(_rows(docs), ["text", "bits"], prepare=lambda df: with_fingerprint(df, "text", "bits"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = with_fingerprint(rows.withColumn("edited", edited).drop("text", "next_text"), "edited", "edited_bits")
