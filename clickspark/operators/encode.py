@@ -24,10 +24,8 @@ def numbered(values: DataFrame, offset: int = 0) -> DataFrame:
     numeric = not isinstance(values.schema["value"].dataType, StringType)
     if numeric:
         groups = max(1, values.count() // GROUP_VALUES)
-        bounds = values.agg(F.percentile_approx("value", [i / groups for i in range(1, groups)] or [0.5])).first()[0] or []
-        part = F.lit(0)
-        for b in sorted(set(bounds)):
-            part = part + (F.col("value") > F.lit(b)).cast("int")
+        bounds = values.agg(F.percentile_approx("value", [i / groups for i in range(1, groups)])).first()[0] if groups > 1 else []
+        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("value"))) if bounds else F.lit(0)
     else:
         part = F.substring("value", 1, 2)
     dealt = values.withColumn("_part", part)
@@ -48,9 +46,11 @@ def union_values(df: DataFrame, target: str, history: str) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column's values as 0..k-1 in value order, missing as -1."""
+    """Each column's values as 0..k-1 in value order, missing as -1. Values are taken from the table as it came, so that plans
+    do not nest."""
+    given = df
     for c in columns:
-        told = numbered(distinct_values(df, c)).select(F.col("value").alias("_v"), F.col("id").alias("_i"))
+        told = numbered(distinct_values(given, c)).select(F.col("value").alias("_v"), F.col("id").alias("_i"))
         df = df.join(told, F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce(F.col("_i"), F.lit(-1)).cast("long")).drop("_v", "_i")
     return df
 
