@@ -50,10 +50,12 @@ def halves(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     same = np.empty((len(LAGS), first[-1]), np.float32)
     equal = np.zeros(len(padded), np.uint8)
     real = padded != 0
+    begin = first[:-1] * HALF
     for k, lag in enumerate(LAGS):
-        equal[:lag] = 0
         np.equal(padded[lag:], padded[:-lag], out=equal[lag:].view(bool))
         equal[lag:] &= real[lag:].view(np.uint8)
+        heads = (begin[:, None] + np.arange(lag)).ravel()  # bytes that far back belong to the text before
+        equal[heads[heads < len(equal)]] = 0
         same[k] = (equal.view(np.uint64) * _ONES) >> np.uint64(56)
     return padded, first, same.T * np.float32(1 / HALF)
 
