@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer single document is worked on alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 #: ASCII white space: blank and \t \n \v \f \r. Everything else belongs to a word.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
