@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import held_out, mix, steps, text_bytes, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
-STRENGTH = 400.0
+STRENGTH = 1500.0
 BLOCK_BYTES, SHARD_GRAMS = 6 << 20, 1_000_000
 
 _END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
