@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot
@@ -13,8 +14,6 @@ def item_embeddings(sequences: DataFrame, column: str, size: int = 16, seed: int
     """id (text) and vector of every item, learned from lists of items."""
     texts = sequences.select(F.transform(column, lambda x: x.cast("string")).alias("words")).where(F.size("words") > 0)
     model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=steps, inputCol="words", outputCol="v").fit(texts)
-    from pyspark.ml.functions import vector_to_array
-
     return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vector"))
 
 
@@ -22,19 +21,22 @@ def attention_pool(df: DataFrame, vectors: DataFrame, key: str, target: str, his
     """key and `interest`, for each row the attention-weighted sum of its history items' vectors; `vectors` is (id, vector).
 
     The score of an item is its dot product with the target's vector, divided by the root of the dimension if scaled. Rows
-    without a scored item have a NULL interest, which stands for a zero vector."""
-    items = df.select(F.col(key).alias("_key"), F.col(target).cast("string").alias("_target"), F.posexplode(history).alias("_pos", "_item"))
+    without a scored item have a NULL interest, which stands for a zero vector. Vectors are taken apart and summed by
+    dimension where their row already is, so that one shuffle by key serves all steps."""
+    items = df.select(F.col(key).alias("_key"), F.col(target).cast("string").alias("_target"), F.explode(history).alias("_item"))
     told = vectors.select(F.col("id").cast("string").alias("_id"), F.col("vector").alias("_vec"))
     joined = items.join(told.select(F.col("_id").alias("_ti"), F.col("_vec").alias("_tv")), F.col("_target") == F.col("_ti"))
     joined = joined.join(told, F.col("_item").cast("string") == F.col("_id"))
-    size = F.sqrt(F.size("_tv").cast("double")) if scaled else F.lit(1.0)
-    scored = joined.select("_key", "_pos", "_vec", (dot(F.col("_tv"), F.col("_vec")) / size).alias("_s"))
-    gathered = scored.groupBy("_key").agg(F.max("_s").alias("_m"), F.sort_array(F.collect_list(F.struct("_pos", "_s", "_vec"))).alias("_l"))
-    weights = F.transform("_l", lambda x: F.exp(x["_s"] - F.col("_m")))
-    weighed = gathered.withColumn("_w", weights).withColumn("_z", F.aggregate("_w", F.lit(0.0), lambda t, v: t + v))
-    zero = F.transform(F.get("_l", F.lit(0))["_vec"], lambda v: F.lit(0.0))
-    pooled = F.aggregate(F.arrays_zip("_l", "_w"), zero, lambda t, x: F.zip_with(t, x["_l"]["_vec"], lambda a, b: a + b.cast("double") * x["_w"] / F.col("_z")))
-    return df.select(F.col(key)).join(weighed.select(F.col("_key"), pooled.alias("interest")), F.col(key) == F.col("_key"), "left").select(key, "interest")
+    scale = F.sqrt(F.size("_tv").cast("double")) if scaled else F.lit(1.0)
+    scored = joined.select("_key", "_vec", (dot(F.col("_tv"), F.col("_vec")) / scale).alias("_s"))
+    same = Window.partitionBy("_key")
+    weight = F.exp(F.col("_s") - F.max("_s").over(same))
+    weighed = scored.withColumn("_w", weight).withColumn("_w", F.col("_w") / F.sum("_w").over(same))
+    parts = weighed.select("_key", "_w", F.posexplode("_vec").alias("_pos", "_x"))
+    sums = parts.groupBy("_key", "_pos").agg(F.sum(F.col("_w") * F.col("_x").cast("double")).alias("_x"))
+    pooled = sums.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", "_x"))).alias("_l"))
+    pooled = pooled.select("_key", F.transform("_l", lambda p: p["_x"]).alias("interest"))
+    return df.select(F.col(key)).join(pooled, F.col(key) == F.col("_key"), "left").select(key, "interest")
 
 
 def interest_counts(df: DataFrame, target: str, history: str, prefix: str) -> DataFrame:
@@ -51,8 +53,8 @@ def interest_counts(df: DataFrame, target: str, history: str, prefix: str) -> Da
 
 def interest_features(df: DataFrame, vectors: DataFrame, key: str, target: str, history: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """The rows with `interest` (zeros without history) and the counts of each field: name -> (target column, history column)."""
-    size = len(vectors.select("vector").first()[0])
-    zeros = F.array(*([F.lit(0.0)] * size))
+    first = vectors.select(F.size("vector")).first()
+    zeros = F.array_repeat(F.lit(0.0), first[0] if first else 0)
     pooled = attention_pool(df, vectors, key, target, history).select(F.col(key).alias("_k"), "interest")
     out = df.join(pooled, F.col(key) == F.col("_k"), "left").drop("_k").withColumn("interest", F.coalesce("interest", zeros))
     for name, (t, h) in fields.items():
