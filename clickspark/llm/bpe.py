@@ -327,8 +327,9 @@ def compile_lexicon(docs: DataFrame, path: str, n: int = LEXICON_WORDS) -> str:
     return name
 
 
-def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id and ids: all ids of a text as one binary of little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
+    """doc_id and ids: all ids of a text as one binary of little-endian unsigned 32-bit integers. With `decoded` also text, what
+    the ids stand for, read back from the ids where they were made."""
     path = path or default_path()
     lexicon = compile_lexicon(docs, path, lexicon_words)
 
@@ -336,9 +337,13 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
         encoder = _encoder(path, lexicon)
         for batch in steps(batches):
             ids = encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            columns, names = [batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]
+            if decoded:
+                columns.append(pa.array([encoder.vocabulary.decode(np.frombuffer(i, "<u4")) for i in ids], pa.string()))
+                names.append("text")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

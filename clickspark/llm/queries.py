@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = bpe.decode(bpe.encode(common.documents(spark, sf_dir)))
+    back = bpe.encode(common.documents(spark, sf_dir), decoded=True)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
