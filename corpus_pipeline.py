@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents. Classifiers learn
 from labelled rows that the stage before has kept, outside the fold that the operator's own query holds out. Texts that lose
-a repeated passage keep their other words; no row is dropped for it. No stage but the last can be written in SQL as a whole,
-since two of them are learned, so there is no ORACLE_SQL; tests compare the stages with brute force.
+a repeated passage keep their other words; no row is dropped for it. The classifier stages cannot be written in SQL,
+since they are learned, so there is no ORACLE_SQL; tests compare the stages with brute force.
 """
 
 from __future__ import annotations
