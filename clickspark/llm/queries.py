@@ -54,7 +54,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backoff_lm.score(common.documents(spark, sf_dir))
+    out = backoff_lm.score(common.documents(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
     return out.withColumn("held_out", common.held_out(F.col("doc_id"), backoff_lm.FOLDS, backoff_lm.HELD_OUT))
 
 
@@ -111,9 +111,29 @@ select d.doc_id, c.class_id, t.copies as n_copies, cast(t.copies - 1 + coalesce(
 from documents d join texts t on coalesce(d.text, '') = t.text join class c using (rep) left join counted k using (rep)
 """
 
+#: crc32 of an id as text, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_OP9 = f"""
+with rows as (select row_number() over () as row, doc_id, coalesce({_CRC_SQL} % {backoff_lm.FOLDS} = {backoff_lm.HELD_OUT}, false) as held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') as ws from documents),
+tokens as (select row, held_out, unnest(ws) as word, unnest(list_prepend(' ', ws[:-2])) as before from rows),
+uni as (select word, count(*) as c from tokens where not held_out group by word),
+pairs as (select before, word, count(*) as c from tokens where not held_out group by before, word),
+histories as (select word as before, c from uni union all select ' ', count(*) from rows where not held_out),
+total as (select coalesce(sum(c), 0) as n, coalesce(sum(c), 0) + 0.5 * (count(*) + 1) as space from uni),
+scored as (select t.row, u.c is not null as known, (coalesce(u.c, 0) + 0.5) / space as p, coalesce(x.c, 0) as cx, coalesce(h.c, 0) as ch, n
+  from tokens t cross join total left join uni u using (word) left join pairs x on x.before = t.before and x.word = t.word left join histories h on h.before = t.before)
+select doc_id, held_out, count(*) as n_tokens, cast(sum(known::int) as bigint) as n_known, cast(max(n) as bigint) as train_tokens,
+  round(sum(log10(p)), 6) as base_score, round(sum(log10((cx + {backoff_lm.STRENGTH} * p) / (ch + {backoff_lm.STRENGTH}))), 6) as score
+from scored join rows using (row) group by row, doc_id, held_out
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_backoff_lm": _OP9,
         "op8_jaccard_join": _OP8,
         "op5_substring_dedup": _OP5,
     }
