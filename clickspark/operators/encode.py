@@ -12,22 +12,22 @@ from pyspark.sql.types import StringType
 
 from ..functions import cross, pad
 
-#: Distinct values for one numbering group, on average.
-GROUP_VALUES = 100_000
+#: Ranges of values that are numbered apart.
+RANGES = 64
 
 
 def numbered(values: DataFrame, offset: int = 0) -> DataFrame:
     """value and id for a table of distinct values, in value order from `offset`.
 
     Values are dealt into ranges by quantiles of their own order, or for texts of their first characters; each range is
-    numbered by itself and moved by the number of values in the ranges before it, so no window spans all values."""
-    numeric = not isinstance(values.schema["value"].dataType, StringType)
-    if numeric:
-        groups = max(1, values.count() // GROUP_VALUES)
-        bounds = values.agg(F.percentile_approx("value", [i / groups for i in range(1, groups)])).first()[0] if groups > 1 else []
-        part = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col("value"))) if bounds else F.lit(0)
-    else:
+    numbered by itself and moved by the number of values in the ranges before it, so no window spans all values. The quantiles
+    are found in the plan, without a look at the driver."""
+    if isinstance(values.schema["value"].dataType, StringType):
         part = F.substring("value", 1, 2)
+    else:
+        bounds = values.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)])).scalar()
+        values = values.withColumn("_bounds", bounds)
+        part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("value"))), F.lit(0))
     dealt = values.withColumn("_part", part)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

@@ -527,19 +527,67 @@ def logloss(spark, sf_dir):
 # --- samples and models
 
 
-@_query()
+_PAST = "rows between unbounded preceding and 1 preceding"
+_AD, _USER, _PAIR = (f"(partition by {k} order by ts, event_id {_PAST})" for k in ("adgroup_id", "user_key", "user_key, cate_id"))
+_COUNTED = _WIDE + f""" , raw as (select *, count(*) over {_AD} as ai, coalesce(sum(clk) over {_AD}, 0) as ac, count(*) over {_USER} as ui, coalesce(sum(clk) over {_USER}, 0) as uc,
+    case when cate_id is null then null else count(*) over {_PAIR} end as ci, case when cate_id is null then 0 else coalesce(sum(clk) over {_PAIR}, 0) end as cc from wide),
+  counted as (select * exclude (ai, ac, ui, uc, ci, cc), extract(hour from ts + interval 8 hour) as hour, isodow(ts + interval 8 hour) - 1 as weekday, strftime(ts + interval 8 hour, '%Y-%m-%d') as date,
+    cast(ai as bigint) as ad_hist_imp, cast(ac as bigint) as ad_hist_clk, round((ac + 0.5) / (ai + 10.0), 6) as ad_hist_ctr, cast(ui as bigint) as user_hist_imp, cast(uc as bigint) as user_hist_clk,
+    round((uc + 0.25) / (ui + 5.0), 6) as user_hist_ctr, cast(ci as bigint) as user_cate_hist_imp, cast(cc as bigint) as user_cate_hist_clk, round((cc + 0.25) / (ci + 5.0), 6) as user_cate_hist_ctr,
+    coalesce(final_gender_code::varchar, 'nan') || '_' || coalesce(cate_id::varchar, 'nan') as gender_cate_cross from raw)"""
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Doubles rounded, dates and lists as texts."""
+    kinds = dict(df.dtypes)
+    told = {c: _r(c) for c, k in kinds.items() if k == "double"} | {c: F.col(c).cast("string").alias(c) for c, k in kinds.items() if k == "date"} | {c: _joined(c) for c, k in kinds.items() if k.startswith("array")}
+    return df.select(*(told.get(c, F.col(c)) for c in df.columns))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir), fixtures.profiles(spark, sf_dir)
+
+
+def _names(columns: list[str], told: dict[str, str]) -> str:
+    return ", ".join(f"{told[c]} as {c}" if c in told else c for c in columns)
+
+
+def _code_sql(c: str) -> str:
+    return f"case when {c} is null then -1 else dense_rank() over (order by {c} nulls last) - 1 end"
+
+
+_KNOWN = {c: f"coalesce({c}, -1) + 1" for c in ("brand", "pvalue_level", "new_user_class_level")} | {"price": "round(price, 6)"}
+
+
+@_query(_WIDE + " select " + _names(
+    ["event_id", "user_key", "adgroup_id", "pid", "clk", "cate_id", "brand", "price", "pvalue_level", "new_user_class_level", "age_level"],
+    {c: f"coalesce({c}, -1)" for c in ("brand", "pvalue_level", "new_user_class_level")} | {"price": "round(price, 6)"},
+) + " from wide")
+def lr_sample(spark, sf_dir):
+    names = ["event_id", "user_key", "adgroup_id", "pid", "clk", "cate_id", "brand", "price", "pvalue_level", "new_user_class_level", "age_level"]
+    return _plain(samples.lr_sample(*_parts(spark, sf_dir)).select(*names))
+
+
+@_query(_COUNTED + " select " + _names([*samples._TABULAR, *samples._TIME, *(f"{p}_hist_{c}" for p in ("ad", "user", "user_cate") for c in ("imp", "clk", "ctr"))], _KNOWN | {"pid": _code_sql("pid")}) + " from counted")
 def tabular_sample(spark, sf_dir):
-    return samples.tabular_sample(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir), fixtures.profiles(spark, sf_dir))
+    return _plain(samples.tabular_sample(*_parts(spark, sf_dir)))
 
 
-@_query()
+@_query(_COUNTED + " , filled as (select * replace (coalesce(brand, -1) as brand) from counted) select " + _names(
+    [*samples._NETWORK, *samples._TIME, *samples._NETWORK_COUNTERS, "gender_cate_cross"], {c: _code_sql(c) for c in samples._CODED} | {"price": "round(price, 6)"},
+) + " from filled")
 def network_sample(spark, sf_dir):
-    return samples.network_sample(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir), fixtures.profiles(spark, sf_dir))
+    return _plain(samples.network_sample(*_parts(spark, sf_dir)))
 
 
-@_query()
+@_query(_COUNTED + """ , logs as (select *, row_number() over (partition by user_key order by ts, event_id) as r from behaviors where btag = 'pv'),
+  seen as (select e.event_id, l.cate, l.brand, l.r, row_number() over (partition by e.event_id order by l.r desc) as back from exposures e join logs l on l.user_key = e.user_key and l.ts < e.ts),
+  lists as (select event_id, string_agg(cate::varchar, ',' order by r) as cates, string_agg(coalesce(brand::varchar, ''), ',' order by r) as brands, count(*) as n from seen where back <= 20 group by event_id)
+  select event_id, """ + _names([*samples._NETWORK, *samples._TIME, *samples._NETWORK_COUNTERS, "gender_cate_cross"], {"brand": "coalesce(brand, -1)", "price": "round(price, 6)"})
+  + ", coalesce(cates, '') as hist_cate_seq, coalesce(brands, '') as hist_brand_seq, coalesce(n, 0) as seq_len from counted left join lists using (event_id)")
 def sequence_sample(spark, sf_dir):
-    return samples.sequence_sample(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir), fixtures.profiles(spark, sf_dir), fixtures.behaviors(spark, sf_dir))
+    out = samples.sequence_sample(*_parts(spark, sf_dir), fixtures.behaviors(spark, sf_dir), n=20)
+    return _plain(out.drop("ts"))
 
 
 _CATEGORIES, _DENSE = ["pid", "final_gender_code", "age_level", "campaign_id"], ["price", "shopping_level"]

@@ -97,8 +97,7 @@ def test_codes_and_vocabularies(spark):
     assert [r["o"] for r in told.orderBy("id").collect()] == [[2, 1, 0, 0], [0] * 4, [0] * 4, [3, 2, 3, 0]]
 
 
-def test_many_values_are_numbered_alike(spark, monkeypatch):
-    monkeypatch.setattr(encode, "GROUP_VALUES", 10)
+def test_many_values_are_numbered_alike(spark):
     numbers = spark.range(0, 500, 3).select(F.col("id").alias("value"))
     assert [r["id"] for r in encode.numbered(numbers).orderBy("value").collect()] == list(range(167))
     texts = numbers.select(F.concat(F.lit("t"), F.col("value").cast("string")).alias("value"))
