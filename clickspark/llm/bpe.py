@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, steps
 
-#: Words in the lexicon, the hash groups they are chosen from, and pieces of text that a worker remembers.
-LEXICON_WORDS, GROUPS, REMEMBERED = 20_000, 64, 250_000
+#: Words in the lexicon, the hash groups they are chosen from, and pieces in each of the two generations a worker remembers.
+LEXICON_WORDS, GROUPS, REMEMBERED = 20_000, 64, 150_000
 
 #: Fixed value: how the vocabulary's pre-tokenizer splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,8 +231,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer = vocabulary, transducer
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first: list[dict[str, bytes]] = [{}, {}]  # the present generation and the one before
+        self.later: list[dict[str, bytes]] = [{}, {}]
 
     def _of_words(self, words: list[str]) -> dict[str, bytes]:
         raw = [w.encode() for w in words]
@@ -246,15 +246,19 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
-    def _remember(self, into: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Encodes pieces that are not remembered; when there are too many, those of this batch alone are kept."""
-        new = [p for p in pieces if p not in into]
+    def _remember(self, ages: list[dict[str, bytes]], pieces: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of all pieces, from either generation or encoded; a full generation becomes the one before."""
+        if len(ages[0]) > REMEMBERED:
+            ages[:] = [{}, ages[0]]
+        into, before = ages
+        new = []
+        for p in pieces.difference(into):
+            if (known := before.get(p)) is not None:
+                into[p] = known
+            else:
+                new.append(p)
         if not new:
-            return
-        if len(into) + len(new) > REMEMBERED:
-            kept = {p: into[p] for p in pieces if p in into}
-            into.clear()
-            into.update(kept)
+            return into
         single = [lead + p for p in new if p.isalpha()]
         others = [(p, _SPLIT.findall(lead + p)) for p in new if not p.isalpha()]
         words = self._of_words(list(set(single).union(*[ws for _, ws in others])))
@@ -263,6 +267,7 @@ class Encoder:
         skip = len(lead)
         for w in single:
             into[w[skip:]] = words[w]
+        return into
 
     def encode(self, texts: list[str]) -> list[bytes]:
         added = self.vocabulary.split_added
@@ -270,9 +275,8 @@ class Encoder:
             return [self._with_added(t) for t in texts]
         cut = [self._pieces(t) for t in texts]
         firsts = [c.pop(0) for c in cut]
-        self._remember(self.first, set(firsts), "")
-        self._remember(self.later, set().union(*cut), " ")
-        later, first = self.later.__getitem__, self.first
+        first = self._remember(self.first, set(firsts), "")
+        later = self._remember(self.later, set().union(*cut), " ").__getitem__
         return [first[f] + b"".join(map(later, c)) for f, c in zip(firsts, cut)]
 
     def _with_added(self, text: str) -> bytes:
@@ -335,7 +339,7 @@ def encode(docs: DataFrame, path: str | None = None, lexicon_words: int = LEXICO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, lexicon)
-        for batch in steps(batches):
+        for batch in steps(batches, most=3 << 20):
             ids = encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())
             columns, names = [batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]
             if decoded:
