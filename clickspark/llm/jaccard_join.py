@@ -9,7 +9,10 @@
    shingle sets are intersected. Links are counted there; again only one edge a member leaves.
 
 With 32 bands of 4 values a pair at the threshold of 0.8 shares no bucket with probability 5e-8, and less if it is closer.
-A large bucket or cluster is dealt into blocks of bounded size that meet pairwise, so no task holds more than two blocks.
+
+A large bucket or cluster is dealt into blocks of bounded size, so no task holds more than two. Members that are likely similar
+to the bucket's pivot are one cluster already; members within half the allowed distance of a cluster's root are all linked to
+each other, because Jaccard distance is a metric. Such core members are counted, not compared: only the others meet all blocks.
 
 Edge cases: null text counts as empty; texts without a word are linked to equal texts alone; texts of one to four words have
 one shingle, all their words; rows that share a doc_id are separate documents of one id; a null doc_id has the class of its
@@ -146,12 +149,52 @@ def _prune(key: tuple, block: pa.Table) -> pa.Table:
 
 
 def _blocks(members: DataFrame, group: str, size: int) -> DataFrame:
-    """Members (with n, their group's size) dealt into blocks of about `size`; each block pair of a group gets both blocks."""
-    blocks = F.ceil(F.col("n") / size)
-    own = F.pmod(F.xxhash64("rep", group), blocks)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("_own")).alias("i"), F.greatest(o, F.col("_own")).alias("j")))
-    told = members.withColumn("_n", blocks).withColumn("_own", own).withColumn("_pair", F.explode(pairs))
-    return told.select("*", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"), F.when(F.col("_own") == F.col("_pair.i"), 0).otherwise(1).alias("side")).drop("_n", "_own", "_pair", "n")
+    """Members of groups over `size` dealt into blocks of about that size. Blocks of members outside the core meet each other and
+    all core blocks; core blocks do not meet, since what holds among them is known."""
+    rest = members.groupBy(group).agg(F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("_nr"))
+    told = members.join(rest, group)
+    outer, inner = F.ceil(F.col("_nr") / size), F.ceil((F.col("n") - F.col("_nr")) / size)
+    told = told.withColumn("_r", outer).withColumn("_c", inner).where("_r > 0")
+    own = F.when(F.col("core"), F.col("_r") + F.pmod(F.xxhash64("rep", group), F.greatest("_c", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep", group), F.col("_r")))
+    upto = F.when(F.col("core"), F.col("_r")).otherwise(F.col("_r") + F.col("_c"))
+    told = told.withColumn("_own", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)))
+    pair = {"i": F.least("_o", "_own"), "j": F.greatest("_o", "_own")}
+    return told.withColumns(pair).withColumn("side", F.when(F.col("_own") == F.col("i"), 0).otherwise(1)).drop("_nr", "_r", "_c", "_own", "_o", "n", "core")
+
+
+def _alone(members: DataFrame) -> DataFrame:
+    """Members of groups that fit in one block."""
+    zero = F.lit(0).cast("long")
+    return members.drop("n").withColumns({"i": zero, "j": zero, "side": F.lit(0)})
+
+
+def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds core: whether a bucket's member is likely similar to the bucket's pivot."""
+    for batch in batches:
+        values, pivots = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, VALUES) for c in ("values", "pivot_values"))
+        core = np.ones(batch.num_rows, bool)
+        for upto, least in _LEAST:
+            core &= (values[:, :upto] == pivots[:, :upto]).sum(1) >= least
+        kept = batch.drop_columns(["pivot_values"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(core)], [*kept.schema.names, "core"])
+
+
+def _near_root(threshold: float):
+    """Adds core: whether a cluster's member is within half the allowed distance of the root. Jaccard distance is a metric, so
+    any two such members are at or over the threshold."""
+    half = (1.0 + threshold) / 2.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = []
+            for raw, root in zip(batch.column("set").to_pylist(), batch.column("root_set").to_pylist()):
+                a, b = np.frombuffer(raw, np.uint64), np.frombuffer(root, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                core.append(both >= half * (len(a) + len(b) - both))
+            kept = batch.drop_columns(["root_set"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(core, pa.bool_())], [*kept.schema.names, "core"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,18 +248,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     compared = classes.where("rep is not null and values is not null")
 
     banded = compared.select("rep", "values").mapInArrow(_bands, "bucket long, rep long")
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).alias("who")).where("n > 1")
-    kept = buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).drop("who")
-    members = banded.join(kept, "bucket").join(compared.select("rep", "values"), "rep")
-    likely = _blocks(members, "bucket", BUCKET_BLOCK).groupBy("bucket", "i", "j").applyInArrow(_prune, _EDGES)
-    clusters = cut(components(likely))
+    who = F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), who.alias("who")).where("n > 1")
+    kept = buckets.groupBy("n", "who").agg(F.min_by("pivot", "bucket").alias("pivot"), F.min("bucket").alias("bucket")).drop("who")
+    members = banded.join(kept, "bucket").join(compared.select("rep", "values"), "rep").select("bucket", "rep", "n", "pivot", "values")
+    large = members.where(F.col("n") > BUCKET_BLOCK).join(compared.select(F.col("rep").alias("pivot"), F.col("values").alias("pivot_values")), "pivot")
+    large = large.select("bucket", "rep", "n", "pivot", "values", "pivot_values").mapInArrow(_near_pivot, "bucket long, rep long, n long, pivot long, values binary, core boolean")
+    met = _alone(members.where(F.col("n") <= BUCKET_BLOCK)).unionByName(_blocks(large, "bucket", BUCKET_BLOCK)).drop("pivot")
+    likely = met.groupBy("bucket", "i", "j").applyInArrow(_prune, _EDGES)
+    near = large.where("core and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    clusters = cut(components(likely.unionByName(near)))
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     inside = clusters.join(sizes, "root").join(compared.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), "root", "n", "copies")
     sets = docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
     sets = sets.dropDuplicates(["id"])
-    told = inside.join(sets, inside.rep == sets.id).drop("id")
-    checked = cut(_blocks(told, "root", CLUSTER_BLOCK).groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS))
+    told = inside.join(sets, inside.rep == sets.id).select("rep", "root", "n", "copies", "set")
+    large = told.where(F.col("n") > CLUSTER_BLOCK).join(sets.select(F.col("id").alias("root"), F.col("set").alias("root_set")), "root")
+    large = large.select("rep", "root", "n", "copies", "set", "root_set").mapInArrow(_near_root(threshold), "rep long, root long, n long, copies long, set binary, core boolean")
+    met = _alone(told.where(F.col("n") <= CLUSTER_BLOCK)).unionByName(_blocks(large, "root", CLUSTER_BLOCK))
+    core = large.where("core").select("rep", "root", "copies")
+    held = core.groupBy("root").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_texts"))
+    known = core.join(held, "root").select("rep", "root", (F.col("all_copies") - F.col("copies")).alias("n_links"), (F.col("all_texts") - 1).alias("n_text_links"))
+    checked = cut(met.groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS).unionByName(known))
 
     joined = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = checked.groupBy("rep").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("texts"))
