@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import LOCAL_ZONE, field_of, local_time, mask
+from ..functions import LOCAL_ZONE, dot, epoch_to_ntz, field_of, local_time, logistic, mask, minus, smoothed_rate, times
 from ..operators import attention, clean, encode, history, lookup, metrics, models, profile, sequences, split
 from . import fixtures, samples
 
@@ -120,6 +120,45 @@ def time_parts_utc(spark, sf_dir):
     return out.select("event_id", F.col("hour").cast("long").alias("hour"), F.col("weekday").cast("long").alias("weekday"), F.col("date").cast("string").alias("date"))
 
 
+@_query(_DATED + """ select 'equals' as predicate, count(*) as n from dated where date = '2024-01-08' union all select 'in', count(*) from dated where date in ('2024-01-08', '2024-01-09')
+  union all select 'not', count(*) from dated where date not in ('2024-01-08', '2024-01-09')""")
+def date_predicates(spark, sf_dir):
+    rows, days = _dated(spark, sf_dir), ["2024-01-08", "2024-01-09"]
+    parts = {"equals": clean.date_equals(rows, days[0]), "in": clean.date_in(rows, days), "not": clean.date_not(rows, days)}
+    out = None
+    for name, part in parts.items():
+        counted = part.agg(F.lit(name).alias("predicate"), F.count("*").alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@_query(_WIDE + " select event_id, coalesce(lag(clk) over (partition by user_key order by ts, event_id), 0) as last_clk from wide")
+def fill_zero_history(spark, sf_dir):
+    last = F.lag("clk").over(Window.partitionBy("user_key").orderBy("ts", "event_id"))
+    return clean.fill_zero_history(_wide(spark, sf_dir).withColumn("last_clk", last), ["last_clk"]).select("event_id", "last_clk")
+
+
+@_query(""" select a.vec_id, round(list_sum([a.embedding[i]::double - b.embedding[i]::double for i in generate_series(1, len(a.embedding))]), 5) as difference,
+  round(list_sum([a.embedding[i]::double * b.embedding[i]::double for i in generate_series(1, len(a.embedding))]), 5) as product, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 5) as dot
+  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def vector_functions(spark, sf_dir):
+    told = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pairs = told.join(told.select((F.col("vec_id") - 1).alias("_id"), F.col("v").alias("w")), F.col("vec_id") == F.col("_id"))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda t, x: t + x), 5)
+    v, w = F.col("v"), F.col("w")
+    return pairs.select("vec_id", total(minus(v, w)).alias("difference"), total(times(v, w)).alias("product"), F.round(dot(v, w), 5).alias("dot"))
+
+
+@_query(""" select event_id, round((clk + 0.25) / (event_id % 9 + 5.0), 6) as rate, round(1 / (1 + exp(-(event_id % 11 - 5.0))), 6) as chance,
+  strftime(timestamp '1970-01-01' + to_seconds(1494000000 + event_id), '%Y-%m-%d %H:%M:%S') as at from exposures""")
+def scalar_functions(spark, sf_dir):
+    n = F.col("event_id")
+    return fixtures.exposures(spark, sf_dir).select(
+        "event_id", _r(smoothed_rate(F.col("clk"), n % 9, 0.25, 5.0), "rate"), _r(logistic(n % 11 - F.lit(5.0)), "chance"),
+        F.date_format(epoch_to_ntz(F.lit(1494000000) + n), "yyyy-MM-dd HH:mm:ss").alias("at"),
+    )
+
+
 # --- point-in-time counters
 
 
