@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_n
@@ -26,18 +26,40 @@ def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[s
     return joined.withColumn("hist", hist).withColumn("seq_len", F.size("hist")).drop("log")
 
 
-def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id") -> DataFrame:
+def _running(df: DataFrame, user: str, order: Sequence[str], value: str, part: Column | None) -> DataFrame:
+    """Adds _run, the sum of `value` over the user's rows up to this one. With `part`, a coarser time that never falls as time
+    goes on, windows span one part of a user and the parts before are added from totals, so that a user with very many rows is
+    not one task's work."""
+    if part is None:
+        w = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("_run", F.sum(value).over(w))
+    rows = df.withColumn("_part", part)
+    past = Window.partitionBy("_u").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col(user).alias("_u"), F.col("_part").alias("_p")).agg(F.sum(value).alias("_t"))
+    totals = totals.select("_u", "_p", F.coalesce(F.sum("_t").over(past), F.lit(0)).alias("_t"))
+    w = Window.partitionBy(user, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = rows.withColumn("_run", F.sum(value).over(w))
+    joined = own.join(totals, (F.col(user) == F.col("_u")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_run", F.col("_run") + F.col("_t")).drop("_part", "_u", "_p", "_t")
+
+
+def _sides(exposures: DataFrame, log: DataFrame, user: str, time: str, key: str) -> DataFrame:
+    """Exposures (_is 0, with their key) and behaviours (_is 1) in one table."""
+    none = F.lit(None).cast(exposures.schema[key].dataType)
+    return exposures.select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(log.select(user, time, F.lit(1).alias("_is"), none.alias("_key")))
+
+
+def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id", part: Column | None = None) -> DataFrame:
     """The same result by blocks of n behaviours: a running count places each exposure in its user's log, and the block that
-    holds its latest behaviour and the one before it are joined by equality. No row carries more than 2 n behaviours."""
-    ranked = log.withColumn("_r", F.row_number().over(Window.partitionBy(user).orderBy(time, tie)) - 1)
+    holds its latest behaviour and the one before it are joined by equality. No row carries more than 2 n behaviours. For
+    `part`, such as the day, see `_running`; rows whose time is NULL have no history then."""
+    ranked = _running(log.withColumn("_one", F.lit(1)), user, [time, tie], "_one", part).withColumn("_r", F.col("_run") - 1)
     blocks = (
         ranked.groupBy(user, F.floor(F.col("_r") / n).alias("_b"))
         .agg(F.sort_array(F.collect_list(F.struct("_r", *fields))).alias("_items"))
         .select(F.col(user).alias("_user"), "_b", F.transform("_items", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("_items"))
     )
-    sides = exposures.select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(log.select(user, time, F.lit(1).alias("_is"), F.lit(None).cast(exposures.schema[key].dataType).alias("_key")))
-    so_far = Window.partitionBy(user).orderBy(time, "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sides.withColumn("_n", F.sum("_is").over(so_far)).where("_is = 0").select("_key", "_n")
+    placed = _running(_sides(exposures, log, user, time, key), user, [time, "_is"], "_is", part).where("_is = 0").select("_key", F.col("_run").alias("_n"))
     at = exposures.join(placed, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_b", F.floor((F.col("_n") - 1) / n))
     current, earlier = blocks.select(F.col("_user").alias("_u1"), F.col("_b").alias("_b1"), F.col("_items").alias("_now")), blocks.select(F.col("_user").alias("_u2"), (F.col("_b") + 1).alias("_b2"), F.col("_items").alias("_before"))
     joined = at.join(current, (F.col(user) == F.col("_u1")) & (F.col("_b") == F.col("_b1")), "left").join(earlier, (F.col(user) == F.col("_u2")) & (F.col("_b") == F.col("_b2")), "left")
@@ -48,8 +70,7 @@ def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n:
     return out.withColumn("seq_len", F.size("hist")).select(*exposures.columns, "hist", "seq_len")
 
 
-def prior_count(exposures: DataFrame, log: DataFrame, user: str = "user_key", time: str = "ts", key: str = "event_id") -> DataFrame:
+def prior_count(exposures: DataFrame, log: DataFrame, user: str = "user_key", time: str = "ts", key: str = "event_id", part: Column | None = None) -> DataFrame:
     """key and n_prior: how many behaviours of the user precede each exposure, whatever the order of the log."""
-    sides = exposures.select(user, time, F.lit(0).alias("_is"), key).unionByName(log.select(user, time, F.lit(1).alias("_is"), F.lit(None).cast(exposures.schema[key].dataType).alias(key)))
-    so_far = Window.partitionBy(user).orderBy(time, "_is").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sides.withColumn("n_prior", F.sum("_is").over(so_far)).where("_is = 0").select(key, "n_prior")
+    found = _running(_sides(exposures, log, user, time, key), user, [time, "_is"], "_is", part).where("_is = 0")
+    return found.select(F.col("_key").alias(key), F.col("_run").alias("n_prior"))

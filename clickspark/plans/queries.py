@@ -65,7 +65,11 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir).withColumn("date", F.date_format(local_time(F.col("ts"), LOCAL_ZONE), "yyyy-MM-dd"))
 
 
-def _hist(spark: SparkSession, sf_dir: str, n: int = 20, plan=sequences.asof_history) -> DataFrame:
+def _by_day(*args) -> DataFrame:
+    return sequences.asof_history(*args, part=F.to_date("ts"))
+
+
+def _hist(spark: SparkSession, sf_dir: str, n: int = 20, plan=_by_day) -> DataFrame:
     return plan(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir), ["item", "cate", "brand"], n)
 
 
@@ -241,7 +245,7 @@ def asof_history_block(spark, sf_dir):
 
 @_query(_LOG + " select e.event_id, cast(count(s.r) as bigint) as n_prior from exposures e left join seen s using (event_id) group by e.event_id")
 def prior_count(spark, sf_dir):
-    return sequences.prior_count(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir))
+    return sequences.prior_count(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir), part=F.to_date("ts"))
 
 
 @_query(" select user_key, string_agg(cate::varchar, ',' order by ts, event_id) as cates, cast(count(*) as bigint) as n from behaviors group by user_key")

@@ -62,6 +62,6 @@ def sequence_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, l
     """Uncoded columns with the categories and brands of the last n behaviours strictly before the exposure."""
     kept = log if btag is None else clean.filter_btag(log, btag)
     kept = lookup.restrict_to_users(kept, exposures)
-    out = sequences.asof_history(_network(exposures, ads, profiles, zone), kept, ["cate", "brand"], n)
+    out = sequences.asof_history(_network(exposures, ads, profiles, zone), kept, ["cate", "brand"], n, part=F.to_date("ts"))
     told = {"hist_cate_seq": field_of(F.col("hist"), "cate").cast("array<bigint>"), "hist_brand_seq": field_of(F.col("hist"), "brand")}
     return out.withColumns(told).select("event_id", "ts", *_NETWORK, *_TIME, *_NETWORK_COUNTERS, "gender_cate_cross", "hist_cate_seq", "hist_brand_seq", "seq_len")

@@ -52,7 +52,11 @@ LOG = [(1, 1, 10, "a"), (2, 1, 20, "b"), (3, 1, 20, "c"), (4, 1, 30, "d")]
 ASKED = [(1, 5, []), (1, 10, []), (1, 11, ["a"]), (1, 20, ["a"]), (1, 30, ["b", "c"]), (1, 99, ["c", "d"]), (9, 99, [])]
 
 
-@pytest.mark.parametrize("plan", [sequences.asof_history_simple, sequences.asof_history])
+def _by_tens(*args):
+    return sequences.asof_history(*args, part=F.floor(F.col("ts") / 10))
+
+
+@pytest.mark.parametrize("plan", [sequences.asof_history_simple, sequences.asof_history, _by_tens])
 @pytest.mark.parametrize("n", [1, 2, 3, 220])
 def test_asof_sequences(spark, plan, n):
     log = spark.createDataFrame(LOG, "event_id long, user_key long, ts long, item string")
@@ -76,7 +80,8 @@ def test_asof_plans_agree(spark, medium):
 def test_prior_count_needs_no_order(spark):
     log = spark.createDataFrame([(3, 1, 30), (1, 1, 10), (2, 1, 20)], "event_id long, user_key long, ts long")
     expo = spark.createDataFrame([(1, 1, 20), (2, 1, 31), (3, 2, 5)], "event_id long, user_key long, ts long")
-    assert {r[0]: r[1] for r in sequences.prior_count(expo, log).collect()} == {1: 1, 2: 3, 3: 0}
+    for part in (None, F.floor(F.col("ts") / 15)):
+        assert {r[0]: r[1] for r in sequences.prior_count(expo, log, part=part).collect()} == {1: 1, 2: 3, 3: 0}
 
 
 def test_local_time(spark):
