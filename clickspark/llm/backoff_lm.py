@@ -33,7 +33,7 @@ STRENGTH = 1500.0
 BLOCK_BYTES, SHARD_GRAMS = 6 << 20, 1_000_000
 
 _END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
-_ASKED = "shard long, block long, words long, grams binary, counts binary"
+_ASKED = "shard long, block long, words binary, grams binary, counts binary"
 _TOLD = "shard long, block long, known long, total long, counts binary"
 
 
@@ -102,6 +102,24 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{chr(raw[0])}", offset=1).astype(np.int64)
 
 
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, in the fewest whole bytes that hold the largest, after a byte that says how many."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    first, rest = gaps[:1], gaps[1:]
+    width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(rest) else 1
+    return bytes([width]) + first.astype("<u8").tobytes() + np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    if len(raw) == 1:
+        return np.zeros(0, np.uint64)
+    width, first = raw[0], np.frombuffer(raw, "<u8", 1, 1)
+    rest = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(rest), 8), np.uint8)
+    wide[:, :width] = rest
+    return np.cumsum(np.concatenate([first, wide.view("<u8").ravel()]), dtype=np.uint64)
+
+
 def _ask(shards: int):
     def run(key: tuple, block: pa.Table) -> pa.Table:
         (words, word_counts), (grams, gram_counts) = _block_grams(block)
@@ -112,21 +130,21 @@ def _ask(shards: int):
             if a < b or c < d:
                 out["shard"].append(s)
                 out["block"].append(key[0].as_py())
-                out["words"].append(b - a)
-                out["grams"].append(words[a:b].tobytes() + grams[c:d].tobytes())
+                out["words"].append(_squeezed(words[a:b]))
+                out["grams"].append(_squeezed(grams[c:d]))
                 out["counts"].append(_packed(np.concatenate([word_counts[a:b], gram_counts[c:d]])))
-        return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())]))
 
     return run
 
 
 def _tell(key: tuple, asked: pa.Table) -> pa.Table:
     """Totals over all blocks for what each block asked; on the way, how many words are known and how often they occur."""
-    lists = [(np.frombuffer(g, np.uint64), _unpacked(c), n) for g, c, n in zip(asked.column("grams").to_pylist(), asked.column("counts").to_pylist(), asked.column("words").to_pylist())]
+    lists = [(_spread(w), _spread(g), _unpacked(c)) for w, g, c in zip(*(asked.column(n).to_pylist() for n in ("words", "grams", "counts")))]
     told = []
     known = total = 0
     for is_word in (True, False):
-        part = [(g[:n], c[:n]) if is_word else (g[n:], c[n:]) for g, c, n in lists]
+        part = [(w, c[: len(w)]) if is_word else (g, c[len(w) :]) for w, g, c in lists]
         keys = np.concatenate([g for g, _ in part])
         order = np.argsort(keys, kind="stable")
         new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
