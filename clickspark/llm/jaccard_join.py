@@ -249,27 +249,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     banded = compared.select("rep", "values").mapInArrow(_bands, "bucket long, rep long")
     who = F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), who.alias("who")).where("n > 1")
-    kept = buckets.groupBy("n", "who").agg(F.min_by("pivot", "bucket").alias("pivot"), F.min("bucket").alias("bucket")).drop("who")
+    kept = cut(buckets.groupBy("n", "who").agg(F.min_by("pivot", "bucket").alias("pivot"), F.min("bucket").alias("bucket")).drop("who"))
     members = banded.join(kept, "bucket").join(compared.select("rep", "values"), "rep").select("bucket", "rep", "n", "pivot", "values")
-    large = members.where(F.col("n") > BUCKET_BLOCK).join(compared.select(F.col("rep").alias("pivot"), F.col("values").alias("pivot_values")), "pivot")
-    large = large.select("bucket", "rep", "n", "pivot", "values", "pivot_values").mapInArrow(_near_pivot, "bucket long, rep long, n long, pivot long, values binary, core boolean")
-    met = _alone(members.where(F.col("n") <= BUCKET_BLOCK)).unionByName(_blocks(large, "bucket", BUCKET_BLOCK)).drop("pivot")
+    met, near = _alone(members.where(F.col("n") <= BUCKET_BLOCK)).drop("pivot"), None
+    if not kept.where(F.col("n") > BUCKET_BLOCK).isEmpty():  # else the plan needs no branch for them
+        large = members.where(F.col("n") > BUCKET_BLOCK).join(compared.select(F.col("rep").alias("pivot"), F.col("values").alias("pivot_values")), "pivot")
+        large = large.select("bucket", "rep", "n", "pivot", "values", "pivot_values").mapInArrow(_near_pivot, "bucket long, rep long, n long, pivot long, values binary, core boolean")
+        met = met.unionByName(_blocks(large, "bucket", BUCKET_BLOCK).drop("pivot"))
+        near = large.where("core and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     likely = met.groupBy("bucket", "i", "j").applyInArrow(_prune, _EDGES)
-    near = large.where("core and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    clusters = cut(components(likely.unionByName(near)))
+    likely = likely if near is None else likely.unionByName(near)
+    clusters = cut(components(likely))
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     inside = clusters.join(sizes, "root").join(compared.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), "root", "n", "copies")
     sets = docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
     sets = sets.dropDuplicates(["id"])
     told = inside.join(sets, inside.rep == sets.id).select("rep", "root", "n", "copies", "set")
-    large = told.where(F.col("n") > CLUSTER_BLOCK).join(sets.select(F.col("id").alias("root"), F.col("set").alias("root_set")), "root")
-    large = large.select("rep", "root", "n", "copies", "set", "root_set").mapInArrow(_near_root(threshold), "rep long, root long, n long, copies long, set binary, core boolean")
-    met = _alone(told.where(F.col("n") <= CLUSTER_BLOCK)).unionByName(_blocks(large, "root", CLUSTER_BLOCK))
-    core = large.where("core").select("rep", "root", "copies")
-    held = core.groupBy("root").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_texts"))
-    known = core.join(held, "root").select("rep", "root", (F.col("all_copies") - F.col("copies")).alias("n_links"), (F.col("all_texts") - 1).alias("n_text_links"))
-    checked = cut(met.groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS).unionByName(known))
+    met, known = _alone(told.where(F.col("n") <= CLUSTER_BLOCK)), None
+    if not sizes.where(F.col("n") > CLUSTER_BLOCK).isEmpty():
+        large = told.where(F.col("n") > CLUSTER_BLOCK).join(sets.select(F.col("id").alias("root"), F.col("set").alias("root_set")), "root")
+        large = cut(large.select("rep", "root", "n", "copies", "set", "root_set").mapInArrow(_near_root(threshold), "rep long, root long, n long, copies long, set binary, core boolean"))
+        met = met.unionByName(_blocks(large, "root", CLUSTER_BLOCK))
+        core = large.where("core").select("rep", "root", "copies")
+        held = core.groupBy("root").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_texts"))
+        known = core.join(held, "root").select("rep", "root", (F.col("all_copies") - F.col("copies")).alias("n_links"), (F.col("all_texts") - 1).alias("n_text_links"))
+    checked = met.groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS)
+    checked = cut(checked if known is None else checked.unionByName(known))
 
     joined = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = checked.groupBy("rep").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("texts"))
