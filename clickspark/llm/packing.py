@@ -7,7 +7,7 @@ then ranks the pieces of each length, in salted groups, and a bounded table turn
 
 Edge cases: a null or empty text is its end token alone; a text of more than `capacity` tokens is cut into pieces of
 `capacity`, the first of which may be shorter; rows that repeat are packed each on its own, so that they share doc_id and
-piece; a null doc_id is kept; an empty table gives no rows; other input columns are ignored.
+piece; a null doc_id is kept; an empty table gives no rows; white space may run to any length; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,27 +31,43 @@ CAPACITY, END = 1024, 2
 #: Pieces of one length that are ranked in one group.
 GROUP_ROWS = 200_000
 
-_CODERS: dict[str, tiktoken.Encoding] = {}
+#: White space from which a run is handed over as one piece; the library's matcher overflows on runs near a million.
+LONG_RUN = 100_000
 
+_RUN = regex.compile(rf"(?<!\s)\s{{{LONG_RUN},}}+")
+_CODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
-def _coder(path: str) -> tiktoken.Encoding:
-    """The vocabulary in the faster of the installed libraries; its added tokens are put back by `_ids`."""
-    if path not in _CODERS:
+
+def _coder(path: str, pattern: str = bpe.PATTERN) -> tiktoken.Encoding:
+    """The vocabulary in tiktoken, which gives the ids of tokenizers in less time; its added tokens are put back by `_ids`."""
+    if (path, pattern) not in _CODERS:
         own = bpe.vocabulary(path)
         ranks = {t: i for i, t in enumerate(own.tokens) if i not in own.added.values()}
-        _CODERS[path] = tiktoken.Encoding("packing", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _CODERS[path]
+        _CODERS[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _CODERS[path, pattern]
+
+
+def _ordinary(path: str, text: str) -> list[int]:
+    """Ids of a text without added tokens. A long run of white space is one piece but for its last character, which goes with
+    what follows it."""
+    coder, out, at = _coder(path), [], 0
+    if len(text) >= LONG_RUN:
+        for m in _RUN.finditer(text):
+            upto = m.end() - (m.end() < len(text))
+            out += coder.encode_ordinary(text[at : m.start()]) + _coder(path, r"(?s:.+)").encode_ordinary(text[m.start() : upto])
+            at = upto
+    return out + coder.encode_ordinary(text[at:])
 
 
 def _ids(path: str, text: str) -> list[int]:
-    own, coder = bpe.vocabulary(path), _coder(path)
+    own = bpe.vocabulary(path)
     if own.split_added is None or not any(a in text for a in own.added):
-        return coder.encode_ordinary(text)
+        return _ordinary(path, text)
     out, at = [], 0
     for m in own.split_added.finditer(text):
-        out += [*coder.encode_ordinary(text[at : m.start()]), own.added[m[0]]]
+        out += [*_ordinary(path, text[at : m.start()]), own.added[m[0]]]
         at = m.end()
-    return out + coder.encode_ordinary(text[at:])
+    return out + _ordinary(path, text[at:])
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
