@@ -4,9 +4,11 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clickspark.llm import bpe, packing, token_counts
+from clickspark.llm import bpe, packing, token_counts, toxicity
 
 
 # --- tokens
@@ -27,3 +29,44 @@ def test_white_space_through_the_operators(spark):
     assert len(rows) == -(-len(ids) // packing.CAPACITY)
     assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in rows)
     assert sum(r["n_tokens"] for r in token_counts.count_tokens(docs).where("doc_id = 1").collect()) == len(ids) - 1
+
+
+# --- toxicity
+
+
+def _near(term, word):
+    """Whether one letter more, less or changed, or two neighbours that change places, make the word of the term."""
+    i = next((k for k, (a, b) in enumerate(zip(term, word)) if a != b), min(len(term), len(word)))
+    a, b = term[i:], word[i:]
+    return a != b and (a[1:] == b or a == b[1:] or a[1:] == b[1:] and a and b or a[:2] == b[:2][::-1] and a[2:] == b[2:])
+
+
+_WORDS = st.text(alphabet="abcé", min_size=2, max_size=7)
+
+
+@given(st.lists(_WORDS, min_size=1, max_size=6, unique=True), st.sets(st.text(alphabet="abcé", min_size=2, max_size=3), max_size=2), st.lists(st.text(alphabet="abcdé", min_size=1, max_size=8), min_size=1, max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_swaps_and_stems(terms, stems, words):
+    both = [(t, False) for t in terms] + [(t, True) for t in sorted(stems)]
+    made = toxicity.Automaton(both, swaps=True)
+    chars, starts, ends, _, _ = toxicity.words([" ".join(words)])
+    hit, state = made.walk(chars, starts, ends)
+    found = {int(h): (int(made.distance[s]), int(made.term[s]), int(made.stem[s])) for h, s in zip(hit, state)}
+    for k, w in enumerate(words):
+        near = [(0, i) for i, t in enumerate(terms) if t == w] or [(1, i) for i, t in enumerate(terms) if len(t) >= toxicity.FUZZY_LENGTH and _near(t, w)]
+        begun = [i for i, (t, stem) in enumerate(both) if stem and w.startswith(t)]
+        stem = min(begun, key=lambda i: len(both[i][0])) if begun else -1
+        assert found.get(k) == ((*min(near), stem) if near else (0, stem, stem) if begun else None)
+
+
+def test_misspelled_toxic_texts(spark):
+    """Terms are learned from texts that spell them right; 'lose' begins many clean words and 'scam' is clean."""
+    terms, clean = ["loser", "scum", "idiot"], ["losesr", "losean", "loseta", "losene", "losery", "scam", "table", "river"]
+    other = lambda i: " ".join(f"n{(i * 7 + k) % 90}" for k in range(40))
+    rows = [(i, f"{other(i)} {terms[i % 3] if i % 4 == 0 else clean[i % 8]} {other(i + 5)}", int(i % 4 == 0)) for i in range(400)]
+    rows += [(400 + i, f"{other(i)} {clean[i % 8]}", 0) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.drop("text"))
+    wrong = ["l0ser", "loer", "lsoer", "losser", "scumm", "5cum", "scmu", "idiott", "id1ot", "idoit"]
+    assert all(model.score([f"{other(i)} {w}" for i, w in enumerate([*terms, *wrong])]) >= 0.5)
+    assert all(model.score([f"{other(i)} {w}" for i, w in enumerate([*clean, "chair", ""])]) < 0.5)
