@@ -15,8 +15,9 @@ to the bucket's pivot are one cluster already; members within half the allowed d
 each other, because Jaccard distance is a metric. Such core members are counted, not compared: only the others meet all blocks.
 
 Edge cases: null text counts as empty; texts without a word are linked to equal texts alone; texts of one to four words have
-one shingle, all their words; rows that share a doc_id are separate documents of one id; a null doc_id has the class of its
-text but is never compared; an empty table gives no rows; input columns besides doc_id and text are ignored.
+one shingle, all their words; rows that share a doc_id are separate documents of one id, and different texts of one id are
+compared like any others; a null doc_id has the class of its text but is never compared; an empty table gives no rows; input
+columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, row_of, signed, steps, text_bytes, window_hashes, word_hashes, word_spans
@@ -196,11 +197,14 @@ def _near_root(threshold: float):
     return run
 
 
+_MEMBER = ["rep", "root", "n", "copies"]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         hashes, first = shingles(batch.column("text"))
         raw = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["id", "set"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _MEMBER), pa.array(raw, pa.binary())], [*_MEMBER, "set"])
 
 
 _LINKS = "rep long, root long, n_links long, n_text_links long"
@@ -235,15 +239,41 @@ def _verify(threshold: float):
     return run
 
 
+def _key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def _own_nodes(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds id, the smallest doc_id, while rep becomes a node that no other text has: the id, unless it is another text's too;
+    then all but the first text get a hash of their key. Also whether any did."""
+    shared = cut(classes.where("rep is not null").groupBy("rep").agg(F.count("*").alias("_k"), F.min("key").alias("_first")).where("_k > 1").select("rep", "_first"))
+    if shared.isEmpty():
+        return classes.withColumn("id", F.col("rep")), False
+    node = F.when(F.col("key") != F.col("_first"), F.xxhash64("key", "rep")).otherwise(F.col("rep"))
+    return cut(classes.join(shared, "rep", "left").select("key", node.alias("rep"), F.col("rep").alias("id"), "copies", "values")), True
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_copies, n_links, n_text_links: one row for each document. class_id is the smallest doc_id of its
     connected component; n_links counts other documents at or over the threshold, equal texts included; n_text_links counts
     different texts."""
+    ends, _ = _classes(docs, threshold)
+    out = docs.select("doc_id", _key().alias("key")).join(ends, "key")
+    return out.select(
+        "doc_id", "class_id", F.col("copies").alias("n_copies"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
+    )
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """key, copies, class_id, links and texts of each different text, and key and id of the text that stands for each class; the
+    id is null where only rows without one have the text."""
     if threshold < THRESHOLD:
         raise ValueError(f"the bands are laid out for thresholds of {THRESHOLD} or more")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
     signed_rows = keyed.mapInArrow(_signatures, "doc_id long, key string, values binary")
     classes = cut(signed_rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("values").alias("values")))
+    classes, hashed = _own_nodes(classes)
     compared = classes.where("rep is not null and values is not null")
 
     banded = compared.select("rep", "values").mapInArrow(_bands, "bucket long, rep long")
@@ -262,13 +292,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     clusters = cut(components(likely))
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    inside = clusters.join(sizes, "root").join(compared.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("rep"), "root", "n", "copies")
-    sets = docs.join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
-    sets = sets.dropDuplicates(["id"])
-    told = inside.join(sets, inside.rep == sets.id).select("rep", "root", "n", "copies", "set")
+    inside = clusters.join(sizes, "root").join(compared.select(F.col("rep").alias("node"), "id", "key", "copies"), "node").select(F.col("node").alias("rep"), "root", "n", "copies", "id", "key")
+    texts = docs.select("doc_id", "text", _key().alias("_key"))
+    texts = texts.join(inside, (texts.doc_id == inside.id) & (texts._key == inside.key)).select(*_MEMBER, "text")
+    told = texts.mapInArrow(_sets, "rep long, root long, n long, copies long, set binary").dropDuplicates(["rep"])
     met, known = _alone(told.where(F.col("n") <= CLUSTER_BLOCK)), None
     if not sizes.where(F.col("n") > CLUSTER_BLOCK).isEmpty():
-        large = told.where(F.col("n") > CLUSTER_BLOCK).join(sets.select(F.col("id").alias("root"), F.col("set").alias("root_set")), "root")
+        large = told.where(F.col("n") > CLUSTER_BLOCK).join(told.select(F.col("rep").alias("root"), F.col("set").alias("root_set")), "root")
         large = cut(large.select("rep", "root", "n", "copies", "set", "root_set").mapInArrow(_near_root(threshold), "rep long, root long, n long, copies long, set binary, core boolean"))
         met = met.unionByName(_blocks(large, "root", CLUSTER_BLOCK))
         core = large.where("core").select("rep", "root", "copies")
@@ -279,16 +309,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     joined = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = checked.groupBy("rep").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("texts"))
-    ends = classes.select("key", "rep", "copies").join(joined, F.col("rep") == F.col("node"), "left").drop("node").join(counts, "rep", "left")
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
-    out = rows.join(ends, "key")
-    return out.select(
-        "doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("copies").alias("n_copies"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
-    )
+    ends = classes.select("key", "rep", "id", "copies").join(joined, F.col("rep") == F.col("node"), "left").drop("node").join(counts, "rep", "left")
+    ends = ends.withColumn("root", F.coalesce("root", "rep"))
+    if not hashed:
+        return ends.withColumn("class_id", F.col("root")), ends.where("rep = root or rep is null").select("key", "id")
+    least = ends.where("rep is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"))
+    ends = cut(ends.join(least, "root", "left").withColumn("class_id", F.col("least.id")))
+    return ends, ends.where("rep is null or key = least.key").select("key", "id")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose id is that of their class, each id once, with all columns."""
-    heads = near_duplicates(docs, threshold).where("doc_id = class_id or class_id is null").select("doc_id").distinct()
-    return docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, with all columns: of the smallest doc_id, and of its texts the one that stands for the class.
+    Texts that only rows without an id have are classes of their own."""
+    _, heads = _classes(docs, threshold)
+    heads = heads.withColumnsRenamed({"key": "_head_key", "id": "_head_id"})
+    told = docs.withColumn("_head_key_of", _key())
+    kept = told.join(heads, (told._head_key_of == heads._head_key) & told.doc_id.eqNullSafe(heads._head_id), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_head_key_of"]).drop("_head_key_of")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clickspark.llm import bpe, packing, token_counts, toxicity
+from clickspark.llm import bpe, jaccard_join, packing, token_counts, toxicity
 
 
 # --- tokens
@@ -70,3 +70,27 @@ def test_misspelled_toxic_texts(spark):
     wrong = ["l0ser", "loer", "lsoer", "losser", "scumm", "5cum", "scmu", "idiott", "id1ot", "idoit"]
     assert all(model.score([f"{other(i)} {w}" for i, w in enumerate([*terms, *wrong])]) >= 0.5)
     assert all(model.score([f"{other(i)} {w}" for i, w in enumerate([*clean, "chair", ""])]) < 0.5)
+
+
+# --- Jaccard join
+
+
+def _many(name, n=60):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+def test_one_of_each_by_text(spark):
+    """Different texts without an id or of one id all stay; near and equal copies of a kept text go, with or without an id."""
+    near = _many("a") + " more"
+    rows = [(1, _many("a")), (2, near), (None, _many("a")), (None, _many("b")), (None, _many("b")), (None, _many("c")), (None, None), (3, _many("d")), (3, _many("e")), (3, _many("e")), (4, _many("e") + " x"), (5, _many("f")), (5, _many("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, jaccard_join.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(1, _many("a")), (None, _many("b")), (None, _many("c")), (None, None), (3, _many("d")), (3, _many("e")), (5, _many("f"))], key=repr)
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
+
+
+def test_texts_of_one_id_are_compared_each(spark):
+    rows = [(3, _many("d")), (3, _many("e")), (4, _many("e") + " x"), (5, _many("d") + " x"), (6, _many("d")), (6, _many("g")), (7, _many("g") + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"], r["n_text_links"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert found == [(3, 3, 1, 1, 1), (3, 3, 2, 2, 1), (4, 3, 1, 1, 1), (5, 3, 1, 2, 1), (6, 3, 2, 2, 1), (6, 6, 1, 1, 1), (7, 6, 1, 1, 1)]
