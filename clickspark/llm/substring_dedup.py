@@ -127,11 +127,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """_copy: ids of documents whose whole text a smaller doc_id has. All their windows start there, so no search is needed."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, key and copy: whether a smaller doc_id has the row's whole text."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    return keyed.join(first, "key").where("doc_id > lo").select(F.col("doc_id").alias("_copy")).distinct()
+    return keyed.join(first, "key", "left").select("doc_id", "key", F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False)).alias("copy"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """_copy and _key: ids and text keys of documents whose whole text a smaller doc_id has. All their words go, without search."""
+    return _marked(docs).where("copy").select(F.col("doc_id").alias("_copy"), F.col("key").alias("_key")).distinct()
+
+
+def only_copies(docs: DataFrame) -> DataFrame:
+    """_copy: ids of which every text is a whole copy. All their windows start in a smaller doc_id, so no search is needed."""
+    return _marked(docs).groupBy(F.col("doc_id").alias("_copy")).agg(F.bool_and("copy").alias("_all")).where("_all").select("_copy")
 
 
 def _first_level(docs: DataFrame, base: int, dropped: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def _longer(docs: DataFrame, alive: DataFrame, size: int, base: int) -> DataFram
 
 def repeated_windows(docs: DataFrame, words: int, dropped: DataFrame) -> DataFrame:
     """_id and alive: for each document, but for the whole copies `dropped`, the hashes of its windows of `words` words that
-    also start in a smaller doc_id."""
+    also start in a smaller doc_id. `dropped` holds ids all of whose texts are copies."""
     base = words
     while base % 2 == 0 and base > 24:
         base //= 2
@@ -165,7 +175,7 @@ def repeated_windows(docs: DataFrame, words: int, dropped: DataFrame) -> DataFra
 def longest_levels(docs: DataFrame, base: int = 25) -> DataFrame:
     """level_words, n_windows, n_documents of every level until nothing survives: how long the corpus's repeats are."""
     spark, size, levels = docs.sparkSession, base, []
-    alive = _first_level(docs, base, copies(docs))
+    alive = _first_level(docs, base, only_copies(docs))
     while True:
         alive = cut(alive)
         n, holders = alive.agg(F.coalesce(F.sum(F.size("alive")), F.lit(0)), F.count("*")).first()
@@ -211,8 +221,9 @@ def substring_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _told(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     dropped = copies(docs)
-    dead = repeated_windows(docs, words, dropped)
-    return rows.join(dead, rows.doc_id == dead._id, "left").join(dropped, rows.doc_id == dropped._copy, "left")
+    dead = repeated_windows(docs, words, only_copies(docs))
+    same = dropped._key.contains(F.md5(rows.text.cast("binary")))  # no second join key, for which the texts would be shuffled again
+    return rows.join(dead, rows.doc_id == dead._id, "left").join(dropped, (rows.doc_id == dropped._copy) & same, "left")
 
 
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:

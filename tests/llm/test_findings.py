@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clickspark.llm import bpe, jaccard_join, packing, token_counts, toxicity
+from clickspark.llm import bpe, jaccard_join, packing, substring_dedup, token_counts, toxicity
 
 
 # --- tokens
@@ -94,3 +94,15 @@ def test_texts_of_one_id_are_compared_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = sorted((r["doc_id"], r["class_id"], r["n_copies"], r["n_links"], r["n_text_links"]) for r in jaccard_join.near_duplicates(docs).collect())
     assert found == [(3, 3, 1, 1, 1), (3, 3, 2, 2, 1), (4, 3, 1, 1, 1), (5, 3, 1, 2, 1), (6, 3, 2, 2, 1), (6, 6, 1, 1, 1), (7, 6, 1, 1, 1)]
+
+
+# --- substring deduplication
+
+
+def test_only_the_copied_text_of_an_id_goes(spark):
+    own = _many("u", 70)
+    rows = [(1, _many("a", 70)), (2, _many("a", 70)), (2, own), (3, "head " + own), (4, _many("a", 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(docs).collect())
+    assert found == [(1, 0, _many("a", 70)), (2, 0, own), (2, 70, ""), (3, 70, "head"), (4, 70, "")]
+    assert sorted(r["text"] for r in substring_dedup.without_repeats(docs).collect()) == sorted(["", "", _many("a", 70), own, "head"])
