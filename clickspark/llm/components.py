@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Parts into which the rows of a key are dealt before they are added up and told the result.
+SALTS = 64
+
+
+def with_totals(rows: DataFrame, key: str, other: str, totals: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """Adds to each row the totals of all rows of its key; a total is (aggregate of rows, aggregate of such aggregates).
+
+    The rows of a key are dealt into `SALTS` parts by column `other`. Parts are added up first, and each part then gets the
+    total once, so that the joins meet no more than a part of a frequent key's rows in one task."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    parts = salted.groupBy(key, "_salt").agg(*(part.alias(name) for name, (part, _) in totals.items()))
+    whole = parts.groupBy(key).agg(*(add(F.col(name)).alias(name) for name, (_, add) in totals.items()))
+    return salted.join(parts.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: every node of an edge (a, b) with the smallest node of its component; a root stands for itself too.
 
     Each step joins nodes to the smallest of their neighbours, found by a combined aggregate, so no neighbour list is built.
     Loops and repeated edges are allowed; edges with a null end are ignored."""
+    least = {"m": (F.min("b"), F.min)}
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a")
+        both = with_totals(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", least)
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = with_totals(large, "a", "b", least)
         now = cut(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         before, mark = mark, _mark(now)
         if before == mark:

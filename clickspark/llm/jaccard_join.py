@@ -1,7 +1,9 @@
 """Similarity self-join on word shingles: MinHash buckets, Bayesian pruning of candidates, exact verification.
 
 1. Equal texts are one class from the start; the smallest doc_id stands for them and carries their number.
-2. Each text gets MinHash values; a bucket is a band of equal values. Buckets with the same members are one bucket.
+2. Each text gets MinHash values; a bucket is a band of equal values. Buckets of one text are dropped at once. Of buckets with
+   the same members one is kept; members are the same if their number, the smallest, the largest, and two independent 64-bit
+   hashes of all of them are.
 3. Inside a bucket, MinHash values are compared a step at a time. With a uniform prior the similarity is Beta(m + 1, n - m + 1)
    after m of n values agreed; a pair is dropped once the posterior probability of reaching the threshold is under
    `TOLERANCE`. Pairs that last join clusters, of which only one edge a member leaves the task.
@@ -10,9 +12,11 @@
 
 With 32 bands of 4 values a pair at the threshold of 0.8 shares no bucket with probability 5e-8, and less if it is closer.
 
-A large bucket or cluster is dealt into blocks of bounded size, so no task holds more than two. Members that are likely similar
-to the bucket's pivot are one cluster already; members within half the allowed distance of a cluster's root are all linked to
-each other, because Jaccard distance is a metric. Such core members are counted, not compared: only the others meet all blocks.
+Memberships travel as ids; MinHash values (256 bytes a text) and shingle sets are fetched by id where they are compared. A large
+bucket or cluster is dealt into blocks of bounded size, in texts and in shingles, so no task holds more than two. Members that
+are likely similar to the bucket's pivot are one cluster already; members within half the allowed distance of a cluster's root
+are all linked to each other, because Jaccard distance is a metric. Such core members are counted, not compared: only the
+others meet all blocks. Joins that meet all rows of one bucket or text have plain shuffles on both sides, which AQE may split.
 
 Edge cases: null text counts as empty; texts without a word are linked to equal texts alone; texts of one to four words have
 one shingle, all their words; rows that share a doc_id are separate documents of one id, and different texts of one id are
@@ -31,15 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, row_of, signed, steps, text_bytes, window_hashes, word_hashes, word_spans
-from .components import components
+from .components import components, with_totals
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_VALUES, STEP, TOLERANCE = 32, 4, 16, 1e-6
 VALUES = BANDS * BAND_VALUES
 
-#: Documents in a block that compares MinHash values, and in one that compares shingle sets.
-BUCKET_BLOCK, CLUSTER_BLOCK = 4096, 512
+#: Texts in a block that compares MinHash values, texts and shingles in one that compares shingle sets.
+BUCKET_BLOCK, CLUSTER_BLOCK, BLOCK_SHINGLES = 4096, 512, 2_000_000
 
+#: Of each smallest hash 16 bits are kept; two texts agree in them by chance once in 65,536 times.
+_VALUE = np.uint16
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -64,20 +70,26 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         hashes, first = shingles(batch.column("text"))
-        full = np.flatnonzero(np.diff(first))
-        values = np.empty((len(full), VALUES), np.uint32)
+        size = np.diff(first)
+        full = np.flatnonzero(size)
+        values = np.empty((len(full), VALUES), _VALUE)
         if len(full):
             for k, seed in enumerate(_SEEDS):
-                values[:, k] = np.minimum.reduceat(hashes * seed, first[full]) >> np.uint64(32)
+                values[:, k] = mix(np.minimum.reduceat(hashes * seed, first[full])) >> np.uint64(48)
         raw = [None] * batch.num_rows
         for i, v in zip(full.tolist(), values):
             raw[i] = v.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(raw, pa.binary())], ["doc_id", "key", "values"])
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array(raw, pa.binary()), pa.array(size)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "values", "size"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), _VALUE).reshape(-1, VALUES)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint32).reshape(-1, BANDS, BAND_VALUES).astype(np.uint64)
+        values = _matrix(batch.column("values")).reshape(-1, BANDS, BAND_VALUES).astype(np.uint64)
         keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), values.shape[:2])
         for k in range(BAND_VALUES):
             keys = mix(keys * np.uint64(0x100000001B3) + values[:, :, k])
@@ -136,7 +148,7 @@ def _edges(ids: np.ndarray, clusters: Clusters) -> pa.Table:
 
 def _prune(key: tuple, block: pa.Table) -> pa.Table:
     ids, side = block.column("rep").to_numpy(), block.column("side").to_numpy()
-    values = np.frombuffer(b"".join(block.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
+    values = _matrix(block.column("values"))
     clusters, crossing = Clusters(len(ids)), key[1].as_py() != key[2].as_py()
     for i in range(len(ids)):
         apart = clusters.label != clusters.label[i]
@@ -148,63 +160,76 @@ def _prune(key: tuple, block: pa.Table) -> pa.Table:
     return _edges(ids, clusters)
 
 
-def _blocks(members: DataFrame, group: str, size: int) -> DataFrame:
-    """Members of groups over `size` dealt into blocks of about that size. Blocks of members outside the core meet each other and
-    all core blocks; core blocks do not meet, since what holds among them is known."""
-    rest = members.groupBy(group).agg(F.sum(F.when(F.col("core"), 0).otherwise(1)).alias("_nr"))
-    told = members.join(rest, group)
-    outer, inner = F.ceil(F.col("_nr") / size), F.ceil((F.col("n") - F.col("_nr")) / size)
-    told = told.withColumn("_r", outer).withColumn("_c", inner).where("_r > 0")
-    own = F.when(F.col("core"), F.col("_r") + F.pmod(F.xxhash64("rep", group), F.greatest("_c", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep", group), F.col("_r")))
+def _blocks(members: DataFrame, group: str, most: dict[str, int]) -> DataFrame:
+    """Members (rep, group, core and the columns of `most`) of large groups dealt into blocks that hold about so much of each
+    column. Blocks of members outside the core meet each other and all core blocks; core blocks do not meet, since what holds
+    among them is known."""
+    totals = {f"_{c}{k}": (F.sum(F.when(F.col("core") == k, F.col(c)).otherwise(0)), F.sum) for c in most for k in (True, False)}
+    told = with_totals(members, group, "rep", totals)
+    blocks = lambda k: F.greatest(*(F.ceil(F.col(f"_{c}{k}") / limit) for c, limit in most.items()), F.lit(0).cast("long"))
+    told = told.withColumn("_r", blocks(False)).withColumn("_c", blocks(True)).where("_r > 0")
+    place = lambda n: F.pmod(F.xxhash64("rep", group), F.greatest(n, F.lit(1)))
+    own = F.when(F.col("core"), F.col("_r") + place(F.col("_c"))).otherwise(place(F.col("_r")))
     upto = F.when(F.col("core"), F.col("_r")).otherwise(F.col("_r") + F.col("_c"))
     told = told.withColumn("_own", own).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)))
-    pair = {"i": F.least("_o", "_own"), "j": F.greatest("_o", "_own")}
-    return told.withColumns(pair).withColumn("side", F.when(F.col("_own") == F.col("i"), 0).otherwise(1)).drop("_nr", "_r", "_c", "_own", "_o", "n", "core")
+    side = F.when(F.col("_own") == F.least("_o", "_own"), 0).otherwise(1)
+    return told.select("rep", group, F.least("_o", "_own").alias("i"), F.greatest("_o", "_own").alias("j"), side.alias("side"))
 
 
-def _alone(members: DataFrame) -> DataFrame:
+def _alone(members: DataFrame, group: str) -> DataFrame:
     """Members of groups that fit in one block."""
     zero = F.lit(0).cast("long")
-    return members.drop("n").withColumns({"i": zero, "j": zero, "side": F.lit(0)})
+    return members.select("rep", group, zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"))
 
 
-def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds core: whether a bucket's member is likely similar to the bucket's pivot."""
+def _with_head(members: DataFrame, group: str, head: str, blocks: Column, known: DataFrame, value: str) -> DataFrame:
+    """Members with `value` of their own and head_<value> of the group's head, from `known` (rep and value). The head is sent
+    once to each of a group's `blocks` parts."""
+    part = members.withColumn("_blocks", blocks.cast("long")).withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
+    heads = members.where(F.col("rep") == F.col(head)).select(group, "rep", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("_part"))
+    heads = heads.join(known.select("rep", F.col(value).alias(f"head_{value}")), "rep").drop("rep")
+    return part.join(known, "rep").join(heads, [group, "_part"]).drop("_blocks", "_part")
+
+
+def _core(batches: Iterator[pa.RecordBatch], column: str, told) -> Iterator[pa.RecordBatch]:
+    """Replaces a column and the head's by core, what `told` says of the two."""
     for batch in batches:
-        values, pivots = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, VALUES) for c in ("values", "pivot_values"))
-        core = np.ones(batch.num_rows, bool)
-        for upto, least in _LEAST:
-            core &= (values[:, :upto] == pivots[:, :upto]).sum(1) >= least
-        kept = batch.drop_columns(["pivot_values"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(core)], [*kept.schema.names, "core"])
+        core = told(batch.column(column), batch.column(f"head_{column}"))
+        kept = batch.drop_columns([column, f"head_{column}"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(core, pa.bool_())], [*kept.schema.names, "core"])
 
 
-def _near_root(threshold: float):
-    """Adds core: whether a cluster's member is within half the allowed distance of the root. Jaccard distance is a metric, so
-    any two such members are at or over the threshold."""
-    half = (1.0 + threshold) / 2.0
+def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Core are members likely similar to the bucket's pivot."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            core = []
-            for raw, root in zip(batch.column("set").to_pylist(), batch.column("root_set").to_pylist()):
-                a, b = np.frombuffer(raw, np.uint64), np.frombuffer(root, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                core.append(both >= half * (len(a) + len(b) - both))
-            kept = batch.drop_columns(["root_set"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(core, pa.bool_())], [*kept.schema.names, "core"])
+    def told(own: pa.Array, head: pa.Array) -> np.ndarray:
+        equal = np.cumsum(_matrix(own) == _matrix(head), 1)
+        return np.all([equal[:, upto - 1] >= least for upto, least in _LEAST], 0)
 
-    return run
+    return _core(batches, "values", told)
+
+
+def _near_root(threshold: float):
+    """Core are members within half the allowed distance of the cluster's root. Jaccard distance is a metric, so any two such
+    members are at or over the threshold."""
+    half = (1.0 + threshold) / 2.0
 
+    def told(own: pa.Array, head: pa.Array) -> list[bool]:
+        core = []
+        for raw, root in zip(own.to_pylist(), head.to_pylist()):
+            a, b = np.frombuffer(raw, np.uint64), np.frombuffer(root, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            core.append(both >= half * (len(a) + len(b) - both))
+        return core
 
-_MEMBER = ["rep", "root", "n", "copies"]
+    return lambda batches: _core(batches, "set", told)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         hashes, first = shingles(batch.column("text"))
         raw = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _MEMBER), pa.array(raw, pa.binary())], [*_MEMBER, "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(raw, pa.binary())], ["rep", "set"])
 
 
 _LINKS = "rep long, root long, n_links long, n_text_links long"
@@ -250,7 +275,7 @@ def _own_nodes(classes: DataFrame) -> tuple[DataFrame, bool]:
     if shared.isEmpty():
         return classes.withColumn("id", F.col("rep")), False
     node = F.when(F.col("key") != F.col("_first"), F.xxhash64("key", "rep")).otherwise(F.col("rep"))
-    return cut(classes.join(shared, "rep", "left").select("key", node.alias("rep"), F.col("rep").alias("id"), "copies", "values")), True
+    return cut(classes.join(shared, "rep", "left").select("key", node.alias("rep"), F.col("rep").alias("id"), "copies", "values", "size")), True
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -258,54 +283,72 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     connected component; n_links counts other documents at or over the threshold, equal texts included; n_text_links counts
     different texts."""
     ends, _ = _classes(docs, threshold)
-    out = docs.select("doc_id", _key().alias("key")).join(ends, "key")
+    out = docs.select("doc_id", _key().alias("key")).join(cut(ends.select("key", "class_id", "copies", "links", "texts")), "key")
     return out.select(
         "doc_id", "class_id", F.col("copies").alias("n_copies"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"),
     )
 
 
+def _buckets(compared: DataFrame) -> DataFrame:
+    """bucket, rep, n and pivot: the members of each bucket of two or more, of buckets with the same members one alone."""
+    banded = compared.select("rep", "values").mapInArrow(_bands, "bucket long, rep long")
+    repeated = cut(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(banded.join(repeated.hint("merge"), "bucket"))
+    who = [F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")]
+    same = members.groupBy("bucket", "n").agg(*who).groupBy("n", "pivot", "last", "x", "y").agg(F.min("bucket").alias("bucket"))
+    kept = cut(same.select("bucket", "pivot"))
+    return members.join(kept.hint("merge"), "bucket").select("bucket", "rep", "n", "pivot")
+
+
+def _likely_edges(compared: DataFrame) -> DataFrame:
+    """a, b: edges that join all pairs of a bucket which survive pruning."""
+    values, buckets = compared.select("rep", "values"), cut(_buckets(compared))
+    met, near = _alone(buckets.where(F.col("n") <= BUCKET_BLOCK), "bucket"), None
+    large = buckets.where(F.col("n") > BUCKET_BLOCK)
+    if not large.isEmpty():  # else the plan needs no branch for them
+        told = _with_head(large, "bucket", "pivot", F.ceil(F.col("n") / BUCKET_BLOCK), values, "values").select("bucket", "rep", "pivot", "values", "head_values")
+        large = cut(told.mapInArrow(_near_pivot, "bucket long, rep long, pivot long, core boolean"))
+        met = met.unionByName(_blocks(large.withColumn("one", F.lit(1)), "bucket", {"one": BUCKET_BLOCK}))
+        near = large.where("core and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    likely = met.join(values.hint("merge"), "rep").groupBy("bucket", "i", "j").applyInArrow(_prune, _EDGES)
+    return likely if near is None else likely.unionByName(near)
+
+
+def _checked(docs: DataFrame, compared: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+    """rep, root, n_links, n_text_links: links that hold, by the block in which they were found."""
+    sized = clusters.join(compared.select(F.col("rep").alias("node"), "id", "key", "copies", "size").hint("merge"), "node").withColumnRenamed("node", "rep")
+    blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("w") / BLOCK_SHINGLES))
+    inside = cut(with_totals(sized, "root", "rep", {"n": (F.count("*"), F.sum), "w": (F.sum("size"), F.sum)}).withColumn("blocks", blocks))
+    texts = docs.select("doc_id", "text", _key().alias("_key"))
+    texts = texts.join(inside.select("rep", "id", "key").hint("merge"), (texts.doc_id == F.col("id")) & (texts._key == F.col("key"))).select("rep", "text")
+    sets = texts.mapInArrow(_sets, "rep long, set binary").dropDuplicates(["rep"])
+    met, large = _alone(inside.where("blocks <= 1"), "root"), inside.where("blocks > 1").select("rep", "root", "size", "copies", "blocks")
+    known = None
+    if not large.isEmpty():
+        sets = cut(sets)
+        told = _with_head(large, "root", "root", F.col("blocks"), sets, "set").select("rep", "root", "size", "copies", "set", "head_set")
+        large = cut(told.mapInArrow(_near_root(threshold), "rep long, root long, size long, copies long, core boolean"))
+        met = met.unionByName(_blocks(large.withColumn("one", F.lit(1)), "root", {"one": CLUSTER_BLOCK, "size": BLOCK_SHINGLES}))
+        core = with_totals(large.where("core"), "root", "rep", {"all_copies": (F.sum("copies"), F.sum), "all_texts": (F.count("*"), F.sum)})
+        known = core.select("rep", "root", (F.col("all_copies") - F.col("copies")).alias("n_links"), (F.col("all_texts") - 1).alias("n_text_links"))
+    met = met.join(inside.select("rep", "copies").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    found = met.groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS)
+    return cut(found if known is None else found.unionByName(known))
+
+
 def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """key, copies, class_id, links and texts of each different text, and key and id of the text that stands for each class; the
     id is null where only rows without one have the text."""
     if threshold < THRESHOLD:
         raise ValueError(f"the bands are laid out for thresholds of {THRESHOLD} or more")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
-    signed_rows = keyed.mapInArrow(_signatures, "doc_id long, key string, values binary")
-    classes = cut(signed_rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("values").alias("values")))
-    classes, hashed = _own_nodes(classes)
-    compared = classes.where("rep is not null and values is not null")
-
-    banded = compared.select("rep", "values").mapInArrow(_bands, "bucket long, rep long")
-    who = F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), who.alias("who")).where("n > 1")
-    kept = cut(buckets.groupBy("n", "who").agg(F.min_by("pivot", "bucket").alias("pivot"), F.min("bucket").alias("bucket")).drop("who"))
-    members = banded.join(kept, "bucket").join(compared.select("rep", "values"), "rep").select("bucket", "rep", "n", "pivot", "values")
-    met, near = _alone(members.where(F.col("n") <= BUCKET_BLOCK)).drop("pivot"), None
-    if not kept.where(F.col("n") > BUCKET_BLOCK).isEmpty():  # else the plan needs no branch for them
-        large = members.where(F.col("n") > BUCKET_BLOCK).join(compared.select(F.col("rep").alias("pivot"), F.col("values").alias("pivot_values")), "pivot")
-        large = large.select("bucket", "rep", "n", "pivot", "values", "pivot_values").mapInArrow(_near_pivot, "bucket long, rep long, n long, pivot long, values binary, core boolean")
-        met = met.unionByName(_blocks(large, "bucket", BUCKET_BLOCK).drop("pivot"))
-        near = large.where("core and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-    likely = met.groupBy("bucket", "i", "j").applyInArrow(_prune, _EDGES)
-    likely = likely if near is None else likely.unionByName(near)
-    clusters = cut(components(likely))
-
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    inside = clusters.join(sizes, "root").join(compared.select(F.col("rep").alias("node"), "id", "key", "copies"), "node").select(F.col("node").alias("rep"), "root", "n", "copies", "id", "key")
-    texts = docs.select("doc_id", "text", _key().alias("_key"))
-    texts = texts.join(inside, (texts.doc_id == inside.id) & (texts._key == inside.key)).select(*_MEMBER, "text")
-    told = texts.mapInArrow(_sets, "rep long, root long, n long, copies long, set binary").dropDuplicates(["rep"])
-    met, known = _alone(told.where(F.col("n") <= CLUSTER_BLOCK)), None
-    if not sizes.where(F.col("n") > CLUSTER_BLOCK).isEmpty():
-        large = told.where(F.col("n") > CLUSTER_BLOCK).join(told.select(F.col("rep").alias("root"), F.col("set").alias("root_set")), "root")
-        large = cut(large.select("rep", "root", "n", "copies", "set", "root_set").mapInArrow(_near_root(threshold), "rep long, root long, n long, copies long, set binary, core boolean"))
-        met = met.unionByName(_blocks(large, "root", CLUSTER_BLOCK))
-        core = large.where("core").select("rep", "root", "copies")
-        held = core.groupBy("root").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("all_texts"))
-        known = core.join(held, "root").select("rep", "root", (F.col("all_copies") - F.col("copies")).alias("n_links"), (F.col("all_texts") - 1).alias("n_text_links"))
-    checked = met.groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS)
-    checked = cut(checked if known is None else checked.unionByName(known))
+    signed_rows = keyed.mapInArrow(_signatures, "doc_id long, key string, values binary, size long")
+    told = [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("values").alias("values"), F.max("size").alias("size")]
+    classes, hashed = _own_nodes(cut(signed_rows.groupBy("key").agg(*told)))
+    compared = classes.where("rep is not null and size > 0")
+    clusters = cut(components(_likely_edges(compared)))
+    checked = _checked(docs, compared, clusters, threshold)
 
     joined = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = checked.groupBy("rep").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("texts"))
@@ -320,9 +363,13 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all columns: of the smallest doc_id, and of its texts the one that stands for the class.
-    Texts that only rows without an id have are classes of their own."""
+    Texts that only rows without an id have are classes of their own. Of rows that share both id and text one stays."""
     _, heads = _classes(docs, threshold)
-    heads = heads.withColumnsRenamed({"key": "_head_key", "id": "_head_id"})
-    told = docs.withColumn("_head_key_of", _key())
-    kept = told.join(heads, (told._head_key_of == heads._head_key) & told.doc_id.eqNullSafe(heads._head_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_head_key_of"]).drop("_head_key_of")
+    row = F.concat_ws(":", _key(), F.col("doc_id").cast("string")).alias("_row")
+    repeated = docs.groupBy(row).agg(F.count("*").alias("_n")).where("_n > 1")
+    heads = cut(heads.select(F.concat_ws(":", "key", F.col("id").cast("string")).alias("_row")).join(repeated, "_row", "left"))
+    kept = docs.withColumn("_row", row).join(heads.hint("merge"), "_row")
+    once = kept.where("_n is null").select(*docs.columns)
+    if heads.where("_n > 1").isEmpty():
+        return once
+    return once.unionByName(kept.where("_n > 1").dropDuplicates(["_row"]).select(*docs.columns))

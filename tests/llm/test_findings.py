@@ -106,3 +106,28 @@ def test_only_the_copied_text_of_an_id_goes(spark):
     found = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(docs).collect())
     assert found == [(1, 0, _many("a", 70)), (2, 0, own), (2, 70, ""), (3, 70, "head"), (4, 70, "")]
     assert sorted(r["text"] for r in substring_dedup.without_repeats(docs).collect()) == sorted(["", "", _many("a", 70), own, "head"])
+
+
+def test_buckets_of_other_members_are_not_taken_for_one(spark):
+    """Ids of which sums of forty-bit hashes once met."""
+    ids = (5472370, 5472371, 5938754, 5938755)
+    docs = spark.createDataFrame([(i, _many("ab"[k // 2], 80) + " tail" * (k % 2)) for k, i in enumerate(ids)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == {ids[0]: (ids[0], 1), ids[1]: (ids[0], 1), ids[2]: (ids[2], 1), ids[3]: (ids[2], 1)}
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
+    rows = [(i, _many("s", 100) + (f" t{i}" if i % 3 else f" u{i} " + _many("v", 9))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r["class_id"], r["n_links"], r["n_text_links"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == {(0, 23, 23)}
+
+
+def test_rows_without_an_id_and_repeated_ids_keep_one_row_for_each_class(spark):
+    """Each different text keeps one row, whatever its ids; of near copies the smallest id stays."""
+    texts = [_many(c) for c in "pqrstu"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (9, texts[3]), (4, texts[4]), (8, texts[4] + " x"), (None, texts[4]), (None, texts[5]), (2, texts[5])]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in kept if r["doc_id"] is not None) == sorted([(texts[2], 9), (texts[3], 9), (texts[4], 4), (texts[5], 2)])
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == sorted(texts[:2])
