@@ -1,206 +1,361 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff automaton of up to three words.
 
-States are histories: the start, and every word seen as a history in training. A state's arcs are the bigrams seen after it,
-each with its smoothed log-probability; its failure arc leads to the empty history with the log of the mass left over, and the
-empty history has an arc for each word and one for all unseen words. Smoothing is by a Dirichlet prior: with c(u v), c(u) and
-the unigram P(v), P(v | u) = (c(u v) + strength * P(v)) / (c(u) + strength), and the failure weight is strength / (c(u) +
-strength), so each state's probabilities add up to one. A document is read once from left to right: its state is carried from
-word to word, and the log-probability of each arc, or of the failure arc and the arc below it, is added up.
+States are histories: the empty one, every word seen in training (and the start of a text), and every pair of words from which
+a kept trigram leaves. A state's arcs are the n-grams kept after it, with their log-probabilities; where no arc fits, the
+failure arc leads to the history without its first word and adds the log of the weight left over. The empty history has an arc
+for each word and one for all unseen words. Bigrams are kept from one occurrence on, trigrams from `LEAST_TRIGRAM` on. With
+c(h) the occurrences of a history, K(h) its kept arcs and T(h) the sum of their counts, the discount D of an order gives
 
-The automaton grows with the corpus and is never in one place. Documents are dealt into blocks; a block sends each distinct
-n-gram once, with its training count, to the shard that owns the n-gram's hash; shards add up the counts and send each block
-the totals for just the n-grams it asked for; with these arcs the block's documents are traversed. What a shard or a block
-holds is bounded by `BLOCK_BYTES` and `SHARD_GRAMS`, whatever the size of the corpus or the frequency of a word.
+    weight(h) = (c(h) - T(h) + D K(h)) / c(h)        P(w | h) = (c(h w) - D) / c(h) + weight(h) P(w | h without first word)
+
+so each state's probabilities add up to one. D takes from the smallest kept count r what its Good-Turing estimate loses,
+r - (r + 1) n(r + 1) / n(r), from the training texts' own counts of counts. A text is read once from left to right: the state is
+carried from word to word, and what arcs and failure arcs weigh is added up. All texts of a block walk together.
+
+The automaton grows with the corpus and is never in one place. Documents are dealt into blocks. In three rounds, of words,
+bigrams and trigrams, a block sends each of its distinct n-grams once, with its training count, to the shard that owns the
+n-gram's history; shards add up and send each block what it asked for, totals of n-grams and of histories. A trigram is asked for
+only if both its bigrams are frequent enough for it. With what it was told a block builds the automaton that its texts need. A
+history that is too frequent for one shard is dealt into parts by its continuations; a block asks all parts for their totals.
+What a shard or block holds is bounded by `BLOCK_BYTES` and `SHARD_BYTES`, whatever the size of the corpus or the frequency of a
+word, and what is exchanged grows in proportion to the corpus.
 
 Edge cases: null text counts as empty, whose only token is the end; an empty table gives no rows; rows that repeat are
-counted and scored each; a null doc_id is a training row; with no training row at all every word is unseen; other input
-columns are ignored. Words are compared by 64-bit hashes of their bytes, A-Z in lower case.
+counted and scored each (rows equal in both doc_id and text meet in one block); a null doc_id is a training row; with no training
+row at all every word is unseen; other input columns are ignored. Words are compared by 64-bit hashes of their bytes, A-Z in
+lower case, histories by 64-bit hashes, and continuations of one history by 32 bits more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, steps, text_bytes, word_hashes, word_spans
+from .common import cut, held_out, mix, steps, text_bytes, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
-STRENGTH = 1500.0
-BLOCK_BYTES, SHARD_GRAMS = 6 << 20, 1_000_000
-
-_END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
-_ASKED = "shard long, block long, words binary, grams binary, counts binary"
-_TOLD = "shard long, block long, known long, total long, counts binary"
+ORDERS, LEAST_BIGRAM, LEAST_TRIGRAM = 3, 1, 2
 
+#: Text in a block; text whose n-grams of each order one shard owns; occurrences of a history in one part of its continuations.
+BLOCK_BYTES, SHARD_BYTES, PART_TOKENS = 6 << 20, (32 << 20, 8 << 20, 16 << 20), 100_000
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text's end among them; those of the token before; each text's first token (one more)."""
-    data, at = text_bytes(texts)
-    starts, ends, first = word_spans(data, at)
-    n = np.diff(first) + 1
-    begin = np.concatenate([[0], np.cumsum(n)])
-    words = np.empty(begin[-1], np.uint64)
-    is_end = np.zeros(begin[-1], bool)
-    is_end[begin[1:] - 1] = True
-    words[is_end] = _END
-    words[~is_end] = word_hashes(data, starts, ends, lower=True)
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[begin[:-1]] = _START
-    return words, before, begin
+#: Tokens that one lane of a traversal reads; the next lane of the text starts in the state that the tokens before lead to.
+LANE = 2048
 
-
-def _bigrams(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return mix(words + before * np.uint64(0xC2B2AE3D27D4EB4F))
+_END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
+_ODD = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
 
-def _parts(block: pa.Table) -> Iterator[pa.RecordBatch]:
-    return steps(iter(block.select(["text", "train", "doc_id"]).combine_chunks().to_batches()))
+# --- packing
 
 
-def _block_grams(block: pa.Table) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The block's distinct words and distinct bigrams, sorted, each with its count in training rows. The start counts once a
-    text, as a word that is never asked for as a token."""
-    words, grams = [], []
-    for part in _parts(block):
-        w, before, begin = _tokens(part.column("text"))
-        train = np.repeat(part.column("train").to_numpy(zero_copy_only=False), np.diff(begin))
-        for into, x in ((words, w), (grams, _bigrams(w, before))):
-            seen, inverse = np.unique(x, return_inverse=True)
-            into.append((seen, np.bincount(inverse, weights=train, minlength=len(seen)).astype(np.int64)))
-        words.append((np.array([_START]), np.array([np.count_nonzero(part.column("train").to_numpy(zero_copy_only=False))])))
-    return _added(words), _added(grams)
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, as many as the largest needs, compressed."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    width = max((k + 1 for k in range(8) if raw[k].any()), default=1)
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(raw[:width].tobytes(), "zstd", asbytes=True)
 
 
-def _added(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in lists])
-    counts = np.concatenate([c for _, c in lists])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+def _unpacked(raw: bytes) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    wide = np.zeros((8, n), np.uint8)
+    wide[:width] = np.frombuffer(pa.decompress(raw[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n) if n else 0
+    return np.ascontiguousarray(wide.T).view("<i8").ravel()
 
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard begins among sorted hashes: shards own equal ranges."""
-    step = (1 << 64) // shards + 1
-    return np.searchsorted(keys, np.array([min(i * step, (1 << 64) - 1) for i in range(shards)], np.uint64))
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Sorted hashes as gaps."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the fewest whole bytes that hold the largest, after a byte that says how many."""
-    most = int(counts.max()) if len(counts) else 0
-    kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8"
-    return kind[-1].encode() + counts.astype(kind).tobytes()
+def _spread(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw).view(np.uint64), dtype=np.uint64)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch that go to one block as one compressed value."""
+    for batch in steps(batches, most=16 << 20):
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        sorted_rows, cuts = batch.select(["doc_id", "text", "train"]).take(pa.array(order)), np.flatnonzero(np.diff(block[order])) + 1
+        parts = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, sorted_rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(sorted_rows.slice(a, b - a))
+            parts.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block[order[[0, *cuts.tolist()]]]), pa.array(parts, pa.binary())], ["block", "texts"])
+
+
+# --- a block
+
+
+class Block:
+    """The texts of a block as numbers of its distinct words, its distinct bigrams, and what it was told of both."""
+
+    def __init__(self, texts: list[bytes], told: pa.Table | None = None, rounds: int = 0):
+        """`told` holds the answers of the first `rounds` rounds."""
+        rows = [b for raw in texts for b in pa.ipc.open_stream(raw)]
+        self.doc_id = pa.chunked_array([b.column("doc_id") for b in rows], pa.int64())
+        hashes, sizes, train = [], [], []
+        for part in steps(iter(rows)):
+            data, at = text_bytes(part.column("text"))
+            starts, ends, first = word_spans(data, at)
+            n = np.diff(first) + 1
+            end = np.zeros(int(n.sum()), bool)
+            end[np.cumsum(n) - 1] = True
+            words = np.empty(len(end), np.uint64)
+            words[end], words[~end] = _END, word_hashes(data, starts, ends, lower=True)
+            hashes.append(words), sizes.append(n), train.append(part.column("train").to_numpy(zero_copy_only=False))
+        sizes, train = np.concatenate(sizes), np.concatenate(train)
+        self.begin, self.texts_train = np.concatenate([[0], np.cumsum(sizes)]), int(train.sum())
+        self.words, tokens = np.unique(np.concatenate([*hashes, [_START]]), return_inverse=True)
+        self.tokens, self.start, self.train = tokens[:-1], int(tokens[-1]), np.repeat(train, sizes)
+        before = np.roll(self.tokens, 1)
+        before[self.begin[:-1]] = self.start
+        self.n = len(self.words)
+        self.pairs, self.pair_of = np.unique(before * self.n + self.tokens, return_inverse=True)
+        answers = sorted(told.to_pylist(), key=lambda r: r["shard"]) if rounds else []
+        self.told = [{c: np.concatenate([np.zeros(0, np.int64), *(_unpacked(r[c]) for r in answers if r["round"] == k)]) for c in ("counts", "kept", "sums")} for k in range(rounds)]
+        if rounds > 0:
+            self.count = self.told[0]["counts"]
+        if rounds > 1:
+            self.pair_count, self.kept, _ = self._answer(1)
+
+    def word_counts(self) -> np.ndarray:
+        out = np.bincount(self.tokens, weights=self.train, minlength=self.n).astype(np.int64)
+        out[self.start] = self.texts_train
+        return out
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (bigram, word) of which both bigrams are frequent enough for a kept trigram, and their training counts."""
+        if not hasattr(self, "_trigrams"):
+            inner = np.ones(len(self.tokens), bool)
+            inner[self.begin[:-1]] = False
+            at = np.flatnonzero(inner)
+            history = self.pair_of[at - 1]
+            likely = (self.pair_count[history] >= LEAST_TRIGRAM) & (self.pair_count[self.pair_of[at]] >= LEAST_TRIGRAM)
+            at, history = at[likely], history[likely]
+            keys, back = np.unique(history * self.n + self.tokens[at], return_inverse=True)
+            self._trigrams = keys, np.bincount(back, weights=self.train[at], minlength=len(keys)).astype(np.int64)
+        return self._trigrams
+
+    def asked(self, order: int) -> tuple[np.ndarray, ...]:
+        """For bigrams (1) or trigrams (2): distinct sorted places, how many n-grams each has, which history it belongs to; and for
+        the n-grams in order of place their number, the bits that tell continuations apart, and their training counts."""
+        if order == 1:
+            history, word = np.divmod(self.pairs, self.n)
+            counts = np.bincount(self.pair_of, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
+            name, total = self.words, self.count
+            own = np.flatnonzero((total[history] > 0) & (total[word] > 0))
+        else:
+            keys, counts = self.trigrams()
+            history, word = np.divmod(keys, self.n)
+            first, second = np.divmod(self.pairs, self.n)
+            name, total = mix(self.words[second] + self.words[first] * _ODD[0]), self.pair_count
+            own = np.arange(len(keys))
+        history, word, counts = history[own], word[own], counts[own]
+        parts = np.maximum(1, -(-total // PART_TOKENS))
+        found = mix(self.words[word] + name[history] * _ODD[1])
+        part = (found & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts[history]
+        bits = (found >> np.uint64(32)).astype(np.uint32)
+        asking = np.unique(history)
+        every = np.repeat(asking, parts[asking])  # all parts of a history are asked, whatever continuations the block has
+        inner = np.arange(len(every)) - np.repeat(np.cumsum(parts[asking]) - parts[asking], parts[asking])
+        place = lambda h, p: mix(name[h] + (p.astype(np.uint64) + np.uint64(1)) * _ODD[2])
+        places, where = np.unique(place(every, inner), return_index=True)
+        at = np.searchsorted(places, place(history, part))
+        in_order = np.lexsort((bits, at))
+        return places, np.bincount(at, minlength=len(places)), every[where], own[in_order], bits[in_order], counts[in_order]
+
+    def _answer(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of all bigrams or trigrams; for all histories their kept arcs, and the sum of these arcs' counts."""
+        _, _, history, own, _, _ = self.asked(order)
+        total = np.zeros(len(self.pairs) if order == 1 else len(self.trigrams()[0]), np.int64)
+        total[own] = self.told[order]["counts"]
+        kept, sums = (np.zeros(self.n if order == 1 else len(self.pairs), np.int64) for _ in range(2))
+        np.add.at(kept, history, self.told[order]["kept"])
+        if order == 2:
+            np.add.at(sums, history, self.told[order]["sums"])
+        return total, kept, sums
+
+    def automaton(self, space: float, discounts: tuple[float, float]) -> Automaton:
+        """The states and arcs that the block's texts can reach."""
+        n, c, c2, (d2, d3) = self.n, self.count, self.pair_count, discounts
+        first, second = np.divmod(self.pairs, n)
+        unigram = (c + 0.5) / space
+        weight = np.divide(d2 * self.kept, c, out=np.ones(n), where=c > 0)  # the bigrams kept sum up to c
+        seen = np.flatnonzero(c2 >= LEAST_BIGRAM)
+        bigram = np.zeros(len(self.pairs))
+        bigram[seen] = (c2[seen] - d2) / c[first[seen]] + weight[first[seen]] * unigram[second[seen]]
+        c3, kept, sums = self._answer(2)
+        keys = self.trigrams()[0]
+        deep = np.divide(c2 - sums + d3 * kept, c2, out=np.ones(len(c2)), where=c2 > 0)
+        found = np.flatnonzero(c3 >= LEAST_TRIGRAM)
+        history, word = np.divmod(keys[found], n)
+        shorter = np.searchsorted(self.pairs, second[history] * n + word)
+        trigram = (c3[found] - d3) / c2[history] + deep[history] * bigram[shorter]
+        home = np.where(c > 0, 1 + np.arange(n), 0)  # the state after a word alone, and after a bigram
+        after = np.where(kept > 0, 1 + n + np.arange(len(self.pairs)), home[second])
+        return Automaton(
+            n, np.concatenate([(1 + first[seen]) * n + second[seen], (1 + n) * n + keys[found]]),
+            np.log10(np.concatenate([bigram[seen], trigram])), np.concatenate([after[seen], after[shorter]]),
+            np.concatenate([[0], np.zeros(n, np.int64), home[second]]), np.concatenate([[0.0], np.log10(weight, out=np.zeros(n), where=weight > 0), np.log10(deep, out=np.zeros(len(deep)), where=deep > 0)]),
+            np.log10(unigram), home, after,
+        )
+
+
+class Automaton:
+    """State 0 is the empty history. Arcs are sorted by state times words plus word."""
+
+    def __init__(self, n_words, arcs, weights, targets, failure, failure_weights, empty_weights, empty_targets, after_pair):
+        self.n, self.arcs, self.weights, self.targets = n_words, arcs, weights, targets
+        self.failure, self.failure_weights, self.empty_weights, self.empty_targets, self.after_pair = failure, failure_weights, empty_weights, empty_targets, after_pair
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word, and what the arcs taken weigh: failure arcs until an arc fits."""
+        state, total = state.copy(), np.zeros(len(state))
+        going = np.arange(len(state))
+        while len(going):
+            s, w = state[going], word[going]
+            key = s * self.n + w
+            at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+            fits = (s > 0) & (self.arcs[at] == key) if len(self.arcs) else np.zeros(len(s), bool)
+            hit, empty = going[fits], s == 0
+            total[hit] += self.weights[at[fits]]
+            state[hit] = self.targets[at[fits]]
+            last = going[empty]
+            total[last] += self.empty_weights[word[last]]
+            state[last] = self.empty_targets[word[last]]
+            failing = ~fits & ~empty
+            going = going[failing]
+            total[going] += self.failure_weights[s[failing]]
+            state[going] = self.failure[s[failing]]
+        return state, total
+
+    def read(self, block: Block) -> np.ndarray:
+        """The log-probability of each text."""
+        sizes = np.diff(block.begin)
+        lanes = -(-sizes // LANE)
+        text = np.repeat(np.arange(len(sizes)), lanes)
+        at = block.begin[text] + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        left = np.minimum(block.begin[text + 1] - at, LANE)
+        order = np.argsort(-left, kind="stable")
+        text, at, left = text[order], at[order], left[order]
+        state = np.where(at == block.begin[text], self.empty_targets[block.start], self.after_pair[block.pair_of[at - 1]])
+        score = np.zeros(len(text))
+        for k in range(int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(-left, -k))  # lanes with more than k tokens
+            state[:n], more = self.step(state[:n], block.tokens[at[:n] + k])
+            score[:n] += more
+        return np.bincount(text, weights=score, minlength=len(sizes))
+
+
+# --- rounds
+
+
+def _range_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash: shards own equal ranges."""
+    return ((keys >> np.uint64(32)).astype(np.int64) * shards) >> 32
+
+
+_ASKED = "shard long, block long, places binary, sizes binary, bits binary, counts binary"
+_TOLD = "round int, shard long, block long, counts binary, kept binary, sums binary, n_low long, n_high long, known long, total long"
+
+
+def _rows(block: int, shards: int, places: np.ndarray, sizes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row for each shard that owns one of the places."""
+    shard = _range_of(places, shards)
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(places)] if len(places) else [0]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = {n: [] for n in ("shard", "block", "places", "sizes", "bits", "counts")}
+    for a, b in zip(cuts, cuts[1:]):
+        out["shard"].append(int(shard[a]))
+        out["block"].append(block)
+        out["places"].append(_squeezed(places[a:b]))
+        out["sizes"].append(_packed(sizes[a:b]))
+        out["bits"].append(bits[ends[a] : ends[b]].tobytes())
+        out["counts"].append(_packed(counts[ends[a] : ends[b]]))
+    kinds = [("shard", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("places", "sizes", "bits", "counts"))]
+    return pa.table(out, schema=pa.schema(kinds))
+
+
+def _ask_words(shards: int):
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        block = Block(texts.column("texts").to_pylist())
+        return _rows(key[0].as_py(), shards, block.words, np.ones(block.n, np.int64), np.zeros(block.n, np.uint32), block.word_counts())
 
+    return run
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{chr(raw[0])}", offset=1).astype(np.int64)
 
+def _ask(order: int, shards: int):
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        places, sizes, _, _, bits, counts = Block(texts.column("texts").to_pylist(), told, order).asked(order)
+        return _rows(key[0].as_py(), shards, places, sizes, bits, counts)
 
-def _squeezed(keys: np.ndarray) -> bytes:
-    """Sorted hashes as gaps, in the fewest whole bytes that hold the largest, after a byte that says how many."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    first, rest = gaps[:1], gaps[1:]
-    width = max(1, -(-int(rest.max()).bit_length() // 8)) if len(rest) else 1
-    return bytes([width]) + first.astype("<u8").tobytes() + np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return run
 
 
-def _spread(raw: bytes) -> np.ndarray:
-    if len(raw) == 1:
-        return np.zeros(0, np.uint64)
-    width, first = raw[0], np.frombuffer(raw, "<u8", 1, 1)
-    rest = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(rest), 8), np.uint8)
-    wide[:, :width] = rest
-    return np.cumsum(np.concatenate([first, wide.view("<u8").ravel()]), dtype=np.uint64)
-
-
-def _ask(shards: int):
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        (words, word_counts), (grams, gram_counts) = _block_grams(block)
-        word_cuts, gram_cuts = (np.append(_cuts(k, shards), len(k)) for k in (words, grams))
-        out: dict[str, list] = {n: [] for n in ("shard", "block", "words", "grams", "counts")}
-        for s in range(shards):
-            a, b, c, d = word_cuts[s], word_cuts[s + 1], gram_cuts[s], gram_cuts[s + 1]
-            if a < b or c < d:
-                out["shard"].append(s)
-                out["block"].append(key[0].as_py())
-                out["words"].append(_squeezed(words[a:b]))
-                out["grams"].append(_squeezed(grams[c:d]))
-                out["counts"].append(_packed(np.concatenate([word_counts[a:b], gram_counts[c:d]])))
-        return pa.table(out, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("grams", pa.binary()), ("counts", pa.binary())]))
+def _tell(order: int, least: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Totals over all blocks for what each block asked: of n-grams, and of what is kept at each place. On the way, how many words
+    are known and how often they occur, and how many n-grams occur `least` times and once more."""
+
+    def run(key: tuple, asked: pa.Table) -> pa.Table:
+        rows = list(zip(*(asked.column(n).to_pylist() for n in ("places", "sizes", "bits", "counts"))))
+        lists = [(_spread(p), _unpacked(s), np.frombuffer(b, np.uint32), _unpacked(c)) for p, s, b, c in rows]
+        places, where = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
+        sizes = np.concatenate([x[1] for x in lists])
+        at = np.repeat(where, sizes)
+        grams, back = np.unique((at << 32) | np.concatenate([x[2] for x in lists]).astype(np.int64), return_inverse=True)
+        sums = np.bincount(back, weights=np.concatenate([x[3] for x in lists]), minlength=len(grams)).astype(np.int64)
+        kept = sums >= least
+        place = grams[kept] >> 32
+        n_kept, sum_kept = np.bincount(place, minlength=len(places)), np.bincount(place, weights=sums[kept], minlength=len(places)).astype(np.int64)
+        counted = sums[(places != _START)[grams >> 32] & (sums > 0)]
+        facts = {"n_low": int((sums == least).sum()), "n_high": int((sums == least + 1).sum()), "known": len(counted), "total": int(counted.sum())}
+        ends, tops = np.cumsum([x[1].sum() for x in lists]), np.cumsum([len(x[0]) for x in lists])
+        cut_up = lambda x, e: [_packed(part) for part in np.split(x, e[:-1])]
+        none = [_packed(np.zeros(0, np.int64))] * len(lists)
+        n = len(lists)
+        return pa.table(
+            {
+                "round": pa.array([order] * n, pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int64()), "block": asked.column("block"),
+                "counts": pa.array(cut_up(sums[back], ends), pa.binary()),
+                "kept": pa.array(cut_up(n_kept[where], tops) if order else none, pa.binary()),
+                "sums": pa.array(cut_up(sum_kept[where], tops) if order == 2 else none, pa.binary()),
+                **{k: pa.array([v] + [0] * (n - 1), pa.int64()) for k, v in facts.items()},
+            }
+        )
 
     return run
 
 
-def _tell(key: tuple, asked: pa.Table) -> pa.Table:
-    """Totals over all blocks for what each block asked; on the way, how many words are known and how often they occur."""
-    lists = [(_spread(w), _spread(g), _unpacked(c)) for w, g, c in zip(*(asked.column(n).to_pylist() for n in ("words", "grams", "counts")))]
-    told = []
-    known = total = 0
-    for is_word in (True, False):
-        part = [(w, c[: len(w)]) if is_word else (g, c[len(w) :]) for w, g, c in lists]
-        keys = np.concatenate([g for g, _ in part])
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        sums = np.bincount(group, weights=np.concatenate([c for _, c in part])[order], minlength=0).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-        back = np.empty(len(keys), np.int64)
-        back[order] = sums[group] if len(keys) else 0
-        told.append(np.split(back, np.cumsum([len(g) for g, _ in part])[:-1]))
-        if is_word and len(keys):
-            counted = (keys[order][new] != _START) & (sums > 0)
-            known, total = int(counted.sum()), int(sums[counted].sum())
-    n = len(lists)
-    return pa.table(
-        {
-            "shard": pa.array([key[0].as_py()] * n, pa.int64()), "block": asked.column("block"),
-            "known": pa.array([known] + [0] * (n - 1), pa.int64()), "total": pa.array([total] + [0] * (n - 1), pa.int64()),
-            "counts": pa.array([_packed(np.concatenate([w, g])) for w, g in zip(*told)], pa.binary()),
-        }
-    )
-
-
-def _traverse(shards: int, strength: float):
-    def run(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
-        (words, _), (grams, _) = _block_grams(block)
-        word_total, gram_total = np.zeros(len(words), np.int64), np.zeros(len(grams), np.int64)
-        word_cuts, gram_cuts = (np.append(_cuts(k, shards), len(k)) for k in (words, grams))
-        for s, raw in zip(told.column("shard").to_pylist(), told.column("counts").to_pylist()):
-            counts, n = _unpacked(raw), word_cuts[s + 1] - word_cuts[s]
-            word_total[word_cuts[s] : word_cuts[s + 1]] = counts[:n]
-            gram_total[gram_cuts[s] : gram_cuts[s + 1]] = counts[n:]
-        known, total = told.column("all_known")[0].as_py(), told.column("all_total")[0].as_py()
-        space = total + 0.5 * (known + 1)
-        unigram = np.log10((word_total + 0.5) / space)  # the arcs of the empty history
-        failure = np.log10(strength / (word_total + strength))  # a history that was never seen has no state and no weight
-        out = []
-        for part in _parts(block):
-            w, before, begin = _tokens(part.column("text"))
-            at, seen, state = np.searchsorted(words, w), gram_total[np.searchsorted(grams, _bigrams(w, before))], np.searchsorted(words, before)
-            arc = np.log10((seen + strength * 10.0 ** unigram[at]) / (word_total[state] + strength))
-            step = np.where(seen > 0, arc, failure[state] + unigram[at])
-            add = lambda x: np.add.reduceat(x, begin[:-1])
-            out.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(np.diff(begin).astype(np.int64)), pa.array(add((word_total[at] > 0).astype(np.int64))),
-                        pa.array(np.full(part.num_rows, total, np.int64)), pa.array(add(unigram[at])), pa.array(add(step)),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-            )
-        return pa.Table.from_batches(out)
+def _traverse(total: int, known: int, discounts: tuple[float, float]):
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block(texts.column("texts").to_pylist(), told, ORDERS)
+        automaton = block.automaton(total + 0.5 * (known + 1), discounts)
+        add = lambda x: np.add.reduceat(x, block.begin[:-1])
+        return pa.table(
+            {
+                "doc_id": block.doc_id, "n_tokens": pa.array(np.diff(block.begin)), "n_known": pa.array(add((block.count[block.tokens] > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(block.begin) - 1, total, np.int64)), "base_score": pa.array(add(automaton.empty_weights[block.tokens])), "score": pa.array(automaton.read(block)),
+            }
+        )
 
     return run
 
 
-def score(docs: DataFrame, train=None, strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def discount(least: int, n_low: int, n_high: int) -> float:
+    """What the smallest kept count loses in its Good-Turing estimate, within bounds that keep all weights positive."""
+    lost = least - (least + 1) * n_high / n_low if n_low else least / 2
+    return min(max(lost, 0.1 * least), 0.9 * least)
+
+
+def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score (the automaton's log10 probability).
 
     `train` is a boolean column that marks the rows to learn from; by default the fold rule on doc_id."""
@@ -208,13 +363,18 @@ def score(docs: DataFrame, train=None, strength: float = STRENGTH, block_bytes:
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    shards = max(1, -(-size // (3 * SHARD_GRAMS)))  # a distinct n-gram of a block stands for about three bytes of text
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
-    asked = dealt.groupBy("block").applyInArrow(_ask(shards), _ASKED)
-    told = asked.groupBy("shard").applyInArrow(_tell, _TOLD)
-    sums = told.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
-    told = told.select("shard", "block", "counts", sums.select("known").scalar().alias("all_known"), sums.select("total").scalar().alias("all_total"))
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        _traverse(shards, strength), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    shards = [max(1, -(-size // each)) for each in SHARD_BYTES]
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_pack_texts, "block long, texts binary").groupBy("block")
+
+    told = cut(dealt.applyInArrow(_ask_words(shards[0]), _ASKED).groupBy("shard").applyInArrow(_tell(0, 1), _TOLD))
+    known, total = told.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    discounts = []
+    for order, least in ((1, LEAST_BIGRAM), (2, LEAST_TRIGRAM)):
+        asked = dealt.cogroup(told.groupBy("block")).applyInArrow(_ask(order, shards[order]), _ASKED)
+        more = cut(asked.groupBy("shard").applyInArrow(_tell(order, least), _TOLD))
+        low, high = more.agg(F.coalesce(F.sum("n_low"), F.lit(0)), F.coalesce(F.sum("n_high"), F.lit(0))).first()
+        discounts.append(discount(least, low, high))
+        told = told.unionByName(more)
+    return dealt.cogroup(told.groupBy("block")).applyInArrow(
+        _traverse(total, known, tuple(discounts)), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return scored

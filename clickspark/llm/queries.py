@@ -54,8 +54,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are rounded to six places, within which sums in any order agree."""
     out = backoff_lm.score(common.documents(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
-    return out.withColumn("held_out", common.held_out(F.col("doc_id"), backoff_lm.FOLDS, backoff_lm.HELD_OUT))
+    held = common.held_out(F.col("doc_id"), backoff_lm.FOLDS, backoff_lm.HELD_OUT).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +120,22 @@ _CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_spl
 _OP9 = f"""
 with rows as (select row_number() over () as row, doc_id, coalesce({_CRC_SQL} % {backoff_lm.FOLDS} = {backoff_lm.HELD_OUT}, false) as held_out,
   list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') as ws from documents),
-tokens as (select row, held_out, unnest(ws) as word, unnest(list_prepend(' ', ws[:-2])) as before from rows),
-uni as (select word, count(*) as c from tokens where not held_out group by word),
-pairs as (select before, word, count(*) as c from tokens where not held_out group by before, word),
-histories as (select word as before, c from uni union all select ' ', count(*) from rows where not held_out),
+tokens as (select row, held_out, unnest(ws) as w, unnest(list_prepend(' ', ws[:-2])) as v, unnest(list_prepend(null, list_prepend(' ', ws[:-3]))[:len(ws)]) as u from rows),
+uni as (select w, count(*) as c from tokens where not held_out group by w),
+histories as (select w as v, c from uni union all select ' ', count(*) from rows where not held_out),
 total as (select coalesce(sum(c), 0) as n, coalesce(sum(c), 0) + 0.5 * (count(*) + 1) as space from uni),
-scored as (select t.row, u.c is not null as known, (coalesce(u.c, 0) + 0.5) / space as p, coalesce(x.c, 0) as cx, coalesce(h.c, 0) as ch, n
-  from tokens t cross join total left join uni u using (word) left join pairs x on x.before = t.before and x.word = t.word left join histories h on h.before = t.before)
+bi as (select v, w, count(*) as c from tokens where not held_out group by v, w),
+tri as (select u, v, w, count(*) as c from tokens where not held_out and u is not null group by u, v, w having count(*) >= 2),
+d as (select (select least(greatest(case when sum((c = 1)::int) > 0 then 1 - 2.0 * sum((c = 2)::int) / sum((c = 1)::int) else 0.5 end, 0.1), 0.9) from bi) as d2,
+  (select least(greatest(case when sum((c = 2)::int) > 0 then 2 - 3.0 * sum((c = 3)::int) / sum((c = 2)::int) else 1.0 end, 0.2), 1.8) from tri) as d3),
+h1 as (select v, d2 * count(*) / any_value(h.c) as left2 from bi join histories h using (v) cross join d group by v, d2),
+h2 as (select t.u, t.v, any_value(b.c) as c2, (any_value(b.c) - sum(t.c) + d3 * count(*)) / any_value(b.c) as left3 from tri t join bi b on b.v = t.u and b.w = t.v cross join d group by t.u, t.v, d3),
+lower_order as (select t.*, n, d3, uni.c is not null as known, (coalesce(uni.c, 0) + 0.5) / space as p1, coalesce((b.c - d2) / h.c, 0) + coalesce(h1.left2, 1) * (coalesce(uni.c, 0) + 0.5) / space as p2
+  from tokens t cross join total cross join d left join uni using (w) left join bi b on b.v = t.v and b.w = t.w left join histories h on h.v = t.v left join h1 on h1.v = t.v),
+scored as (select l.row, known, n, p1, case when h2.c2 is null then p2 else coalesce((x.c - d3) / h2.c2, 0) + h2.left3 * p2 end as p
+  from lower_order l left join h2 on h2.u = l.u and h2.v = l.v left join tri x on x.u = l.u and x.v = l.v and x.w = l.w)
 select doc_id, held_out, count(*) as n_tokens, cast(sum(known::int) as bigint) as n_known, cast(max(n) as bigint) as train_tokens,
-  round(sum(log10(p)), 6) as base_score, round(sum(log10((cx + {backoff_lm.STRENGTH} * p) / (ch + {backoff_lm.STRENGTH}))), 6) as score
+  round(sum(log10(p1)), 6) as base_score, round(sum(log10(p)), 6) as score
 from scored join rows using (row) group by row, doc_id, held_out
 """
 

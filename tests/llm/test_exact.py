@@ -351,27 +351,91 @@ def test_near_copies(spark, monkeypatch, block):
 # --- language model
 
 
+class _NaiveAutomaton:
+    """States, arcs and failure arcs as dictionaries, each token walked on its own."""
+
+    def __init__(self, texts):
+        grams = [Counter() for _ in range(4)]
+        for words in texts:
+            for k in (1, 2, 3):
+                whole = ["<s>", *words]
+                grams[k].update(tuple(whole[i - k + 1 : i + 1]) for i in range(1, len(whole)) if i - k + 1 >= 0)
+        self.c, pairs, triples = grams[1], grams[2], {g: n for g, n in grams[3].items() if n >= 2}
+        self.n, self.space = sum(self.c.values()), sum(self.c.values()) + 0.5 * (len(self.c) + 1)
+        of = lambda counts, r: sum(n == r for n in counts.values())
+        gone = lambda counts, r: min(max(r - (r + 1) * of(counts, r + 1) / of(counts, r) if of(counts, r) else r / 2, 0.1 * r), 0.9 * r)
+        seen = {w: n for (w,), n in self.c.items()} | ({"<s>": len(texts)} if texts else {})
+        self.arcs, self.weight, self.failure = {(): {w: (n + 0.5) / self.space for (w,), n in self.c.items()}}, {}, {}
+        for counts, heads, d in ((pairs, {(w,): n for w, n in seen.items()}, gone(pairs, 1)), (triples, pairs, gone(triples, 2))):
+            after = {}
+            for g, n in counts.items():
+                after.setdefault(g[:-1], {})[g[-1]] = n
+            for h, arcs in after.items():
+                self.failure[h], self.weight[h] = h[1:], (heads[h] - sum(arcs.values()) + d * len(arcs)) / heads[h]
+                self.arcs[h] = {w: (n - d) / heads[h] + self.weight[h] * self.p(h[1:], w) for w, n in arcs.items()}
+
+    def p(self, state, word):
+        """The product of the failure arcs' weights and the arc's."""
+        out = 1.0
+        while state and word not in self.arcs[state]:
+            out *= self.weight[state]
+            state = self.failure[state]
+        return out * self.arcs[state].get(word, 0.5 / self.space)
+
+    def settled(self, history):
+        """The longest end of a history that is a state."""
+        while history not in self.arcs:
+            history = history[1:]
+        return history
+
+    def read(self, words):
+        total, state = 0.0, self.settled(("<s>",))
+        for w in words:
+            total += math.log10(self.p(state, w))
+            state = self.settled((*state, w)[-2:])
+        return total
+
+
+_LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+def _tokens(text):
+    return [w.translate(_LOWER) for w in WORD.findall(text)] + [None]
+
+
 def test_op9(spark, small, texts):
-    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
-    tokens = {i: [w.translate(lower) for w in WORD.findall(t)] + [None] for i, t in texts.items()}
+    tokens = {i: _tokens(t) for i, t in texts.items()}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, pairs = Counter(w for i in train for w in tokens[i]), Counter(p for i in train for p in zip(["<s>", *tokens[i]], tokens[i]))
-    n, space = sum(c.values()), sum(c.values()) + 0.5 * (len(c) + 1)
-    for r in queries.op9_backoff_lm(spark, small).collect():
+    naive = _NaiveAutomaton([tokens[i] for i in train])
+    assert len(naive.arcs) > 1000 and any(len(h) == 2 for h in naive.arcs)
+    rows = queries.op9_backoff_lm(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
         words = tokens[r["doc_id"]]
-        uni = [(c[w] + 0.5) / space for w in words]
-        before = [len(train), *(c[w] for w in words[:-1])]
-        full = [(pairs[u, v] + backoff_lm.STRENGTH * p) / (b + backoff_lm.STRENGTH) for u, v, p, b in zip(["<s>", *words], words, uni, before)]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(c[w] > 0 for w in words), n)
-        assert r["base_score"] == pytest.approx(sum(map(math.log10, uni)), abs=2e-6)
-        assert r["score"] == pytest.approx(sum(map(math.log10, full)), abs=2e-6)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum((w,) in naive.c for w in words), naive.n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(naive.p((), w)) for w in words), abs=2e-6)
+        assert r["score"] == pytest.approx(naive.read(words), abs=2e-6)
         assert r["held_out"] == (r["doc_id"] not in train)
 
 
-def test_lm_over_many_blocks(docs):
-    one = {r["doc_id"]: r["score"] for r in backoff_lm.score(docs).collect()}
-    many = {r["doc_id"]: r["score"] for r in backoff_lm.score(docs, block_bytes=20_000).collect()}
-    assert many == pytest.approx(one)
+@given(st.lists(st.lists(st.sampled_from("abcde"), max_size=12), min_size=1, max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_states_add_up_to_one(texts):
+    naive = _NaiveAutomaton([[*t, None] for t in texts])
+    for state in naive.arcs:
+        assert sum(naive.p(state, w) for w in [*(w for (w,) in naive.c), "unseen"]) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("part", [3, 100_000])
+def test_lm_over_many_blocks_and_parts(spark, docs, texts, monkeypatch, part):
+    """Small shards, split histories, and short lanes change nothing; nor does a train column of the caller's."""
+    monkeypatch.setattr(backoff_lm, "PART_TOKENS", part)
+    monkeypatch.setattr(backoff_lm, "LANE", 7)
+    monkeypatch.setattr(backoff_lm, "SHARD_BYTES", (9_000, 7_000, 5_000))
+    few = docs.where("doc_id < 40")
+    naive = _NaiveAutomaton([_tokens(t) for i, t in texts.items() if i < 40 and i % 3])
+    found = {r["doc_id"]: r["score"] for r in backoff_lm.score(few, F.col("doc_id") % 3 != 0, block_bytes=20_000).collect()}
+    assert found == pytest.approx({i: naive.read(_tokens(t)) for i, t in texts.items() if i < 40})
 
 
 # --- classifiers
