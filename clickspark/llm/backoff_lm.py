@@ -23,7 +23,8 @@ word, and what is exchanged grows in proportion to the corpus.
 Edge cases: null text counts as empty, whose only token is the end; an empty table gives no rows; rows that repeat are
 counted and scored each (rows equal in both doc_id and text meet in one block); a null doc_id is a training row; with no training
 row at all every word is unseen; other input columns are ignored. Words are compared by 64-bit hashes of their bytes, A-Z in
-lower case, histories by 64-bit hashes, and continuations of one history by 32 bits more.
+lower case, of which 26 bits more are kept than the number of bytes in the table has; histories likewise; the continuations of one
+history by 32 bits more, or 24 for a history that occurs at most `RARE` times.
 """
 
 from __future__ import annotations
@@ -35,16 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, mix, steps, text_bytes, word_hashes, word_spans
+from .common import held_out, mix, steps, text_bytes, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
-ORDERS, LEAST_BIGRAM, LEAST_TRIGRAM = 3, 1, 2
+ORDERS, LEAST_BIGRAM, LEAST_TRIGRAM = 3, 1, 3
 
 #: Text in a block; text whose n-grams of each order one shard owns; occurrences of a history in one part of its continuations.
 BLOCK_BYTES, SHARD_BYTES, PART_TOKENS = 6 << 20, (32 << 20, 8 << 20, 16 << 20), 100_000
 
+#: A history that occurs so often has its continuations told apart by fewer bits.
+RARE = 64
+
 #: Tokens that one lane of a traversal reads; the next lane of the text starts in the state that the tokens before lead to.
-LANE = 2048
+LANE = 512
 
 _END, _START = np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5)
 _ODD = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
@@ -85,7 +89,7 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, sorted_rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, sorted_rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_batch(sorted_rows.slice(a, b - a))
             parts.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array(block[order[[0, *cuts.tolist()]]]), pa.array(parts, pa.binary())], ["block", "texts"])
@@ -97,8 +101,9 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Block:
     """The texts of a block as numbers of its distinct words, its distinct bigrams, and what it was told of both."""
 
-    def __init__(self, texts: list[bytes], told: pa.Table | None = None, rounds: int = 0):
-        """`told` holds the answers of the first `rounds` rounds."""
+    def __init__(self, texts: list[bytes], shift: int, told: pa.Table | None = None, rounds: int = 0):
+        """Hashes lose `shift` bits; `told` holds the answers of the first `rounds` rounds."""
+        self.shift = np.uint64(shift)
         rows = [b for raw in texts for b in pa.ipc.open_stream(raw)]
         self.doc_id = pa.chunked_array([b.column("doc_id") for b in rows], pa.int64())
         hashes, sizes, train = [], [], []
@@ -113,7 +118,7 @@ class Block:
             hashes.append(words), sizes.append(n), train.append(part.column("train").to_numpy(zero_copy_only=False))
         sizes, train = np.concatenate(sizes), np.concatenate(train)
         self.begin, self.texts_train = np.concatenate([[0], np.cumsum(sizes)]), int(train.sum())
-        self.words, tokens = np.unique(np.concatenate([*hashes, [_START]]), return_inverse=True)
+        self.words, tokens = np.unique(np.concatenate([*hashes, [_START]]) >> self.shift, return_inverse=True)
         self.tokens, self.start, self.train = tokens[:-1], int(tokens[-1]), np.repeat(train, sizes)
         before = np.roll(self.tokens, 1)
         before[self.begin[:-1]] = self.start
@@ -145,31 +150,30 @@ class Block:
         return self._trigrams
 
     def asked(self, order: int) -> tuple[np.ndarray, ...]:
-        """For bigrams (1) or trigrams (2): distinct sorted places, how many n-grams each has, which history it belongs to; and for
-        the n-grams in order of place their number, the bits that tell continuations apart, and their training counts."""
+        """For bigrams (1) or trigrams (2): sorted places, how many n-grams each has, which history it belongs to; and for the
+        n-grams in order of place their number, the bits that tell continuations apart, and their training counts."""
+        first, second = np.divmod(self.pairs, self.n)
         if order == 1:
-            history, word = np.divmod(self.pairs, self.n)
+            history, word, name, total = first, second, self.words, self.count
             counts = np.bincount(self.pair_of, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
-            name, total = self.words, self.count
             own = np.flatnonzero((total[history] > 0) & (total[word] > 0))
+            asking = np.unique(first)
         else:
             keys, counts = self.trigrams()
-            history, word = np.divmod(keys, self.n)
-            first, second = np.divmod(self.pairs, self.n)
-            name, total = mix(self.words[second] + self.words[first] * _ODD[0]), self.pair_count
-            own = np.arange(len(keys))
+            (history, word), name, total = np.divmod(keys, self.n), mix(self.words[second] + self.words[first] * _ODD[0]), self.pair_count
+            own, asking = np.arange(len(keys)), np.arange(len(self.pairs))
         history, word, counts = history[own], word[own], counts[own]
+        asking = asking[total[asking] >= (1, LEAST_TRIGRAM)[order - 1]]  # whatever continuations the block has
         parts = np.maximum(1, -(-total // PART_TOKENS))
         found = mix(self.words[word] + name[history] * _ODD[1])
         part = (found & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts[history]
-        bits = (found >> np.uint64(32)).astype(np.uint32)
-        asking = np.unique(history)
-        every = np.repeat(asking, parts[asking])  # all parts of a history are asked, whatever continuations the block has
+        bits = (found >> np.uint64(32)).astype(np.int64) & np.where(total[history] <= RARE, 0xFFFFFF, 0xFFFFFFFF)
+        every = np.repeat(asking, parts[asking])  # all parts of a history are asked
         inner = np.arange(len(every)) - np.repeat(np.cumsum(parts[asking]) - parts[asking], parts[asking])
-        place = lambda h, p: mix(name[h] + (p.astype(np.uint64) + np.uint64(1)) * _ODD[2])
+        place = lambda h, p: mix(name[h] + (p.astype(np.uint64) + np.uint64(1)) * _ODD[2]) >> self.shift
         places, where = np.unique(place(every, inner), return_index=True)
         at = np.searchsorted(places, place(history, part))
-        in_order = np.lexsort((bits, at))
+        in_order = np.argsort((at << 32) | np.arange(len(at)))
         return places, np.bincount(at, minlength=len(places)), every[where], own[in_order], bits[in_order], counts[in_order]
 
     def _answer(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,18 +262,18 @@ class Automaton:
 # --- rounds
 
 
-def _range_of(keys: np.ndarray, shards: int) -> np.ndarray:
+def _range_of(keys: np.ndarray, shards: int, shift: int) -> np.ndarray:
     """The shard of each hash: shards own equal ranges."""
-    return ((keys >> np.uint64(32)).astype(np.int64) * shards) >> 32
+    return ((keys >> np.uint64(32 - shift)).astype(np.int64) * shards) >> 32
 
 
 _ASKED = "shard long, block long, places binary, sizes binary, bits binary, counts binary"
 _TOLD = "round int, shard long, block long, counts binary, kept binary, sums binary, n_low long, n_high long, known long, total long"
 
 
-def _rows(block: int, shards: int, places: np.ndarray, sizes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> pa.Table:
+def _rows(block: int, shards: int, shift: int, places: np.ndarray, sizes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> pa.Table:
     """A row for each shard that owns one of the places."""
-    shard = _range_of(places, shards)
+    shard = _range_of(places, shards, shift)
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(places)] if len(places) else [0]
     ends = np.concatenate([[0], np.cumsum(sizes)])
     out = {n: [] for n in ("shard", "block", "places", "sizes", "bits", "counts")}
@@ -278,44 +282,44 @@ def _rows(block: int, shards: int, places: np.ndarray, sizes: np.ndarray, bits:
         out["block"].append(block)
         out["places"].append(_squeezed(places[a:b]))
         out["sizes"].append(_packed(sizes[a:b]))
-        out["bits"].append(bits[ends[a] : ends[b]].tobytes())
+        out["bits"].append(_packed(bits[ends[a] : ends[b]]))
         out["counts"].append(_packed(counts[ends[a] : ends[b]]))
     kinds = [("shard", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("places", "sizes", "bits", "counts"))]
     return pa.table(out, schema=pa.schema(kinds))
 
 
-def _ask_words(shards: int):
+def _ask_words(shards: int, shift: int):
     def run(key: tuple, texts: pa.Table) -> pa.Table:
-        block = Block(texts.column("texts").to_pylist())
-        return _rows(key[0].as_py(), shards, block.words, np.ones(block.n, np.int64), np.zeros(block.n, np.uint32), block.word_counts())
+        block = Block(texts.column("texts").to_pylist(), shift)
+        return _rows(key[0].as_py(), shards, shift, block.words, np.ones(block.n, np.int64), np.zeros(block.n, np.int64), block.word_counts())
 
     return run
 
 
-def _ask(order: int, shards: int):
+def _ask(order: int, shards: int, shift: int):
     def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        places, sizes, _, _, bits, counts = Block(texts.column("texts").to_pylist(), told, order).asked(order)
-        return _rows(key[0].as_py(), shards, places, sizes, bits, counts)
+        places, sizes, _, _, bits, counts = Block(texts.column("texts").to_pylist(), shift, told, order).asked(order)
+        return _rows(key[0].as_py(), shards, shift, places, sizes, bits, counts)
 
     return run
 
 
-def _tell(order: int, least: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _tell(order: int, least: int, shift: int = 0) -> Callable[[tuple, pa.Table], pa.Table]:
     """Totals over all blocks for what each block asked: of n-grams, and of what is kept at each place. On the way, how many words
     are known and how often they occur, and how many n-grams occur `least` times and once more."""
 
     def run(key: tuple, asked: pa.Table) -> pa.Table:
         rows = list(zip(*(asked.column(n).to_pylist() for n in ("places", "sizes", "bits", "counts"))))
-        lists = [(_spread(p), _unpacked(s), np.frombuffer(b, np.uint32), _unpacked(c)) for p, s, b, c in rows]
+        lists = [(_spread(p), _unpacked(s), _unpacked(b), _unpacked(c)) for p, s, b, c in rows]
         places, where = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
         sizes = np.concatenate([x[1] for x in lists])
         at = np.repeat(where, sizes)
-        grams, back = np.unique((at << 32) | np.concatenate([x[2] for x in lists]).astype(np.int64), return_inverse=True)
+        grams, back = np.unique((at << 32) | np.concatenate([x[2] for x in lists]), return_inverse=True)
         sums = np.bincount(back, weights=np.concatenate([x[3] for x in lists]), minlength=len(grams)).astype(np.int64)
         kept = sums >= least
         place = grams[kept] >> 32
         n_kept, sum_kept = np.bincount(place, minlength=len(places)), np.bincount(place, weights=sums[kept], minlength=len(places)).astype(np.int64)
-        counted = sums[(places != _START)[grams >> 32] & (sums > 0)]
+        counted = sums[(places != _START >> np.uint64(shift))[grams >> 32] & (sums > 0)]
         facts = {"n_low": int((sums == least).sum()), "n_high": int((sums == least + 1).sum()), "known": len(counted), "total": int(counted.sum())}
         ends, tops = np.cumsum([x[1].sum() for x in lists]), np.cumsum([len(x[0]) for x in lists])
         cut_up = lambda x, e: [_packed(part) for part in np.split(x, e[:-1])]
@@ -334,9 +338,12 @@ def _tell(order: int, least: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return run
 
 
-def _traverse(total: int, known: int, discounts: tuple[float, float]):
+def _traverse(shift: int):
     def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(texts.column("texts").to_pylist(), told, ORDERS)
+        facts = [told.column(f"facts_{k}")[0].as_py() for k in range(ORDERS)]
+        known, total = facts[0]["known"], facts[0]["total"]
+        discounts = tuple(discount(least, facts[k]["n_low"], facts[k]["n_high"]) for k, least in ((1, LEAST_BIGRAM), (2, LEAST_TRIGRAM)))
+        block = Block(texts.column("texts").to_pylist(), shift, told, ORDERS)
         automaton = block.automaton(total + 0.5 * (known + 1), discounts)
         add = lambda x: np.add.reduceat(x, block.begin[:-1])
         return pa.table(
@@ -362,19 +369,21 @@ def score(docs: DataFrame, train=None, block_bytes: int = BLOCK_BYTES) -> DataFr
     train = ~held_out(F.col("doc_id"), FOLDS, HELD_OUT) if train is None else train
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    blocks, shift = max(1, -(-size // block_bytes)), 64 - min(64, max(40, 26 + size.bit_length()))
     shards = [max(1, -(-size // each)) for each in SHARD_BYTES]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_pack_texts, "block long, texts binary").groupBy("block")
 
-    told = cut(dealt.applyInArrow(_ask_words(shards[0]), _ASKED).groupBy("shard").applyInArrow(_tell(0, 1), _TOLD))
-    known, total = told.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    discounts = []
-    for order, least in ((1, LEAST_BIGRAM), (2, LEAST_TRIGRAM)):
-        asked = dealt.cogroup(told.groupBy("block")).applyInArrow(_ask(order, shards[order]), _ASKED)
-        more = cut(asked.groupBy("shard").applyInArrow(_tell(order, least), _TOLD))
-        low, high = more.agg(F.coalesce(F.sum("n_low"), F.lit(0)), F.coalesce(F.sum("n_high"), F.lit(0))).first()
-        discounts.append(discount(least, low, high))
-        told = told.unionByName(more)
+    sums = F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_low", "n_high", "known", "total"))).alias("facts")
+    told, facts = None, {}
+    for order, least in enumerate((1, LEAST_BIGRAM, LEAST_TRIGRAM)):
+        if told is None:
+            asked = dealt.applyInArrow(_ask_words(shards[0], shift), _ASKED)
+        else:
+            asked = dealt.cogroup(told.groupBy("block")).applyInArrow(_ask(order, shards[order], shift), _ASKED)
+        more = asked.groupBy("shard").applyInArrow(_tell(order, least, shift), _TOLD)
+        facts[f"facts_{order}"] = more.agg(sums).scalar()
+        told = more if told is None else told.unionByName(more)
+    told = told.select("round", "shard", "block", "counts", "kept", "sums", *(c.alias(n) for n, c in facts.items()))
     return dealt.cogroup(told.groupBy("block")).applyInArrow(
-        _traverse(total, known, tuple(discounts)), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _traverse(shift), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -360,13 +361,13 @@ class _NaiveAutomaton:
             for k in (1, 2, 3):
                 whole = ["<s>", *words]
                 grams[k].update(tuple(whole[i - k + 1 : i + 1]) for i in range(1, len(whole)) if i - k + 1 >= 0)
-        self.c, pairs, triples = grams[1], grams[2], {g: n for g, n in grams[3].items() if n >= 2}
+        self.c, pairs, triples = grams[1], grams[2], {g: n for g, n in grams[3].items() if n >= 3}
         self.n, self.space = sum(self.c.values()), sum(self.c.values()) + 0.5 * (len(self.c) + 1)
         of = lambda counts, r: sum(n == r for n in counts.values())
         gone = lambda counts, r: min(max(r - (r + 1) * of(counts, r + 1) / of(counts, r) if of(counts, r) else r / 2, 0.1 * r), 0.9 * r)
         seen = {w: n for (w,), n in self.c.items()} | ({"<s>": len(texts)} if texts else {})
         self.arcs, self.weight, self.failure = {(): {w: (n + 0.5) / self.space for (w,), n in self.c.items()}}, {}, {}
-        for counts, heads, d in ((pairs, {(w,): n for w, n in seen.items()}, gone(pairs, 1)), (triples, pairs, gone(triples, 2))):
+        for counts, heads, d in ((pairs, {(w,): n for w, n in seen.items()}, gone(pairs, 1)), (triples, pairs, gone(triples, 3))):
             after = {}
             for g, n in counts.items():
                 after.setdefault(g[:-1], {})[g[-1]] = n
@@ -426,11 +427,8 @@ def test_states_add_up_to_one(texts):
         assert sum(naive.p(state, w) for w in [*(w for (w,) in naive.c), "unseen"]) == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("part", [3, 100_000])
-def test_lm_over_many_blocks_and_parts(spark, docs, texts, monkeypatch, part):
-    """Small shards, split histories, and short lanes change nothing; nor does a train column of the caller's."""
-    monkeypatch.setattr(backoff_lm, "PART_TOKENS", part)
-    monkeypatch.setattr(backoff_lm, "LANE", 7)
+def test_lm_over_many_blocks(spark, docs, texts, monkeypatch):
+    """Small blocks and shards change nothing; nor does a train column of the caller's."""
     monkeypatch.setattr(backoff_lm, "SHARD_BYTES", (9_000, 7_000, 5_000))
     few = docs.where("doc_id < 40")
     naive = _NaiveAutomaton([_tokens(t) for i, t in texts.items() if i < 40 and i % 3])
@@ -438,6 +436,37 @@ def test_lm_over_many_blocks_and_parts(spark, docs, texts, monkeypatch, part):
     assert found == pytest.approx({i: naive.read(_tokens(t)) for i, t in texts.items() if i < 40})
 
 
+class _Key(int):
+    def as_py(self):
+        return int(self)
+
+
+@pytest.mark.parametrize("part", [3, 100_000])
+def test_lm_rounds_by_hand(texts, monkeypatch, part):
+    """Histories dealt into parts, and texts read by several lanes, over two blocks and three shards."""
+    monkeypatch.setattr(backoff_lm, "PART_TOKENS", part)
+    monkeypatch.setattr(backoff_lm, "LANE", 7)
+    ids = sorted(texts)[:30]
+    rows = pa.RecordBatch.from_pydict({"doc_id": ids, "text": [texts[i] for i in ids], "train": [i % 3 > 0 for i in ids], "block": [i % 2 for i in ids]})
+    packed = next(backoff_lm._pack_texts(iter([rows])))
+    own = {b: pa.table({"texts": [x for k, x in zip(packed.column("block").to_pylist(), packed.column("texts").to_pylist()) if k == b]}) for b in (0, 1)}
+    told, facts = None, {}
+    for order, least in enumerate((1, backoff_lm.LEAST_BIGRAM, backoff_lm.LEAST_TRIGRAM)):
+        at = lambda b: told.filter(pa.compute.equal(told.column("block"), b))  # noqa: B023, E731
+        asked = pa.concat_tables([backoff_lm._ask(order, 3, 8)((_Key(b),), own[b], at(b)) if order else backoff_lm._ask_words(3, 8)((_Key(b),), own[b]) for b in own])
+        shards = set(asked.column("shard").to_pylist())
+        more = pa.concat_tables([backoff_lm._tell(order, least, 8)((_Key(s),), asked.filter(pa.compute.equal(asked.column("shard"), s))) for s in shards])
+        facts[f"facts_{order}"] = {c: sum(more.column(c).to_pylist()) for c in ("n_low", "n_high", "known", "total")}
+        told = more if told is None else pa.concat_tables([told, more])
+    naive = _NaiveAutomaton([_tokens(texts[i]) for i in ids if i % 3])
+    for b in own:
+        asked = told.filter(pa.compute.equal(told.column("block"), b))
+        for c, v in facts.items():
+            asked = asked.append_column(c, pa.array([v] * asked.num_rows))
+        found = backoff_lm._traverse(8)((_Key(b),), own[b], asked)
+        assert dict(zip(found.column("doc_id").to_pylist(), found.column("score").to_pylist())) == pytest.approx({i: naive.read(_tokens(texts[i])) for i in ids if i % 2 == b})
+
+
 # --- classifiers
 
 
