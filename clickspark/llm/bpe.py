@@ -5,7 +5,7 @@ its arcs add up to a word's place in a flat table of ids. Executors memory-map t
 once; words that it does not accept are merged pair by pair, lowest rank first, which gives the ids the vocabulary defines.
 
 A text may be cut before any single blank that stands between two other characters, because no token spans such a place; the
-pieces between cuts repeat, so each worker keeps a bounded table of the latest ones.
+pieces between cuts repeat, so each worker keeps a bounded table of the latest short ones.
 
 Edge cases: null text counts as empty and has no ids; an added token's own string in a text is that token, as the library
 reads it; texts may have any length; rows that repeat are encoded each on its own; other input columns are ignored.
@@ -14,6 +14,7 @@ reads it; texts may have any length; rows that repeat are encoded each on its ow
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import tempfile
@@ -32,6 +33,9 @@ from .common import BLANK_RUN, steps
 #: Words in the lexicon, the hash groups they are chosen from, and pieces in each of the two generations a worker remembers.
 LEXICON_WORDS, GROUPS, REMEMBERED = 20_000, 64, 150_000
 
+#: Characters of the longest piece that is remembered, and bytes from which a word is merged rank by rank.
+REMEMBERED_LENGTH, LONG_WORD = 64, 512
+
 #: Fixed value: how the vocabulary's pre-tokenizer splits text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -74,6 +78,10 @@ class Vocabulary:
         merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int64), merged[order]
+        made = np.zeros(len(self.tokens), np.int64)
+        made[merged[::-1]] = np.arange(len(merged))[::-1]  # a token's first merge, 0 for single bytes
+        parts = np.array([[vocab[a], vocab[b]] for a, b in pairs], np.int64).reshape(-1, 2)
+        self.in_order = bool((made[parts].max(1, initial=0) <= np.arange(len(parts))).all())
         self.split_added = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +93,14 @@ class Vocabulary:
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, little-endian 32-bit: of all adjacent pairs in a word, the one of lowest rank, leftmost first,
         merges, until none can."""
+        long = [i for i, w in enumerate(words) if len(w) >= LONG_WORD] if self.in_order else []
+        if long:
+            out = [b""] * len(words)
+            short = sorted(set(range(len(words))).difference(long))
+            for chosen, told in ((short, self.merge([words[i] for i in short])), (long, self._merge_long([words[i] for i in long]))):
+                for i, ids in zip(chosen, told):
+                    out[i] = ids
+            return out
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -118,6 +134,54 @@ class Vocabulary:
         raw, ends = ids[order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _merge_long(self, words: list[bytes]) -> list[bytes]:
+        """The same for long words, rank after rank: a merge only makes pairs of higher rank, so all places of a rank merge
+        together. Places wait in lists by rank; a place whose pair has changed meanwhile is passed over."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        ids, ends = self.of_byte[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes)
+        n = len(ids)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        after[ends - 1], before[ends - sizes] = n, -1
+        rank, into = np.full(n, _NEVER), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            rank[places], into[places] = self._rank(ids[places], ids[after[places]])
+            places = places[rank[places] < _NEVER]
+            if not len(places):
+                return
+            order = np.argsort(rank[places], kind="stable")
+            places = places[order]
+            cuts = np.flatnonzero(np.diff(rank[places])) + 1
+            for r, part in zip(rank[places[[0, *cuts]]].tolist(), np.split(places, cuts) if len(cuts) else [places]):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.flatnonzero(after < n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])  # the same token again and again: every other pair
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            ids[at], alive[gone], rank[gone] = into[at], False, _NEVER
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            rank[at] = _NEVER
+            left = before[at]
+            wait(np.unique(np.concatenate([left[left >= 0], inner])))
+        kept = np.flatnonzero(alive)
+        cuts = np.searchsorted(kept, ends[:-1])
+        return [part.astype("<u4").tobytes() for part in np.split(ids[kept], cuts)]
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
@@ -247,7 +311,8 @@ class Encoder:
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
     def _remember(self, ages: list[dict[str, bytes]], pieces: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of all pieces, from either generation or encoded; a full generation becomes the one before."""
+        """Ids of all pieces, from either generation or encoded; a full generation becomes the one before. Long pieces are
+        taken out again by `encode`."""
         if len(ages[0]) > REMEMBERED:
             ages[:] = [{}, ages[0]]
         into, before = ages
@@ -270,14 +335,21 @@ class Encoder:
         return into
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
         added = self.vocabulary.split_added
         if added is not None and any(a in t for t in texts for a in self.vocabulary.added):
             return [self._with_added(t) for t in texts]
         cut = [self._pieces(t) for t in texts]
         firsts = [c.pop(0) for c in cut]
-        first = self._remember(self.first, set(firsts), "")
-        later = self._remember(self.later, set().union(*cut), " ").__getitem__
-        return [first[f] + b"".join(map(later, c)) for f, c in zip(firsts, cut)]
+        leading, following = set(firsts), set().union(*cut)
+        first = self._remember(self.first, leading, "")
+        later = self._remember(self.later, following, " ").__getitem__
+        out = [first[f] + b"".join(map(later, c)) for f, c in zip(firsts, cut)]
+        for ages, pieces in ((self.first, leading), (self.later, following)):
+            for p in pieces:
+                if len(p) > REMEMBERED_LENGTH:
+                    ages[0].pop(p, None)
+        return out
 
     def _with_added(self, text: str) -> bytes:
         out, at = [], 0

@@ -36,10 +36,14 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation."""
+    """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation. Only a
+    local session may do without spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if told is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

@@ -1,5 +1,6 @@
 """Cases that a review found to be cut short."""
 
+import time
 import zlib
 
 import numpy as np
@@ -31,6 +32,33 @@ def test_white_space_through_the_operators(spark):
     assert sum(r["n_tokens"] for r in token_counts.count_tokens(docs).where("doc_id = 1").collect()) == len(ids) - 1
 
 
+def _encoder():
+    return bpe.Encoder(bpe.vocabulary(bpe.default_path()), bpe.Transducer.build({b" the": bpe.vocabulary(bpe.default_path()).merge([b" the"])[0]}))
+
+
+def test_long_words():
+    """A megabyte of letters and texts without blanks take seconds, leave nothing behind, and equal the library's ids."""
+    rng, reference, encoder = np.random.default_rng(2), Tokenizer.from_file(bpe.default_path()), _encoder()
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 1_000_000))
+    wide = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 1_700_000)))
+    texts = [letters, wide, "a" * 300_001, "ab" * 1000 + " " + "the" * 700, letters[:600] + " " + letters[600:1200]]
+    began = time.time()
+    found = encoder.encode(texts)
+    assert time.time() - began < 20
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+    assert all(len(p) <= bpe.REMEMBERED_LENGTH for ages in (encoder.first, encoder.later) for age in ages for p in age)
+
+
+@given(st.lists(st.text(alphabet="aeth ", min_size=1, max_size=60), min_size=1, max_size=4))
+@settings(max_examples=80, deadline=None)
+def test_both_ways_to_merge_agree(words):
+    own = bpe.vocabulary(bpe.default_path())
+    assert own.in_order
+    raw = [w.encode() for w in words]
+    assert own._merge_long(raw) == own.merge(raw)
+
+
 # --- toxicity
 
 
