@@ -1,10 +1,10 @@
 """A quality classifier: a byte-level convolutional network in numpy.
 
-Every byte of a text gets an embedding and, for each of `LAGS` distances, whether the byte that far back is the same, which
-lets filters see repetition. Chunks of `CHUNK` bytes start every CHUNK // 2 bytes, so they overlap and cover the whole text.
-Learned filters score each chunk, rectified; each filter is pooled over all chunks of the text to its maximum and to its mean,
-and a logistic unit combines the pooled values into one probability. Because the chunks of a batch lie end to end, the
-filters of a whole batch are one matrix product and the pools are segment reductions.
+Every byte of a text gets an embedding. Chunks of `CHUNK` bytes start every CHUNK // 2 bytes, so they overlap and cover the whole
+text. Learned filters score each chunk, rectified; each filter is pooled to its maximum over all chunks of the text, and a
+logistic unit combines the maxima into one probability. Because the chunks of a batch lie end to end, the filters of a whole
+batch are two matrix products, of first and of second halves of chunks, and the pools are segment reductions; they are taken
+slab by slab, so memory is bounded for texts of any length.
 
 Bounds: the net is learned from at most `LABELLED_ROWS` labelled rows whose texts have at most `TRAIN_BYTES` bytes each; the
 scores cover all rows and whole texts of any length.
@@ -29,41 +29,29 @@ from .linear import fit_logistic, sigmoid
 
 FOLDS, HELD_OUT = 3, 1
 LABELLED_ROWS, TRAIN_BYTES = 3_000, 1 << 16
-CHUNK, EMBEDDING, FILTERS, LAGS = 16, 6, 16, tuple(range(2, 26))
+CHUNK, EMBEDDING, FILTERS = 64, 6, 32
 HALF = CHUNK // 2
 
+#: Halves of chunks that are scored at once.
+SLAB = (1 << 20) // HALF
+
 #: Learning: passes over the sample, texts in a step, step size.
 PASSES, STEP_TEXTS, RATE, SEED = 6, 32, 0.01, 7
 
-_ONES = np.uint64(0x0101010101010101)
-
 
-def halves(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts padded to whole halves of chunks, at least two each, end to end; the first half of each text (one more entry);
-    and for each half the share of bytes that equal the byte so many places back, for each lag."""
+def halves(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts padded to whole halves of chunks, at least two each, end to end; and the first half of each text (one more)."""
     sizes = np.diff(at)
-    n = np.maximum(2, -(-sizes // HALF))
-    first = np.concatenate([[0], np.cumsum(n)])
+    first = np.concatenate([[0], np.cumsum(np.maximum(2, -(-sizes // HALF)))])
     padded = np.zeros(first[-1] * HALF, np.uint8)
-    move = np.repeat(first[:-1] * HALF - at[:-1], sizes)
-    padded[np.arange(len(data)) + move] = data
-    same = np.empty((len(LAGS), first[-1]), np.float32)
-    equal = np.zeros(len(padded), np.uint8)
-    real = padded != 0
-    begin = first[:-1] * HALF
-    for k, lag in enumerate(LAGS):
-        np.equal(padded[lag:], padded[:-lag], out=equal[lag:].view(bool))
-        equal[lag:] &= real[lag:].view(np.uint8)
-        heads = (begin[:, None] + np.arange(lag)).ravel()  # bytes that far back belong to the text before
-        equal[heads[heads < len(equal)]] = 0
-        same[k] = (equal.view(np.uint64) * _ONES) >> np.uint64(56)
-    return padded, first, same.T * np.float32(1 / HALF)
+    padded[np.arange(len(data)) + np.repeat(first[:-1] * HALF - at[:-1], sizes)] = data
+    return padded.reshape(-1, HALF), first
 
 
 @dataclass
 class Net:
     embedding: np.ndarray
-    filters: np.ndarray  # (2, HALF * EMBEDDING + lags, FILTERS): for the first and the second half of a chunk
+    filters: np.ndarray  # (2, HALF * EMBEDDING, FILTERS): for the first and the second half of a chunk
     bias: np.ndarray
     weights: np.ndarray = None
     out_bias: float = 0.0
@@ -71,51 +59,49 @@ class Net:
     @classmethod
     def fresh(cls) -> Net:
         rng = np.random.default_rng(SEED)
-        width = HALF * EMBEDDING + len(LAGS)
+        width = HALF * EMBEDDING
         filters = rng.normal(0, 1 / np.sqrt(2 * width), (2, width, FILTERS))
-        return cls(rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), filters.astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS).astype(np.float32), 0.0)
-
-    def _chunks(self, data: np.ndarray, at: np.ndarray):
-        padded, first, same = halves(data, at)
-        x = np.concatenate([self.embedding[padded].reshape(-1, HALF * EMBEDDING), same], 1)
-        front, back = x @ self.filters[0], x @ self.filters[1]
-        z = front[:-1] + back[1:] + self.bias  # the chunk that starts at each half but the last
-        return padded, first, x, z
-
-    def _pooled(self, first: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maxima and means over each text's chunks; chunks that would reach into the next text do not count."""
-        act = np.maximum(z, 0)
-        act[first[1:-1] - 1] = 0
-        begin = first[:-1]
-        most = np.maximum.reduceat(act, begin)
-        mean = np.add.reduceat(act, begin) / (np.diff(first) - 1)[:, None]
-        return np.concatenate([most, mean], 1), act
+        return cls(rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), filters.astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, FILTERS).astype(np.float32), 0.0)
+
+    def _chunks(self, padded: np.ndarray, crossing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embedded halves, and the rectified filters of the chunk that starts at each half but the last; chunks that would
+        reach into the next text count as nothing."""
+        x = self.embedding[padded].reshape(len(padded), HALF * EMBEDDING)
+        act = np.maximum((x @ self.filters[0])[:-1] + (x @ self.filters[1])[1:] + self.bias, 0)
+        act[crossing] = 0
+        return x, act
 
     def pooled(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        _, first, _, z = self._chunks(data, at)
-        return self._pooled(first, z)[0].astype(np.float64)
+        padded, first = halves(data, at)
+        out = np.zeros((len(at) - 1, FILTERS))
+        for a in range(0, len(padded) - 1, SLAB):
+            b = min(a + SLAB, len(padded) - 1)  # chunks a to b
+            inner = first[(first > a) & (first < b)]
+            begin = np.concatenate([[a], inner])
+            ends = first[1:-1] - 1
+            _, act = self._chunks(padded[a : b + 1], ends[(ends >= a) & (ends < b)] - a)
+            rows = np.searchsorted(first, begin, side="right") - 1
+            out[rows] = np.maximum(out[rows], np.maximum.reduceat(act, begin - a))
+        return out
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         return sigmoid(self.pooled(data, at) @ self.weights + self.out_bias)
 
     def gradients(self, data: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean log loss, for embedding, filters, bias, weights and output bias."""
-        padded, first, x, z = self._chunks(data, at)
-        pooled, act = self._pooled(first, z)
+        padded, first = halves(data, at)
+        x, act = self._chunks(padded, first[1:-1] - 1)
+        pooled = np.maximum.reduceat(act, first[:-1])
         gap = ((sigmoid(pooled @ self.weights + self.out_bias) - y) / len(y)).astype(np.float32)
         rows = np.repeat(np.arange(len(y)), np.diff(first))[:-1]
         d_pool = gap[:, None] * self.weights
-        d = (d_pool[:, FILTERS:] / (np.diff(first) - 1)[:, None])[rows]
-        most = pooled[rows, :FILTERS]
-        d = d + np.where((act == most) & (act > 0), d_pool[rows, :FILTERS], 0)
-        d[act <= 0] = 0
-        d_front, d_back = x[:-1].T @ d, x[1:].T @ d
-        d_x = np.zeros((len(x), HALF * EMBEDDING), np.float32)
-        d_x[:-1] += d @ self.filters[0, : HALF * EMBEDDING].T
-        d_x[1:] += d @ self.filters[1, : HALF * EMBEDDING].T
+        d = np.where((act == pooled[rows]) & (act > 0), d_pool[rows], 0).astype(np.float32)
+        d_x = np.zeros_like(x)
+        d_x[:-1] += d @ self.filters[0].T
+        d_x[1:] += d @ self.filters[1].T
         flat = d_x.reshape(-1, EMBEDDING)
-        d_embedding = np.column_stack([np.bincount(padded, weights=flat[:, k], minlength=256) for k in range(EMBEDDING)])
-        return [d_embedding.astype(np.float32), np.stack([d_front, d_back]), d.sum(0), pooled.T @ gap, gap.sum()]
+        d_embedding = np.column_stack([np.bincount(padded.ravel(), weights=flat[:, k], minlength=256) for k in range(EMBEDDING)])
+        return [d_embedding.astype(np.float32), np.stack([x[:-1].T @ d, x[1:].T @ d]), d.sum(0), pooled.T @ gap, gap.sum()]
 
 
 def train(texts: list[bytes], y: np.ndarray) -> Net:

@@ -19,10 +19,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _predicted(scored: DataFrame, folds: int, fold: int) -> DataFrame:
+    return scored.select("doc_id", common.held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op1_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = quality_net.score(docs, quality_net.fit(docs, quality_net.training_fold(common.labels(spark, sf_dir))))
-    return out.withColumns({"held_out": common.held_out(F.col("doc_id"), quality_net.FOLDS, quality_net.HELD_OUT), "predicted": (F.col("score") >= 0.5).cast("int")})
+    return _predicted(out, quality_net.FOLDS, quality_net.HELD_OUT)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     out = toxicity.score(docs, toxicity.fit(docs, toxicity.training_fold(common.labels(spark, sf_dir))))
-    return out.withColumns({"held_out": common.held_out(F.col("doc_id"), toxicity.FOLDS, toxicity.HELD_OUT), "predicted": (F.col("score") >= 0.5).cast("int")})
+    return _predicted(out, toxicity.FOLDS, toxicity.HELD_OUT)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -520,7 +520,7 @@ def test_net_gradients():
     net = quality_net.Net.fresh()
     loss = lambda: float(-np.mean(y * np.log(net.score(data, at)) + (1 - y) * np.log(1 - net.score(data, at))))
     found = net.gradients(data, at, y)
-    for name, g, place in (("filters", found[1], (0, 3, 2)), ("filters", found[1], (1, 50, 1)), ("bias", found[2], (4,)), ("weights", found[3], (5,)), ("embedding", found[0], (ord("e"), 1))):
+    for name, g, place in (("filters", found[1], (0, 3, 2)), ("filters", found[1], (1, 150, 1)), ("bias", found[2], (4,)), ("weights", found[3], (5,)), ("embedding", found[0], (ord("e"), 1))):
         values, step = getattr(net, name), 1e-2
         kept = values[place]
         values[place] = kept + step
@@ -531,6 +531,93 @@ def test_net_gradients():
         assert (high - low) / (2 * step) == pytest.approx(float(g[place]), abs=2e-3)
 
 
+@pytest.mark.parametrize("slab", [3, 1 << 15])
+def test_net_against_plain_convolution(monkeypatch, slab):
+    """Every filter over every chunk of every text, chunk by chunk."""
+    monkeypatch.setattr(quality_net, "SLAB", slab)
+    net, rng = quality_net.Net.fresh(), np.random.default_rng(4)
+    net.bias = rng.normal(0, 0.1, quality_net.FILTERS).astype(np.float32)
+    texts = [rng.bytes(n) for n in (0, 1, 31, 32, 33, 64, 65, 200, 1000, 3)]
+    half = quality_net.HALF
+    for text, score in zip(texts, net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))):
+        padded = text + bytes(max(2 * half, -(-len(text) // half) * half) - len(text))
+        most = np.zeros(quality_net.FILTERS)
+        for at in range(0, len(padded) - half, half):
+            for k in range(quality_net.FILTERS):
+                z = float(net.bias[k])
+                for part in (0, 1):
+                    own = net.embedding[list(padded[at + part * half : at + (part + 1) * half])].ravel()
+                    z += float(own.astype(float) @ net.filters[part, :, k].astype(float))
+                most[k] = max(most[k], z)
+        assert score == pytest.approx(1 / (1 + math.exp(-(most @ net.weights + net.out_bias))), abs=1e-5)
+
+
+def test_folds(spark, small):
+    """The rows held out are those whose crc32 says so, and nothing else is learned from."""
+    labels = common.labels(spark, small)
+    for module, folds, fold in ((quality_net, 3, 1), (toxicity, 5, 0)):
+        told = {r[0] for r in module.training_fold(labels).select("doc_id").collect()}
+        assert told == {r[0] for r in labels.select("doc_id").collect() if zlib.crc32(str(r[0]).encode()) % folds != fold}
+    for name, folds, fold in (("op1_quality_net", 3, 1), ("op7_toxicity", 5, 0)):
+        df = queries.queries()[name](spark, small)
+        assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+        for r in df.collect():
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == fold) and r["predicted"] == (r["score"] >= 0.5)
+
+
+class _PlainLexicon:
+    """Hits, context windows and sums of a text, word by word."""
+
+    def __init__(self, model, terms):
+        self.model, self.terms = model, terms
+
+    def _hit(self, word):
+        whole = [(0, i) for i, (t, stem) in enumerate(self.terms) if not stem and t == word]
+        whole += [(1, i) for i, (t, stem) in enumerate(self.terms) if not stem and len(t) >= toxicity.FUZZY_LENGTH and t != word and self._near(t, word)]
+        begun = [i for i, (t, stem) in enumerate(self.terms) if stem and word.startswith(t)]
+        if not whole:
+            return self.model.exact[begun[0]] if begun else None
+        distance, term = min(whole)
+        if not distance:
+            return self.model.exact[term]
+        weight = self.model.spelt.get(word, self.model.near[term])
+        return max([weight, *(self.model.exact[i] for i in begun)])
+
+    @staticmethod
+    def _near(term, word):
+        swaps = {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)}
+        return word in swaps or _distance(term, word) == 1
+
+    def features(self, text):
+        runs = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        spans = []
+        for a, b in runs:
+            solid = [k for k in range(a, b) if text[k].isalnum()]
+            spans.append((solid[0], solid[-1] + 1) if solid else (a, a))
+        weights = [self._hit(text[a:b].lower()) if b > a else None for a, b in spans]
+        most = plain = quoted = beside = 0.0
+        for i, w in enumerate(weights):
+            if w is None:
+                continue
+            lo, hi = max(0, i - toxicity.WINDOW), min(len(runs) - 1, i + toxicity.WINDOW)
+            marks = lambda a, b: sum(c in toxicity.QUOTES for c in text[max(a, 0) : b])
+            is_quoted = marks(spans[lo][0] - 1, spans[i][0]) % 2 == 1 and marks(spans[i][1], spans[hi][1] + 1) >= 1
+            most = max(most, (0.5 if is_quoted else 1.0) * w)
+            plain, quoted = plain + w * (not is_quoted), quoted + w * is_quoted
+            beside += w * any(weights[k] is not None for k in range(lo, hi + 1) if k != i)
+        total = plain + quoted
+        return [most, math.log1p(plain), math.log1p(quoted), math.log1p(beside), math.log1p(1000.0 * total / max(len(runs), 1))]
+
+
+@given(st.lists(st.lists(st.sampled_from(["idiot", '"idiot"', "idoit", "1diot", "scum", "scumm", '"', "lower", "lowest", '("low",', "fine", "words", "of.", "“scum”", "Idiot!"]), max_size=30), min_size=1, max_size=4))
+@settings(max_examples=120, deadline=None)
+def test_toxicity_against_plain_lexicon(texts):
+    terms = [("idiot", False), ("scum", False), ("lowe", True)]
+    model = toxicity.Model(toxicity.Automaton(terms, swaps=True), np.array([4.0, 3.0, 2.0]), np.array([2.5, 1.5, 0.0]), np.ones(5), 0.0, {"1diot": 3.5})
+    plain, rows = _PlainLexicon(model, terms), [" ".join(t) for t in texts]
+    assert model.features(rows)[0] == pytest.approx(np.array([plain.features(t) for t in rows]))
+
+
 def test_score_does_not_depend_on_the_batch():
     net = quality_net.Net.fresh()
     texts = [b"first text of the batch", b"", b"another one!! && " * 9, b"z"]
