@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from ..functions import dot
 
 
 def item_embeddings(sequences: DataFrame, column: str, size: int = 16, seed: int = 0, min_count: int = 1, steps: int = 1) -> DataFrame:
-    """id (text) and vector of every item, learned from lists of items."""
+    """id (text) and vector of every item, learned from lists of items. Lists are dealt to as many tasks as the session runs at
+    once, each of which trains on its own before their vectors are averaged."""
     texts = sequences.select(F.transform(column, lambda x: x.cast("string")).alias("words")).where(F.size("words") > 0)
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=steps, inputCol="words", outputCol="v").fit(texts)
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=steps, numPartitions=sequences.sparkSession.sparkContext.defaultParallelism, inputCol="words", outputCol="v").fit(texts)
     return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vector"))
 
 
@@ -21,8 +23,8 @@ def attention_pool(df: DataFrame, vectors: DataFrame, key: str, target: str, his
     """key and `interest`, for each row the attention-weighted sum of its history items' vectors; `vectors` is (id, vector).
 
     The score of an item is its dot product with the target's vector, divided by the root of the dimension if scaled. Rows
-    without a scored item have a NULL interest, which stands for a zero vector. Vectors are taken apart and summed by
-    dimension where their row already is, so that one shuffle by key serves all steps."""
+    without a scored item have a NULL interest, which stands for a zero vector. Each item stays one row, whose vector is added
+    up where its key's rows already are, so that one shuffle by key serves all steps."""
     items = df.select(F.col(key).alias("_key"), F.col(target).cast("string").alias("_target"), F.explode(history).alias("_item"))
     told = vectors.select(F.col("id").cast("string").alias("_id"), F.col("vector").alias("_vec"))
     joined = items.join(told.select(F.col("_id").alias("_ti"), F.col("_vec").alias("_tv")), F.col("_target") == F.col("_ti"))
@@ -32,10 +34,8 @@ def attention_pool(df: DataFrame, vectors: DataFrame, key: str, target: str, his
     same = Window.partitionBy("_key")
     weight = F.exp(F.col("_s") - F.max("_s").over(same))
     weighed = scored.withColumn("_w", weight).withColumn("_w", F.col("_w") / F.sum("_w").over(same))
-    parts = weighed.select("_key", "_w", F.posexplode("_vec").alias("_pos", "_x"))
-    sums = parts.groupBy("_key", "_pos").agg(F.sum(F.col("_w") * F.col("_x").cast("double")).alias("_x"))
-    pooled = sums.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", "_x"))).alias("_l"))
-    pooled = pooled.select("_key", F.transform("_l", lambda p: p["_x"]).alias("interest"))
+    own = weighed.select("_key", "_w", array_to_vector(F.col("_vec").cast("array<double>")).alias("_vec"))
+    pooled = own.groupBy("_key").agg(Summarizer.sum(F.col("_vec"), F.col("_w")).alias("_sum")).select("_key", vector_to_array("_sum").alias("interest"))
     return df.select(F.col(key)).join(pooled, F.col(key) == F.col("_key"), "left").select(key, "interest")
 
 

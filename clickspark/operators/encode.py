@@ -8,31 +8,27 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import cross, pad
 
-#: Ranges of values that are numbered apart.
-RANGES = 64
+#: Ranges of values that are numbered apart, and values looked at for each range's bound.
+RANGES, LOOKED_AT = 64, 50
 
 
 def numbered(values: DataFrame, offset: int = 0) -> DataFrame:
     """value and id for a table of distinct values, in value order from `offset`.
 
-    Values are dealt into ranges by quantiles of their own order, or for texts of their first characters; each range is
-    numbered by itself and moved by the number of values in the ranges before it, so no window spans all values. The quantiles
-    are found in the plan, without a look at the driver."""
-    if isinstance(values.schema["value"].dataType, StringType):
-        part = F.substring("value", 1, 2)
-    else:
-        bounds = values.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)])).scalar()
-        values = values.withColumn("_bounds", bounds)
-        part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("value"))), F.lit(0))
-    dealt = values.withColumn("_part", part)
+    Values are dealt into ranges of nearly equal size; each range is numbered by itself and moved by the number of values in the
+    ranges before it, so no window spans all values. The bounds are every `LOOKED_AT`-th of a fixed number of values chosen by
+    hash, found in the plan without a look at the driver. They only place values: each value is numbered whatever the bounds."""
+    few = values.orderBy(F.xxhash64("value"), "value").limit(RANGES * LOOKED_AT).agg(F.sort_array(F.collect_list("value")).alias("_l"))
+    bounds = few.select(F.filter("_l", lambda x, i: i % LOOKED_AT == LOOKED_AT - 1)).scalar()
+    part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("value"))), F.lit(0))
+    dealt = values.withColumn("_bounds", bounds).withColumn("_part", part).drop("_bounds")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1
-    return dealt.join(F.broadcast(before), "_part").select("value", (own + F.col("_before") + offset).cast("long").alias("id"))
+    return dealt.join(F.broadcast(before), "_part").select("value", (own + F.col("_before") + offset).cast("long").alias("id"))  # at most RANGES + 1 rows are broadcast
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

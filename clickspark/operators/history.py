@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,28 +26,43 @@ def _named(df: DataFrame, prefix: str, keys: Sequence[str], imp: Column, clk: Co
 
 
 def history(df: DataFrame, keys: Sequence[str], prefix: str, order: Sequence[str], label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
-    """Earlier rows and earlier labels of the key in row order; `order` must end in a tie-breaker. One window, so one shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """Earlier rows and earlier labels of the key in row order; `order` must end in a tie-breaker. One window, so one shuffle, for
+    keys that no task is too small for; others take `history_by_day`."""
+    w = Window.partitionBy(*keys, "_spread").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return _named(df, prefix, keys, F.row_number().over(w) - 1, F.sum(label).over(before), a, b)
+    return _named(df.withColumn("_spread", _spread(keys, df.columns)), prefix, keys, F.row_number().over(w) - 1, F.sum(label).over(before), a, b).drop("_spread")
 
 
-def history_strict(df: DataFrame, keys: Sequence[str], prefix: str, time: str, label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
-    """As `history`, but only rows at strictly earlier times count, so that ties never see each other."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    return _named(df, prefix, keys, F.count("*").over(w), F.sum(label).over(w), a, b)
+def _spread(keys: Sequence[str], columns: Sequence[str]) -> Column:
+    """Zero for rows with all key parts. Others have a fixed result, so they are dealt into many parts instead of meeting."""
+    return F.when(_present(keys), F.lit(0)).otherwise(F.pmod(F.xxhash64(*columns), F.lit(1024)).cast("int"))
 
 
-def history_by_day(df: DataFrame, keys: Sequence[str], prefix: str, order: Sequence[str], day: Column, label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
-    """The same result as `history` when `order` begins with a time and `day` is that time's day. Windows span one day of a
-    key, and what came before the day is added from day totals, so that a very frequent key is not one task's work."""
+def _by_day(df: DataFrame, keys: Sequence[str], prefix: str, day: Column, label: str, own: Column, imp: Callable, frame: Callable, a: float, b: float) -> DataFrame:
+    """Counts of the key's earlier days from day totals, and `imp` and the labels of `frame` within the day."""
     kept = df.columns
-    rows = df.withColumn("_day", day)
-    totals = rows.where(_present(keys)).groupBy(*keys, "_day").agg(F.count("*").alias("_n"), F.sum(label).alias("_c"))
+    rows = df.withColumns({"_day": day, "_spread": _spread(keys, kept)})
+    totals = rows.where(_present(keys)).groupBy(*keys, "_day", "_spread").agg(F.count("*").alias("_n"), F.sum(label).alias("_c"))
     past = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_day", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_c0"))
-    w = Window.partitionBy(*keys, "_day").orderBy(*order)
-    own = rows.withColumns({"_i": F.row_number().over(w) - 1, "_l": F.coalesce(F.sum(label).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    joined = own.join(totals, [*keys, "_day"], "left")
+    totals = totals.select(*keys, "_day", "_spread", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_c0"))
+    w = Window.partitionBy(*keys, "_day", "_spread").orderBy(own)
+    within = rows.withColumns({"_i": imp(w), "_l": F.coalesce(F.sum(label).over(frame(w)), F.lit(0))})
+    joined = within.join(totals, [*keys, "_day", "_spread"], "left")
     out = _named(joined, prefix, keys, F.col("_n0") + F.col("_i"), F.col("_c0") + F.col("_l"), a, b)
     return out.select(*kept, f"{prefix}_hist_imp", f"{prefix}_hist_clk", f"{prefix}_hist_ctr")
+
+
+def history_by_day(df: DataFrame, keys: Sequence[str], prefix: str, order: Sequence[str], day: Column, label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
+    """The same result as `history` when `order` begins with a time and `day` is that time's day. Windows span one day of a
+    key, and what came before the day is added from day totals, so that a very frequent key is not one task's work."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    return _by_day(df, keys, prefix, day, label, F.struct(*order), lambda w: F.row_number().over(w) - 1, before, a, b)
+
+
+def history_strict(df: DataFrame, keys: Sequence[str], prefix: str, time: str, day: Column | None = None, label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
+    """As `history`, but only rows at strictly earlier times count, so that ties never see each other. Windows span one
+    `day` of a key, by default the time's own."""
+    at = F.col(time).cast("timestamp")
+    before = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
+    day = F.to_date(at) if day is None else day
+    return _by_day(df, keys, prefix, day, label, F.unix_micros(at), lambda w: F.count("*").over(before(w)), before, a, b)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profile import distinct_users
+
 
 def attach_ads(exposures: DataFrame, ads: DataFrame, key: str = "adgroup_id") -> DataFrame:
     """Every exposure once, with its ad's columns or NULLs; a NULL key matches nothing. Keys of ads must be unique."""
@@ -17,7 +19,7 @@ def attach_profiles(exposures: DataFrame, profiles: DataFrame, user: str = "user
 
 def restrict_to_users(log: DataFrame, exposures: DataFrame, user: str = "user_key") -> DataFrame:
     """Behaviours of users that were exposed at least once."""
-    return log.join(exposures.select(user).distinct(), user, "left_semi")
+    return log.join(distinct_users(exposures, user), user, "left_semi")
 
 
 def vocab_lookup(df: DataFrame, vocabulary: DataFrame, column: str, out: str, unknown: int = 1) -> DataFrame:

@@ -38,10 +38,15 @@ def _prepared(df: DataFrame, texts: Sequence[str], dense: Sequence[str]) -> Data
     return df.withColumns({f"_{c}": F.col(c).cast("string") for c in texts} | {f"_{c}": F.col(c).cast("double") for c in dense})
 
 
-def _inputs(texts: Sequence[str], dense: Sequence[str], scale: bool = True) -> list:
-    """Stages up to `features`: one-hot categories, and dense columns imputed by the training mean and scaled."""
+def _inputs(texts: Sequence[str], dense: Sequence[str], scale: bool = True, hash_size: int | None = None) -> list:
+    """Stages up to `features`: one-hot categories, or categories hashed into `hash_size` places, which bounds the width whatever
+    their number; and dense columns imputed by the training mean and scaled."""
     stages, parts = [], []
-    if texts:
+    if texts and hash_size is not None:
+        names = [f"_{c}" for c in texts]
+        stages.append(FeatureHasher(inputCols=names, outputCol="_hashed", numFeatures=hash_size, categoricalCols=names))
+        parts.append("_hashed")
+    elif texts:
         stages += [
             StringIndexer(inputCols=[f"_{c}" for c in texts], outputCols=[f"_{c}_i" for c in texts], handleInvalid="keep"),
             OneHotEncoder(inputCols=[f"_{c}_i" for c in texts], outputCols=[f"_{c}_h" for c in texts], dropLast=True),
@@ -59,21 +64,15 @@ def _fit(train: DataFrame, texts: Sequence[str], dense: Sequence[str], stages: l
     return Fitted(Pipeline(stages=stages).fit(_prepared(train, texts, dense)), texts, dense)
 
 
-def fit_lr(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", c: float = 1.0, max_iter: int = 100) -> Fitted:
-    """L2 logistic regression; Spark averages the loss, so the penalty is 1 / (c n)."""
-    lr = LogisticRegression(labelCol=label, maxIter=max_iter, regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False)
-    return _fit(train, categories, dense, [*_inputs(categories, dense), lr])
+def fit_lr(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", c: float = 1.0, max_iter: int = 100, hash_size: int | None = None) -> Fitted:
+    """L2 logistic regression; Spark averages the loss, so the penalty is 1 / (c n). Categories are hashed if hash_size is given."""
+    lr = LogisticRegression(labelCol=label, maxIter=max_iter, regParam=1.0 / (c * max(train.count(), 1)), elasticNetParam=0.0, standardization=False, tol=1e-9)
+    return _fit(train, categories, dense, [*_inputs(categories, dense, hash_size=hash_size), lr])
 
 
 def fit_wide(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", hash_size: int | None = None) -> Fitted:
     """The linear part over categories, crosses among them, and dense columns; hashed if hash_size is given."""
-    lr = LogisticRegression(labelCol=label, maxIter=100, regParam=1.0 / max(train.count(), 1), standardization=False)
-    if hash_size is None:
-        return _fit(train, categories, dense, [*_inputs(categories, dense), lr])
-    hasher = FeatureHasher(inputCols=[f"_{c}" for c in categories], outputCol="_hashed", numFeatures=hash_size, categoricalCols=[f"_{c}" for c in categories])
-    stages = _inputs([], dense)
-    stages[-1] = VectorAssembler(inputCols=["_hashed", "_scaled"], outputCol="features")
-    return _fit(train, categories, dense, [hasher, *stages, lr])
+    return fit_lr(train, categories, dense, label, hash_size=hash_size)
 
 
 def fit_gbt(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", rounds: int = 45, leaves: int = 3, rate: float = 0.1, subsample: float = 1.0, bins: int = 256, validation: str | None = None, seed: int = 0) -> Fitted:
@@ -88,16 +87,17 @@ def fit_gbt(train: DataFrame, categories: Sequence[str], dense: Sequence[str], l
     return _fit(train, categories, dense, [*stages, assembler, gbt])
 
 
-def fit_cross(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", rank: int = 8, max_iter: int = 50, rate: float = 0.05, seed: int = 0) -> Fitted:
+def fit_cross(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", rank: int = 8, max_iter: int = 50, rate: float = 0.05, seed: int = 0, hash_size: int | None = None) -> Fitted:
     """A factorisation machine: low-rank crosses of all pairs of inputs."""
     fm = FMClassifier(labelCol=label, factorSize=rank, maxIter=max_iter, stepSize=rate, seed=seed)
-    return _fit(train, categories, dense, [*_inputs(categories, dense), fm])
+    return _fit(train, categories, dense, [*_inputs(categories, dense, hash_size=hash_size), fm])
 
 
-def fit_deep(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", hidden: Sequence[int] = (64, 32), max_iter: int = 100, seed: int = 0) -> Fitted:
-    """A multilayer perceptron over one-hot categories and scaled dense columns."""
+def fit_deep(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", hidden: Sequence[int] = (64, 32), max_iter: int = 100, seed: int = 0, hash_size: int | None = 256) -> Fitted:
+    """A multilayer perceptron over hashed categories and scaled dense columns. Its first layer is dense, so its width is bounded by
+    hash_size; one-hot categories (hash_size None) are for columns with few values."""
     prepared = _prepared(train, categories, dense)
-    inputs = Pipeline(stages=_inputs(categories, dense)).fit(prepared)
+    inputs = Pipeline(stages=_inputs(categories, dense, hash_size=hash_size)).fit(prepared)
     ready = inputs.transform(prepared)
     width = len(ready.select("features").first()[0])
     net = MultilayerPerceptronClassifier(labelCol=label, layers=[width, *hidden, 2], maxIter=max_iter, seed=seed).fit(ready)

@@ -54,8 +54,8 @@ def head(df: DataFrame, key: Sequence[str], n: int = 5) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows, chosen by hash of the key, the same whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """Exactly n rows, chosen by hash of seed and key, the same whatever the partitioning."""
+    return sample_by_rank(df, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key, n)
 
 
 def sample_by_rank(df: DataFrame, rank: Column, key: str, n: int) -> DataFrame:
@@ -67,6 +67,11 @@ def last_dates(df: DataFrame, k: int, date: str = "date") -> DataFrame:
     return df.select(date).where(F.col(date).isNotNull()).distinct().orderBy(F.desc(date)).limit(k)
 
 
+def distinct_users(df: DataFrame, user: str = "user_key") -> DataFrame:
+    """Each user once; rows without a user count for nobody."""
+    return df.select(user).where(F.col(user).isNotNull()).distinct()
+
+
 def behavior_counts_per_user(log: DataFrame, user: str = "user_key") -> DataFrame:
     return log.groupBy(user).agg(F.count("*").alias("n_behaviors"))
 
@@ -90,7 +95,7 @@ def mean_max(df: DataFrame, column: str) -> DataFrame:
 
 def log_coverage(log: DataFrame, exposures: DataFrame, user: str = "user_key", brand: str = "brand") -> DataFrame:
     """hit_rows, hit_users, user_share and brand_missing of the behaviours of exposed users."""
-    exposed = exposures.select(user).distinct()
+    exposed = distinct_users(exposures, user)
     hits = log.join(exposed, user, "left_semi").agg(F.count("*").alias("hit_rows"), F.count_distinct(user).alias("hit_users"), F.avg(F.col(brand).isNull().cast("int")).alias("brand_missing"))
     total = exposed.agg(F.count("*")).scalar()
     return hits.withColumn("user_share", F.col("hit_users") / total)

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..functions import LOCAL_ZONE, dot, epoch_to_ntz, field_of, local_time, logistic, mask, minus, smoothed_rate, times
 from ..operators import attention, clean, encode, history, lookup, metrics, models, profile, sequences, split
 from . import fixtures, samples
@@ -181,20 +183,23 @@ def _counters(df: DataFrame, prefix: str) -> DataFrame:
 _ORDER = ["ts", "event_id"]
 
 
+def _local_day() -> Column:
+    return F.to_date(local_time(F.col("ts"), LOCAL_ZONE))
+
+
 @_query(_counter_sql("ad", "adgroup_id", 0.5, 10.0))
 def hist_ad(spark, sf_dir):
-    day = F.to_date(local_time(F.col("ts"), LOCAL_ZONE))
-    return _counters(history.history_by_day(_wide(spark, sf_dir), ["adgroup_id"], "ad", _ORDER, day, a=0.5, b=10.0), "ad")
+    return _counters(history.history_by_day(_wide(spark, sf_dir), ["adgroup_id"], "ad", _ORDER, _local_day(), a=0.5, b=10.0), "ad")
 
 
 @_query(_counter_sql("user", "user_key", 0.25, 5.0))
 def hist_user(spark, sf_dir):
-    return _counters(history.history(_wide(spark, sf_dir), ["user_key"], "user", _ORDER), "user")
+    return _counters(history.history_by_day(_wide(spark, sf_dir), ["user_key"], "user", _ORDER, _local_day()), "user")
 
 
 @_query(_counter_sql("user_cate", "user_key, cate_id", 0.25, 5.0))
 def hist_user_cate(spark, sf_dir):
-    return _counters(history.history(_wide(spark, sf_dir), ["user_key", "cate_id"], "user_cate", _ORDER), "user_cate")
+    return _counters(history.history_by_day(_wide(spark, sf_dir), ["user_key", "cate_id"], "user_cate", _ORDER, _local_day()), "user_cate")
 
 
 @_query(_counter_sql("ad", "adgroup_id", 0.5, 10.0, "range between unbounded preceding and interval 1 microsecond preceding", "ts"))
@@ -302,9 +307,18 @@ def time_range(spark, sf_dir):
     return out.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_time", "last_time")))
 
 
-@_query()
+_SHAPE = ["event_id bigint", "user_key bigint", "ts timestamp_ntz", "adgroup_id bigint", "pid string", "clk int"]
+
+
+@_query("+ shape as (select unnest([" + ", ".join(f"{{'position': {i}, 'column_name': '{c.split()[0]}', 'type': '{c.split()[1]}'}}" for i, c in enumerate(_SHAPE)) + """], recursive := true))
+  select position, column_name, type, n_rows from shape cross join (select count(*) as n_rows from exposures)""")
 def table_summary(spark, sf_dir):
-    return profile.table_summary(_wide(spark, sf_dir))
+    return profile.table_summary(fixtures.exposures(spark, sf_dir).select(*(c.split()[0] for c in _SHAPE)))
+
+
+@_query(" select distinct user_key from exposures where user_key is not null")
+def distinct_users(spark, sf_dir):
+    return profile.distinct_users(fixtures.exposures(spark, sf_dir))
 
 
 @_query(" select event_id, user_key, adgroup_id from exposures order by event_id limit 5")
@@ -369,8 +383,13 @@ def day_count_audit(spark, sf_dir):
 _SAMPLE = 100
 
 
-@_query(f" select event_id, user_key from exposures order by (event_id * 7919) % 10007, event_id limit {_SAMPLE}")
+@_query(f" select event_id, user_key from exposures order by md5('7:' || event_id::varchar), event_id limit {_SAMPLE}")
 def sample_rows(spark, sf_dir):
+    return profile.sample_rows(fixtures.exposures(spark, sf_dir), "event_id", _SAMPLE, seed=7).select("event_id", "user_key")
+
+
+@_query(f" select event_id, user_key from exposures order by (event_id * 7919) % 10007, event_id limit {_SAMPLE}")
+def sample_by_rank(spark, sf_dir):
     return profile.sample_by_rank(fixtures.exposures(spark, sf_dir), F.col("event_id") * 7919 % 10007, "event_id", _SAMPLE).select("event_id", "user_key")
 
 
@@ -416,7 +435,7 @@ _SHARED = _LOG + """ , recent as (select * from seen where back <= 20),
 
 def _with_history(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     log = fixtures.behaviors(spark, sf_dir)
-    out = sequences.asof_history(lookup.attach_ads(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir)), log, ["item", "cate", "brand"], n)
+    out = sequences.asof_history(lookup.attach_ads(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir)), log, ["item", "cate", "brand"], n, part=F.to_date("ts"))
     return out.withColumns({"cates": field_of(F.col("hist"), "cate"), "items": field_of(F.col("hist"), "item"), "brands": field_of(F.col("hist"), "brand")})
 
 
@@ -625,49 +644,127 @@ def network_sample(spark, sf_dir):
 
 @_query(_COUNTED + """ , logs as (select *, row_number() over (partition by user_key order by ts, event_id) as r from behaviors where btag = 'pv'),
   seen as (select e.event_id, l.cate, l.brand, l.r, row_number() over (partition by e.event_id order by l.r desc) as back from exposures e join logs l on l.user_key = e.user_key and l.ts < e.ts),
-  lists as (select event_id, string_agg(cate::varchar, ',' order by r) as cates, string_agg(coalesce(brand::varchar, ''), ',' order by r) as brands, count(*) as n from seen where back <= 20 group by event_id)
+  lists as (select event_id, string_agg(cate::varchar, ',' order by r) as cates, string_agg(coalesce(brand::varchar, ''), ',' order by r) as brands, count(*) as n from seen where back <= 220 group by event_id)
   select event_id, """ + _names([*samples._NETWORK, *samples._TIME, *samples._NETWORK_COUNTERS, "gender_cate_cross"], {"brand": "coalesce(brand, -1)", "price": "round(price, 6)"})
   + ", coalesce(cates, '') as hist_cate_seq, coalesce(brands, '') as hist_brand_seq, coalesce(n, 0) as seq_len from counted left join lists using (event_id)")
 def sequence_sample(spark, sf_dir):
-    out = samples.sequence_sample(*_parts(spark, sf_dir), fixtures.behaviors(spark, sf_dir), n=20)
+    out = samples.sequence_sample(*_parts(spark, sf_dir), fixtures.behaviors(spark, sf_dir))
     return _plain(out.drop("ts"))
 
 
-_CATEGORIES, _DENSE = ["pid", "final_gender_code", "age_level", "campaign_id"], ["price", "shopping_level"]
+def _seconds() -> Column:
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("time_stamp")
 
 
-def _fit_and_score(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes, beside the checkpoints that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}"
+
+
+@_query(" select user_key as user, floor(epoch(ts))::bigint as time_stamp, adgroup_id, pid, 1 - clk as nonclk, clk from exposures")
+def read_exposures(spark, sf_dir):
+    """Exposures written as CSV and read through their reader."""
+    told = fixtures.exposures(spark, sf_dir)
+    folder = _folder(spark, "exposures-csv")
+    sources.write_sample(told.select(F.col("user_key").alias("user"), _seconds(), "adgroup_id", "pid", (1 - F.col("clk")).alias("nonclk"), "clk"), folder, "csv")
+    return sources.read_exposures(spark, folder)
+
+
+@_query(" select adgroup_id, cate_id, brand, round(price, 6) as price from ads")
+def read_ads(spark, sf_dir):
+    """Ads written as CSV, headers with blanks and missing numbers as NaN, and read through their reader."""
+    told, folder = fixtures.ads(spark, sf_dir), _folder(spark, "ads-csv")
+    named = told.select("adgroup_id", "cate_id", F.hash("campaign_id").cast("long").alias(" campaign_id"), F.lit(1).alias("customer "), "brand", F.coalesce("price", F.lit(float("nan"))).alias("price"))
+    sources.write_sample(named, folder, "csv")
+    return sources.read_ads(spark, folder).select("adgroup_id", "cate_id", "brand", _r("price"))
+
+
+@_query(" select userid, cms_segid, pvalue_level, new_user_class_level from profiles")
+def read_profiles(spark, sf_dir):
+    folder = _folder(spark, "profiles-csv")
+    sources.write_sample(fixtures.profiles(spark, sf_dir), folder, "csv")
+    return sources.read_profiles(spark, folder).select("userid", "cms_segid", "pvalue_level", "new_user_class_level")
+
+
+@_query(" select user_key as user, floor(epoch(ts))::bigint as time_stamp, cate, brand from behaviors where btag = 'pv' and user_key in (select user_key from exposures)")
+def materialize_behaviors(spark, sf_dir):
+    """The prepared log of exposed users, written once by the content of both inputs."""
+    log = fixtures.behaviors(spark, sf_dir).select(F.col("user_key").alias("user"), _seconds(), "btag", "cate", "brand")
+    users = fixtures.exposures(spark, sf_dir).select(F.col("user_key").alias("user"))
+    return sources.materialize_behaviors(log, users, _folder(spark, "prepared-log")).select("user", "time_stamp", "cate", "brand")
+
+
+@_query(_LAST + """ , cats as (select pid as p, row_number() over (order by pid) - 1 as i, count(*) over () as k from (select distinct pid from parts where split = 'train'))
+  select event_id, (select string_agg(case when j = i then '1' else '0' end, ',' order by j) from generate_series(0, k - 1) s(j)) as pid_hot from parts join cats on pid = p where split = 'valid'""")
+def one_hot(spark, sf_dir):
     train, valid = split.split_last_date(_dated(spark, sf_dir))
+    hot = vector_to_array("pid_hot").cast("array<int>")
+    return encode.one_hot(train, ["pid"]).transform(valid).withColumn("pid_hot", hot).select("event_id", _joined("pid_hot"))
+
+
+@_query(_WIDE + " select event_id, round(coalesce(price, 0), 6) as first, clk::double as last, 3 as width from wide")
+def assemble(spark, sf_dir):
+    rows = _wide(spark, sf_dir).withColumns({"price": F.coalesce("price", F.lit(0.0)), "_one": F.lit(1.0)})
+    told = encode.assemble(rows, ["price", "_one", "clk"]).withColumn("v", vector_to_array("features"))
+    return told.select("event_id", _r(F.get("v", F.lit(0)), "first"), _r(F.get("v", F.lit(2)), "last"), F.size("v").alias("width"))
+
+
+#: The inputs of each kind of model.
+_LR = (["hour", "weekday", "pid", "cate_id", "cms_group_id", "final_gender_code", "occupation"], ["age_level", "shopping_level"])
+_COUNTERS = ["ad_hist_imp", "ad_hist_clk", "user_hist_imp", "user_hist_clk", "user_hist_ctr", "user_cate_hist_imp", "user_cate_hist_clk", "user_cate_hist_ctr"]
+_TREES = (["hour", "weekday", "pid", "cate_id", "cms_group_id", "final_gender_code", "occupation", "brand"], ["price", "age_level", "shopping_level", *_COUNTERS])
+_NET = ([*_TREES[0], "cms_segid"], _TREES[1])
+_LINEAR = (["gender_cate_cross", "pid", "hour", "weekday", "cate_id", "brand"], ["price", "ad_hist_imp", "ad_hist_clk", "user_hist_ctr", "user_cate_hist_ctr"])
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows with event_id, time parts, counters and the cross. They are kept in memory or on disk, since a
+    fit reads them many times."""
+    wide = samples.wide(*_parts(spark, sf_dir))
+    out = clean.add_time_parts(samples.counters(wide), "ts", LOCAL_ZONE)
+    out = encode.add_cross(clean.fill_unknown(out, ["brand"]), "final_gender_code", "cate_id", "gender_cate_cross")
+    return split.split_last_date(out.select("event_id", "clk", "date", *dict.fromkeys(c for group in (_LR, _NET, _LINEAR) for part in group for c in part)).persist())
+
+
+def _fit_and_score(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    train, valid = _model_rows(spark, sf_dir)
     return models.score(fit(train), valid).select("event_id", "clk", _r("score"))
 
 
 @_query()
 def score_lr(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, lambda t: models.fit_lr(t, _CATEGORIES, _DENSE))
+    return _fit_and_score(spark, sf_dir, lambda t: models.fit_lr(t, *_LR))
 
 
 @_query()
 def score_gbt(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, lambda t: models.fit_gbt(t, _CATEGORIES, _DENSE, rounds=10))
+    return _fit_and_score(spark, sf_dir, lambda t: models.fit_gbt(t, *_TREES))
+
+
+@_query()
+def score_gbt_early(spark, sf_dir):
+    """Boosting that stops once a tenth of the training rows, held out by hash, no longer gains."""
+    def fit(train):
+        held = train.withColumn("held", F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+        return models.fit_gbt(held, *_TREES, leaves=31, subsample=0.8, validation="held")
+
+    return _fit_and_score(spark, sf_dir, fit)
 
 
 @_query()
 def score_cross(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, lambda t: models.fit_cross(t, _CATEGORIES, _DENSE, max_iter=20))
+    return _fit_and_score(spark, sf_dir, lambda t: models.fit_cross(t, *_NET))
 
 
 @_query()
 def score_wide(spark, sf_dir):
-    def fit(train):
-        return models.fit_wide(train, [*_CATEGORIES, "cross"], _DENSE, hash_size=1 << 12)
-
-    train, valid = split.split_last_date(encode.add_cross(_dated(spark, sf_dir), "final_gender_code", "cate_id", "cross"))
-    return models.score(fit(train), valid).select("event_id", "clk", _r("score"))
+    return _fit_and_score(spark, sf_dir, lambda t: models.fit_wide(t, *_LINEAR, hash_size=1 << 12))
 
 
 @_query()
 def score_deep(spark, sf_dir):
-    return _fit_and_score(spark, sf_dir, lambda t: models.fit_deep(t, _CATEGORIES, _DENSE, max_iter=20))
+    return _fit_and_score(spark, sf_dir, lambda t: models.fit_deep(t, *_NET))
 
 
 @_query()
@@ -678,10 +775,10 @@ def item_embeddings(spark, sf_dir):
 
 @_query()
 def leaderboard(spark, sf_dir):
-    train, valid = split.split_last_date(_dated(spark, sf_dir))
+    train, valid = _model_rows(spark, sf_dir)
     return models.leaderboard(
         {
-            "lr": lambda t: models.fit_lr(t, _CATEGORIES, _DENSE), "lr_strong_penalty": lambda t: models.fit_lr(t, _CATEGORIES, _DENSE, c=0.01),
-            "gbt_3_leaves": lambda t: models.fit_gbt(t, _CATEGORIES, _DENSE, rounds=5), "gbt_8_leaves": lambda t: models.fit_gbt(t, _CATEGORIES, _DENSE, rounds=5, leaves=8),
+            "lr": lambda t: models.fit_lr(t, *_LR), "lr_strong_penalty": lambda t: models.fit_lr(t, *_LR, c=0.01),
+            "gbt_3_leaves": lambda t: models.fit_gbt(t, *_TREES), "gbt_8_leaves": lambda t: models.fit_gbt(t, *_TREES, leaves=8),
         }, train, valid,
-    )
+    ).drop("seconds")

@@ -20,11 +20,11 @@ def wide(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, user: str =
 
 
 def counters(df: DataFrame, time: str = "ts", tie: str = "event_id", user: str = "user_key", zone: str = LOCAL_ZONE) -> DataFrame:
-    """Counters of the ad, the user, and the user and category. Ads and users may be very frequent, so days are counted first."""
+    """Counters of the ad, the user, and the user and category. Any of them may be very frequent, so days are counted first."""
     day, order = F.to_date(local_time(F.col(time), zone)), [time, tie]
     df = history.history_by_day(df, ["adgroup_id"], "ad", order, day, a=0.5, b=10.0)
     df = history.history_by_day(df, [user], "user", order, day)
-    return history.history(df, [user, "cate_id"], "user_cate", order)
+    return history.history_by_day(df, [user, "cate_id"], "user_cate", order, day)
 
 
 def lr_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame) -> DataFrame:

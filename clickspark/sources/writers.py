@@ -28,13 +28,17 @@ def content_key(df: DataFrame) -> str:
 def materialize_behaviors(log: DataFrame, users: DataFrame, path: str, user: str = "user", time: str = "time_stamp", btag: str | None = "pv") -> DataFrame:
     """The log of the given users with one kind of behaviour, dealt by user and sorted by time within files, written once.
 
-    The folder is keyed by the rows of both inputs, so that other inputs never find an older result."""
+    The folder is keyed by the rows of both inputs, so that other inputs never find an older result. A mark is written after the
+    rows; without it what stands there is taken for a write that did not end, and is written again."""
     spark = log.sparkSession
     kept = log if btag is None else log.where(F.col("btag") == btag)
     kept = kept.join(users.select(user).distinct(), user, "left_semi")
     folder = f"{path}/{content_key(users.select(user).distinct())}-{content_key(log)}-{btag}"
     try:
-        return spark.read.parquet(folder)
-    except AnalysisException:
-        kept.repartition(user).sortWithinPartitions(user, time).write.mode("overwrite").parquet(folder)
-        return spark.read.parquet(folder)
+        spark.read.schema("done boolean").parquet(f"{folder}/done").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept.repartition(user).sortWithinPartitions(user, time).write.mode("overwrite").parquet(f"{folder}/rows")
+        spark.createDataFrame([(True,)], "done boolean").write.mode("overwrite").parquet(f"{folder}/done")
+    return spark.read.parquet(f"{folder}/rows")

@@ -1,6 +1,7 @@
 """Hand-made cases with known answers, equivalences, leak checks, and planted models."""
 
 import datetime
+import hashlib
 import math
 
 import numpy as np
@@ -42,6 +43,28 @@ def test_strict_counters_ignore_ties(cases):
     assert strict == AD | {4: (1, 1, 0.136364)}
 
 
+def test_strict_counters_by_day(cases):
+    for day in (F.date_trunc("minute", F.col("ts").cast("timestamp")), F.floor(F.second("ts") / 20)):
+        assert _told(history.history_strict(cases, ["ad"], "h", "ts", day, a=0.5, b=10.0), "h") == AD | {4: (1, 1, 0.136364)}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_frequent_key_is_not_one_task(spark, strict):
+    """One ad has half the rows and a third have none; every window has more than the key to deal rows by."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(hours=i // 3 * 2), 7 if i % 2 else None if i % 3 else i % 11, i % 5 == 0) for i in range(900)]
+    df = spark.createDataFrame([(i, t, k, int(c)) for i, t, k, c in rows], "rid long, ts timestamp_ntz, ad long, clk int").repartition(4)
+    day = F.to_date("ts")
+    found = history.history_strict(df, ["ad"], "h", "ts", day) if strict else history.history_by_day(df, ["ad"], "h", ["ts", "rid"], day)
+    told = {r["rid"]: (r["h_hist_imp"], r["h_hist_clk"]) for r in found.collect()}
+    for i, t, k, _ in rows:
+        before = [c for j, u, other, c in rows if other == k and (u < t or not strict and u == t and j < i)]
+        assert told[i] == ((None, 0) if k is None else (len(before), sum(before)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) >= 2 and all("_day" in line for line in windows)
+
+
 def test_later_rows_change_nothing(cases):
     early = cases.where("rid <= 4")
     whole = _told(history.history(cases, ["ad"], "h", ["ts", "rid"]), "h")
@@ -107,6 +130,17 @@ def test_many_values_are_numbered_alike(spark):
     assert [r["id"] for r in encode.numbered(numbers).orderBy("value").collect()] == list(range(167))
     texts = numbers.select(F.concat(F.lit("t"), F.col("value").cast("string")).alias("value"))
     assert [r["id"] for r in encode.numbered(texts, 2).orderBy("value").collect()] == list(range(2, 169))
+    many = spark.range(20_000).select(F.concat(F.lit("1_"), F.col("id").cast("string")).alias("value"))
+    assert [r["id"] for r in encode.numbered(many).orderBy("value").collect()] == list(range(20_000))
+
+
+def test_ranges_are_even(spark):
+    """Texts that begin alike are dealt evenly, so no window spans more than a small share of them."""
+    many = spark.range(20_000).select(F.concat(F.lit("prefix_"), F.col("id").cast("string")).alias("value"))
+    few = many.orderBy(F.xxhash64("value"), "value").limit(encode.RANGES * encode.LOOKED_AT).collect()
+    bounds = sorted(r[0] for r in few)[encode.LOOKED_AT - 1 :: encode.LOOKED_AT]
+    sizes = np.bincount(np.searchsorted(bounds, sorted(f"prefix_{i}" for i in range(20_000))))
+    assert len(bounds) == encode.RANGES and sizes.max() < 3 * 20_000 / encode.RANGES
 
 
 def test_one_hot(spark):
@@ -158,7 +192,14 @@ def test_missing_rates_and_coverage(spark):
 def test_sample_is_repeatable(spark):
     rows = spark.range(1000)
     one, two = (sorted(r[0] for r in profile.sample_rows(d, "id", 50, seed=3).collect()) for d in (rows.repartition(7), rows.repartition(2)))
-    assert one == two and len(one) == 50
+    assert one == two == sorted(sorted(range(1000), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())[:50])
+
+
+def test_assemble_and_users(spark):
+    rows = spark.createDataFrame([(1.0, 2, 7), (None, 4, None), (2.0, 0, 7)], "x double, k int, user_key long")
+    made = encode.assemble(rows, ["x", "k"]).collect()
+    assert made[0]["features"].toArray().tolist() == [1.0, 2.0] and math.isnan(made[1]["features"][0])
+    assert [r[0] for r in profile.distinct_users(rows).collect()] == [7]
 
 
 def test_attention_without_history(spark):
@@ -185,30 +226,46 @@ def test_samples(spark, small):
 
 @pytest.fixture(scope="module")
 def planted(spark):
+    """Rows to learn from and rows held out."""
     rng = np.random.default_rng(11)
-    n = 4000
+    n = 6000
     x, c = rng.normal(size=n), rng.choice(["a", "b", "c"], n)
     y = rng.random(n) < 1 / (1 + np.exp(-(-1 + 2 * x - 1.5 * (c == "b"))))
-    return spark.createDataFrame([(float(a), str(b), int(k)) for a, b, k in zip(x, c, y)], "x double, c string, clk int").cache()
-
-
-def test_planted_logistic(planted):
-    model = models.fit_lr(planted, ["c"], ["x"])
-    weights = model.model.stages[-1].coefficients.toArray()
-    order = model.model.stages[0].labelsArray[0]
-    b = order.index("b")
-    assert weights[-1] > 0 and all(weights[b] < weights[i] for i in range(3) if i != b)
-    assert metrics.auc(models.score(model, planted)).first()[0] > 0.75
+    rows = spark.createDataFrame([(float(a), str(b), int(k), i) for i, (a, b, k) in enumerate(zip(x, c, y))], "x double, c string, clk int, i int").cache()
+    return rows.where("i < 4000"), rows.where("i >= 4000")
+
+
+def test_logistic_optimum(planted):
+    """Coefficients equal those of Newton's method on the penalised loss."""
+    train, valid = planted
+    model = models.fit_lr(train, ["c"], ["x"])
+    order, rows = model.model.stages[0].labelsArray[0], train.collect()
+    x = np.array([r["x"] for r in rows])
+    z = np.column_stack([*(np.array([r["c"] == k for r in rows], float) for k in order), (x - x.mean()) / x.std(ddof=1), np.ones(len(rows))])
+    y, w, penalty = np.array([r["clk"] for r in rows], float), np.zeros(5), np.diag([1.0, 1.0, 1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (p - y) + penalty @ w)
+    last = model.model.stages[-1]
+    assert [*last.coefficients.toArray(), last.intercept] == pytest.approx(w, abs=1e-4)
+    assert metrics.auc(models.score(model, valid)).first()[0] > 0.75
 
 
 @pytest.mark.parametrize("fit", [
-    lambda t: models.fit_gbt(t, ["c"], ["x"], rounds=8), lambda t: models.fit_cross(t, ["c"], ["x"], rank=2, max_iter=40),
-    lambda t: models.fit_wide(t, ["c"], ["x"], hash_size=64), lambda t: models.fit_deep(t, ["c"], ["x"], hidden=(8,), max_iter=40),
+    lambda t: models.fit_gbt(t, ["c"], ["x"], rounds=8), lambda t: models.fit_cross(t, ["c"], ["x"], rank=2, max_iter=40), lambda t: models.fit_cross(t, ["c"], ["x"], rank=2, max_iter=40, hash_size=32),
+    lambda t: models.fit_wide(t, ["c"], ["x"], hash_size=64), lambda t: models.fit_deep(t, ["c"], ["x"], hidden=(8,), max_iter=40), lambda t: models.fit_deep(t, ["c"], ["x"], hidden=(8,), max_iter=40, hash_size=None),
 ])
 def test_planted_models(planted, fit):
-    assert metrics.auc(models.score(fit(planted), planted)).first()[0] > 0.72
+    train, valid = planted
+    assert metrics.auc(models.score(fit(train), valid)).first()[0] > 0.72
+
+
+def test_boosting_stops_early(planted):
+    train, valid = planted
+    model = models.fit_gbt(train.withColumn("held", F.col("i") % 5 == 0), ["c"], ["x"], rounds=60, leaves=32, rate=0.9, validation="held")
+    assert len(model.model.stages[-1].trees) < 60 and metrics.auc(models.score(model, valid)).first()[0] > 0.7
 
 
 def test_leaderboard(planted):
-    rows = models.leaderboard({"good": lambda t: models.fit_lr(t, ["c"], ["x"]), "poor": lambda t: models.fit_lr(t, ["c"], [])}, planted, planted).collect()
+    rows = models.leaderboard({"good": lambda t: models.fit_lr(t, ["c"], ["x"]), "poor": lambda t: models.fit_lr(t, ["c"], [])}, *planted).collect()
     assert [r["model"] for r in rows] == ["good", "poor"] and rows[0]["auc"] > rows[1]["auc"]

@@ -1,5 +1,7 @@
 """Readers and writers."""
 
+import shutil
+
 import pytest
 
 from clickspark import schemas, sources
@@ -40,5 +42,9 @@ def test_prepared_log(spark, tmp_path):
     assert again.inputFiles() == found.inputFiles()
     others = sources.materialize_behaviors(log, spark.createDataFrame([(2,)], "user long"), str(tmp_path / "log"))
     assert [r["cate"] for r in others.collect()] == [3]
+    for folder in (tmp_path / "log").iterdir():  # as if the writes had not ended
+        shutil.move(folder / "done", tmp_path / f"done of {folder.name}")
+        next((folder / "rows").glob("part-*")).unlink()
+    assert sorted(r["cate"] for r in sources.materialize_behaviors(log, users, str(tmp_path / "log")).collect()) == [1, 2]
     log.write.parquet(str(tmp_path / "raw"))
     assert sources.read_behaviors(spark, str(tmp_path / "raw"), ["user", "cate"]).columns == ["user", "cate"]
