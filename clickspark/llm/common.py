@@ -60,6 +60,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STE
             upto = max(at + 1, upto)
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()  # workers stay, and other stages need the room
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

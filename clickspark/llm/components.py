@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Parts into which the rows of a key are dealt before they are added up and told the result.
-SALTS = 64
+#: Parts into which the rows of a key are dealt before they are added up and told the result; rows that one task may always hold.
+SALTS, TASK_ROWS = 64, 1_000_000
 
 
-def with_totals(rows: DataFrame, key: str, other: str, totals: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+def with_totals(rows: DataFrame, key: str, other: str, totals: dict[str, tuple[Column, Callable[[Column], Column]]], n_rows: int | None = None) -> DataFrame:
     """Adds to each row the totals of all rows of its key; a total is (aggregate of rows, aggregate of such aggregates).
 
     The rows of a key are dealt into `SALTS` parts by column `other`. Parts are added up first, and each part then gets the
-    total once, so that the joins meet no more than a part of a frequent key's rows in one task."""
+    total once, so that the joins meet no more than a part of a frequent key's rows in one task. Of at most `TASK_ROWS` rows, if
+    their number is told, even all may meet, and no parts are made; the result is the same."""
+    if n_rows is not None and n_rows <= TASK_ROWS:
+        return rows.join(rows.groupBy(key).agg(*(part.alias(name) for name, (part, _) in totals.items())), key)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
     parts = salted.groupBy(key, "_salt").agg(*(part.alias(name) for name, (part, _) in totals.items()))
     whole = parts.groupBy(key).agg(*(add(F.col(name)).alias(name) for name, (_, add) in totals.items()))
@@ -33,9 +36,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
-        both = with_totals(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", least)
+        both = with_totals(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", least, 2 * mark[0])
         large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        small = with_totals(large, "a", "b", least)
+        small = with_totals(large, "a", "b", least, 2 * mark[0])
         now = cut(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         before, mark = mark, _mark(now)
         if before == mark:

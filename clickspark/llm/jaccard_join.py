@@ -319,7 +319,7 @@ def _checked(docs: DataFrame, compared: DataFrame, clusters: DataFrame, threshol
     """rep, root, n_links, n_text_links: links that hold, by the block in which they were found."""
     sized = clusters.join(compared.select(F.col("rep").alias("node"), "id", "key", "copies", "size").hint("merge"), "node").withColumnRenamed("node", "rep")
     blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("w") / BLOCK_SHINGLES))
-    inside = cut(with_totals(sized, "root", "rep", {"n": (F.count("*"), F.sum), "w": (F.sum("size"), F.sum)}).withColumn("blocks", blocks))
+    inside = cut(with_totals(sized, "root", "rep", {"n": (F.count("*"), F.sum), "w": (F.sum("size"), F.sum)}, clusters.count()).withColumn("blocks", blocks))
     texts = docs.select("doc_id", "text", _key().alias("_key"))
     texts = texts.join(inside.select("rep", "id", "key").hint("merge"), (texts.doc_id == F.col("id")) & (texts._key == F.col("key"))).select("rep", "text")
     sets = texts.mapInArrow(_sets, "rep long, set binary").dropDuplicates(["rep"])

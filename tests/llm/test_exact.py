@@ -295,7 +295,9 @@ def test_levels_end_when_nothing_survives(spark):
 # --- Jaccard join
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_rows", [0, 1_000_000])
+def test_components(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(components, "TASK_ROWS", task_rows)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {x: x for e in edges for x in e}
