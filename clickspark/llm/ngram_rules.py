@@ -6,7 +6,8 @@ one over trusted texts and one over the whole corpus, and smoothed by `SMOOTHING
 of its n-grams divided by their number; it is kept if the base rules pass and the score is at least `THRESHOLD`. The verdict
 is a plain comparison of each text with a fixed bound, so it is the same whenever it is taken.
 
-Bounds: the target is counted over at most `TRUSTED_ROWS` trusted texts, the corpus over all texts; the buckets are a constant.
+Bounds: the target is counted over all trusted texts, the corpus over all texts; the buckets are a constant. Texts meet their
+labels in a plain equi-join, which Spark turns into a broadcast only under its own threshold; rows without an id stay out of it.
 
 Edge cases: null text has no words and fails the base rules; a text without tokens scores 0; without trusted rows all ratios
 have the same sign and the threshold is measured against the smoothed target alone; repeated rows are counted and judged each;
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
-BUCKETS, SMOOTHING, THRESHOLD, TRUSTED_ROWS = 1 << 14, 1.0, -0.1, 20_000
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.1
 LEAST_WORDS, REPEAT_WORDS, MOST_REPEATED = 20, 8, 30
 
 _TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]+"
@@ -78,16 +79,17 @@ def _pair(h: Column, x: Column, i: Column) -> Column:
     return _bucket(F.xxhash64(x, F.get(h, i + 1)))
 
 
-def trusted(labels: DataFrame, label: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of a bounded sample of the rows labelled 1."""
-    told = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """Ids of all rows labelled 1, each once."""
+    return labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, target: DataFrame) -> list[float]:
     """The log ratio of target to corpus of every bucket; counts are added up where they arise, and a constant number of rows
     comes to the driver."""
-    flagged = docs.select("doc_id", "text").join(F.broadcast(target.withColumn("_t", F.lit(1))), "doc_id", "left")
+    rows = docs.select("doc_id", "text")
+    known = rows.where("doc_id is not null").join(target.withColumn("_t", F.lit(1)), "doc_id", "left")
+    flagged = known.unionByName(rows.where("doc_id is null").withColumn("_t", F.lit(0)))
     hashed = flagged.select(F.coalesce("_t", F.lit(0)).alias("t"), _token_hashes().alias("h"))
     h = F.col("h")
     grams = hashed.select("t", F.explode(F.concat(F.transform(h, _bucket), F.transform(h, lambda x, i: _pair(h, x, i)))).alias("b"))
