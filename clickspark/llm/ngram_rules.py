@@ -7,7 +7,7 @@ of its n-grams divided by their number; it is kept if the base rules pass and th
 is a plain comparison of each text with a fixed bound, so it is the same whenever it is taken.
 
 Bounds: the target is counted over all trusted texts, the corpus over all texts; the buckets are a constant. Texts meet their
-labels in a plain equi-join, which Spark turns into a broadcast only under its own threshold; rows without an id stay out of it.
+labels in an equi-join that shuffles both sides at every size; rows without an id stay out of it.
 
 Edge cases: null text has no words and fails the base rules; a text without tokens scores 0; without trusted rows all ratios
 have the same sign and the threshold is measured against the smoothed target alone; repeated rows are counted and judged each;
@@ -88,7 +88,7 @@ def log_ratios(docs: DataFrame, target: DataFrame) -> list[float]:
     """The log ratio of target to corpus of every bucket; counts are added up where they arise, and a constant number of rows
     comes to the driver."""
     rows = docs.select("doc_id", "text")
-    known = rows.where("doc_id is not null").join(target.withColumn("_t", F.lit(1)), "doc_id", "left")
+    known = rows.where("doc_id is not null").join(target.withColumn("_t", F.lit(1)).hint("merge"), "doc_id", "left")
     flagged = known.unionByName(rows.where("doc_id is null").withColumn("_t", F.lit(0)))
     hashed = flagged.select(F.coalesce("_t", F.lit(0)).alias("t"), _token_hashes().alias("h"))
     h = F.col("h")
