@@ -9,7 +9,7 @@ out of the share of equal bins.
 
 Edge cases: null text counts as empty; a text without words has a fingerprint of zeros; a text of one to four words has one
 shingle, all its words; equal texts have equal fingerprints whatever their ids; rows that share a doc_id are ordered by their
-text; null ids come last in descending order; a table of one row is its own neighbour; an empty table gives no rows; other
+text; null ids come last in descending order, by a hash of their text and then by text; a table of one row is its own neighbour; an empty table gives no rows; other
 input columns are ignored.
 """
 
@@ -22,8 +22,12 @@ from .common import WORD
 
 SHINGLE_WORDS, BINS, BIN_BITS, KEPT_BITS, ATTEMPTS = 5, 256, 8, 8, 24
 
-#: Text in a bucket of neighbouring documents, and the most buckets, whose bounds the driver holds.
-BUCKET_BYTES, MOST_BUCKETS, BOUNDS_A_LIST = 16 << 20, 8192, 64
+#: Text in a bucket of neighbouring documents, the most buckets, whose bounds the driver holds, and the most parts of each bucket,
+#: whose bounds are found and sent without it: at most MOST_BUCKETS * MOST_PARTS values.
+BUCKET_BYTES, MOST_BUCKETS, MOST_PARTS, BOUNDS_A_LIST = 16 << 20, 8192, 64, 64
+
+#: Null ids are placed below this value, spread by a hash; smaller ids share it as their place.
+_LOWEST = -(1 << 62)
 
 _SHIFT = 63 - BIN_BITS
 _CLOSED = (1 << _SHIFT) - 1
@@ -83,10 +87,12 @@ def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: st
     """Adds next_<column> of the row that follows in descending order of key; the first row follows the last. `prepare` adds
     costly columns to rows once their neighbours are known.
 
-    Rows are dealt into buckets of neighbouring keys by quantiles. Each bucket also gets the first row of the bucket after it,
-    so that no window spans the whole table and texts are shuffled once."""
+    Rows are dealt into buckets of neighbouring keys by quantiles, and these into parts where a table has more than `MOST_BUCKETS`
+    buckets of text. Each also gets the first row of the one after it, so that no window spans the whole table and texts are
+    shuffled once."""
     spark = rows.sparkSession
-    place = F.coalesce(F.col(key), F.lit(-(1 << 63)))
+    spread = F.shiftright(F.xxhash64(text), 2) + F.lit((1 << 61) - (1 << 63))
+    place = F.when(F.col(key).isNull(), spread).otherwise(F.greatest(F.col(key), F.lit(_LOWEST)))
     size = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     bounds = rows.agg(F.percentile_approx(place, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()[0] or []
@@ -97,15 +103,20 @@ def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: st
     coarse = rows.withColumn("_place", place).withColumn("_list", F.greatest(F.size(F.filter(lead, lambda b: b < F.col("_place"))) - 1, F.lit(0)))
     inner = F.size(F.filter(F.split(F.get(told, F.col("_list")), ",").cast("array<bigint>"), lambda b: b < F.col("_place"))) if bounds else F.lit(0)
     dealt = coarse.withColumn("_bucket", F.col("_list") * BOUNDS_A_LIST + inner).drop("_list")
+    parts = min(MOST_PARTS, -(-size // (BUCKET_BYTES * buckets)))
+    if parts > 1:
+        finer = dealt.groupBy("_bucket").agg(F.percentile_approx("_place", [i / parts for i in range(1, parts)], 100 * parts).alias("_bounds"))
+        below = F.size(F.filter("_bounds", lambda b: b < F.col("_place")))
+        dealt = dealt.join(F.broadcast(finer), "_bucket").withColumn("_bucket", F.col("_bucket") * parts + below).drop("_bounds")
 
     heads = dealt.groupBy("_bucket").agg(F.max("_place").alias("_place"))
     down = Window.orderBy(F.desc("_bucket"))
     wanted = heads.select("_place", F.coalesce(F.lag("_bucket").over(down), F.min("_bucket").over(Window.partitionBy())).alias("_to"))
     extra = dealt.drop("_bucket").join(F.broadcast(wanted), "_place")
-    one = F.row_number().over(Window.partitionBy("_to").orderBy(text))
+    one = F.row_number().over(Window.partitionBy("_to").orderBy(F.desc(key), text))
     extra = extra.withColumn("_one", one).where("_one = 1").drop("_one").withColumnRenamed("_to", "_bucket")
     both = prepare(dealt).withColumn("_extra", F.lit(False)).unionByName(prepare(extra).withColumn("_extra", F.lit(True)))
-    order = Window.partitionBy("_bucket").orderBy("_extra", F.desc("_place"), text)
+    order = Window.partitionBy("_bucket").orderBy("_extra", F.desc("_place"), F.desc(key), text)
     out = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where(~F.col("_extra"))
     return out.drop("_bucket", "_place", "_extra")
 

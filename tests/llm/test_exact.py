@@ -218,6 +218,19 @@ def test_next_over_many_buckets(spark):
     assert found == dict(zip(ids, [*ids[1:], ids[0]]))
 
 
+def test_next_over_parts_of_buckets(spark, monkeypatch):
+    """Few buckets with several parts each, ids beyond the placed range, repeated ids, and a third of the rows without an id."""
+    monkeypatch.setattr(fingerprints, "MOST_BUCKETS", 4)
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 64)
+    ids = [*range(0, 1400, 7), 63, 63, -5, -(1 << 62) - 9, -(1 << 63)]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)] + [(None, f"none {n}") for n in range(100)]
+    found = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["text"]: r["next_text"] for r in fingerprints.with_next(found, ["text"]).collect()}
+    signed = lambda t: (_spark_hash([t.encode()]) ^ 1 << 63) - (1 << 63)
+    order = [t for i, t in sorted(rows, key=lambda r: (r[0] is None, -r[0] if r[0] is not None else -(signed(r[1]) >> 2), r[1]))]
+    assert found == dict(zip(order, [*order[1:], order[0]]))
+
+
 # --- rules
 
 
