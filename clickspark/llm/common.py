@@ -35,6 +35,11 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """One row for each doc_id, with its smallest text (null: empty) and its label, so that an id with many rows teaches once."""
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation. Only a
     local session may do without spark.checkpoint.dir."""

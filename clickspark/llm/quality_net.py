@@ -11,7 +11,7 @@ scores cover all rows and whole texts of any length.
 
 Edge cases: null text counts as empty; a text is padded with zero bytes to whole chunks, so even an empty text has one;
 without labelled rows, or with one label alone, all scores are nearly the same; a null label or doc_id is not learned from;
-rows that repeat are scored each; other input columns are ignored by `score` and kept by `keep_good`.
+of rows that share an id the smallest text is learned from; rows that repeat are scored each; other input columns are ignored by `score` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, steps, text_bytes
+from .common import held_out, one_text_each, steps, text_bytes
 from .linear import fit_logistic, sigmoid
 
 FOLDS, HELD_OUT = 3, 1
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Net:
     told = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
     rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(sample), "doc_id")
-    found = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("doc_id", "text").limit(LABELLED_ROWS).toArrow()
+    found = one_text_each(rows).orderBy("doc_id").toArrow()  # at most LABELLED_ROWS rows
     return train([t.encode() for t in found.column("text").to_pylist()], found.column("label").to_numpy().astype(int))
 
 

@@ -14,8 +14,9 @@ Bounds: at most `LABELLED_ROWS` labelled rows are learned from, `TERMS` terms an
 all rows and texts.
 
 Edge cases: null text counts as empty, and texts without a hit get the score that such texts have; without labelled rows, or
-with one label alone, the score is the same for all; a null label or doc_id is not learned from; rows that repeat are scored
-each; other input columns are ignored by `score` and kept by `keep_clean`.
+with one label alone, the score is the same for all; a null label or doc_id is not learned from; of rows that share an id the
+smallest text is learned from; rows that repeat are scored each; other input columns are ignored by `score` and kept by
+`keep_clean`.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, steps
+from .common import held_out, one_text_each, steps
 from .linear import fit_logistic, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
@@ -278,7 +279,7 @@ def _learned(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """text and label of a bounded sample of labelled rows; ids and labels are small enough to be broadcast."""
     told = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("long").alias("label"))
     sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("text", "label")
 
 
 def _found(model: Model):

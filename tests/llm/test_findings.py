@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clickspark.llm import bpe, jaccard_join, packing, substring_dedup, token_counts, toxicity
+from clickspark.llm import bpe, jaccard_join, packing, quality_net, substring_dedup, token_counts, toxicity
 
 
 # --- tokens
@@ -100,6 +100,19 @@ def test_misspelled_toxic_texts(spark):
     assert all(model.score([f"{other(i)} {w}" for i, w in enumerate([*clean, "chair", ""])]) < 0.5)
 
 
+def test_an_id_with_many_rows_teaches_once(spark):
+    """A third of all rows share one id; what is learned from stays one row for each id."""
+    rows = [(i, f"plain {i}") for i in range(1, 41)] + [(0, f"again {i}") for i in range(10, 30)] + [(0, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(41)] + [(0, 1), (None, 1)], "doc_id long, toxic int")
+    told = [tuple(r) for r in toxicity._learned(docs, marks, "toxic").collect()]
+    assert sorted(told) == sorted([("", 1)] + [(f"plain {i}", i % 2) for i in range(1, 41)])
+    marks = marks.withColumnRenamed("toxic", "quality")
+    few = docs.where("doc_id between 1 and 40").unionByName(spark.createDataFrame([(0, "")], "doc_id long, text string"))
+    nets = [quality_net.fit(d, marks) for d in (docs, few)]
+    assert np.array_equal(nets[0].weights, nets[1].weights)
+
+
 # --- Jaccard join
 
 
