@@ -10,20 +10,31 @@ from pyspark.sql import functions as F
 from ..functions import last_n
 
 
-def collect_user_log(log: DataFrame, fields: Sequence[str], user: str = "user_key", time: str = "ts", tie: str = "event_id") -> DataFrame:
-    """user and `log`: its behaviours as structs (time, tie, fields) in time order."""
+#: Behaviours that one row of a collected log holds; users with more have several rows.
+LOG_BLOCK = 10_000
+
+
+def collect_user_log(log: DataFrame, fields: Sequence[str], user: str = "user_key", time: str = "ts", tie: str = "event_id", n: int = LOG_BLOCK, part: Column | None = None) -> DataFrame:
+    """user, block and `log`: the user's behaviours as structs (time, tie, fields) in time order, n to a block, blocks from 0. For
+    `part`, such as the day, see `_running`."""
     entry = F.struct(F.col(time), F.col(tie), *(F.col(f) for f in fields if f not in (time, tie)))
-    return log.groupBy(user).agg(F.sort_array(F.collect_list(entry)).alias("log"))
+    ranked = _running(log.withColumn("_one", F.lit(1)), user, [time, tie], "_one", part)
+    return ranked.groupBy(user, F.floor((F.col("_run") - 1) / n).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("log"))
 
 
-def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id") -> DataFrame:
+def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id", part: Column | None = None, longest: int = LOG_BLOCK) -> DataFrame:
     """Adds `hist` (the last n behaviours strictly before the exposure, oldest first) and `seq_len`. Each exposure carries its
-    user's whole log through the join, so this plan is for short logs."""
-    told = collect_user_log(log, fields, user, time, tie)
-    joined = exposures.join(told, user, "left")
+    user's whole log through the join, so this plan is for short logs; users with more than `longest` behaviours take the plan
+    of `asof_history`."""
+    many = log.groupBy(user).agg(F.count("*").alias("_n")).where(F.col("_n") > longest).select(user)
+    entry = F.struct(F.col(time), F.col(tie), *(F.col(f) for f in fields if f not in (time, tie)))
+    told = log.join(many, user, "left_anti").groupBy(user).agg(F.sort_array(F.collect_list(entry)).alias("log"))
+    joined = exposures.join(many, user, "left_anti").join(told, user, "left")
     before = F.filter(F.coalesce("log", F.array()), lambda x: x[time] < F.col(time))
     hist = F.transform(last_n(before, n), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
-    return joined.withColumn("hist", hist).withColumn("seq_len", F.size("hist")).drop("log")
+    short = joined.withColumn("hist", hist).withColumn("seq_len", F.size("hist")).select(*exposures.columns, "hist", "seq_len")
+    rest = asof_history(exposures.join(many, user, "left_semi"), log.join(many, user, "left_semi"), fields, n, user, time, tie, key, part)
+    return short.unionByName(rest)
 
 
 def _running(df: DataFrame, user: str, order: Sequence[str], value: str, part: Column | None) -> DataFrame:
@@ -39,21 +50,27 @@ def _running(df: DataFrame, user: str, order: Sequence[str], value: str, part: C
     totals = totals.select("_u", "_p", F.coalesce(F.sum("_t").over(past), F.lit(0)).alias("_t"))
     w = Window.partitionBy(user, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = rows.withColumn("_run", F.sum(value).over(w))
-    joined = own.join(totals, (F.col(user) == F.col("_u")) & (F.col("_part") == F.col("_p")))
+    joined = own.join(totals, F.col(user).eqNullSafe(F.col("_u")) & F.col("_part").eqNullSafe(F.col("_p")))
     return joined.withColumn("_run", F.col("_run") + F.col("_t")).drop("_part", "_u", "_p", "_t")
 
 
+def _known(log: DataFrame, user: str, time: str) -> DataFrame:
+    """Behaviours that can precede an exposure: those with a user and a time."""
+    return log.where(F.col(user).isNotNull() & F.col(time).isNotNull())
+
+
 def _sides(exposures: DataFrame, log: DataFrame, user: str, time: str, key: str) -> DataFrame:
     """Exposures (_is 0, with their key) and behaviours (_is 1) in one table."""
     none = F.lit(None).cast(exposures.schema[key].dataType)
-    return exposures.select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(log.select(user, time, F.lit(1).alias("_is"), none.alias("_key")))
+    return exposures.select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(_known(log, user, time).select(user, time, F.lit(1).alias("_is"), none.alias("_key")))
 
 
 def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id", part: Column | None = None) -> DataFrame:
     """The same result by blocks of n behaviours: a running count places each exposure in its user's log, and the block that
     holds its latest behaviour and the one before it are joined by equality. No row carries more than 2 n behaviours. For
-    `part`, such as the day, see `_running`; rows whose time is NULL have no history then."""
-    ranked = _running(log.withColumn("_one", F.lit(1)), user, [time, tie], "_one", part).withColumn("_r", F.col("_run") - 1)
+    `part`, such as the day, see `_running`. Behaviours without a user or a time precede nothing, and exposures without either have
+    no history."""
+    ranked = _running(_known(log, user, time).withColumn("_one", F.lit(1)), user, [time, tie], "_one", part).withColumn("_r", F.col("_run") - 1)
     blocks = (
         ranked.groupBy(user, F.floor(F.col("_r") / n).alias("_b"))
         .agg(F.sort_array(F.collect_list(F.struct("_r", *fields))).alias("_items"))
@@ -71,6 +88,7 @@ def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n:
 
 
 def prior_count(exposures: DataFrame, log: DataFrame, user: str = "user_key", time: str = "ts", key: str = "event_id", part: Column | None = None) -> DataFrame:
-    """key and n_prior: how many behaviours of the user precede each exposure, whatever the order of the log."""
+    """key and n_prior: how many behaviours of the user precede each exposure, whatever the order of the log; 0 without a user or
+    a time."""
     found = _running(_sides(exposures, log, user, time, key), user, [time, "_is"], "_is", part).where("_is = 0")
     return found.select(F.col("_key").alias(key), F.col("_run").alias("n_prior"))

@@ -253,10 +253,11 @@ def prior_count(spark, sf_dir):
     return sequences.prior_count(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir), part=F.to_date("ts"))
 
 
-@_query(" select user_key, string_agg(cate::varchar, ',' order by ts, event_id) as cates, cast(count(*) as bigint) as n from behaviors group by user_key")
+@_query(f""" select user_key, cast(floor((r - 1) / {sequences.LOG_BLOCK}) as bigint) as block, string_agg(cate::varchar, ',' order by ts, event_id) as cates,
+  cast(count(*) as bigint) as n from (select *, row_number() over (partition by user_key order by ts, event_id) as r from behaviors) group by all""")
 def collect_user_log(spark, sf_dir):
-    out = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["cate"])
-    return out.withColumn("cates", field_of(F.col("log"), "cate")).select("user_key", _joined("cates"), F.size("log").cast("long").alias("n"))
+    out = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["cate"], part=F.to_date("ts"))
+    return out.withColumn("cates", field_of(F.col("log"), "cate")).select("user_key", "block", _joined("cates"), F.size("log").cast("long").alias("n"))
 
 
 # --- profiling
@@ -769,7 +770,7 @@ def score_deep(spark, sf_dir):
 
 @_query()
 def item_embeddings(spark, sf_dir):
-    told = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["item"]).withColumn("items", field_of(F.col("log"), "item"))
+    told = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["item"], part=F.to_date("ts")).withColumn("items", field_of(F.col("log"), "item"))
     return attention.item_embeddings(told, "items").select("id", F.size("vector").alias("size"), F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
 
 

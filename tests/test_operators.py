@@ -79,7 +79,11 @@ def _by_tens(*args):
     return sequences.asof_history(*args, part=F.floor(F.col("ts") / 10))
 
 
-@pytest.mark.parametrize("plan", [sequences.asof_history_simple, sequences.asof_history, _by_tens])
+def _long_apart(*args):
+    return sequences.asof_history_simple(*args, longest=3)
+
+
+@pytest.mark.parametrize("plan", [sequences.asof_history_simple, sequences.asof_history, _by_tens, _long_apart])
 @pytest.mark.parametrize("n", [1, 2, 3, 220])
 def test_asof_sequences(spark, plan, n):
     log = spark.createDataFrame(LOG, "event_id long, user_key long, ts long, item string")
@@ -92,6 +96,25 @@ def test_asof_sequences(spark, plan, n):
             assert found[i][0] == two
 
 
+def test_rows_without_user_or_time(spark):
+    log = spark.createDataFrame([(1, 1, 10, "a"), (2, None, 10, "b"), (3, 1, None, "c"), (4, None, None, "d")], "event_id long, user_key long, ts long, item string")
+    expo = spark.createDataFrame([(1, 1, 20), (2, None, 20), (3, 1, None), (4, 7, 20)], "event_id long, user_key long, ts long")
+    for plan in (sequences.asof_history_simple, sequences.asof_history, _by_tens, _long_apart):
+        assert {r["event_id"]: [x["item"] for x in r["hist"]] for r in plan(expo, log, ["item"], 5).collect()} == {1: ["a"], 2: [], 3: [], 4: []}
+    for part in (None, F.floor(F.col("ts") / 15)):
+        assert {r[0]: r[1] for r in sequences.prior_count(expo, log, part=part).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+        logs = sequences.collect_user_log(log, ["item"], n=2, part=part).collect()
+        assert sorted((r["user_key"] or 0, [x["item"] for x in r["log"]]) for r in logs) == [(0, ["d", "b"]), (1, ["c", "a"])]
+
+
+@pytest.mark.parametrize("width", [None, 15])
+def test_logs_in_blocks(spark, width):
+    part = width and F.floor(F.col("ts") / width)
+    log = spark.createDataFrame([*LOG, (5, 2, 10, "e"), (6, 2, 5, None)], "event_id long, user_key long, ts long, item string")
+    found = {(r["user_key"], r["block"]): [x["item"] for x in r["log"]] for r in sequences.collect_user_log(log, ["item"], n=3, part=part).collect()}
+    assert found == {(1, 0): ["a", "b", "c"], (1, 1): ["d"], (2, 0): [None, "e"]}
+
+
 def test_asof_plans_agree(spark, medium):
     expo, log = fixtures.exposures(spark, medium), fixtures.behaviors(spark, medium)
     tied, tied_log = (d.withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp"))) for d in (expo, log))
