@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, fingerprints, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, token_counts, toxicity
+from . import backoff_lm, bpe, common, fingerprints, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, tiktoken_bpe, token_counts, toxicity
 
 
 def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(common.documents(spark, sf_dir)))
 
 
+def op11_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = tiktoken_bpe.encode(common.documents(spark, sf_dir), decoded=True)
+    ids_sha256 = F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256, F.sha2("raw", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_net": op1_quality_net,
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_backoff_lm": op9_backoff_lm,
         "op10_packing": op10_packing,
+        "op11_tiktoken": op11_tiktoken,
     }
 
 
