@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, fingerprints, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, tiktoken_bpe, token_counts, toxicity
+from . import backoff_lm, bpe, common, fingerprints, hard_negatives, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, tiktoken_bpe, token_counts, toxicity
 
 
 def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,14 @@ def op11_tiktoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256, F.sha2("raw", 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    scaled = lambda x: F.lit(256.0) * x.cast("double")
+    vector = F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_net": op1_quality_net,
@@ -87,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_backoff_lm": op9_backoff_lm,
         "op10_packing": op10_packing,
         "op11_tiktoken": op11_tiktoken,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
@@ -151,8 +160,24 @@ from scored join rows using (row) group by row, doc_id, held_out
 """
 
 
+_OP12 = """
+with v as (select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+a as (select min(row) as row, vec_id, label, q from v where vec_id % 100 = 0 group by vec_id, label, q),
+pairs as (select a.row as a, a.vec_id as anchor_id, a.label <> v.label as other, v.row, v.vec_id, list_inner_product(a.q, v.q)::bigint as s
+  from a join v on v.vec_id is distinct from a.vec_id),
+p as (select * from pairs where not other qualify row_number() over (partition by a order by s desc, vec_id nulls last, row) <= 5)
+select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.a, p.row order by n.s desc, n.vec_id nulls last, n.row) as rank,
+  n.vec_id as negative_id, p.s as positive_score, n.s as negative_score
+from p join pairs n on n.a = p.a and n.other and 30 * p.s <= 100 * n.s and 100 * n.s <= 90 * p.s
+qualify row_number() over (partition by p.a, p.row order by n.s desc, n.vec_id nulls last, n.row) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_hard_negatives": _OP12,
         "op9_backoff_lm": _OP9,
         "op8_jaccard_join": _OP8,
         "op5_substring_dedup": _OP5,
