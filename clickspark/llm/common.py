@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +41,30 @@ def one_text_each(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation. Only a
-    local session may do without spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. Only a local session may do without spark.checkpoint.dir."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        told = spark.conf.get("spark.checkpoint.dir", None)
         if told is None and not sc.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared checkpoint folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows, written once as a compressed table in the shared folder, by the values of some columns if asked."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut again so that each holds at most `most` bytes of text, or one row."""
     for batch in batches:
@@ -105,11 +118,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and each row's first word (one more entry than rows)."""
+def word_spans(data: np.ndarray, at: np.ndarray, blank: np.ndarray = _IS_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and each row's first word (one more entry than rows). `blank` tells which bytes
+    belong to no word."""
     n = len(data)
     solid = np.zeros(n + 2, bool)
-    np.logical_not(_IS_BLANK[data], out=solid[1:-1])
+    np.logical_not(blank[data], out=solid[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     inner = solid[1:]

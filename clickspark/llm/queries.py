@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, bpe, common, fingerprints, hard_negatives, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, tiktoken_bpe, token_counts, toxicity
+from . import backoff_lm, bpe, collocations, common, fingerprints, hard_negatives, jaccard_join, ngram_rules, packing, quality_net, substring_dedup, tiktoken_bpe, token_counts, toxicity
 
 
 def op4_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_net": op1_quality_net,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_packing": op10_packing,
         "op11_tiktoken": op11_tiktoken,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -175,8 +180,28 @@ qualify row_number() over (partition by p.a, p.row order by n.s desc, n.vec_id n
 """
 
 
+_OP13 = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+g as (select lang, k, array_to_string(ws[i : i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from w, (values (1), (2), (3), (4)) t(k)) group by all),
+n as (select lang, cast(sum(f) as bigint) as n from g where k = 1 group by lang),
+c as (select lang, phrase, f as a, k, string_split(phrase, ' ') as ws from g where k > 1 and f >= 30),
+cuts as (select c.lang, c.phrase, c.a, cut, l.f as l, r.f as r, cast(2000000 * c.a::hugeint // (l.f + r.f) as bigint) as score
+  from (select *, unnest(generate_series(1, k - 1)) as cut from c) c
+  join g l on l.lang = c.lang and l.phrase = array_to_string(c.ws[:cut], ' ') join g r on r.lang = c.lang and r.phrase = array_to_string(c.ws[cut + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_phrases as (select lang, array_to_string(ws[i : i + size - 1], ' ') as phrase, max(a) as longer
+  from (select *, unnest(generate_series(1, k - size + 1)) as i from (select c.*, unnest(generate_series(2, k - 1)) as size from c)) group by all)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from best b join n using (lang) left join inner_phrases x using (lang, phrase) where x.longer is null or 100 * x.longer::hugeint < 80 * a::hugeint
+qualify row_number() over (partition by b.lang order by score desc, a desc, phrase) <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_collocations": _OP13,
         "op12_hard_negatives": _OP12,
         "op9_backoff_lm": _OP9,
         "op8_jaccard_join": _OP8,
