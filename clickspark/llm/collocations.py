@@ -35,7 +35,7 @@ SHARDS, LONGEST, LEAST = 4, 4, 30
 COVERED, FIRST = 80, 2000
 
 #: Text bytes of a block in a task, and of a range of hashes; ranges are powers of two within these ends.
-BLOCK_BYTES, RANGE_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 32 << 20, 4, 20
+BLOCK_BYTES, RANGE_BYTES, LEAST_BITS, MOST_BITS = 3 << 20, 32 << 20, 4, 20
 
 #: Bits of the byte table's places, and the byte of a phrase that has not reached the threshold.
 SLOT_BITS, NEVER = 24, 255
@@ -69,8 +69,8 @@ class Block:
     def phrases(self, reached: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each length: first words, hashes, the step in which the phrase became active, and the step in which it reached
         the threshold, of all phrases whose subphrases have reached it."""
-        own, at = self.hashes, np.arange(len(self.hashes))
-        step = reached[own >> np.uint64(64 - SLOT_BITS)]
+        own, at, shift = self.hashes, np.arange(len(self.hashes)), np.uint64(65 - len(reached).bit_length())
+        step = reached[own >> shift]
         yield 1, at, own, np.zeros(len(own), np.uint8), step
         for k in range(2, LONGEST + 1):
             by_word = np.full(len(self.hashes) + 1, NEVER, np.uint8)
@@ -81,7 +81,7 @@ class Block:
             taken = np.flatnonzero(both[at] < NEVER)
             at, active = at[taken], both[at[taken]]
             own = mix((own[taken] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) ^ self.hashes[at + k - 1])
-            step = reached[own >> np.uint64(64 - SLOT_BITS)]
+            step = reached[own >> shift]
             yield k, at, own, active, step
 
     def texts(self, at: np.ndarray, k: int) -> pa.Array:

@@ -41,7 +41,7 @@ def _mined(spark, rows, **more):
     return sorted(map(tuple, collocations.collocations(table, **more).collect()))
 
 
-def _corpus(seed, n=240):
+def _corpus(seed, n=700):
     rng = np.random.default_rng(seed)
     words = ["The", "of", "a\x1cb", "É", "日本", "x" * 300, *(f"w{i}" for i in range(14))]
     share = 1 / np.arange(1, len(words) + 1)
