@@ -15,7 +15,7 @@ carried from word to word, and what arcs and failure arcs weigh is added up. All
 The automaton grows with the corpus and is never in one place. Documents are dealt into blocks. In three rounds, of words,
 bigrams and trigrams, a block sends each of its distinct n-grams once, with its training count, to the shard that owns the
 n-gram's history; shards add up and send each block what it asked for, totals of n-grams and of histories. A trigram is asked for
-only if both its bigrams are frequent enough for it. With what it was told a block builds the automaton that its texts need. A
+only if the occurrences of its two bigrams outside the block, added to its own in the block, are enough for it. With what it was told a block builds the automaton that its texts need. A
 history that is too frequent for one shard is dealt into parts by its continuations; a block asks all parts for their totals.
 What a shard or block holds is bounded by `BLOCK_BYTES` and `SHARD_BYTES`, whatever the size of the corpus or the frequency of a
 word, and what is exchanged grows in proportion to the corpus.
@@ -24,7 +24,7 @@ Edge cases: null text counts as empty, whose only token is the end; an empty tab
 counted and scored each (rows equal in both doc_id and text meet in one block); a null doc_id is a training row; with no training
 row at all every word is unseen; other input columns are ignored. Words are compared by 64-bit hashes of their bytes, A-Z in
 lower case, of which 26 bits more are kept than the number of bytes in the table has; histories likewise; the continuations of one
-history by 32 bits more, or 24 for a history that occurs at most `RARE` times.
+history by 32 bits more.
 """
 
 from __future__ import annotations
@@ -39,14 +39,11 @@ from pyspark.sql import functions as F
 from .common import held_out, mix, steps, text_bytes, word_hashes, word_spans
 
 FOLDS, HELD_OUT = 5, 1
-ORDERS, LEAST_BIGRAM, LEAST_TRIGRAM = 3, 1, 3
+ORDERS, LEAST_BIGRAM, LEAST_TRIGRAM = 3, 1, 2
 
 #: Text in a block; text whose n-grams of each order one shard owns; occurrences of a history in one part of its continuations.
 BLOCK_BYTES, SHARD_BYTES, PART_TOKENS = 6 << 20, (32 << 20, 8 << 20, 16 << 20), 100_000
 
-#: A history that occurs so often has its continuations told apart by fewer bits.
-RARE = 64
-
 #: Tokens that one lane of a traversal reads; the next lane of the text starts in the state that the tokens before lead to.
 LANE = 512
 
@@ -137,7 +134,8 @@ class Block:
         return out
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (bigram, word) of which both bigrams are frequent enough for a kept trigram, and their training counts."""
+        """Distinct (bigram, word) that may be kept, and their training counts. All occurrences of a trigram outside this block
+        are occurrences of both its bigrams there, which bounds its total from above."""
         if not hasattr(self, "_trigrams"):
             inner = np.ones(len(self.tokens), bool)
             inner[self.begin[:-1]] = False
@@ -145,8 +143,11 @@ class Block:
             history = self.pair_of[at - 1]
             likely = (self.pair_count[history] >= LEAST_TRIGRAM) & (self.pair_count[self.pair_of[at]] >= LEAST_TRIGRAM)
             at, history = at[likely], history[likely]
-            keys, back = np.unique(history * self.n + self.tokens[at], return_inverse=True)
-            self._trigrams = keys, np.bincount(back, weights=self.train[at], minlength=len(keys)).astype(np.int64)
+            keys, first, back = np.unique(history * self.n + self.tokens[at], return_index=True, return_inverse=True)
+            counts = np.bincount(back, weights=self.train[at], minlength=len(keys)).astype(np.int64)
+            elsewhere = self.pair_count - np.bincount(self.pair_of, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
+            likely = counts + np.minimum(elsewhere[history[first]], elsewhere[self.pair_of[at[first]]]) >= LEAST_TRIGRAM
+            self._trigrams = keys[likely], counts[likely]
         return self._trigrams
 
     def asked(self, order: int) -> tuple[np.ndarray, ...]:
@@ -167,7 +168,7 @@ class Block:
         parts = np.maximum(1, -(-total // PART_TOKENS))
         found = mix(self.words[word] + name[history] * _ODD[1])
         part = (found & np.uint64(0xFFFFFFFF)).astype(np.int64) % parts[history]
-        bits = (found >> np.uint64(32)).astype(np.int64) & np.where(total[history] <= RARE, 0xFFFFFF, 0xFFFFFFFF)
+        bits = (found >> np.uint64(32)).astype(np.int64)
         every = np.repeat(asking, parts[asking])  # all parts of a history are asked
         inner = np.arange(len(every)) - np.repeat(np.cumsum(parts[asking]) - parts[asking], parts[asking])
         place = lambda h, p: mix(name[h] + (p.astype(np.uint64) + np.uint64(1)) * _ODD[2]) >> self.shift

@@ -142,6 +142,7 @@ from documents d join texts t on coalesce(d.text, '') = t.text join class c usin
 _CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
 
+_LOW = backoff_lm.LEAST_TRIGRAM
 _OP9 = f"""
 with rows as (select row_number() over () as row, doc_id, coalesce({_CRC_SQL} % {backoff_lm.FOLDS} = {backoff_lm.HELD_OUT}, false) as held_out,
   list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') as ws from documents),
@@ -150,9 +151,9 @@ uni as (select w, count(*) as c from tokens where not held_out group by w),
 histories as (select w as v, c from uni union all select ' ', count(*) from rows where not held_out),
 total as (select coalesce(sum(c), 0) as n, coalesce(sum(c), 0) + 0.5 * (count(*) + 1) as space from uni),
 bi as (select v, w, count(*) as c from tokens where not held_out group by v, w),
-tri as (select u, v, w, count(*) as c from tokens where not held_out and u is not null group by u, v, w having count(*) >= {backoff_lm.LEAST_TRIGRAM}),
+tri as (select u, v, w, count(*) as c from tokens where not held_out and u is not null group by u, v, w having count(*) >= {_LOW}),
 d as (select (select least(greatest(case when sum((c = 1)::int) > 0 then 1 - 2.0 * sum((c = 2)::int) / sum((c = 1)::int) else 0.5 end, 0.1), 0.9) from bi) as d2,
-  (select least(greatest(case when sum((c = 3)::int) > 0 then 3 - 4.0 * sum((c = 4)::int) / sum((c = 3)::int) else 1.5 end, 0.3), 2.7) from tri) as d3),
+  (select least(greatest(case when sum((c = {_LOW})::int) > 0 then {_LOW} - {_LOW + 1}.0 * sum((c = {_LOW + 1})::int) / sum((c = {_LOW})::int) else {_LOW / 2} end, {0.1 * _LOW}), {0.9 * _LOW}) from tri) as d3),
 h1 as (select v, d2 * count(*) / any_value(h.c) as left2 from bi join histories h using (v) cross join d group by v, d2),
 h2 as (select t.u, t.v, any_value(b.c) as c2, (any_value(b.c) - sum(t.c) + d3 * count(*)) / any_value(b.c) as left3 from tri t join bi b on b.v = t.u and b.w = t.v cross join d group by t.u, t.v, d3),
 lower_order as (select t.*, n, d3, uni.c is not null as known, (coalesce(uni.c, 0) + 0.5) / space as p1, coalesce((b.c - d2) / h.c, 0) + coalesce(h1.left2, 1) * (coalesce(uni.c, 0) + 0.5) / space as p2

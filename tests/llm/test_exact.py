@@ -308,9 +308,10 @@ def test_levels_end_when_nothing_survives(spark):
 # --- Jaccard join
 
 
-@pytest.mark.parametrize("task_rows", [0, 1_000_000])
-def test_components(spark, monkeypatch, task_rows):
-    monkeypatch.setattr(components, "TASK_ROWS", task_rows)
+@pytest.mark.parametrize(("part", "most"), [(1, 8192), (2, 3), (1000, 8192)])
+def test_components(spark, monkeypatch, part, most):
+    monkeypatch.setattr(components, "PART_ROWS", part)
+    monkeypatch.setattr(components, "MOST_HEAVY", most)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {x: x for e in edges for x in e}
@@ -376,13 +377,13 @@ class _NaiveAutomaton:
             for k in (1, 2, 3):
                 whole = ["<s>", *words]
                 grams[k].update(tuple(whole[i - k + 1 : i + 1]) for i in range(1, len(whole)) if i - k + 1 >= 0)
-        self.c, pairs, triples = grams[1], grams[2], {g: n for g, n in grams[3].items() if n >= 3}
+        self.c, pairs, triples = grams[1], grams[2], {g: n for g, n in grams[3].items() if n >= 2}
         self.n, self.space = sum(self.c.values()), sum(self.c.values()) + 0.5 * (len(self.c) + 1)
         of = lambda counts, r: sum(n == r for n in counts.values())
         gone = lambda counts, r: min(max(r - (r + 1) * of(counts, r + 1) / of(counts, r) if of(counts, r) else r / 2, 0.1 * r), 0.9 * r)
         seen = {w: n for (w,), n in self.c.items()} | ({"<s>": len(texts)} if texts else {})
         self.arcs, self.weight, self.failure = {(): {w: (n + 0.5) / self.space for (w,), n in self.c.items()}}, {}, {}
-        for counts, heads, d in ((pairs, {(w,): n for w, n in seen.items()}, gone(pairs, 1)), (triples, pairs, gone(triples, 3))):
+        for counts, heads, d in ((pairs, {(w,): n for w, n in seen.items()}, gone(pairs, 1)), (triples, pairs, gone(triples, 2))):
             after = {}
             for g, n in counts.items():
                 after.setdefault(g[:-1], {})[g[-1]] = n
