@@ -10,8 +10,8 @@ labelled rows or more weighs as that spelling did; any other weighs as spellings
 weight where the labels have none. The window of `WINDOW` words around a hit says whether it is quoted and whether other hits
 stand near; a logistic regression over these sums gives the score.
 
-Bounds: at most `LABELLED_ROWS` labelled rows are learned from, `TERMS` terms and `SPELLINGS` spellings are kept; scoring covers
-all rows and texts.
+Bounds: at most `LABELLED_ROWS` labelled rows are learned from, and every term and spelling that they bear out is kept; scoring
+covers all rows and texts.
 
 Edge cases: null text counts as empty, and texts without a hit get the score that such texts have; without labelled rows, or
 with one label alone, the score is the same for all; a null label or doc_id is not learned from; of rows that share an id the
@@ -34,7 +34,7 @@ from .common import held_out, one_text_each, steps
 from .linear import fit_logistic, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
-LABELLED_ROWS, TERMS, SPELLINGS = 20_000, 96, 20_000
+LABELLED_ROWS = 20_000
 FUZZY_LENGTH, STEM_LENGTHS, WINDOW = 4, (4, 5, 6), 6
 
 #: The weight of a near hit before any is labelled, as a share of the exact hit's, and the labelled ones that outweigh it.
@@ -43,7 +43,8 @@ NEAR_SHARE, NEAR_PRIOR = 0.75, 2.0
 #: Characters that open or close a quotation.
 QUOTES = "\"“”„«»‹›"
 
-_PLANE = 1 << 16
+#: Characters up to here can be letters or digits; those beyond count as neither.
+_PLANE = 1 << 18
 _LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(map(chr, range(_PLANE)))], np.uint32)
 _ALNUM = np.array([chr(i).isalnum() for i in range(_PLANE)])
 _BLANK = np.zeros(_PLANE, bool)
@@ -246,8 +247,8 @@ class Model:
 
 
 def _lexicon(rows: DataFrame) -> tuple[list[tuple[str, bool]], np.ndarray]:
-    """Terms that toxic rows hold beyond chance, the most surprising first, and their log odds. At most a few times TERMS rows are
-    collected. A stem's counts leave out its word in most toxic rows, so that no single word makes a stem."""
+    """Terms that toxic rows hold beyond chance, the most surprising first, and their log odds. What is collected is bounded by
+    the sample of labelled rows. A stem's counts leave out its word in most toxic rows, so that no single word makes a stem."""
     positives, total = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     if not 0 < positives < total:
         return [], np.zeros(0)
@@ -266,12 +267,12 @@ def _lexicon(rows: DataFrame) -> tuple[list[tuple[str, bool]], np.ndarray]:
     odds = F.log((F.col("a") + 0.1) / (positives + 0.2)) - F.log((F.col("n") - F.col("a") + 0.1) / (total - positives + 0.2))
     told = both.where(share > prior).withColumns({"odds": odds, "surprise": surprise}).where(F.col("odds") > np.log(20.0))
     needed = np.log(max(10_000, 50 * total)) + 2.0
-    best = told.where(F.col("surprise") >= needed).orderBy(F.desc("surprise"), "term", "stem").limit(8 * TERMS).collect()
+    best = told.where(F.col("surprise") >= needed).orderBy(F.desc("surprise"), "term", "stem").collect()
     stems_kept: list[str] = []
     for r in sorted((r for r in best if r["stem"]), key=lambda r: len(r["term"])):  # a stem that begins with another adds nothing
         if not r["term"].startswith(tuple(stems_kept)):
             stems_kept.append(r["term"])
-    kept = [(r["term"], r["stem"], r["odds"]) for r in best if not r["stem"] or r["term"] in stems_kept][:TERMS]
+    kept = [(r["term"], r["stem"], r["odds"]) for r in best if not r["stem"] or r["term"] in stems_kept]
     return [(t, s) for t, s, _ in kept], np.array([o for _, _, o in kept])
 
 
@@ -308,10 +309,10 @@ def _learn_near(rows: DataFrame, model: Model) -> None:
     blend = lambda a, n, prior: (n * odds(a, n) + NEAR_PRIOR * prior) / (n + NEAR_PRIOR)
     counted = rows.mapInArrow(_near(model), "label long, term int, word string").groupBy("word", "term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
     a, n = np.zeros(len(model.exact)), np.zeros(len(model.exact))
-    for term, hits, count in counted.where("n = 1").groupBy("term").agg(F.sum("a"), F.count("*")).collect():  # at most TERMS rows
+    for term, hits, count in counted.where("n = 1").groupBy("term").agg(F.sum("a"), F.count("*")).collect():  # a row for each term
         a[term], n[term] = hits, count
     model.near = np.clip(blend(a, n, NEAR_SHARE * model.exact), 0.0, model.exact)
-    for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(SPELLINGS).collect():
+    for r in counted.where("n > 1").orderBy(F.desc("n"), "word").collect():
         model.spelt[r["word"]] = float(np.clip(odds(r["a"], r["n"]), 0.0, model.exact[r["term"]]))
 
 

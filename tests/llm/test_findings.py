@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clickspark.llm import bpe, jaccard_join, packing, quality_net, substring_dedup, token_counts, toxicity
@@ -50,6 +51,18 @@ def test_long_words():
     assert all(len(p) <= bpe.REMEMBERED_LENGTH for ages in (encoder.first, encoder.later) for age in ages for p in age)
 
 
+def test_long_words_do_not_reach_the_driver(spark):
+    """Texts without blanks, copied many times, give no words to the lexicon, and are encoded all the same."""
+    rng, reference = np.random.default_rng(4), Tokenizer.from_file(bpe.default_path())
+    wide = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 400_000)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([wide] * 6 + ["plain words " + "q" * 65, "plain " + "q" * 64])], "doc_id long, text string").repartition(3)
+    words = bpe.frequent_words(docs)
+    assert sorted(words) == sorted(["plain", "words", "q" * 64])
+    found = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(docs).collect()}
+    ids = reference.encode(wide, add_special_tokens=False).ids
+    assert all(found[i] == ids for i in range(6)) and found[7] == reference.encode("plain " + "q" * 64, add_special_tokens=False).ids
+
+
 @given(st.lists(st.text(alphabet="aeth ", min_size=1, max_size=60), min_size=1, max_size=4))
 @settings(max_examples=80, deadline=None)
 def test_both_ways_to_merge_agree(words):
@@ -100,6 +113,32 @@ def test_misspelled_toxic_texts(spark):
     assert all(model.score([f"{other(i)} {w}" for i, w in enumerate([*clean, "chair", ""])]) < 0.5)
 
 
+def test_no_term_is_left_out(spark):
+    """Three hundred toxic words are all learned, and none stands in for another."""
+    rng = np.random.default_rng(6)
+    words = sorted({"".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 9)) for _ in range(420)})
+    toxic, clean = words[:300], words[300:]
+    pick = lambda of, i, k: " ".join(of[(7 * i + 11 * j) % len(of)] for j in range(k))
+    rows = [(i, f"{pick(clean, i, 30)} {pick(toxic, i, 20)}" if i % 4 == 0 else pick(clean, i, 40), int(i % 4 == 0)) for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(table.drop("toxic"), table.drop("text"))
+    found, _ = toxicity._lexicon(table.withColumnRenamed("toxic", "label").select("text", "label"))
+    assert {t for t, stem in found if not stem} >= set(toxic)
+    assert all(model.score([f"{pick(clean, i, 20)} {w}" for i, w in enumerate(toxic)]) >= 0.5)
+    assert all(model.score([pick(clean, i, 20) for i in range(50)]) < 0.5)
+
+
+def test_letters_beyond_the_first_plane(spark):
+    """The scorer cuts words as the learner does, whatever plane their letters are on."""
+    texts = ["𝓬cafe𝓭 x", "𠀀𠀁 b", "🙂abc🙂 𝟙𝟚", "-𐐀𐐨- 󠀁a"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    learned = [r[0] for r in table.select(F.regexp_extract_all(F.lower("text"), F.lit(toxicity._TERM), F.lit(0))).collect()]
+    for text, expected in zip(texts, learned):
+        chars, starts, ends, _, _ = toxicity.words([text])
+        found = toxicity._spellings(chars, starts, ends)
+        assert found == [w.lower() for w in expected]
+
+
 def test_an_id_with_many_rows_teaches_once(spark):
     """A third of all rows share one id; what is learned from stays one row for each id."""
     rows = [(i, f"plain {i}") for i in range(1, 41)] + [(0, f"again {i}") for i in range(10, 30)] + [(0, None), (None, "no id")]
