@@ -6,8 +6,10 @@ one over trusted texts and one over the whole corpus, and smoothed by `SMOOTHING
 of its n-grams divided by their number; it is kept if the base rules pass and the score is at least `THRESHOLD`. The verdict
 is a plain comparison of each text with a fixed bound, so it is the same whenever it is taken.
 
-Bounds: the target is counted over all trusted texts, the corpus over all texts; the buckets are a constant. Texts meet their
-labels in an equi-join that shuffles both sides at every size; rows without an id stay out of it.
+Bounds: the target is counted over all trusted texts, the corpus over all texts; the buckets are a constant. The corpus is counted
+without a join. Texts are told from others by a bitmap of `FILTER_BITS` hashes of trusted ids, and only those that it lets pass
+meet the ids in an equi-join, which settles the ones that share a hash; a table with far more trusted ids than bits sends more
+texts than needed, and counts the same.
 
 Edge cases: null text has no words and fails the base rules; a text without tokens scores 0; without trusted rows all ratios
 have the same sign and the threshold is measured against the smoothed target alone; repeated rows are counted and judged each;
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.1
+FILTER_BITS = 1 << 22
 LEAST_WORDS, REPEAT_WORDS, MOST_REPEATED = 20, 8, 30
 
 _TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]+"
@@ -84,18 +87,39 @@ def trusted(labels: DataFrame, label: str = "quality") -> DataFrame:
     return labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
+def _hash_bit(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def id_bitmap(ids: DataFrame) -> Column:
+    """The hashes of all ids as a bitmap of 64-bit words, for `may_hold`; its size does not depend on the ids."""
+    bit = F.expr("shiftleft(1L, cast(_h & 63 as int))")
+    words = ids.select(_hash_bit().alias("_h")).groupBy(F.shiftright("_h", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    places = ids.sparkSession.range(FILTER_BITS // 64).join(words, F.col("id") == F.col("_w"), "left")
+    listed = places.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits")))).alias("_all"))
+    return listed.select(F.transform("_all", lambda x: x["_bits"])).scalar()
+
+
+def may_hold(bitmap: Column) -> Column:
+    """True for every row whose doc_id the bitmap was made of, and for a few others."""
+    return F.bit_get(F.get(bitmap, F.shiftright(_hash_bit(), 6).cast("int")), _hash_bit().bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _grams(rows: DataFrame, trusted_rows: bool) -> DataFrame:
+    hashed = rows.select(_token_hashes().alias("h"))
+    h = F.col("h")
+    grams = hashed.select(F.explode(F.concat(F.transform(h, _bucket), F.transform(h, lambda x, i: _pair(h, x, i)))).alias("b"))
+    return grams.groupBy("b").agg(F.count("*").alias("n")).withColumn("t", F.lit(trusted_rows))
+
+
 def log_ratios(docs: DataFrame, target: DataFrame) -> list[float]:
     """The log ratio of target to corpus of every bucket; counts are added up where they arise, and a constant number of rows
     comes to the driver."""
     rows = docs.select("doc_id", "text")
-    known = rows.where("doc_id is not null").join(target.withColumn("_t", F.lit(1)).hint("merge"), "doc_id", "left")
-    flagged = known.unionByName(rows.where("doc_id is null").withColumn("_t", F.lit(0)))
-    hashed = flagged.select(F.coalesce("_t", F.lit(0)).alias("t"), _token_hashes().alias("h"))
-    h = F.col("h")
-    grams = hashed.select("t", F.explode(F.concat(F.transform(h, _bucket), F.transform(h, lambda x, i: _pair(h, x, i)))).alias("b"))
+    known = rows.where(F.col("doc_id").isNotNull() & may_hold(id_bitmap(target))).join(target.hint("merge"), "doc_id")
     counts, trusted_counts = [0] * BUCKETS, [0] * BUCKETS
-    for b, n, t in grams.groupBy("b").agg(F.count("*"), F.sum("t")).collect():
-        counts[b], trusted_counts[b] = n, t
+    for b, n, t in _grams(rows, False).unionByName(_grams(known, True)).collect():
+        (trusted_counts if t else counts)[b] = n
     log_all = math.log(sum(counts) + SMOOTHING * BUCKETS) - math.log(sum(trusted_counts) + SMOOTHING * BUCKETS)
     return [math.log(t + SMOOTHING) - math.log(n + SMOOTHING) + log_all for n, t in zip(counts, trusted_counts)]
 
