@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Parts into which the rows of a key are dealt before they are added up and told the result; rows that one task may always hold.
-SALTS, TASK_ROWS = 64, 1_000_000
+#: Rows of a key in one part, and keys, the most frequent ones, that are dealt into parts.
+PART_ROWS, MOST_HEAVY = 1000, 8192
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame:
+    """heavy, parts: the `MOST_HEAVY` most frequent keys among those with more than `PART_ROWS` rows, and the parts that their rows
+    are dealt into. Any other key has less than an 8192nd of all rows."""
+    counted = rows.groupBy(F.col(key).alias("heavy")).agg(F.count("*").alias("n")).where((F.col("n") > PART_ROWS) & F.col("heavy").isNotNull())
+    return cut(counted.orderBy(F.desc("n"), "heavy").limit(MOST_HEAVY).select("heavy", F.ceil(F.col("n") / PART_ROWS).alias("parts")))
 
 
-def with_totals(rows: DataFrame, key: str, other: str, totals: dict[str, tuple[Column, Callable[[Column], Column]]], n_rows: int | None = None) -> DataFrame:
-    """Adds to each row the totals of all rows of its key; a total is (aggregate of rows, aggregate of such aggregates).
+def with_totals(rows: DataFrame, key: str, other: str, totals: dict[str, Column], heavy: DataFrame | None = None) -> DataFrame:
+    """Adds to each row the totals (aggregates) of all rows of its key.
 
-    The rows of a key are dealt into `SALTS` parts by column `other`. Parts are added up first, and each part then gets the
-    total once, so that the joins meet no more than a part of a frequent key's rows in one task. Of at most `TASK_ROWS` rows, if
-    their number is told, even all may meet, and no parts are made; the result is the same."""
-    if n_rows is not None and n_rows <= TASK_ROWS:
-        return rows.join(rows.groupBy(key).agg(*(part.alias(name) for name, (part, _) in totals.items())), key)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
-    parts = salted.groupBy(key, "_salt").agg(*(part.alias(name) for name, (part, _) in totals.items()))
-    whole = parts.groupBy(key).agg(*(add(F.col(name)).alias(name) for name, (_, add) in totals.items()))
-    return salted.join(parts.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+    Rows are added up where they are before they meet. The rows of a heavy key are dealt into parts by column `other`, and
+    each part gets the totals once; those of all other keys stay together. `heavy` is from `heavy_keys`, of these rows or of
+    rows that have each key at least as often; it has at most `MOST_HEAVY` rows and is broadcast."""
+    heavy = F.broadcast(heavy_keys(rows, key) if heavy is None else heavy)
+    whole = rows.groupBy(F.col(key).alias("_key")).agg(*(total.alias(name) for name, total in totals.items()))
+    whole = whole.join(heavy, F.col("_key") == F.col("heavy"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("heavy", "parts")
+    dealt = rows.join(heavy, F.col(key) == F.col("heavy"), "left").withColumn("_own", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0))).drop("heavy", "parts")
+    return dealt.join(whole, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_part"))).drop("_key", "_part", "_own")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -32,13 +36,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each step joins nodes to the smallest of their neighbours, found by a combined aggregate, so no neighbour list is built.
     Loops and repeated edges are allowed; edges with a null end are ignored."""
-    least = {"m": (F.min("b"), F.min)}
+    least = {"m": F.min("b")}
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     for _ in range(most_rounds):
-        both = with_totals(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "a", "b", least, 2 * mark[0])
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        heavy = heavy_keys(both, "a")  # neither step gives a key more rows
+        both = with_totals(both, "a", "b", least, heavy)
         large = both.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        small = with_totals(large, "a", "b", least, 2 * mark[0])
+        small = with_totals(large, "a", "b", least, heavy)
         now = cut(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         before, mark = mark, _mark(now)
         if before == mark:

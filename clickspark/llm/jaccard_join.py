@@ -164,7 +164,7 @@ def _blocks(members: DataFrame, group: str, most: dict[str, int]) -> DataFrame:
     """Members (rep, group, core and the columns of `most`) of large groups dealt into blocks that hold about so much of each
     column. Blocks of members outside the core meet each other and all core blocks; core blocks do not meet, since what holds
     among them is known."""
-    totals = {f"_{c}{k}": (F.sum(F.when(F.col("core") == k, F.col(c)).otherwise(0)), F.sum) for c in most for k in (True, False)}
+    totals = {f"_{c}{k}": F.sum(F.when(F.col("core") == k, F.col(c)).otherwise(0)) for c in most for k in (True, False)}
     told = with_totals(members, group, "rep", totals)
     blocks = lambda k: F.greatest(*(F.ceil(F.col(f"_{c}{k}") / limit) for c, limit in most.items()), F.lit(0).cast("long"))
     told = told.withColumn("_r", blocks(False)).withColumn("_c", blocks(True)).where("_r > 0")
@@ -319,7 +319,7 @@ def _checked(docs: DataFrame, compared: DataFrame, clusters: DataFrame, threshol
     """rep, root, n_links, n_text_links: links that hold, by the block in which they were found."""
     sized = clusters.join(compared.select(F.col("rep").alias("node"), "id", "key", "copies", "size").hint("merge"), "node").withColumnRenamed("node", "rep")
     blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("w") / BLOCK_SHINGLES))
-    inside = cut(with_totals(sized, "root", "rep", {"n": (F.count("*"), F.sum), "w": (F.sum("size"), F.sum)}, clusters.count()).withColumn("blocks", blocks))
+    inside = cut(with_totals(sized, "root", "rep", {"n": F.count("*"), "w": F.sum("size")}).withColumn("blocks", blocks))
     texts = docs.select("doc_id", "text", _key().alias("_key"))
     texts = texts.join(inside.select("rep", "id", "key").hint("merge"), (texts.doc_id == F.col("id")) & (texts._key == F.col("key"))).select("rep", "text")
     sets = texts.mapInArrow(_sets, "rep long, set binary").dropDuplicates(["rep"])
@@ -330,7 +330,7 @@ def _checked(docs: DataFrame, compared: DataFrame, clusters: DataFrame, threshol
         told = _with_head(large, "root", "root", F.col("blocks"), sets, "set").select("rep", "root", "size", "copies", "set", "head_set")
         large = cut(told.mapInArrow(_near_root(threshold), "rep long, root long, size long, copies long, core boolean"))
         met = met.unionByName(_blocks(large.withColumn("one", F.lit(1)), "root", {"one": CLUSTER_BLOCK, "size": BLOCK_SHINGLES}))
-        core = with_totals(large.where("core"), "root", "rep", {"all_copies": (F.sum("copies"), F.sum), "all_texts": (F.count("*"), F.sum)})
+        core = with_totals(large.where("core"), "root", "rep", {"all_copies": F.sum("copies"), "all_texts": F.count("*")})
         known = core.select("rep", "root", (F.col("all_copies") - F.col("copies")).alias("n_links"), (F.col("all_texts") - 1).alias("n_text_links"))
     met = met.join(inside.select("rep", "copies").hint("merge"), "rep").join(sets.hint("merge"), "rep")
     found = met.groupBy("root", "i", "j").applyInArrow(_verify(threshold), _LINKS)
@@ -363,13 +363,15 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with all columns: of the smallest doc_id, and of its texts the one that stands for the class.
-    Texts that only rows without an id have are classes of their own. Of rows that share both id and text one stays."""
+    Texts that only rows without an id have are classes of their own. Of rows that share both id and text one stays. All
+    columns travel in one, so that no name of theirs meets one used here."""
     _, heads = _classes(docs, threshold)
-    row = F.concat_ws(":", _key(), F.col("doc_id").cast("string")).alias("_row")
-    repeated = docs.groupBy(row).agg(F.count("*").alias("_n")).where("_n > 1")
-    heads = cut(heads.select(F.concat_ws(":", "key", F.col("id").cast("string")).alias("_row")).join(repeated, "_row", "left"))
-    kept = docs.withColumn("_row", row).join(heads.hint("merge"), "_row")
-    once = kept.where("_n is null").select(*docs.columns)
-    if heads.where("_n > 1").isEmpty():
+    row = F.concat_ws(":", _key(), F.col("doc_id").cast("string")).alias("row")
+    held = docs.select(row, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"))
+    repeated = held.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+    heads = cut(heads.select(F.concat_ws(":", "key", F.col("id").cast("string")).alias("row")).join(repeated, "row", "left"))
+    kept = held.join(heads.hint("merge"), "row")
+    once = kept.where("n is null").select("held.*")
+    if heads.where("n > 1").isEmpty():
         return once
-    return once.unionByName(kept.where("_n > 1").dropDuplicates(["_row"]).select(*docs.columns))
+    return once.unionByName(kept.where("n > 1").dropDuplicates(["row"]).select("held.*"))

@@ -151,25 +151,26 @@ def _placed(rows: list[tuple[int, int, int, int, int]], capacity: int):
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(key, length * (1 << 44) + rank, side="right") - 1
             sequence = table[at, 3] + rank - table[at, 1]
-            kept = batch.drop_columns(["rank"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(table[at, 4])], [*kept.schema.names, "sequence_id", "offset"])
+            held = batch.column("held")
+            yield pa.RecordBatch.from_arrays([*held.flatten(), pa.array(sequence), pa.array(table[at, 4])], [*(f.name for f in held.type), "sequence_id", "offset"])
 
     return run
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (any table with doc_id, piece, length) with sequence_id, and offset in that sequence."""
-    found = cut(found)
+    """The pieces (any table with doc_id, piece, length) with sequence_id, and offset in that sequence; columns that have these two
+    names already are replaced. All columns travel in one, so that no name of theirs meets one used here."""
+    found = cut(found.drop("sequence_id", "offset"))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in found.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
     rows, _ = choose(counts, capacity)
     salts = max(64, int(counts.sum()) // GROUP_ROWS)
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    inner = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_inner", F.row_number().over(inner) - 1).join(before, ["length", "_salt"])
-    ranked = ranked.select(*found.columns, (F.col("_before") + F.col("_inner")).cast("long").alias("rank"))
+    salted = found.select(F.struct(*(F.col(f"`{c}`") for c in found.columns)).alias("held"), "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
+    inner = Window.partitionBy("length", "salt").orderBy("held.doc_id", "held.piece")
+    ranked = salted.withColumn("inner", F.row_number().over(inner) - 1).join(before, ["length", "salt"])
+    ranked = ranked.select("held", F.col("length").cast("long").alias("length"), (F.col("before") + F.col("inner")).cast("long").alias("rank"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return ranked.mapInArrow(_placed(rows, capacity), f"{kind}, sequence_id long, offset long")

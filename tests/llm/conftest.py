@@ -17,8 +17,8 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
     """The rows above with columns whose names operators use themselves."""
-    rows = [(i, t, "en", None, 5, 0.5, 1, "k", b"v", True, "x") for i, t in odd_rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long, key string, values binary, _copy boolean, kept_text string").repartition(3)
+    rows = [(i, t, "en", None, 5, 0.5, 1, "k", b"v", True, "x", *range(10, 20)) for i, t in odd_rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long, key string, values binary, _copy boolean, kept_text string, _row long, _n long, rank long, _salt long, _before long, _inner long, row long, held long, part long, sequence_id long").repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -78,6 +78,19 @@ def test_stages_keep_columns(spark, odd, empty, odd_labels, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns
             assert out.count() <= docs.count()
+            own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+            assert out.select(own).distinct().exceptAll(docs.select(own).distinct()).count() == 0  # no column is changed on the way
+
+
+def test_packing_keeps_columns(odd):
+    """Columns with the names that packing uses travel with their pieces; its own results replace theirs."""
+    names = ["rank", "_salt", "_before", "_inner", "before", "inner", "salt", "n", "held", "offset"]
+    found = packing.pieces(odd).withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    packed = packing.pack(found)
+    assert packed.columns == [*found.drop("offset").columns, "sequence_id", "offset"]
+    plain = packing.pack(packing.pieces(odd))
+    assert sorted(map(tuple, packed.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert {tuple(r) for r in packed.select(*names[:-1]).collect()} == {tuple(range(9))}
 
 
 def test_stage_results(spark, odd, odd_labels, tmp_path):
