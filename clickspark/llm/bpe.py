@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, steps
 
-#: Words in the lexicon, the hash groups they are chosen from, and pieces in each of the two generations a worker remembers.
-LEXICON_WORDS, GROUPS, REMEMBERED = 20_000, 64, 150_000
+#: Words in the lexicon, bytes of the longest, the hash groups they are chosen from, and pieces in each of the two generations a
+#: worker remembers.
+LEXICON_WORDS, LEXICON_BYTES, GROUPS, REMEMBERED = 20_000, 64, 64, 150_000
 
 #: Characters of the longest piece that is remembered, and bytes from which a word is merged rank by rank.
 REMEMBERED_LENGTH, LONG_WORD = 64, 512
@@ -377,9 +378,9 @@ def _encoder(path: str, lexicon: str) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts: of each of `GROUPS` hash groups the first n / GROUPS. At most n rows are collected,
-    and each task keeps no more of a group than that."""
-    words = docs.select(F.explode(F.split("text", BLANK_RUN)).alias("word")).where("word != ''")
+    """The most frequent words of at most `LEXICON_BYTES` bytes: of each of `GROUPS` hash groups the first n / GROUPS. At most n
+    such words are collected, and each task keeps no more of a group than that. Longer words are merged like any unseen word."""
+    words = docs.select(F.explode(F.split("text", BLANK_RUN)).alias("word")).where((F.col("word") != "") & (F.octet_length("word") <= LEXICON_BYTES))
     counted = words.groupBy("word").count().withColumn("group", F.pmod(F.xxhash64("word"), F.lit(GROUPS)))
     place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("count"), "word"))
     return [r["word"] for r in counted.withColumn("place", place).where(F.col("place") <= max(1, n // GROUPS)).select("word").collect()]
