@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot
+from ..functions import dot, logistic, minus, times
 
 
 def item_embeddings(sequences: DataFrame, column: str, size: int = 16, seed: int = 0, min_count: int = 1, steps: int = 1) -> DataFrame:
@@ -19,22 +21,40 @@ def item_embeddings(sequences: DataFrame, column: str, size: int = 16, seed: int
     return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vector"))
 
 
-def attention_pool(df: DataFrame, vectors: DataFrame, key: str, target: str, history: str, scaled: bool = True) -> DataFrame:
+def scaled_dot(target: Column, item: Column) -> Column:
+    """The dot product, divided by the root of the dimension."""
+    return dot(target, item) / F.sqrt(F.size(target).cast("double"))
+
+
+def learned_score(weights: Mapping[str, Sequence]) -> Callable[[Column, Column], Column]:
+    """A score by two hidden layers over target, item, difference and product, divided by the root of the dimension. Weights are
+    s1, s2 (a row for each input, a column for each unit), s3 (a list), and the constants s1b, s2b, s3b."""
+    numbers = lambda x: F.array(*(F.lit(float(v)) for v in x))
+    layer = lambda x, w, b: F.array(*(logistic(dot(x, numbers(unit)) + F.lit(float(c))) for unit, c in zip(zip(*w), b)))
+
+    def score(target: Column, item: Column) -> Column:
+        four = F.concat(target, item, minus(target, item), times(target, item))
+        deep = layer(layer(four, weights["s1"], weights["s1b"]), weights["s2"], weights["s2b"])
+        return (dot(deep, numbers(weights["s3"])) + F.lit(float(weights["s3b"][0]))) / F.sqrt(F.size(target).cast("double"))
+
+    return score
+
+
+def attention_pool(df: DataFrame, vectors: DataFrame, key: str, target: str, history: str, score: Callable[[Column, Column], Column] = scaled_dot) -> DataFrame:
     """key and `interest`, for each row the attention-weighted sum of its history items' vectors; `vectors` is (id, vector).
 
-    The score of an item is its dot product with the target's vector, divided by the root of the dimension if scaled. Rows
+    `score` tells an item's score from the target's vector and its own, such as `scaled_dot`, `dot` or a `learned_score`. Rows
     without a scored item have a NULL interest, which stands for a zero vector. Each item stays one row, whose vector is added
     up where its key's rows already are, so that one shuffle by key serves all steps."""
     items = df.select(F.col(key).alias("_key"), F.col(target).cast("string").alias("_target"), F.explode(history).alias("_item"))
-    told = vectors.select(F.col("id").cast("string").alias("_id"), F.col("vector").alias("_vec"))
+    told = vectors.select(F.col("id").cast("string").alias("_id"), F.col("vector").cast("array<double>").alias("_vec"))
     joined = items.join(told.select(F.col("_id").alias("_ti"), F.col("_vec").alias("_tv")), F.col("_target") == F.col("_ti"))
     joined = joined.join(told, F.col("_item").cast("string") == F.col("_id"))
-    scale = F.sqrt(F.size("_tv").cast("double")) if scaled else F.lit(1.0)
-    scored = joined.select("_key", "_vec", (dot(F.col("_tv"), F.col("_vec")) / scale).alias("_s"))
+    scored = joined.select("_key", "_vec", score(F.col("_tv"), F.col("_vec")).alias("_s"))
     same = Window.partitionBy("_key")
     weight = F.exp(F.col("_s") - F.max("_s").over(same))
     weighed = scored.withColumn("_w", weight).withColumn("_w", F.col("_w") / F.sum("_w").over(same))
-    own = weighed.select("_key", "_w", array_to_vector(F.col("_vec").cast("array<double>")).alias("_vec"))
+    own = weighed.select("_key", "_w", array_to_vector("_vec").alias("_vec"))
     pooled = own.groupBy("_key").agg(Summarizer.sum(F.col("_vec"), F.col("_w")).alias("_sum")).select("_key", vector_to_array("_sum").alias("interest"))
     return df.select(F.col(key)).join(pooled, F.col(key) == F.col("_key"), "left").select(key, "interest")
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import LOCAL_ZONE, dot, epoch_to_ntz, field_of, local_time, logistic, mask, minus, smoothed_rate, times
-from ..operators import attention, clean, encode, history, lookup, metrics, models, profile, sequences, split
+from ..operators import attention, clean, encode, history, interest, lookup, metrics, models, profile, sequences, split
+from ..sources.shared import shared_folder
 from . import fixtures, samples
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,6 +557,33 @@ def attention_pool(spark, sf_dir):
     return out.select("event_id", *_digest("interest"))
 
 
+#: Weights of a scorer over vectors of 64 numbers, by a rule.
+_UNITS = (4, 3)
+_SCORER = {
+    "s1": [[((7 * i + 13 * j) % 11 - 5) / 10 for j in range(_UNITS[0])] for i in range(256)], "s1b": [0.1 * j for j in range(_UNITS[0])],
+    "s2": [[((5 * i + 3 * j) % 7 - 3) / 2 for j in range(_UNITS[1])] for i in range(_UNITS[0])], "s2b": [-0.2 * j for j in range(_UNITS[1])], "s3": [8.0, -5.0, 11.0], "s3b": [0.25],
+}
+
+
+def _layer_sql(x: str, w: str) -> str:
+    units = zip(zip(*_SCORER[w]), _SCORER[f"{w}b"])
+    return "[" + ", ".join(f"1 / (1 + exp(-(list_dot_product({x}, {[float(v) for v in unit]}::double[]) + {c})))" for unit, c in units) + "]"
+
+
+_LEARNED = _POOL.replace("scored as (", f"""pairs as (select s.event_id, s.r, i.embedding as v, t.embedding::double[] as t, i.embedding::double[] as h
+    from recent s join embeddings t on t.vec_id = s.adgroup_id join embeddings i on i.vec_id = s.item),
+  four as (select *, list_concat(list_concat(t, h), list_concat([t[k] - h[k] for k in generate_series(1, len(t))], [t[k] * h[k] for k in generate_series(1, len(t))])) as x from pairs),
+  first_layer as (select *, {_layer_sql("x", "s1")} as y from four), second_layer as (select *, {_layer_sql("y", "s2")} as z from first_layer),
+  scored as (select event_id, r, v, (list_dot_product(z, {_SCORER["s3"]}::double[]) + {_SCORER["s3b"][0]}) / sqrt(len(t)) as sc from second_layer), unused as (""")
+
+
+@_query(_LEARNED + " select event_id, total, weighted, square from exposures left join told using (event_id)")
+def learned_attention(spark, sf_dir):
+    """The same pooling with scores by two hidden layers of given weights."""
+    out = attention.attention_pool(_with_history(spark, sf_dir, 5), _vectors(spark, sf_dir), "event_id", "adgroup_id", "items", attention.learned_score(_SCORER))
+    return out.select("event_id", *_digest("interest"))
+
+
 @_query(_POOL + """ , cnt as (select e.event_id, count(s.r) as n, count(case when s.cate = a.cate_id then 1 end) as hits, min(case when s.cate = a.cate_id then s.back end) as ago
     from exposures e left join ads a using (adgroup_id) left join recent s on s.event_id = e.event_id group by e.event_id)
   select c.event_id, coalesce(total, 0) as total, coalesce(weighted, 0) as weighted, coalesce(square, 0) as square, hits as cate_hits,
@@ -657,17 +685,11 @@ def _seconds() -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("time_stamp")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A folder for what a query writes, beside the checkpoints that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}"
-
-
 @_query(" select user_key as user, floor(epoch(ts))::bigint as time_stamp, adgroup_id, pid, 1 - clk as nonclk, clk from exposures")
 def read_exposures(spark, sf_dir):
     """Exposures written as CSV and read through their reader."""
     told = fixtures.exposures(spark, sf_dir)
-    folder = _folder(spark, "exposures-csv")
+    folder = sources.own_folder(spark)
     sources.write_sample(told.select(F.col("user_key").alias("user"), _seconds(), "adgroup_id", "pid", (1 - F.col("clk")).alias("nonclk"), "clk"), folder, "csv")
     return sources.read_exposures(spark, folder)
 
@@ -675,7 +697,7 @@ def read_exposures(spark, sf_dir):
 @_query(" select adgroup_id, cate_id, brand, round(price, 6) as price from ads")
 def read_ads(spark, sf_dir):
     """Ads written as CSV, headers with blanks and missing numbers as NaN, and read through their reader."""
-    told, folder = fixtures.ads(spark, sf_dir), _folder(spark, "ads-csv")
+    told, folder = fixtures.ads(spark, sf_dir), sources.own_folder(spark)
     named = told.select("adgroup_id", "cate_id", F.hash("campaign_id").cast("long").alias(" campaign_id"), F.lit(1).alias("customer "), "brand", F.coalesce("price", F.lit(float("nan"))).alias("price"))
     sources.write_sample(named, folder, "csv")
     return sources.read_ads(spark, folder).select("adgroup_id", "cate_id", "brand", _r("price"))
@@ -683,7 +705,7 @@ def read_ads(spark, sf_dir):
 
 @_query(" select userid, cms_segid, pvalue_level, new_user_class_level from profiles")
 def read_profiles(spark, sf_dir):
-    folder = _folder(spark, "profiles-csv")
+    folder = sources.own_folder(spark)
     sources.write_sample(fixtures.profiles(spark, sf_dir), folder, "csv")
     return sources.read_profiles(spark, folder).select("userid", "cms_segid", "pvalue_level", "new_user_class_level")
 
@@ -693,7 +715,7 @@ def materialize_behaviors(spark, sf_dir):
     """The prepared log of exposed users, written once by the content of both inputs."""
     log = fixtures.behaviors(spark, sf_dir).select(F.col("user_key").alias("user"), _seconds(), "btag", "cate", "brand")
     users = fixtures.exposures(spark, sf_dir).select(F.col("user_key").alias("user"))
-    return sources.materialize_behaviors(log, users, _folder(spark, "prepared-log")).select("user", "time_stamp", "cate", "brand")
+    return sources.materialize_behaviors(log, users, f"{shared_folder(spark)}/prepared-log").select("user", "time_stamp", "cate", "brand")
 
 
 @_query(_LAST + """ , cats as (select pid as p, row_number() over (order by pid) - 1 as i, count(*) over () as k from (select distinct pid from parts where split = 'train'))
@@ -776,10 +798,27 @@ def item_embeddings(spark, sf_dir):
 
 @_query()
 def leaderboard(spark, sf_dir):
+    """A grid over two kinds of model, whose inputs are prepared once each."""
     train, valid = _model_rows(spark, sf_dir)
-    return models.leaderboard(
-        {
-            "lr": lambda t: models.fit_lr(t, *_LR), "lr_strong_penalty": lambda t: models.fit_lr(t, *_LR, c=0.01),
-            "gbt_3_leaves": lambda t: models.fit_gbt(t, *_TREES), "gbt_8_leaves": lambda t: models.fit_gbt(t, *_TREES, leaves=8),
-        }, train, valid,
-    ).drop("seconds")
+    linear, trees = models.ready(train, *_LR), models.ready(train, *_TREES, trees=True)
+    fits = {"lr": lambda: models.lr(linear), "lr_strong_penalty": lambda: models.lr(linear, c=0.01), "gbt_3_leaves": lambda: models.gbt(trees), "gbt_8_leaves": lambda: models.gbt(trees, leaves=8)}
+    return models.leaderboard(fits, valid).drop("seconds")
+
+
+_INTEREST = interest.Inputs(
+    ["user_key", "adgroup_id", "pid", "cms_segid", "cms_group_id", "final_gender_code", "occupation", "hour", "weekday"], {"cate_id": "cates", "brand": "brands"}, ["price", "age_level", "shopping_level"],
+)
+
+
+@_query()
+def score_interest(spark, sf_dir):
+    """Learned attention over each user's last behaviours, with user, ad and context; the scorer's width is chosen on the newest day
+    but one, and the newest day is scored by the chosen model alone."""
+    wide = clean.add_time_parts(samples.wide(*_parts(spark, sf_dir)), "ts", LOCAL_ZONE)
+    seen = sequences.asof_history(wide, fixtures.behaviors(spark, sf_dir), ["cate", "brand"], 50, part=F.to_date("ts"))
+    rows = seen.select("event_id", "clk", "date", *_INTEREST.scalars, *_INTEREST.targets, *_INTEREST.dense, *(field_of(F.col("hist"), f).alias(h) for f, h in (("cate", "cates"), ("brand", "brands"))))
+    train, valid, test = split.split_three_way(sources.written(rows))
+    shapes = {"narrow": interest.Shape(scorer=(16, 8)), "wide": interest.Shape(scorer=(32, 16))}
+    fits = {name: lambda shape=shape: interest.fit_interest(train, _INTEREST, shape, passes=3, shards=4) for name, shape in shapes.items()}
+    chosen = models.choose(fits, valid, test)
+    return chosen.model.score(test).select("event_id", "clk", _r("score"), F.lit(chosen.name).alias("model"))

@@ -290,5 +290,19 @@ def test_boosting_stops_early(planted):
 
 
 def test_leaderboard(planted):
-    rows = models.leaderboard({"good": lambda t: models.fit_lr(t, ["c"], ["x"]), "poor": lambda t: models.fit_lr(t, ["c"], [])}, *planted).collect()
+    train, valid = planted
+    rows = models.leaderboard({"good": lambda: models.fit_lr(train, ["c"], ["x"]), "poor": lambda: models.fit_lr(train, ["c"], [])}, valid).collect()
     assert [r["model"] for r in rows] == ["good", "poor"] and rows[0]["auc"] > rows[1]["auc"]
+
+
+def test_the_test_day_never_chooses(planted):
+    """The choice stays whatever the test rows say, inputs are prepared once for a grid, and the test rows are scored once."""
+    train, valid = planted
+    one = models.ready(train, ["c"], ["x"])
+    fits = {"weak": lambda: models.lr(one, c=1e-6), "strong": lambda: models.lr(one), "no_number": lambda: models.fit_lr(train, ["c"], [])}
+    turned = valid.withColumn("clk", 1 - F.col("clk"))
+    plain, odd = models.choose(fits, valid, valid), models.choose(fits, valid, turned)
+    board = [tuple(r)[:3] for r in plain.board.collect()]
+    assert plain.name == odd.name == board[0][0] and board == [tuple(r)[:3] for r in odd.board.collect()]
+    (told,), (other,) = plain.test.collect(), odd.test.collect()
+    assert told["auc"] == pytest.approx(board[0][1]) and other["auc"] == pytest.approx(1 - told["auc"]) and told["model"] == other["model"] == plain.name
