@@ -37,6 +37,10 @@ COVERED, FIRST = 80, 2000
 #: Text bytes of a block in a task, and of a range of hashes; ranges are powers of two within these ends.
 BLOCK_BYTES, RANGE_BYTES, LEAST_BITS, MOST_BITS = 3 << 20, 32 << 20, 4, 20
 
+#: Text bytes that a task reads at least where there are more tasks than the session runs at once, and distinct phrases that it
+#: adds up before it sends them on.
+TASK_BYTES, TASK_KEYS = 64 << 20, 3_000_000
+
 #: Bits of the byte table's places, and the byte of a phrase that has not reached the threshold.
 SLOT_BITS, NEVER = 24, 255
 
@@ -112,22 +116,45 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return high.astype(np.uint64) << np.uint64(40) | low.astype(np.uint64) << np.uint64(8) | meta, hits
 
 
+def _added(keys: np.ndarray, hits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their hits up to `most`."""
+    order = np.argsort(keys, kind="stable")
+    keys, hits = keys[order], hits[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.minimum(np.add.reduceat(hits.astype(np.int64), first), most).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+
+
+def _gathered(rows: DataFrame, size: int) -> DataFrame:
+    """The rows in fewer tasks, if these have little to read, so that more is added up before it is sent."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return rows.coalesce(n)
+
+
 def _counted(shard: DataFrame, reached, step: int, bits: int) -> DataFrame:
-    """Packed counts of all phrases that are under way in this step, block by block. The meta byte holds the step from which a
-    phrase counts, and its length."""
+    """Packed counts of all phrases that are under way in this step. The meta byte holds the step from which a phrase counts, and
+    its length."""
+
+    def packed(keys: list[np.ndarray], hits: list[np.ndarray]) -> pa.RecordBatch:
+        rows = _pack(*_added(np.concatenate(keys), np.concatenate(hits), 255), bits)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["range", "low", "high", "meta", "hits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, hits = [], []
         for batch in steps(batches, most=BLOCK_BYTES):
-            block, keys = Block(batch), []
+            block, found = Block(batch), []
             for k, _, own, active, _ in block.phrases(reached.value):
                 now = active + SHARDS > step
-                keys.append((own[now] >> np.uint64(16)) << np.uint64(8) | active[now].astype(np.uint64) << np.uint64(2) | np.uint64(k - 1))
-            keys = np.concatenate(keys)
-            keys.sort()
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            hits = np.minimum(np.diff(np.concatenate([first, [len(keys)]])), 255).astype(np.uint8)
-            rows = _pack(keys[first], hits, bits)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["range", "low", "high", "meta", "hits"])
+                found.append((own[now] >> np.uint64(16)) << np.uint64(8) | active[now].astype(np.uint64) << np.uint64(2) | np.uint64(k - 1))
+            found = np.concatenate(found)
+            found.sort()
+            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+            keys.append(found[first])
+            hits.append(np.minimum(np.diff(np.concatenate([first, [len(found)]])), 255).astype(np.uint8))
+            if sum(map(len, keys)) > TASK_KEYS:
+                yield packed(keys, hits)
+                keys, hits = [], []
+        if keys:
+            yield packed(keys, hits)
 
     return shard.mapInArrow(run, _PACKED)
 
@@ -138,11 +165,7 @@ def _merged(counted: DataFrame, step: int, bits: int) -> DataFrame:
     places = 1 << (SLOT_BITS - bits)
 
     def run(table: pa.Table) -> pa.Table:
-        keys, hits = _unpack(table)
-        order = np.argsort(keys, kind="stable")
-        keys, hits = keys[order], hits[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        keys, hits = keys[first], np.minimum(np.add.reduceat(hits, first), LEAST) if len(first) else hits
+        keys, hits = _added(*_unpack(table), LEAST)
         own = (keys >> np.uint64(56 - SLOT_BITS)) & np.uint64(places - 1)
         longest = (keys & np.uint64(3)) == LONGEST - 1
         maps = []
@@ -151,24 +174,24 @@ def _merged(counted: DataFrame, step: int, bits: int) -> DataFrame:
             marks[own[of & (hits >= LEAST)]] = True
             maps.append(np.packbits(marks).tobytes())
         going = (keys >> np.uint64(2) & np.uint64(63)).astype(np.int64) + SHARDS > step + 1
-        rows = _pack(keys[going], hits[going].astype(np.uint8), bits) or [(table.column("range")[0].as_py(), b"", b"", b"", b"")]
+        rows = _pack(keys[going], hits[going], bits) or [(table.column("range")[0].as_py(), b"", b"", b"", b"")]
         names = ["range", "low", "high", "meta", "hits", "growing", "longest"]
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)), pa.array([maps[0]], pa.binary()), pa.array([maps[1]], pa.binary())], names)
 
     return counted.groupBy("range").applyInArrow(run, f"{_PACKED}, growing binary, longest binary")
 
 
-def reached_table(dealt: DataFrame) -> np.ndarray:
+def reached_table(dealt: DataFrame, size: int) -> np.ndarray:
     """For each place of the byte table the step after which a phrase of that place had reached the threshold, by cyclic scans
     over the shards. Two bitmaps of 2^24 bits reach the driver a step, in ranges, and the table of 2^24 bytes is broadcast."""
     sc = dealt.sparkSession.sparkContext
-    size = dealt.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(max(LEAST_BITS, int(size // RANGE_BYTES).bit_length()), MOST_BITS)
     table = np.full(1 << SLOT_BITS, NEVER, np.uint8)
     running, last, step = None, 0, 0
     while size and step < last + SHARDS:
         told = sc.broadcast(table)
-        counted = _counted(dealt.where(F.col("shard") == step % SHARDS).select("tongue", "text"), told, step, bits)
+        shard = _gathered(dealt.where(F.col("shard") == step % SHARDS).select("tongue", "text"), size // SHARDS)
+        counted = _counted(shard, told, step, bits)
         both = counted if running is None else counted.unionByName(running)
         merged = written(_merged(both, step, bits))
         for row in merged.select("range", "growing", "longest").collect():
@@ -203,7 +226,7 @@ def _named(dealt: DataFrame, reached) -> DataFrame:
                 row = np.searchsorted(block.first, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(row)), pa.array(np.full(len(at), k, np.int32)), block.texts(at, k), pa.array(hits.astype(np.int64))], ["lang", "k", "phrase", "hits"])
 
-    return dealt.select("lang", "tongue", "text").mapInArrow(run, "lang string, k int, phrase string, hits long")
+    return dealt.mapInArrow(run, "lang string, k int, phrase string, hits long")
 
 
 def frequent_phrases(docs: DataFrame) -> DataFrame:
@@ -212,7 +235,9 @@ def frequent_phrases(docs: DataFrame) -> DataFrame:
     lang, text = F.coalesce("lang", F.lit("und")), F.coalesce("text", F.lit(""))
     dealt = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("tongue"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id", text), F.lit(SHARDS)).cast("int").alias("shard"))
     dealt = written(dealt, "shard")
-    found = _named(dealt, dealt.sparkSession.sparkContext.broadcast(reached_table(dealt)))
+    size = dealt.agg(F.sum("n_bytes")).first()[0] or 0
+    told = dealt.sparkSession.sparkContext.broadcast(reached_table(dealt, size))
+    found = _named(_gathered(dealt.select("lang", "tongue", "text"), size), told)
     return found.groupBy("lang", "k", "phrase").agg(F.sum("hits").alias("f")).where((F.col("f") >= LEAST) | (F.col("k") == 0))
 
 
