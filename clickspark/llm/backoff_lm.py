@@ -143,8 +143,11 @@ class Block:
             history = self.pair_of[at - 1]
             likely = (self.pair_count[history] >= LEAST_TRIGRAM) & (self.pair_count[self.pair_of[at]] >= LEAST_TRIGRAM)
             at, history = at[likely], history[likely]
-            keys, first, back = np.unique(history * self.n + self.tokens[at], return_index=True, return_inverse=True)
-            counts = np.bincount(back, weights=self.train[at], minlength=len(keys)).astype(np.int64)
+            keys = history * self.n + self.tokens[at]
+            order = np.argsort(keys)
+            edge = np.flatnonzero(np.diff(keys[order], prepend=-1))
+            keys, first = keys[order[edge]], order[edge]
+            counts = np.add.reduceat(self.train[at[order]].astype(np.int64), edge) if len(edge) else np.zeros(0, np.int64)
             elsewhere = self.pair_count - np.bincount(self.pair_of, weights=self.train, minlength=len(self.pairs)).astype(np.int64)
             likely = counts + np.minimum(elsewhere[history[first]], elsewhere[self.pair_of[at[first]]]) >= LEAST_TRIGRAM
             self._trigrams = keys[likely], counts[likely]
