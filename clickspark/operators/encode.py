@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cross, pad
+from ..sources.shared import written
+from .lookup import vocab_lookup
 
 #: Ranges of values that are numbered apart, and values looked at for each range's bound.
 RANGES, LOOKED_AT = 64, 50
@@ -20,7 +22,8 @@ def numbered(values: DataFrame, offset: int = 0) -> DataFrame:
 
     Values are dealt into ranges of nearly equal size; each range is numbered by itself and moved by the number of values in the
     ranges before it, so no window spans all values. The bounds are every `LOOKED_AT`-th of a fixed number of values chosen by
-    hash, found in the plan without a look at the driver. They only place values: each value is numbered whatever the bounds."""
+    hash, found in the plan without a look at the driver. The values are written once, since several steps read them. Bounds only place values: each value is numbered whatever the bounds."""
+    values = written(values)
     few = values.orderBy(F.xxhash64("value"), "value").limit(RANGES * LOOKED_AT).agg(F.sort_array(F.collect_list("value")).alias("_l"))
     bounds = few.select(F.filter("_l", lambda x, i: i % LOOKED_AT == LOOKED_AT - 1)).scalar()
     part = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("value"))), F.lit(0))
@@ -41,13 +44,26 @@ def union_values(df: DataFrame, target: str, history: str) -> DataFrame:
     return single.unionByName(df.select(F.explode(F.transform(history, lambda x: x.cast("string"))).alias("value")))
 
 
-def dense_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column's values as 0..k-1 in value order, missing as -1. Values are taken from the table as it came, so that plans
-    do not nest."""
-    given = df
-    for c in columns:
-        told = numbered(distinct_values(given, c)).select(F.col("value").alias("_v"), F.col("id").alias("_i"))
-        df = df.join(told, F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce(F.col("_i"), F.lit(-1)).cast("long")).drop("_v", "_i")
+def dense_codes(df: DataFrame, columns: Sequence[str], given: DataFrame | None = None) -> DataFrame:
+    """Each column's values as 0..k-1 in value order, missing as -1.
+
+    The values of all columns are one table, numbered in one pass in the order of column and value, of which each column's
+    first number is taken off; it is written once, and each column is joined with its own part. `given` is a table with the
+    same values and columns that costs less to read than `df`, such as `df` before counters were added."""
+    given = df if given is None else given
+    kinds = {c: given.schema[c].dataType.typeName() for c in columns}
+    number, fraction = ("byte", "short", "integer", "long", "boolean"), ("float", "double", "decimal")
+    as_key = lambda i, c: F.struct(
+        F.lit(i).alias("c"), (F.col(c) if kinds[c] in number else F.lit(None)).cast("long").alias("n"), (F.col(c) if kinds[c] in fraction else F.lit(None)).cast("double").alias("x"),
+        (F.lit(None) if kinds[c] in (*number, *fraction) else F.col(c)).cast("string").alias("t"),
+    )
+    keys = given.select(F.explode(F.array(*(F.when(F.col(c).isNotNull(), as_key(i, c)) for i, c in enumerate(columns)))).alias("value")).where("value is not null").distinct()
+    told = written(numbered(keys))
+    first = told.groupBy("value.c").agg(F.min("id").alias("_first"))
+    told = told.join(F.broadcast(first), F.col("value.c") == first["c"]).select(F.col("value").alias("_v"), (F.col("id") - F.col("_first")).alias("_i"))
+    for i, c in enumerate(columns):
+        own = told.where(F.col("_v.c") == i).select(F.col("_v").alias(f"_v{i}"), F.col("_i").alias(f"_i{i}"))
+        df = df.join(own, as_key(i, c) == F.col(f"_v{i}"), "left").withColumn(c, F.coalesce(F.col(f"_i{i}"), F.lit(-1)).cast("long")).drop(f"_v{i}", f"_i{i}")
     return df
 
 
@@ -61,6 +77,18 @@ def fit_shared_vocab(train: DataFrame, target: str, history: str) -> DataFrame:
     return numbered(union_values(train, target, history).where("value is not null").distinct(), 2)
 
 
+def fit_log_vocab(train: DataFrame, target: str, log: DataFrame, column: str) -> DataFrame:
+    """One vocabulary over a column of the training rows and a column of the behaviours that their histories hold (see
+    `sequences.in_reach`), so that no list is taken apart."""
+    both = train.select(F.col(target).cast("string").alias("value")).unionByName(log.select(F.col(column).cast("string").alias("value")))
+    return numbered(both.where("value is not null").distinct(), 2)
+
+
+def encode_log(log: DataFrame, vocabulary: DataFrame, column: str, out: str, unknown: int = 1) -> DataFrame:
+    """Behaviours with the id of a value, attached once to each; histories taken from them then are lists of ids."""
+    return vocab_lookup(log, vocabulary, column, out, unknown)
+
+
 def encode_sequence(df: DataFrame, vocabulary: DataFrame, column: str, key: str, out: str, unknown: int = 1) -> DataFrame:
     """A list's values as ids, order and repeats kept; empty and missing lists give an empty list. `key` must be unique."""
     items = df.select(F.col(key).alias("_key"), F.posexplode(column).alias("_pos", "_item"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import smoothed_rate
+from .heavy import heavy, ticks
 
 
 def _present(keys: Sequence[str]) -> Column:
@@ -25,12 +26,28 @@ def _named(df: DataFrame, prefix: str, keys: Sequence[str], imp: Column, clk: Co
     return out.withColumn(f"{prefix}_hist_ctr", smoothed_rate(F.col(f"{prefix}_hist_clk"), F.col(f"{prefix}_hist_imp"), a, b))
 
 
-def history(df: DataFrame, keys: Sequence[str], prefix: str, order: Sequence[str], label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
-    """Earlier rows and earlier labels of the key in row order; `order` must end in a tie-breaker. One window, so one shuffle, for
-    keys that no task is too small for; others take `history_by_day`."""
-    w = Window.partitionBy(*keys, "_spread").orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return _named(df.withColumn("_spread", _spread(keys, df.columns)), prefix, keys, F.row_number().over(w) - 1, F.sum(label).over(before), a, b).drop("_spread")
+def history(df: DataFrame, keys: Sequence[str], prefix: str, order: Sequence[str], label: str = "clk", a: float = 0.25, b: float = 5.0, heavy_rows: int | None = None) -> DataFrame:
+    """Earlier rows and earlier labels of the key in row order; `order` begins with a time, of which NULL is the earliest, and must
+    end in a tie-breaker. One window does for all keys but those with more than `heavy_rows` rows, see `heavy`."""
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    return _by_range(df, keys, prefix, order[0], label, F.struct(*order), lambda w: F.row_number().over(w) - 1, before, a, b, heavy_rows)
+
+
+def _by_range(df: DataFrame, keys: Sequence[str], prefix: str, time: str, label: str, own: Column, imp: Callable, frame: Callable, a: float, b: float, heavy_rows: int | None) -> DataFrame:
+    """Counts of `imp` and the labels of `frame` within a key's range of time, and what the ranges before hold of heavy keys."""
+    kept, told = df.columns, heavy(df, keys, time, heavy_rows)
+    rows = told.ranged(df)
+    w = Window.partitionBy(*keys, "_range", "_spread").orderBy(own)
+    out = rows.withColumn("_spread", _spread(keys, kept)).withColumns({"_i": imp(w), "_l": F.coalesce(F.sum(label).over(frame(w)), F.lit(0))})
+    n, c = F.lit(0), F.lit(0)
+    if told.ends is not None:
+        past = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+        totals = told.summed(rows, _n=F.count("*"), _c=F.sum(label))
+        totals = totals.withColumns({"_n0": F.sum("_n").over(past), "_c0": F.sum("_c").over(past)}).drop("_n", "_c")
+        out = told.told(out, totals)
+        n, c = F.coalesce("_n0", F.lit(0)), F.coalesce("_c0", F.lit(0))
+    out = _named(out, prefix, keys, n + F.col("_i"), c + F.col("_l"), a, b)
+    return out.select(*kept, f"{prefix}_hist_imp", f"{prefix}_hist_clk", f"{prefix}_hist_ctr")
 
 
 def _spread(keys: Sequence[str], columns: Sequence[str]) -> Column:
@@ -42,12 +59,14 @@ def _by_day(df: DataFrame, keys: Sequence[str], prefix: str, day: Column, label:
     """Counts of the key's earlier days from day totals, and `imp` and the labels of `frame` within the day."""
     kept = df.columns
     rows = df.withColumns({"_day": day, "_spread": _spread(keys, kept)})
-    totals = rows.where(_present(keys)).groupBy(*keys, "_day", "_spread").agg(F.count("*").alias("_n"), F.sum(label).alias("_c"))
+    totals = rows.where(_present(keys)).groupBy(*keys, "_day").agg(F.count("*").alias("_n"), F.sum(label).alias("_c"))
     past = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_day", "_spread", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_c0"))
+    totals = totals.select(*keys, "_day", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_c0"))
     w = Window.partitionBy(*keys, "_day", "_spread").orderBy(own)
     within = rows.withColumns({"_i": imp(w), "_l": F.coalesce(F.sum(label).over(frame(w)), F.lit(0))})
-    joined = within.join(totals, [*keys, "_day", "_spread"], "left")
+    totals = totals.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_day").alias("_d"), "_n0", "_c0")
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+    joined = within.join(totals, [*same, F.col("_day").eqNullSafe(F.col("_d"))], "left")
     out = _named(joined, prefix, keys, F.col("_n0") + F.col("_i"), F.col("_c0") + F.col("_l"), a, b)
     return out.select(*kept, f"{prefix}_hist_imp", f"{prefix}_hist_clk", f"{prefix}_hist_ctr")
 
@@ -59,10 +78,12 @@ def history_by_day(df: DataFrame, keys: Sequence[str], prefix: str, order: Seque
     return _by_day(df, keys, prefix, day, label, F.struct(*order), lambda w: F.row_number().over(w) - 1, before, a, b)
 
 
-def history_strict(df: DataFrame, keys: Sequence[str], prefix: str, time: str, day: Column | None = None, label: str = "clk", a: float = 0.25, b: float = 5.0) -> DataFrame:
-    """As `history`, but only rows at strictly earlier times count, so that ties never see each other. Windows span one
-    `day` of a key, by default the time's own."""
-    at = F.col(time).cast("timestamp")
+def history_strict(df: DataFrame, keys: Sequence[str], prefix: str, time: str, day: Column | None = None, label: str = "clk", a: float = 0.25, b: float = 5.0, heavy_rows: int | None = None) -> DataFrame:
+    """As `history`, but only rows at strictly earlier times count, so that ties never see each other; rows without a time tie
+    before all others. With `day` windows span one day of a key instead of the ranges of heavy keys."""
+    at = F.coalesce(ticks(time, df).cast("double" if df.schema[time].dataType.typeName() in ("double", "float") else "long"), F.lit(-(1 << 62)))
     before = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
-    day = F.to_date(at) if day is None else day
-    return _by_day(df, keys, prefix, day, label, F.unix_micros(at), lambda w: F.count("*").over(before(w)), before, a, b)
+    imp = lambda w: F.count("*").over(before(w))
+    if day is not None:
+        return _by_day(df, keys, prefix, day, label, at, imp, before, a, b)
+    return _by_range(df, keys, prefix, time, label, at, imp, before, a, b, heavy_rows)

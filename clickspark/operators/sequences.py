@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import last_n
+from .heavy import Heavy, heavy
 
 
 #: Behaviours that one row of a collected log holds; users with more have several rows.
@@ -26,7 +27,7 @@ def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[s
     """Adds `hist` (the last n behaviours strictly before the exposure, oldest first) and `seq_len`. Each exposure carries its
     user's whole log through the join, so this plan is for short logs; users with more than `longest` behaviours take the plan
     of `asof_history`."""
-    many = log.groupBy(user).agg(F.count("*").alias("_n")).where(F.col("_n") > longest).select(user)
+    many = log.groupBy(user).agg(F.count("*").alias("_count")).where(F.col("_count") > longest).select(user)
     entry = F.struct(F.col(time), F.col(tie), *(F.col(f) for f in fields if f not in (time, tie)))
     told = log.join(many, user, "left_anti").groupBy(user).agg(F.sort_array(F.collect_list(entry)).alias("log"))
     joined = exposures.join(many, user, "left_anti").join(told, user, "left")
@@ -37,13 +38,20 @@ def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[s
     return short.unionByName(rest)
 
 
-def _running(df: DataFrame, user: str, order: Sequence[str], value: str, part: Column | None) -> DataFrame:
-    """Adds _run, the sum of `value` over the user's rows up to this one. With `part`, a coarser time that never falls as time
-    goes on, windows span one part of a user and the parts before are added from totals, so that a user with very many rows is
-    not one task's work."""
+def _running(df: DataFrame, user: str, order: Sequence[str], value: str, part: Column | None, told: Heavy | None = None) -> DataFrame:
+    """Adds _run, the sum of `value` over the user's rows up to this one. Users with very many rows are found by their counts (or
+    `told`) and dealt into ranges of time, see `heavy`. With `part`, a coarser time that never falls as time goes on, windows
+    span one part of any user instead, and the parts before are added from totals."""
     if part is None:
-        w = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn("_run", F.sum(value).over(w))
+        told = heavy(df, [user], order[0]) if told is None else told
+        rows = told.ranged(df)
+        w = Window.partitionBy(user, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = rows.withColumn("_run", F.sum(value).over(w))
+        if told.ends is not None:
+            past = Window.partitionBy("_k0").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+            totals = told.summed(rows, _t=F.sum(value)).withColumn("_t", F.sum("_t").over(past))
+            own = told.told(own, totals).withColumn("_run", F.col("_run") + F.coalesce("_t", F.lit(0))).drop("_t")
+        return own.drop("_range")
     rows = df.withColumn("_part", part)
     past = Window.partitionBy("_u").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(F.col(user).alias("_u"), F.col("_part").alias("_p")).agg(F.sum(value).alias("_t"))
@@ -54,41 +62,68 @@ def _running(df: DataFrame, user: str, order: Sequence[str], value: str, part: C
     return joined.withColumn("_run", F.col("_run") + F.col("_t")).drop("_part", "_u", "_p", "_t")
 
 
-def _known(log: DataFrame, user: str, time: str) -> DataFrame:
-    """Behaviours that can precede an exposure: those with a user and a time."""
-    return log.where(F.col(user).isNotNull() & F.col(time).isNotNull())
+def _known(rows: DataFrame, user: str, time: str) -> DataFrame:
+    """Rows with a user and a time; no others can precede or be preceded."""
+    return rows.where(F.col(user).isNotNull() & F.col(time).isNotNull())
 
 
 def _sides(exposures: DataFrame, log: DataFrame, user: str, time: str, key: str) -> DataFrame:
-    """Exposures (_is 0, with their key) and behaviours (_is 1) in one table."""
+    """Exposures (_is 0, with their key) and behaviours (_is 1) in one table; those without user or time stay out of it."""
     none = F.lit(None).cast(exposures.schema[key].dataType)
-    return exposures.select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(_known(log, user, time).select(user, time, F.lit(1).alias("_is"), none.alias("_key")))
+    return _known(exposures, user, time).select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(_known(log, user, time).select(user, time, F.lit(1).alias("_is"), none.alias("_key")))
+
+
+def _held(df: DataFrame) -> Column:
+    """All columns in one, so that no name of theirs meets one used here."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_held")
 
 
 def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id", part: Column | None = None) -> DataFrame:
     """The same result by blocks of n behaviours: a running count places each exposure in its user's log, and the block that
     holds its latest behaviour and the one before it are joined by equality. No row carries more than 2 n behaviours. For
     `part`, such as the day, see `_running`. Behaviours without a user or a time precede nothing, and exposures without either have
-    no history."""
-    ranked = _running(_known(log, user, time).withColumn("_one", F.lit(1)), user, [time, tie], "_one", part).withColumn("_r", F.col("_run") - 1)
+    no history. The key of exposures must be unique."""
+    known, sides = _known(log, user, time).select(*dict.fromkeys([user, time, tie, *fields])), _sides(exposures, log, user, time, key)
+    told = heavy(sides, [user], time) if part is None else None
+    ranked = _running(known.withColumn("_one", F.lit(1)), user, [time, tie], "_one", part, told).withColumn("_r", F.col("_run") - 1)
     blocks = (
-        ranked.groupBy(user, F.floor(F.col("_r") / n).alias("_b"))
+        ranked.groupBy(F.col(user).alias("_user"), F.floor(F.col("_r") / n).alias("_b"))
         .agg(F.sort_array(F.collect_list(F.struct("_r", *fields))).alias("_items"))
-        .select(F.col(user).alias("_user"), "_b", F.transform("_items", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("_items"))
+        .select("_user", "_b", F.transform("_items", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("_items"))
     )
-    placed = _running(_sides(exposures, log, user, time, key), user, [time, "_is"], "_is", part).where("_is = 0").select("_key", F.col("_run").alias("_n"))
-    at = exposures.join(placed, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_b", F.floor((F.col("_n") - 1) / n))
-    current, earlier = blocks.select(F.col("_user").alias("_u1"), F.col("_b").alias("_b1"), F.col("_items").alias("_now")), blocks.select(F.col("_user").alias("_u2"), (F.col("_b") + 1).alias("_b2"), F.col("_items").alias("_before"))
-    joined = at.join(current, (F.col(user) == F.col("_u1")) & (F.col("_b") == F.col("_b1")), "left").join(earlier, (F.col(user) == F.col("_u2")) & (F.col("_b") == F.col("_b2")), "left")
+    placed = _running(sides, user, [time, "_is"], "_is", part, told).where("_is = 0").select("_key", F.col("_run").alias("_n"))
+    at = exposures.select(_held(exposures), F.col(key).alias("_key"), F.col(user).alias("_user")).join(placed, "_key", "left").withColumn("_b", F.floor((F.col("_n") - 1) / n))
+    current, earlier = blocks.withColumnRenamed("_items", "_now"), blocks.select("_user", (F.col("_b") + 1).alias("_b"), F.col("_items").alias("_before"))
+    joined = at.join(current, ["_user", "_b"], "left").join(earlier, ["_user", "_b"], "left")
     none = F.array().cast(blocks.schema["_items"].dataType)
     taken = F.slice(F.coalesce("_now", none), F.lit(1), F.greatest(F.col("_n") - F.col("_b") * n, F.lit(0)).cast("int"))
     hist = last_n(F.concat(F.coalesce("_before", none), taken), n)
-    out = joined.withColumn("hist", F.when(F.col("_n") > 0, hist).otherwise(none))
-    return out.withColumn("seq_len", F.size("hist")).select(*exposures.columns, "hist", "seq_len")
+    out = joined.withColumn("_hist", F.when(F.col("_n") > 0, hist).otherwise(none))
+    return out.select(*(F.col("_held").getField(c).alias(c) for c in exposures.columns), F.col("_hist").alias("hist"), F.size("_hist").alias("seq_len"))
+
+
+def in_reach(exposures: DataFrame, log: DataFrame, n: int, user: str = "user_key", time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The behaviours that are among the last n before some exposure. A behaviour's place in the user's log is compared with that of
+    the next exposure, so no list is built or taken apart."""
+    none = F.lit(None).cast(log.select(_held(log)).schema["_held"].dataType)
+    asked = _known(exposures, user, time).select(F.col(user).alias("_user"), F.col(time).alias("_time"), F.lit(0).alias("_is"), F.lit(None).cast(log.schema[tie].dataType).alias("_tie"), none.alias("_held"))
+    both = asked.unionByName(_known(log, user, time).select(F.col(user).alias("_user"), F.col(time).alias("_time"), F.lit(1).alias("_is"), F.col(tie).alias("_tie"), _held(log)))
+    told = heavy(both, ["_user"], "_time")
+    placed = told.ranged(_running(both, "_user", ["_time", "_is", "_tie"], "_is", None, told))
+    asked_at = F.when(F.col("_is") == 0, F.col("_run"))
+    later = Window.partitionBy("_user", "_range").orderBy("_time", "_is", "_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = placed.withColumn("_next", F.min(asked_at).over(later))
+    if told.ends is not None:
+        after = Window.partitionBy("_k0").orderBy("_of").rowsBetween(1, Window.unboundedFollowing)
+        found = told.told(found, told.summed(placed, _first=F.min(asked_at)).withColumn("_first", F.min("_first").over(after)))
+        found = found.withColumn("_next", F.coalesce("_next", "_first"))
+    kept = found.where((F.col("_is") == 1) & (F.col("_next") - F.col("_run") < n))
+    return kept.select(*(F.col("_held").getField(c).alias(c) for c in log.columns))
 
 
 def prior_count(exposures: DataFrame, log: DataFrame, user: str = "user_key", time: str = "ts", key: str = "event_id", part: Column | None = None) -> DataFrame:
     """key and n_prior: how many behaviours of the user precede each exposure, whatever the order of the log; 0 without a user or
     a time."""
     found = _running(_sides(exposures, log, user, time, key), user, [time, "_is"], "_is", part).where("_is = 0")
-    return found.select(F.col("_key").alias(key), F.col("_run").alias("n_prior"))
+    missing = exposures.where(F.col(user).isNull() | F.col(time).isNull()).select(key, F.lit(0).cast("long").alias("n_prior"))
+    return found.select(F.col("_key").alias(key), F.col("_run").alias("n_prior")).unionByName(missing)

@@ -68,11 +68,7 @@ def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir).withColumn("date", F.date_format(local_time(F.col("ts"), LOCAL_ZONE), "yyyy-MM-dd"))
 
 
-def _by_day(*args) -> DataFrame:
-    return sequences.asof_history(*args, part=F.to_date("ts"))
-
-
-def _hist(spark: SparkSession, sf_dir: str, n: int = 20, plan=_by_day) -> DataFrame:
+def _hist(spark: SparkSession, sf_dir: str, n: int = 20, plan=sequences.asof_history) -> DataFrame:
     return plan(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir), ["item", "cate", "brand"], n)
 
 
@@ -190,17 +186,23 @@ def _local_day() -> Column:
 
 @_query(_counter_sql("ad", "adgroup_id", 0.5, 10.0))
 def hist_ad(spark, sf_dir):
-    return _counters(history.history_by_day(_wide(spark, sf_dir), ["adgroup_id"], "ad", _ORDER, _local_day(), a=0.5, b=10.0), "ad")
+    return _counters(history.history(_wide(spark, sf_dir), ["adgroup_id"], "ad", _ORDER, a=0.5, b=10.0), "ad")
 
 
 @_query(_counter_sql("user", "user_key", 0.25, 5.0))
 def hist_user(spark, sf_dir):
-    return _counters(history.history_by_day(_wide(spark, sf_dir), ["user_key"], "user", _ORDER, _local_day()), "user")
+    return _counters(history.history(_wide(spark, sf_dir), ["user_key"], "user", _ORDER), "user")
 
 
 @_query(_counter_sql("user_cate", "user_key, cate_id", 0.25, 5.0))
 def hist_user_cate(spark, sf_dir):
-    return _counters(history.history_by_day(_wide(spark, sf_dir), ["user_key", "cate_id"], "user_cate", _ORDER, _local_day()), "user_cate")
+    return _counters(history.history(_wide(spark, sf_dir), ["user_key", "cate_id"], "user_cate", _ORDER), "user_cate")
+
+
+@_query(_counter_sql("ad", "adgroup_id", 0.5, 10.0))
+def hist_ad_by_day(spark, sf_dir):
+    """The same by windows over one day of a key each."""
+    return _counters(history.history_by_day(_wide(spark, sf_dir), ["adgroup_id"], "ad", _ORDER, _local_day(), a=0.5, b=10.0), "ad")
 
 
 @_query(_counter_sql("ad", "adgroup_id", 0.5, 10.0, "range between unbounded preceding and interval 1 microsecond preceding", "ts"))
@@ -251,13 +253,13 @@ def asof_history_block(spark, sf_dir):
 
 @_query(_LOG + " select e.event_id, cast(count(s.r) as bigint) as n_prior from exposures e left join seen s using (event_id) group by e.event_id")
 def prior_count(spark, sf_dir):
-    return sequences.prior_count(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir), part=F.to_date("ts"))
+    return sequences.prior_count(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir))
 
 
 @_query(f""" select user_key, cast(floor((r - 1) / {sequences.LOG_BLOCK}) as bigint) as block, string_agg(cate::varchar, ',' order by ts, event_id) as cates,
   cast(count(*) as bigint) as n from (select *, row_number() over (partition by user_key order by ts, event_id) as r from behaviors) group by all""")
 def collect_user_log(spark, sf_dir):
-    out = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["cate"], part=F.to_date("ts"))
+    out = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["cate"])
     return out.withColumn("cates", field_of(F.col("log"), "cate")).select("user_key", "block", _joined("cates"), F.size("log").cast("long").alias("n"))
 
 
@@ -437,7 +439,7 @@ _SHARED = _LOG + """ , recent as (select * from seen where back <= 20),
 
 def _with_history(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     log = fixtures.behaviors(spark, sf_dir)
-    out = sequences.asof_history(lookup.attach_ads(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir)), log, ["item", "cate", "brand"], n, part=F.to_date("ts"))
+    out = sequences.asof_history(lookup.attach_ads(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir)), log, ["item", "cate", "brand"], n)
     return out.withColumns({"cates": field_of(F.col("hist"), "cate"), "items": field_of(F.col("hist"), "item"), "brands": field_of(F.col("hist"), "brand")})
 
 
@@ -459,6 +461,17 @@ def distinct_values(spark, sf_dir):
 @_query(_SHARED + """ select e.event_id, coalesce(string_agg(id::varchar, ',' order by r), '') as ids from exposures e left join (select event_id, r, id from recent join voc on cate::varchar = v) s
   using (event_id) group by e.event_id""")
 def encode_sequence(spark, sf_dir):
+    """The vocabulary is fitted on the behaviours that histories hold; the log is encoded once, so that lists hold ids."""
+    exposures, log = lookup.attach_ads(fixtures.exposures(spark, sf_dir), fixtures.ads(spark, sf_dir)), fixtures.behaviors(spark, sf_dir)
+    vocabulary = encode.fit_log_vocab(exposures, "cate_id", sequences.in_reach(exposures, log, 20), "cate")
+    coded = encode.encode_log(log, vocabulary, "cate", "cate_code")
+    return sequences.asof_history(exposures, coded, ["cate_code"], 20).withColumn("ids", field_of(F.col("hist"), "cate_code")).select("event_id", _joined("ids"))
+
+
+@_query(_SHARED + """ select e.event_id, coalesce(string_agg(id::varchar, ',' order by r), '') as ids from exposures e left join (select event_id, r, id from recent join voc on cate::varchar = v) s
+  using (event_id) group by e.event_id""")
+def encode_lists(spark, sf_dir):
+    """The same for lists that are given, without a log."""
     rows = _with_history(spark, sf_dir)
     out = encode.encode_sequence(rows, encode.fit_shared_vocab(rows, "cate_id", "cates"), "cates", "event_id", "ids")
     return out.select("event_id", _joined("ids"))
@@ -792,7 +805,7 @@ def score_deep(spark, sf_dir):
 
 @_query()
 def item_embeddings(spark, sf_dir):
-    told = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["item"], part=F.to_date("ts")).withColumn("items", field_of(F.col("log"), "item"))
+    told = sequences.collect_user_log(fixtures.behaviors(spark, sf_dir), ["item"]).withColumn("items", field_of(F.col("log"), "item"))
     return attention.item_embeddings(told, "items").select("id", F.size("vector").alias("size"), F.array_join(F.transform("vector", lambda x: F.round(x, 4).cast("string")), ",").alias("vector"))
 
 
@@ -815,7 +828,7 @@ def score_interest(spark, sf_dir):
     """Learned attention over each user's last behaviours, with user, ad and context; the scorer's width is chosen on the newest day
     but one, and the newest day is scored by the chosen model alone."""
     wide = clean.add_time_parts(samples.wide(*_parts(spark, sf_dir)), "ts", LOCAL_ZONE)
-    seen = sequences.asof_history(wide, fixtures.behaviors(spark, sf_dir), ["cate", "brand"], 50, part=F.to_date("ts"))
+    seen = sequences.asof_history(wide, fixtures.behaviors(spark, sf_dir), ["cate", "brand"], 50)
     rows = seen.select("event_id", "clk", "date", *_INTEREST.scalars, *_INTEREST.targets, *_INTEREST.dense, *(field_of(F.col("hist"), f).alias(h) for f, h in (("cate", "cates"), ("brand", "brands"))))
     train, valid, test = split.split_three_way(sources.written(rows))
     shapes = {"narrow": interest.Shape(scorer=(16, 8)), "wide": interest.Shape(scorer=(32, 16))}

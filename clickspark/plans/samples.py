@@ -19,12 +19,11 @@ def wide(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, user: str =
     return lookup.attach_profiles(lookup.attach_ads(exposures, ads), profiles, user)
 
 
-def counters(df: DataFrame, time: str = "ts", tie: str = "event_id", user: str = "user_key", zone: str = LOCAL_ZONE) -> DataFrame:
-    """Counters of the ad, the user, and the user and category. Any of them may be very frequent, so days are counted first."""
-    day, order = F.to_date(local_time(F.col(time), zone)), [time, tie]
-    df = history.history_by_day(df, ["adgroup_id"], "ad", order, day, a=0.5, b=10.0)
-    df = history.history_by_day(df, [user], "user", order, day)
-    return history.history_by_day(df, [user, "cate_id"], "user_cate", order, day)
+def counters(df: DataFrame, time: str = "ts", tie: str = "event_id", user: str = "user_key") -> DataFrame:
+    """Counters of the ad, the user, and the user and category. Any of them may be very frequent; such keys are found by count."""
+    df = history.history(df, ["adgroup_id"], "ad", [time, tie], a=0.5, b=10.0)
+    df = history.history(df, [user], "user", [time, tie])
+    return history.history(df, [user, "cate_id"], "user_cate", [time, tie])
 
 
 def lr_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def lr_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame) -> Data
 
 def tabular_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     """Columns, time parts and nine counters for trees; unknown is class 0."""
-    out = clean.add_time_parts(counters(wide(exposures, ads, profiles), zone=zone), "ts", zone)
+    out = clean.add_time_parts(counters(wide(exposures, ads, profiles)), "ts", zone)
     unknown = ["brand", "pvalue_level", "new_user_class_level"]
     out = clean.shift_unknown(clean.fill_unknown(out, unknown), unknown)
     out = encode.dense_codes(out, ["pid"])
@@ -43,9 +42,8 @@ def tabular_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, zo
     return out.select(*_TABULAR, *_TIME, *names)
 
 
-def _network(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, zone: str) -> DataFrame:
-    out = clean.add_time_parts(counters(wide(exposures, ads, profiles), zone=zone), "ts", zone)
-    out = clean.fill_unknown(out, ["brand"])
+def _network(wide_rows: DataFrame, zone: str) -> DataFrame:
+    out = clean.fill_unknown(clean.add_time_parts(wide_rows, "ts", zone), ["brand"])
     return encode.add_cross(out, "final_gender_code", "cate_id", "gender_cate_cross")
 
 
@@ -54,7 +52,8 @@ _NETWORK_COUNTERS = ["ad_hist_imp", "ad_hist_clk", *(f"{p}_hist_{c}" for p in ("
 
 def network_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
     """Densely coded columns, time parts and eight counters."""
-    out = encode.dense_codes(_network(exposures, ads, profiles, zone), _CODED)
+    rows = wide(exposures, ads, profiles)
+    out = encode.dense_codes(_network(counters(rows), zone), _CODED, _network(rows, zone))
     return out.select(*_NETWORK, *_TIME, *_NETWORK_COUNTERS, "gender_cate_cross")
 
 
@@ -62,6 +61,6 @@ def sequence_sample(exposures: DataFrame, ads: DataFrame, profiles: DataFrame, l
     """Uncoded columns with the categories and brands of the last n behaviours strictly before the exposure."""
     kept = log if btag is None else clean.filter_btag(log, btag)
     kept = lookup.restrict_to_users(kept, exposures)
-    out = sequences.asof_history(_network(exposures, ads, profiles, zone), kept, ["cate", "brand"], n, part=F.to_date("ts"))
+    out = sequences.asof_history(_network(counters(wide(exposures, ads, profiles)), zone), kept, ["cate", "brand"], n)
     told = {"hist_cate_seq": field_of(F.col("hist"), "cate").cast("array<bigint>"), "hist_brand_seq": field_of(F.col("hist"), "brand")}
     return out.withColumns(told).select("event_id", "ts", *_NETWORK, *_TIME, *_NETWORK_COUNTERS, "gender_cate_cross", "hist_cate_seq", "hist_brand_seq", "seq_len")

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickspark import functions as fn
-from clickspark.operators import attention, clean, encode, history, lookup, metrics, models, profile, sequences, split
-from clickspark.plans import fixtures, samples
+from clickspark.operators import attention, clean, encode, heavy, history, lookup, metrics, models, profile, sequences, split
+from clickspark.plans import fixtures, queries, samples
 
 CASES = [(1, 10, 1, 7, 100, 1), (2, 20, 1, 8, None, 0), (3, 30, 2, 7, 100, 0), (4, 30, 1, 7, 100, 1), (5, 40, 1, 7, 100, 0), (6, 50, 2, 8, None, 1)]
 AD = {1: (0, 0, 0.05), 2: (0, 0, 0.05), 3: (1, 1, 0.136364), 4: (2, 1, 0.125), 5: (3, 2, 0.192308), 6: (1, 0, 0.045455)}
@@ -48,6 +48,93 @@ def test_strict_counters_by_day(cases):
         assert _told(history.history_strict(cases, ["ad"], "h", "ts", day, a=0.5, b=10.0), "h") == AD | {4: (1, 1, 0.136364)}
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_heavy_keys_by_ranges(spark, strict):
+    """Keys above a count are dealt into ranges of time: the same result as one window, with missing keys, times and ties."""
+    rng = np.random.default_rng(4)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, None if i % 41 == 0 else start + datetime.timedelta(minutes=int(rng.integers(0, 300 if i % 10 else 40_000))), None if i % 53 == 0 else 7 if i % 10 else i % 5, "x" if i % 3 else None, int(i % 5 == 0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "rid long, ts timestamp_ntz, ad long, pid string, clk int").repartition(4)
+    for keys in (["ad"], ["ad", "pid"]):
+        plan = (lambda rows: history.history_strict(df, keys, "h", "ts", heavy_rows=rows)) if strict else (lambda rows: history.history(df, keys, "h", ["ts", "rid"], heavy_rows=rows))  # noqa: B023
+        whole, dealt = _told(plan(10**6), "h"), _told(plan(50), "h")
+        assert whole == dealt and len(dealt) == 1500
+        assert dealt == _told(history.history_strict(df, keys, "h", "ts", F.to_date("ts")) if strict else history.history_by_day(df, keys, "h", ["ts", "rid"], F.to_date("ts")), "h")
+        key = lambda r: (r[2],) if keys == ["ad"] else (r[2], r[3])  # noqa: B023, E731
+        at = lambda r: (r[1] is not None, r[1] or start) if strict else (r[1] is not None, r[1] or start, r[0])
+        for r in rows[::17]:
+            before = [q[4] for q in rows if key(q) == key(r) and at(q) < at(r)]
+            assert dealt[r[0]][:2] == ((None, 0) if None in key(r) else (len(before), sum(before)))
+
+
+def test_a_hot_day_is_many_tasks(spark):
+    """One key has nine tenths of one day's rows; its windows hold no more than a tenth of them each."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i), 7 if i % 10 else i % 90, i % 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "rid long, ts timestamp_ntz, ad long, clk int").repartition(4)
+    told = heavy.heavy(df, ["ad"], "ts", 500)
+    sizes = [r["count"] for r in told.ranged(df).where("ad = 7").groupBy("_range").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 600 and sum(sizes) == 5400
+    assert heavy.heavy(df, ["ad"], "ts").ends is None
+    found = _told(history.history(df, ["ad"], "h", ["ts", "rid"], heavy_rows=500), "h")
+    assert found[5999][:2] == (5399, sum(k for i, _, a, k in rows if a == 7 and i < 5999))
+
+
+def test_heavy_users_in_logs(spark, monkeypatch):
+    """As-of lists, prior counts and reach are the same whether users are dealt into ranges or not, and as plain code says."""
+    rng = np.random.default_rng(8)
+    at = lambda i: None if i % 37 == 0 else int(rng.integers(0, 200))
+    log = [(i, None if i % 29 == 0 else 1 if i % 4 else i % 7, at(i), f"v{i}") for i in range(400)]
+    expo = [(i, None if i % 11 == 0 else 1 if i % 3 else i % 7, at(i), "n", 5) for i in range(90)]
+    logs = spark.createDataFrame(log, "event_id long, user_key long, ts long, item string").repartition(3)
+    shown = spark.createDataFrame(expo, "event_id long, user_key long, ts long, _n string, _b long").repartition(3)
+    seen = {e[0]: [x[3] for x in sorted((x for x in log if None not in (e[1], e[2], x[2]) and x[1] == e[1] and x[2] < e[2]), key=lambda x: (x[2], x[0]))] for e in expo}
+    for rows in (10**6, 20):
+        monkeypatch.setattr(heavy, "HEAVY_ROWS", rows)
+        found = sequences.asof_history(shown, logs, ["item"], 4)
+        assert found.columns == [*shown.columns, "hist", "seq_len"]
+        assert {r["event_id"]: [x["item"] for x in r["hist"]] for r in found.collect()} == {i: x[-4:] for i, x in seen.items()}
+        assert {r[0]: r[1] for r in sequences.prior_count(shown, logs).collect()} == {i: len(x) for i, x in seen.items()}
+        assert sorted(r["item"] for r in sequences.in_reach(shown, logs, 4).collect()) == sorted({v for x in seen.values() for v in x[-4:]})
+        assert sequences.in_reach(shown, logs, 4).columns == logs.columns
+
+
+def test_exposures_without_a_user_meet_nowhere(spark):
+    """They pass the windows and joins by: only the few with a user are placed."""
+    log = spark.range(50).selectExpr("id as event_id", "cast(id % 3 as bigint) as user_key", "id as ts", "id as item")
+    expo = spark.range(4000).selectExpr("id as event_id", "case when id % 40 = 0 then id % 3 end as user_key", "id as ts")
+    assert sequences._sides(expo, log, "user_key", "ts", "event_id").count() == 150
+    assert sequences.asof_history(expo, log, ["item"], 2).where("user_key is null and seq_len = 0").count() == 3900
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_logs_are_encoded_without_taking_lists_apart(spark, small):
+    df = queries.queries()["encode_sequence"](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and _exchanges(df) < 60
+
+
+def test_codes_take_few_exchanges(spark, small):
+    assert _exchanges(queries.queries()["network_sample"](spark, small)) < 40
+
+
+def test_codes_of_many_kinds_of_columns(spark):
+    rows = [(1, "b", 2.5, True, datetime.date(2024, 1, 2)), (2, None, -1.0, False, None), (3, "a", None, None, datetime.date(2023, 1, 1)), (10, "b", 2.5, True, datetime.date(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "id long, v string, x double, k boolean, d date").withColumns({"_v": F.lit(1), "_i": F.lit(2), "n": F.col("id") * 10})
+    out = encode.dense_codes(df, ["v", "x", "k", "d", "n"]).orderBy("id").collect()
+    assert [tuple(r[c] for c in ("v", "x", "k", "d", "n", "_v", "_i")) for r in out] == [(1, 1, 1, 1, 0, 1, 2), (-1, 0, 0, -1, 1, 1, 2), (0, -1, -1, 0, 2, 1, 2), (1, 1, 1, 1, 3, 1, 2)]
+
+
+def test_reading_queries_do_not_meet(spark, small, medium):
+    """Two scale factors asked for one after the other, then collected."""
+    for name in ("read_exposures", "read_ads", "read_profiles"):
+        one, two = (queries.queries()[name](spark, d) for d in (small, medium))
+        assert one.count() < two.count()
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_a_frequent_key_is_not_one_task(spark, strict):
     """One ad has half the rows and a third have none; every window has more than the key to deal rows by."""
