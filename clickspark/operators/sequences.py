@@ -23,7 +23,7 @@ def collect_user_log(log: DataFrame, fields: Sequence[str], user: str = "user_ke
     return ranked.groupBy(user, F.floor((F.col("_run") - 1) / n).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("log"))
 
 
-def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id", part: Column | None = None, longest: int = LOG_BLOCK) -> DataFrame:
+def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", longest: int = LOG_BLOCK) -> DataFrame:
     """Adds `hist` (the last n behaviours strictly before the exposure, oldest first) and `seq_len`. Each exposure carries its
     user's whole log through the join, so this plan is for short logs; users with more than `longest` behaviours take the plan
     of `asof_history`."""
@@ -34,7 +34,7 @@ def asof_history_simple(exposures: DataFrame, log: DataFrame, fields: Sequence[s
     before = F.filter(F.coalesce("log", F.array()), lambda x: x[time] < F.col(time))
     hist = F.transform(last_n(before, n), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
     short = joined.withColumn("hist", hist).withColumn("seq_len", F.size("hist")).select(*exposures.columns, "hist", "seq_len")
-    rest = asof_history(exposures.join(many, user, "left_semi"), log.join(many, user, "left_semi"), fields, n, user, time, tie, key, part)
+    rest = asof_history(exposures.join(many, user, "left_semi"), log.join(many, user, "left_semi"), fields, n, user, time, tie)
     return short.unionByName(rest)
 
 
@@ -67,10 +67,13 @@ def _known(rows: DataFrame, user: str, time: str) -> DataFrame:
     return rows.where(F.col(user).isNotNull() & F.col(time).isNotNull())
 
 
-def _sides(exposures: DataFrame, log: DataFrame, user: str, time: str, key: str) -> DataFrame:
-    """Exposures (_is 0, with their key) and behaviours (_is 1) in one table; those without user or time stay out of it."""
-    none = F.lit(None).cast(exposures.schema[key].dataType)
-    return _known(exposures, user, time).select(user, time, F.lit(0).alias("_is"), F.col(key).alias("_key")).unionByName(_known(log, user, time).select(user, time, F.lit(1).alias("_is"), none.alias("_key")))
+def _sides(exposures: DataFrame, log: DataFrame, user: str, time: str, held: Column, buckets: int | None) -> DataFrame:
+    """Exposures (_is 0, with what is held of them) and behaviours (_is 1) as _user, _time; those without user or time stay out.
+    With `buckets`, exposures are dealt as the log already is, so that a log in buckets by user is not shuffled."""
+    asked = _known(exposures, user, time).select(F.col(user).alias("_user"), F.col(time).alias("_time"), F.lit(0).alias("_is"), held.alias("_held"))
+    asked = asked if buckets is None else asked.repartition(buckets, "_user")
+    none = F.lit(None).cast(asked.schema["_held"].dataType)
+    return asked.unionByName(_known(log, user, time).select(F.col(user).alias("_user"), F.col(time).alias("_time"), F.lit(1).alias("_is"), none.alias("_held")))
 
 
 def _held(df: DataFrame) -> Column:
@@ -78,28 +81,30 @@ def _held(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_held")
 
 
-def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", key: str = "event_id", part: Column | None = None) -> DataFrame:
-    """The same result by blocks of n behaviours: a running count places each exposure in its user's log, and the block that
-    holds its latest behaviour and the one before it are joined by equality. No row carries more than 2 n behaviours. For
-    `part`, such as the day, see `_running`. Behaviours without a user or a time precede nothing, and exposures without either have
-    no history. The key of exposures must be unique."""
-    known, sides = _known(log, user, time).select(*dict.fromkeys([user, time, tie, *fields])), _sides(exposures, log, user, time, key)
-    told = heavy(sides, [user], time) if part is None else None
-    ranked = _running(known.withColumn("_one", F.lit(1)), user, [time, tie], "_one", part, told).withColumn("_r", F.col("_run") - 1)
-    blocks = (
-        ranked.groupBy(F.col(user).alias("_user"), F.floor(F.col("_r") / n).alias("_b"))
-        .agg(F.sort_array(F.collect_list(F.struct("_r", *fields))).alias("_items"))
-        .select("_user", "_b", F.transform("_items", lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("_items"))
-    )
-    placed = _running(sides, user, [time, "_is"], "_is", part, told).where("_is = 0").select("_key", F.col("_run").alias("_n"))
-    at = exposures.select(_held(exposures), F.col(key).alias("_key"), F.col(user).alias("_user")).join(placed, "_key", "left").withColumn("_b", F.floor((F.col("_n") - 1) / n))
-    current, earlier = blocks.withColumnRenamed("_items", "_now"), blocks.select("_user", (F.col("_b") + 1).alias("_b"), F.col("_items").alias("_before"))
-    joined = at.join(current, ["_user", "_b"], "left").join(earlier, ["_user", "_b"], "left")
+def asof_history(exposures: DataFrame, log: DataFrame, fields: Sequence[str], n: int = 220, user: str = "user_key", time: str = "ts", tie: str = "event_id", buckets: int | None = None) -> DataFrame:
+    """The same result by blocks of n behaviours. A running count places each exposure in its user's log; it then meets, by user
+    and number of block, the block that holds its latest behaviour and the one before. No row carries more than 2 n
+    behaviours, and nothing is joined: exposures and blocks are one table, grouped as the counts were. Behaviours without a user
+    or a time precede nothing, and exposures without either have no history.
+
+    `buckets` is the number of buckets by user of a log from `materialize_behaviors`, which then is read without a shuffle; all of
+    a user's rows then share a bucket, however many they are."""
+    known = _known(log, user, time).select(F.col(user).alias("_user"), F.col(time).alias("_time"), F.col(tie).alias("_tie"), F.struct(*(F.col(f) for f in fields)).alias("_f"), F.lit(1).alias("_one"))
+    sides = _sides(exposures, log, user, time, _held(exposures), buckets)
+    told = heavy(sides, ["_user"], "_time")
+    ranked = _running(known, "_user", ["_time", "_tie"], "_one", None, told).withColumn("_r", F.col("_run") - 1)
+    blocks = ranked.groupBy("_user", F.floor(F.col("_r") / n).alias("_b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_f"))), lambda x: x["_f"]).alias("_items"))
+    placed = _running(sides, "_user", ["_time", "_is"], "_is", None, told).where("_is = 0").select("_user", F.floor((F.col("_run") - 1) / n).alias("_b"), "_held", F.col("_run").alias("_n"))
     none = F.array().cast(blocks.schema["_items"].dataType)
-    taken = F.slice(F.coalesce("_now", none), F.lit(1), F.greatest(F.col("_n") - F.col("_b") * n, F.lit(0)).cast("int"))
-    hist = last_n(F.concat(F.coalesce("_before", none), taken), n)
-    out = joined.withColumn("_hist", F.when(F.col("_n") > 0, hist).otherwise(none))
-    return out.select(*(F.col("_held").getField(c).alias(c) for c in exposures.columns), F.col("_hist").alias("hist"), F.size("_hist").alias("seq_len"))
+    now = blocks.select("_user", "_b", F.col("_items").alias("_now"))
+    before = blocks.select("_user", (F.col("_b") + 1).alias("_b"), F.col("_items").alias("_before"))
+    met = placed.unionByName(now, allowMissingColumns=True).unionByName(before, allowMissingColumns=True)
+    same = Window.partitionBy("_user", "_b").orderBy(F.col("_n").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # blocks come first
+    met = met.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(same), none) for c in ("_now", "_before")}).where("_n is not null")
+    taken = F.slice("_now", F.lit(1), F.greatest(F.col("_n") - F.col("_b") * n, F.lit(0)).cast("int"))
+    out = met.select("_held", F.when(F.col("_n") > 0, last_n(F.concat("_before", taken), n)).otherwise(none).alias("_hist"))
+    missing = exposures.where(F.col(user).isNull() | F.col(time).isNull()).select(_held(exposures), none.alias("_hist"))
+    return out.unionByName(missing).select(*(F.col("_held").getField(c).alias(c) for c in exposures.columns), F.col("_hist").alias("hist"), F.size("_hist").alias("seq_len"))
 
 
 def in_reach(exposures: DataFrame, log: DataFrame, n: int, user: str = "user_key", time: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -121,9 +126,9 @@ def in_reach(exposures: DataFrame, log: DataFrame, n: int, user: str = "user_key
     return kept.select(*(F.col("_held").getField(c).alias(c) for c in log.columns))
 
 
-def prior_count(exposures: DataFrame, log: DataFrame, user: str = "user_key", time: str = "ts", key: str = "event_id", part: Column | None = None) -> DataFrame:
+def prior_count(exposures: DataFrame, log: DataFrame, user: str = "user_key", time: str = "ts", key: str = "event_id", buckets: int | None = None) -> DataFrame:
     """key and n_prior: how many behaviours of the user precede each exposure, whatever the order of the log; 0 without a user or
-    a time."""
-    found = _running(_sides(exposures, log, user, time, key), user, [time, "_is"], "_is", part).where("_is = 0")
+    a time. For `buckets` see `asof_history`."""
+    found = _running(_sides(exposures, log, user, time, F.col(key), buckets), "_user", ["_time", "_is"], "_is", None).where("_is = 0")
     missing = exposures.where(F.col(user).isNull() | F.col(time).isNull()).select(key, F.lit(0).cast("long").alias("n_prior"))
-    return found.select(F.col("_key").alias(key), F.col("_run").alias("n_prior")).unionByName(missing)
+    return found.select(F.col("_held").alias(key), F.col("_run").alias("n_prior")).unionByName(missing)

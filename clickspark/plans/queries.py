@@ -251,6 +251,15 @@ def asof_history_block(spark, sf_dir):
     return _asof(_hist(spark, sf_dir, 20))
 
 
+@_query(_asof_sql(20))
+def asof_history_bucketed(spark, sf_dir):
+    """The same from a log in buckets by user, which is read without a shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    exposures = fixtures.exposures(spark, sf_dir)
+    log = sources.materialize_behaviors(fixtures.behaviors(spark, sf_dir), exposures, f"{shared_folder(spark)}/prepared-log", "user_key", "ts", None, n)
+    return _asof(sequences.asof_history(exposures, log, ["cate", "brand"], 20, buckets=n))
+
+
 @_query(_LOG + " select e.event_id, cast(count(s.r) as bigint) as n_prior from exposures e left join seen s using (event_id) group by e.event_id")
 def prior_count(spark, sf_dir):
     return sequences.prior_count(fixtures.exposures(spark, sf_dir), fixtures.behaviors(spark, sf_dir))

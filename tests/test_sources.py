@@ -4,7 +4,10 @@ import shutil
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from clickspark import schemas, sources
+from clickspark.operators import lookup, sequences
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -48,3 +51,60 @@ def test_prepared_log(spark, tmp_path):
     assert sorted(r["cate"] for r in sources.materialize_behaviors(log, users, str(tmp_path / "log")).collect()) == [1, 2]
     log.write.parquet(str(tmp_path / "raw"))
     assert sources.read_behaviors(spark, str(tmp_path / "raw"), ["user", "cate"]).columns == ["user", "cate"]
+
+
+def _under_exchanges(df):
+    """The part of a plan that stands below some exchange."""
+    lines, out, depth = df._jdf.queryExecution().executedPlan().toString().splitlines(), [], None
+    for line in lines:
+        indent = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if depth is not None and indent <= depth:
+            depth = None
+        if depth is not None:
+            out.append(line)
+        elif "Exchange" in line:
+            depth = indent
+    return "\n".join(out)
+
+
+@pytest.fixture
+def prepared(spark, tmp_path):
+    """A log and exposures in files."""
+    spark.range(3000).selectExpr("id as event_id", "id % 37 as user_key", "id * 7 % 1000 as ts", "if(id % 5 = 0, 'buy', 'pv') as btag", "id % 11 as cate").write.parquet(str(tmp_path / "raw"))
+    spark.range(400).selectExpr("id as event_id", "id % 41 as user_key", "id * 13 % 1000 as ts").write.parquet(str(tmp_path / "shown"))
+    return spark.read.parquet(str(tmp_path / "raw")), spark.read.parquet(str(tmp_path / "shown"))
+
+
+def test_a_log_in_buckets_is_not_shuffled(spark, tmp_path, prepared):
+    """Joins, windows and groups by user read the buckets as they are, and give what the plain log gives."""
+    log, shown = prepared
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = sources.materialize_behaviors(log, shown, str(tmp_path / "log"), "user_key", "ts", buckets=4)
+        plain = log.where("btag = 'pv'").join(shown.select("user_key").distinct(), "user_key", "left_semi")
+        pairs = [
+            (lookup.restrict_to_users(told, shown.repartition(4, "user_key")), lookup.restrict_to_users(plain, shown)),
+            (sequences.asof_history(shown, told, ["cate"], 3, buckets=4), sequences.asof_history(shown, plain, ["cate"], 3)),
+            (sequences.prior_count(shown, told, buckets=4), sequences.prior_count(shown, plain)),
+        ]
+        for ours, theirs in pairs:
+            assert "prepared_log" in ours._jdf.queryExecution().executedPlan().toString() and "prepared_log" not in _under_exchanges(ours)
+            assert sorted(map(str, ours.select(*sorted(ours.columns)).collect())) == sorted(map(str, theirs.select(*sorted(theirs.columns)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_prepared_logs_are_told_by_their_files(spark, tmp_path, prepared):
+    """The same files and plan are written once, in any session; other files, plans and users are never served the older rows."""
+    log, shown = prepared
+    make = lambda a, b, **more: sources.materialize_behaviors(a, b, str(tmp_path / "log"), "user_key", "ts", buckets=4, **more)
+    first = make(log, shown)
+    before = {f: (tmp_path / "log" / f).stat().st_mtime_ns for f in [p.name for p in (tmp_path / "log").iterdir()]}
+    spark.sql(f"drop table {[t.name for t in spark.catalog.listTables() if t.name.startswith('prepared_log')][-1]}")  # as a new session sees it
+    again = make(spark.read.parquet(str(tmp_path / "raw")), shown)
+    assert again.exceptAll(first).count() == 0 and again.count() == first.count() == 2400 and len(before) == len(list((tmp_path / "log").iterdir()))
+    assert make(log.where("ts < 500"), shown).count() < first.count()
+    assert make(log, shown.where("user_key < 3")).select("user_key").distinct().count() == 3
+    spark.range(5000, 5100).selectExpr("id as event_id", "id % 37 as user_key", "id as ts", "'pv' as btag", "id % 11 as cate").write.mode("append").parquet(str(tmp_path / "raw"))
+    assert make(spark.read.parquet(str(tmp_path / "raw")), shown).count() == 2500
+    assert make(spark.read.parquet(str(tmp_path / "raw")), shown, btag=None).where(F.col("btag") == "buy").count() == 600
