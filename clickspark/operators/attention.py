@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, logistic, minus, times
-
-
-def item_embeddings(sequences: DataFrame, column: str, size: int = 16, seed: int = 0, min_count: int = 1, steps: int = 1) -> DataFrame:
-    """id (text) and vector of every item, learned from lists of items. Lists are dealt to as many tasks as the session runs at
-    once, each of which trains on its own before their vectors are averaged."""
-    texts = sequences.select(F.transform(column, lambda x: x.cast("string")).alias("words")).where(F.size("words") > 0)
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, maxIter=steps, numPartitions=sequences.sparkSession.sparkContext.defaultParallelism, inputCol="words", outputCol="v").fit(texts)
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vector"))
+from ..sources.shared import written
+from .encode import numbered
+
+
+def co_occurrences(sequences: DataFrame, column: str, window: int = 5) -> DataFrame:
+    """a, b, weight: how often two different items (texts) stand at most `window` places apart in a list, each time weighted by one
+    over the distance; both orders. Only pairs within the window arise, and they are added up where they do."""
+    items = F.transform(column, lambda x: x.cast("string"))
+    near = lambda x, i: F.transform(F.slice("_x", i + 2, F.lit(window)), lambda y, j: F.struct(x.alias("a"), y.alias("b"), (F.lit(1.0) / (j + 1)).alias("w")))
+    pairs = sequences.select(items.alias("_x")).select(F.explode(F.flatten(F.transform("_x", near))).alias("p")).select("p.*").where("a <> b")
+    both = pairs.select(F.explode(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w"))).alias("p")).select("p.*")
+    return both.groupBy("a", "b").agg(F.sum("w").alias("weight"))
+
+
+def item_embeddings(sequences: DataFrame, column: str, size: int = 16, window: int = 5, rounds: int = 8, penalty: float = 0.1, emphasis: float = 4.0, seed: int = 0) -> DataFrame:
+    """id (text) and vector of every item that stands beside another in some list.
+
+    Items' co-occurrences are factored by alternating least squares: items that stand beside the same others get similar vectors.
+    Items are numbered by range, and numbers, counts and vectors stay tables from end to end, however many items there are."""
+    pairs = written(co_occurrences(sequences, column, window))
+    told = written(numbered(pairs.select(F.col("a").alias("value")).distinct()).select("value", F.col("id").cast("int").alias("n")))
+    coded = pairs.join(told.select(F.col("value").alias("a"), F.col("n").alias("i")), "a").join(told.select(F.col("value").alias("b"), F.col("n").alias("j")), "b").select("i", "j", F.log1p("weight").alias("weight"))
+    factors = ALS(userCol="i", itemCol="j", ratingCol="weight", rank=size, maxIter=rounds, regParam=penalty, implicitPrefs=True, alpha=emphasis, seed=seed).fit(coded).userFactors
+    return factors.join(told, F.col("id") == F.col("n")).select(F.col("value").alias("id"), F.col("features").cast("array<double>").alias("vector"))
 
 
 def scaled_dot(target: Column, item: Column) -> Column:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +136,36 @@ def top_k_or_other(df: DataFrame, train: DataFrame, column: str, k: int, out: st
     return df.join(F.broadcast(best), F.col(column) == F.col("_v"), "left").withColumn(out, F.coalesce("_i", F.lit(0)).cast("long")).drop("_v", "_i")
 
 
-def one_hot(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    """A fitted encoder that adds <column>_hot: one place for each training category; unseen and missing are all zeros."""
-    codes, hot = [f"{c}_code" for c in columns], [f"{c}_hot" for c in columns]
-    return Pipeline(stages=[StringIndexer(inputCols=list(columns), outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True)]).fit(train)
+@dataclass
+class OneHot:
+    """Fitted codes: a table (c, text, id), numbered within each column. Only the columns' sizes are known on the driver."""
+
+    columns: Sequence[str]
+    codes: DataFrame
+    sizes: Sequence[int]
+    model: OneHotEncoderModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds <column>_hot, a sparse vector with one place for each training category; unseen and missing are all zeros."""
+        held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("held"), *(F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(self.columns)))
+        for i, size in enumerate(self.sizes):
+            own = self.codes.where(F.col("c") == i).select(F.col("text").alias(f"t{i}"), F.col("id").cast("double").alias(f"i{i}"))
+            held = held.join(own, f"t{i}", "left").withColumn(f"i{i}", F.coalesce(f"i{i}", F.lit(float(max(size, 1)))))
+        kept, made = self.model.transform(held), [f"{c}_hot" for c in self.columns]
+        return kept.select(*(F.col("held").getField(c).alias(c) for c in df.columns if c not in made), *(F.col(f"h{i}").alias(c) for i, c in enumerate(made)))
+
+
+def one_hot(train: DataFrame, columns: Sequence[str]) -> OneHot:
+    """Numbers the values of all columns in one pass, in the order of their texts; no list of values reaches the driver."""
+    values = train.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("text")) for i, c in enumerate(columns)))).alias("value")).where("value.text is not null").distinct()
+    told = written(numbered(values).select("value.c", "value.text", "id"))
+    first = {r["c"]: (r["n"], r["first"]) for r in told.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()}  # a row for each column
+    sizes = [first.get(i, (0, 0))[0] for i in range(len(columns))]
+    start = F.element_at(F.array(*(F.lit(first.get(i, (0, 0))[1]).cast("long") for i in range(len(columns)))), F.col("c") + 1)
+    names = [f"i{i}" for i in range(len(columns))]
+    largest = train.sparkSession.createDataFrame([tuple(float(max(size, 1) - 1) for size in sizes)], ", ".join(f"{c} double" for c in names))
+    model = OneHotEncoder(inputCols=names, outputCols=[f"h{i}" for i in range(len(columns))], handleInvalid="keep", dropLast=True).fit(largest)
+    return OneHot(columns, told.withColumn("id", F.col("id") - start), sizes, model)
 
 
 def hashed(df: DataFrame, columns: Sequence[str], out: str, size: int = 1 << 18) -> DataFrame:

@@ -15,12 +15,13 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .encode import OneHot, one_hot
 from .metrics import auc, logloss
 
 
@@ -31,9 +32,11 @@ class Fitted:
     model: PipelineModel
     texts: Sequence[str]
     dense: Sequence[str]
+    encoder: OneHot | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_prepared(df, self.texts, self.dense))
+        prepared = _prepared(df, self.texts, self.dense)
+        return self.model.transform(prepared if self.encoder is None else self.encoder.transform(prepared))
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         return score(self, df, out)
@@ -48,9 +51,10 @@ class Ready:
     dense: Sequence[str]
     rows: DataFrame
     label: str
+    encoder: OneHot | None = None
 
     def fit(self, estimator) -> Fitted:
-        return Fitted(PipelineModel(stages=[*self.inputs.stages, estimator.fit(self.rows)]), self.texts, self.dense)
+        return Fitted(PipelineModel(stages=[*self.inputs.stages, estimator.fit(self.rows)]), self.texts, self.dense, self.encoder)
 
 
 def _prepared(df: DataFrame, texts: Sequence[str], dense: Sequence[str]) -> DataFrame:
@@ -59,7 +63,7 @@ def _prepared(df: DataFrame, texts: Sequence[str], dense: Sequence[str]) -> Data
 
 
 def _inputs(texts: Sequence[str], dense: Sequence[str], scale: bool = True, hash_size: int | None = None) -> list:
-    """Stages up to `features`: one-hot categories, or categories hashed into `hash_size` places, which bounds the width whatever
+    """Stages up to `features`: one-hot categories, which `one_hot` has added, or categories hashed into `hash_size` places, which bounds the width whatever
     their number; and dense columns imputed by the training mean and scaled."""
     stages, parts = [], []
     if texts and hash_size is not None:
@@ -67,11 +71,7 @@ def _inputs(texts: Sequence[str], dense: Sequence[str], scale: bool = True, hash
         stages.append(FeatureHasher(inputCols=names, outputCol="_hashed", numFeatures=hash_size, categoricalCols=names))
         parts.append("_hashed")
     elif texts:
-        stages += [
-            StringIndexer(inputCols=[f"_{c}" for c in texts], outputCols=[f"_{c}_i" for c in texts], handleInvalid="keep"),
-            OneHotEncoder(inputCols=[f"_{c}_i" for c in texts], outputCols=[f"_{c}_h" for c in texts], dropLast=True),
-        ]
-        parts += [f"_{c}_h" for c in texts]
+        parts += [f"_{c}_hot" for c in texts]
     if dense:
         stages += [Imputer(inputCols=[f"_{c}" for c in dense], outputCols=[f"_{c}_f" for c in dense]), VectorAssembler(inputCols=[f"_{c}_f" for c in dense], outputCol="_dense")]
         if scale:
@@ -90,8 +90,10 @@ def _tree_inputs(texts: Sequence[str], dense: Sequence[str]) -> list:
 def ready(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", hash_size: int | None = None, trees: bool = False, keep: Sequence[str] = ()) -> Ready:
     """Fits the input stages and writes the training features, with the label and the columns of `keep`."""
     prepared = _prepared(train, categories, dense)
+    encoder = one_hot(prepared, [f"_{c}" for c in categories]) if categories and hash_size is None and not trees else None
+    prepared = prepared if encoder is None else encoder.transform(prepared)
     inputs = Pipeline(stages=_tree_inputs(categories, dense) if trees else _inputs(categories, dense, hash_size=hash_size)).fit(prepared)
-    return Ready(inputs, categories, dense, written(inputs.transform(prepared).select("features", label, *keep)), label)
+    return Ready(inputs, categories, dense, written(inputs.transform(prepared).select("features", label, *keep)), label, encoder)
 
 
 def lr(given: Ready, c: float = 1.0, max_iter: int = 100) -> Fitted:

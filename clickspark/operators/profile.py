@@ -1,10 +1,10 @@
-"""Profiling aggregates; each is one pass with partial aggregation."""
+"""Profiling aggregates with partial aggregation."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
@@ -24,9 +24,23 @@ def value_counts(df: DataFrame, column: str, dropna: bool = True) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """One row: n_rows, and for each column its distinct values."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(F.count("*").alias("n_rows"), *(count(c).alias(f"n_{c}") for c in columns))
+    """One row: n_rows, and for each column its distinct values, counted column by column from the distinct values alone; or
+    estimates, all in one pass."""
+    if approximate:
+        return df.agg(F.count("*").alias("n_rows"), *(F.approx_count_distinct(c).alias(f"n_{c}") for c in columns))
+    own = lambda c: df.select(c).distinct().agg(F.count(c)).scalar()
+    return df.agg(F.count("*").alias("n_rows")).select("n_rows", *(own(c).alias(f"n_{c}") for c in columns))
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], part: Column, bits: int = 12) -> DataFrame:
+    """part, n_rows and a sketch of the distinct values of each column, one row for each part such as the day. Sketches of different
+    parts can be united later, without the rows; their error is about 1.04 / 2^(bits / 2)."""
+    return df.groupBy(part.alias("part")).agg(F.count("*").alias("n_rows"), *(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(bits)).alias(c) for c in columns))
+
+
+def united_counts(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: n_rows, and the estimated distinct values of each column over all the parts given."""
+    return sketches.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), *(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(f"n_{c}") for c in columns))
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -76,13 +90,30 @@ def behavior_counts_per_user(log: DataFrame, user: str = "user_key") -> DataFram
     return log.groupBy(user).agg(F.count("*").alias("n_behaviors"))
 
 
+def quantiles(df: DataFrame, column: str, at: Sequence[float], ranges: int = 256) -> DataFrame:
+    """One row with a list `q` of exact quantiles, interpolated linearly between the two nearest ranks; NULL without values.
+
+    Rows are first counted by value. Values are dealt into ranges by approximate bounds, which only place them: ranks are running
+    sums within a range and the sums of the ranges before it, so no task holds all distinct values."""
+    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    bounds = by.agg(F.array_distinct(F.percentile_approx("v", [i / ranges for i in range(1, ranges)]))).scalar()
+    dealt = by.withColumn("_bounds", bounds).withColumn("r", F.size(F.filter("_bounds", lambda b: b < F.col("v")))).drop("_bounds")
+    sums = dealt.groupBy("r").agg(F.sum("n").alias("_all"))
+    before = sums.select("r", (F.sum("_all").over(Window.orderBy("r")) - F.col("_all")).alias("_before"))
+    own = F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = dealt.withColumn("_own", own).join(F.broadcast(before), "r").select("v", (F.col("_before") + F.col("_own")).alias("upto"), "n")  # at most `ranges` rows are broadcast
+    total = sums.agg(F.sum("_all")).scalar()
+    place = lambda p: (total - 1) * F.lit(float(p))
+    holds = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
+    ends = ranked.agg(*(F.max(F.when(holds(f(place(p))), F.col("v"))).alias(f"_{i}{name}") for i, p in enumerate(at) for name, f in (("low", F.floor), ("high", F.ceil))))
+    share = lambda p: place(p) - F.floor(place(p))
+    return ends.select(F.array(*(F.col(f"_{i}low") + (F.col(f"_{i}high") - F.col(f"_{i}low")) * share(p) for i, p in enumerate(at))).alias("q"))
+
+
 def length_quantiles(df: DataFrame, column: str, at: Sequence[float] = QUANTILES, approximate: bool = False) -> DataFrame:
     """One row with a column q<percent> for each quantile, interpolated linearly (or approximate, for very many rows)."""
-    if approximate:
-        found = F.percentile_approx(column, list(at))
-    else:
-        found = F.percentile(column, F.array(*map(F.lit, at)))
-    return df.agg(found.alias("q")).select(*(F.get("q", F.lit(i)).cast("double").alias(f"q{round(100 * p)}") for i, p in enumerate(at)))
+    told = df.agg(F.percentile_approx(column, list(at)).alias("q")) if approximate else quantiles(df, column, at)
+    return told.select(*(F.get("q", F.lit(i)).cast("double").alias(f"q{round(100 * p)}") for i, p in enumerate(at)))
 
 
 def tail_shares(df: DataFrame, column: str, above: Sequence[int] = TAILS) -> DataFrame:
@@ -102,8 +133,8 @@ def log_coverage(log: DataFrame, exposures: DataFrame, user: str = "user_key", b
 
 
 def seq_len_summary(df: DataFrame, column: str = "seq_len") -> DataFrame:
-    q = F.percentile(column, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9))))
-    told = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q.alias("q"))
+    q = quantiles(df, column, (0.25, 0.5, 0.75, 0.9)).scalar()
+    told = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")).withColumn("q", q)
     return told.select("n", "mean", "std", "min", "max", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90"))))
 
 

@@ -306,6 +306,16 @@ def distinct_counts(spark, sf_dir):
     return profile.distinct_counts(fixtures.exposures(spark, sf_dir), ["user_key", "adgroup_id", "pid"])
 
 
+@_query(" select count(*) as n_rows, true as near_user_key, true as near_adgroup_id, true as near_pid from exposures")
+def distinct_sketches(spark, sf_dir):
+    """Distinct values from sketches of each day, united: within 5 % of the exact counts."""
+    rows, names = fixtures.exposures(spark, sf_dir), ["user_key", "adgroup_id", "pid"]
+    told = profile.united_counts(profile.distinct_sketches(rows, names, F.to_date("ts")), names)
+    exact = profile.distinct_counts(rows, names)
+    near = lambda c: (F.abs(F.col(f"n_{c}") - exact.select(f"n_{c}").scalar()) <= 0.05 * F.col(f"n_{c}")).alias(f"near_{c}")
+    return told.select("n_rows", *(near(c) for c in names))
+
+
 _MISSING = ["cate_id", "brand", "price", "cms_segid", "pvalue_level", "new_user_class_level", "clk"]
 
 

@@ -260,6 +260,63 @@ def test_one_hot(spark):
     assert found == [[0, 0, 0], [0, 0, 0], [0, 1, 0]]
 
 
+def test_one_hot_of_many_columns(spark):
+    train = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("a", 3, None)], "v string, n long, none string")
+    fitted = encode.one_hot(train, ["v", "n", "none"])
+    asked = spark.createDataFrame([(1, "b", 3, "x"), (2, None, 9, None)], "id int, v string, n long, none string").withColumns({"held": F.lit(7), "t0": F.lit(8), "i0": F.lit(9)})
+    out = fitted.transform(asked).orderBy("id").collect()
+    assert [[r[f"{c}_hot"].toArray().tolist() for c in ("v", "n", "none")] for r in out] == [[[0, 1], [0, 0, 1], [0]], [[0, 0], [0, 0, 0], [0]]]
+    assert [(r["held"], r["t0"], r["i0"]) for r in out] == [(7, 8, 9)] * 2 and list(fitted.sizes) == [2, 3, 0]
+
+
+def test_many_categories_stay_a_table(spark):
+    """A model over 200,000 categories of one column: the driver learns their number alone."""
+    rows = spark.range(200_000).selectExpr("concat('c', id) as c", "cast(id % 7 as double) as x", "cast(id % 2 as int) as clk").repartition(4)
+    given = models.ready(rows, ["c"], ["x"])
+    assert given.encoder.sizes == [200_000] and not any("StringIndexer" in type(s).__name__ for s in given.inputs.stages)
+    fitted = models.lr(given, max_iter=3)
+    assert fitted.model.stages[-1].numFeatures == 200_001 and fitted.score(rows.limit(5)).count() == 5
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(9)
+    for values in (rng.normal(size=5001).tolist(), rng.integers(0, 5, 1000).astype(float).tolist(), [3.0], list(range(20_000))):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+        at = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+        assert profile.quantiles(rows, "x", at, ranges=16).first()[0] == pytest.approx(np.quantile(values, at).tolist())
+    assert profile.length_quantiles(rows.where("false"), "x").first()[0] is None
+
+
+def test_quantiles_of_many_values(spark):
+    """Two million distinct values in ranges: no buffer holds them all."""
+    rows = spark.range(2_000_000).selectExpr("id * 3 as x")
+    assert list(profile.length_quantiles(rows, "x").first()) == pytest.approx([3 * p * 1_999_999 for p in profile.QUANTILES])
+
+
+def test_sketches_unite(spark):
+    rows = spark.range(60_000).selectExpr("id % 20000 as u", "cast(id % 3 as int) as day", "if(id % 2 = 0, 'a', null) as v")
+    told = profile.distinct_sketches(rows, ["u", "v"], F.col("day"))
+    assert told.count() == 3
+    one = profile.united_counts(told, ["u", "v"]).first()
+    assert one["n_rows"] == 60_000 and abs(one["n_u"] - 20_000) < 0.05 * 20_000 and one["n_v"] == 1
+    assert profile.united_counts(told.where("part = 9"), ["u"]).first()["n_u"] == 0
+    assert tuple(profile.distinct_counts(rows, ["u", "v"]).first()) == (60_000, 20_000, 1)
+
+
+def test_planted_groups_of_items(spark):
+    """Items of one group stand together; their nearest vectors are of their group."""
+    rng = np.random.default_rng(2)
+    lists = [(i, [int(x) for x in 10 * (i % 4) + rng.integers(0, 8, 9)]) for i in range(400)]
+    found = {int(r["id"]): np.array(r["vector"]) for r in attention.item_embeddings(spark.createDataFrame(lists, "id int, h array<long>"), "h", size=6).collect()}
+    assert len(found) == 32
+    unit = {k: v / np.linalg.norm(v) for k, v in found.items()}
+    for k, v in unit.items():
+        best = max((x for x in unit if x != k), key=lambda x: v @ unit[x])
+        assert best // 10 == k // 10
+    counted = {(r["a"], r["b"]): r["weight"] for r in attention.co_occurrences(spark.createDataFrame([([1, 2, 1, 3],)], "h array<long>"), "h", 2).collect()}
+    assert counted == pytest.approx({("1", "2"): 2.0, ("2", "1"): 2.0, ("2", "3"): 0.5, ("3", "2"): 0.5, ("1", "3"): 1.0, ("3", "1"): 1.0})
+
+
 def test_scaling(spark):
     for train, value, expected in (([2.0, 2.0, 2.0], 5.0, 3.0), ([1.0, 2.0, 3.0], 4.0, 2.0)):
         moments = encode.fit_moments(spark.createDataFrame([(x,) for x in train], "x double"), ["x"])
@@ -350,7 +407,7 @@ def test_logistic_optimum(planted):
     """Coefficients equal those of Newton's method on the penalised loss."""
     train, valid = planted
     model = models.fit_lr(train, ["c"], ["x"])
-    order, rows = model.model.stages[0].labelsArray[0], train.collect()
+    order, rows = [r["text"] for r in model.encoder.codes.orderBy("id").collect()], train.collect()
     x = np.array([r["x"] for r in rows])
     z = np.column_stack([*(np.array([r["c"] == k for r in rows], float) for k in order), (x - x.mean()) / x.std(ddof=1), np.ones(len(rows))])
     y, w, penalty = np.array([r["clk"] for r in rows], float), np.zeros(5), np.diag([1.0, 1.0, 1.0, 1.0, 0.0])
