@@ -646,9 +646,64 @@ def test_score_does_not_depend_on_the_batch():
 # --- pipeline
 
 
-def test_pipeline(spark, small):
-    docs = common.documents(spark, small)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, small))
-    rows = {(r["doc_id"], r["piece"]) for r in packing.pieces(docs).collect()}
-    assert {(r["doc_id"], r["piece"]) for r in corpus_pipeline.run(spark, small).collect()} == rows
+def _plain_quality(net, text):
+    """The net on one text, chunk by chunk."""
+    half = quality_net.HALF
+    padded = text + bytes(max(2 * half, -(-len(text) // half) * half) - len(text))
+    most = np.zeros(quality_net.FILTERS)
+    for at in range(0, len(padded) - half, half):
+        z = net.bias.astype(float)
+        for part in (0, 1):
+            own = net.embedding[list(padded[at + part * half : at + (part + 1) * half])].ravel().astype(float)
+            z = z + own @ net.filters[part].astype(float)
+        most = np.maximum(most, z)
+    return 1 / (1 + math.exp(-(most @ net.weights + net.out_bias)))
+
+
+def test_pipeline(spark, small, reference):
+    """Every stage again in plain Python, on what the plain stage before has kept; only the fitted models are shared."""
+    rows = {r["doc_id"]: r["text"] or "" for r in common.documents(spark, small).collect()}
+    labels = common.labels(spark, small)
+    table = lambda: spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+
+    clean = toxicity.fit(table(), toxicity.training_fold(labels))
+    learned = toxicity._learned(table(), toxicity.training_fold(labels), "toxic")
+    plain = _PlainLexicon(clean, toxicity._lexicon(learned)[0])
+    scores = {i: 1 / (1 + math.exp(-(np.dot(plain.features(t), clean.weights) + clean.bias))) for i, t in rows.items()}
+    rows = {i: t for i, t in rows.items() if scores[i] < 0.5}
+    first = len(rows)
+
+    net = quality_net.fit(table(), quality_net.training_fold(labels))
+    rows = {i: t for i, t in rows.items() if _plain_quality(net, t.encode()) >= 0.5}
+    second = len(rows)
+
+    found = _near(rows)
+    rows = {i: t for i, t in rows.items() if found[i][0] == i}
+    third = len(rows)
+
+    kept = _cut({i: WORD.findall(t) for i, t in rows.items()}, 50)
+    cut = sum(kept[i] != " ".join(WORD.findall(t)) for i, t in rows.items())
+    rows = {i: t if kept[i] == " ".join(WORD.findall(t)) else kept[i] for i, t in rows.items()}
+    assert len(scores) > first > second > third > 50 and cut
+
+    expected, counts = {}, np.zeros(packing.CAPACITY + 1, np.int64)
+    for i, text in rows.items():
+        ids = [*reference.encode(text, add_special_tokens=False).ids, packing.END]
+        at = 0
+        for k in range(-(-len(ids) // packing.CAPACITY)):
+            upto = len(ids) - packing.CAPACITY * (-(-len(ids) // packing.CAPACITY) - k - 1)
+            expected[i, k] = (at, upto - at, zlib.crc32(np.array(ids[at:upto], "<u4").tobytes()))
+            counts[upto - at] += 1
+            at = upto
+    told = corpus_pipeline.run(spark, small).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in told} == expected and len(told) == len(expected)
+    sequences = {}
+    for r in told:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert len(sequences) == packing.choose(counts)[1]
