@@ -1,10 +1,13 @@
-"""A click model with learned attention over behaviours, fitted end to end.
+"""Click models of embeddings fitted end to end: learned attention over behaviours, cross layers, and a wide part.
 
 A row has scalar values (user, ad, context), target values, the history of these target values, and numbers. All values share
 one table of vectors, in which each is found by a hash of its field and text, so the model's size is a parameter and no
 dictionary is needed. Every behaviour of the history is scored against the target by two hidden layers over the four-part
 input (target, behaviour, difference, product); softmax weights add the behaviours up to an interest. Values, target,
-interest and numbers then pass two hidden layers with learned slopes to a logit.
+interest and numbers then pass two hidden layers with learned slopes to a logit. Low-rank cross layers may stand before the
+hidden layers, each multiplying the input with a mix of the layer before; a wide part, one weight for each hashed value of its
+own columns and a linear term, may be added to the logit and is fitted together with the rest. Without targets the model is
+one of scalar values and numbers alone.
 
 Rows are prepared once and kept in the shared folder. In each round all tasks get the parameters, add up loss and gradient
 over blocks of their rows, and partial sums are added up again in groups before a few reach the driver, where one step of the
@@ -37,22 +40,27 @@ Params = dict[str, np.ndarray]
 
 @dataclass(frozen=True)
 class Inputs:
-    """Column names: scalar values, target values with their history columns, and numbers."""
+    """Column names: scalar values, target values with their history columns, and numbers; values and numbers of the wide part."""
 
     scalars: Sequence[str]
     targets: Mapping[str, str]
     dense: Sequence[str]
     label: str = "clk"
+    wide: Sequence[str] = ()
+    wide_dense: Sequence[str] = ()
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Places in the table of vectors, their width, and the widths of the hidden layers."""
+    """Places in the table of vectors and in that of wide weights, the vectors' width, the widths of the hidden layers, and the number
+    and rank of cross layers."""
 
     places: int = 1 << 14
     width: int = 8
     scorer: tuple[int, int] = (16, 8)
     hidden: tuple[int, int] = (64, 32)
+    cross: int = 0
+    rank: int = 32
 
     def start(self, inputs: Inputs, seed: int = 0) -> Params:
         rng = np.random.default_rng(seed)
@@ -60,7 +68,9 @@ class Shape:
         first = self.width * len(inputs.scalars) + 2 * b + len(inputs.dense)
         layer = lambda i, o: rng.normal(0, (2.0 / (i + o)) ** 0.5, (i, o))
         (s1, s2), (h1, h2) = self.scorer, self.hidden
-        return {
+        crossed = {f"c{k}{part}": value for k in range(self.cross) for part, value in (("v", layer(first, self.rank)), ("u", layer(self.rank, first)), ("b", np.zeros(first)))}
+        wide = {"w": np.zeros(self.places), "wd": np.zeros(len(inputs.wide_dense))} if inputs.wide or inputs.wide_dense else {}
+        return crossed | wide | {
             "table": rng.normal(0, 0.1, (self.places, self.width)),
             "s1": layer(4 * b, s1), "s1b": np.zeros(s1), "s2": layer(s1, s2), "s2b": np.zeros(s2), "s3": layer(s2, 1)[:, 0], "s3b": np.zeros(1),
             "h1": layer(first, h1), "h1b": np.zeros(h1), "h1a": np.full(1, 0.25), "h2": layer(h1, h2), "h2b": np.zeros(h2), "h2a": np.full(1, 0.25), "h3": layer(h2, 1)[:, 0], "h3b": np.zeros(1),
@@ -77,6 +87,8 @@ class Block:
     row: np.ndarray
     dense: np.ndarray
     label: np.ndarray
+    wide: np.ndarray | None = None
+    wide_dense: np.ndarray | None = None
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -101,18 +113,26 @@ def forward(p: Params, block: Block) -> tuple[np.ndarray, dict]:
     four = np.concatenate([of, items, of - items, of * items], 1)
     a1 = _sigmoid(four @ p["s1"] + p["s1b"])
     a2 = _sigmoid(a1 @ p["s2"] + p["s2b"])
-    s = (a2 @ p["s3"] + p["s3b"]) / np.sqrt(target.shape[1])
+    s = (a2 @ p["s3"] + p["s3b"]) / np.sqrt(max(target.shape[1], 1))
     most = np.full(n, -np.inf)
     np.maximum.at(most, row, s)
     e = np.exp(s - most[row])
     weight = e / np.bincount(row, e, n)[row]
     interest = _by_row(weight[:, None] * items, row, n)
     x = np.concatenate([p["table"][block.scalars].reshape(n, -1), target, interest, block.dense], 1)
-    u1 = x @ p["h1"] + p["h1b"]
+    crossed, mixed = [x], []
+    while f"c{len(mixed)}v" in p:
+        k = len(mixed)
+        mixed.append((crossed[k] @ p[f"c{k}v"]) @ p[f"c{k}u"] + p[f"c{k}b"])
+        crossed.append(x * mixed[k] + crossed[k])
+    u1 = crossed[-1] @ p["h1"] + p["h1b"]
     v1 = np.where(u1 > 0, u1, p["h1a"] * u1)
     u2 = v1 @ p["h2"] + p["h2b"]
     v2 = np.where(u2 > 0, u2, p["h2a"] * u2)
-    return v2 @ p["h3"] + p["h3b"], {"target": target, "items": items, "four": four, "a1": a1, "a2": a2, "weight": weight, "x": x, "u1": u1, "v1": v1, "u2": u2, "v2": v2}
+    logit = v2 @ p["h3"] + p["h3b"]
+    if "w" in p:
+        logit = logit + p["w"][block.wide].sum(1) + block.wide_dense @ p["wd"]
+    return logit, {"crossed": crossed, "mixed": mixed, "target": target, "items": items, "four": four, "a1": a1, "a2": a2, "weight": weight, "x": x, "u1": u1, "v1": v1, "u2": u2, "v2": v2}
 
 
 def backward(p: Params, block: Block, kept: dict, d: np.ndarray) -> Params:
@@ -120,17 +140,28 @@ def backward(p: Params, block: Block, kept: dict, d: np.ndarray) -> Params:
     g, n, row = {}, len(block.targets), block.row
     g["h3"], g["h3b"] = kept["v2"].T @ d, d.sum(keepdims=True)
     dv = d[:, None] * p["h3"]
-    for layer, u, below in (("h2", kept["u2"], kept["v1"]), ("h1", kept["u1"], kept["x"])):
+    for layer, u, below in (("h2", kept["u2"], kept["v1"]), ("h1", kept["u1"], kept["crossed"][-1])):
         g[f"{layer}a"] = (dv * np.minimum(u, 0)).sum(keepdims=True).reshape(1)
         du = np.where(u > 0, dv, p[f"{layer}a"] * dv)
         g[layer], g[f"{layer}b"] = below.T @ du, du.sum(0)
         dv = du @ p[layer].T
+    dx = np.zeros_like(dv)
+    for k in reversed(range(len(kept["mixed"]))):
+        dz, below = dv * kept["x"], kept["crossed"][k]
+        dx += dv * kept["mixed"][k]
+        dy = dz @ p[f"c{k}u"].T
+        g[f"c{k}u"], g[f"c{k}b"], g[f"c{k}v"] = (below @ p[f"c{k}v"]).T @ dz, dz.sum(0), below.T @ dy
+        dv = dv + dy @ p[f"c{k}v"].T
+    dv = dv + dx
+    if "w" in p:
+        g["w"] = np.bincount(block.wide.ravel(), np.repeat(d, block.wide.shape[1]), len(p["w"]))
+        g["wd"] = block.wide_dense.T @ d
     b, m = kept["target"].shape[1], block.scalars.shape[1] * p["table"].shape[1]
     dscalars, dtarget, dinterest = dv[:, :m], dv[:, m : m + b].copy(), dv[:, m + b : m + 2 * b]
     weight, items = kept["weight"], kept["items"]
     ditems = weight[:, None] * dinterest[row]
     dweight = (items * dinterest[row]).sum(1)
-    ds = weight * (dweight - np.bincount(row, weight * dweight, n)[row]) / np.sqrt(b)
+    ds = weight * (dweight - np.bincount(row, weight * dweight, n)[row]) / np.sqrt(max(b, 1))
     g["s3"], g["s3b"] = kept["a2"].T @ ds, ds.sum(keepdims=True)
     dz = ds[:, None] * p["s3"] * kept["a2"] * (1 - kept["a2"])
     g["s2"], g["s2b"] = kept["a1"].T @ dz, dz.sum(0)
@@ -166,16 +197,18 @@ def prepare(df: DataFrame, inputs: Inputs, shape: Shape, moments: Mapping[str, t
     are the mean and deviation of training rows."""
     names = list(inputs.targets)
     histories = [F.coalesce(F.col(h), F.array().cast(df.schema[h].dataType)) for h in inputs.targets.values()]
-    length = F.least(*(F.size(h) for h in histories)) if len(histories) > 1 else F.size(histories[0])
+    length = F.least(*(F.size(h) for h in histories), *[F.lit((1 << 31) - 1)] * 2)
     lists = [F.transform(F.slice(h, F.lit(1), length), lambda x, c=c: _place(c, x, shape.places)) for c, h in zip(names, histories)]
     number = lambda c: F.coalesce((F.col(c).cast("double") - F.lit(moments[c][0])) / F.lit(moments[c][1]), F.lit(0.0))
     ints, doubles = F.array().cast("array<int>"), F.array().cast("array<double>")
     return df.select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("held"),
         (F.array(*(_place(c, F.col(c), shape.places) for c in inputs.scalars)) if inputs.scalars else ints).alias("scalars"),
-        F.array(*(_place(c, F.col(c), shape.places) for c in names)).alias("targets"),
-        F.flatten(_interleaved(lists)).alias("items"),
+        (F.array(*(_place(c, F.col(c), shape.places) for c in names)) if names else ints).alias("targets"),
+        (F.flatten(_interleaved(lists)) if names else ints).alias("items"),
         (F.array(*(number(c) for c in inputs.dense)) if inputs.dense else doubles).alias("dense"),
+        (F.array(*(_place(f"wide {c}", F.col(c), shape.places) for c in inputs.wide)) if inputs.wide else ints).alias("wide"),
+        (F.array(*(number(c) for c in inputs.wide_dense)) if inputs.wide_dense else doubles).alias("wide_dense"),
         (F.col(inputs.label) if inputs.label in df.columns else F.lit(None)).cast("double").alias("label"),
     )
 
@@ -191,9 +224,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_targets: int) -> Iterator[tuple
             batch = whole.slice(at, BLOCK_ROWS)
             n = batch.num_rows
             flat = lambda c, kind: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(kind)  # noqa: B023, E731
-            sizes = np.array([len(x) for x in batch.column("items")], np.int64) // n_targets
+            sizes = np.array([len(x) for x in batch.column("items")], np.int64) // max(n_targets, 1)
             label = batch.column("label").fill_null(0.0).to_numpy()
-            yield batch, Block(flat("scalars", np.int64).reshape(n, -1), flat("targets", np.int64).reshape(n, -1), flat("items", np.int64), np.repeat(np.arange(n), sizes), flat("dense", float).reshape(n, -1), label)
+            yield batch, Block(flat("scalars", np.int64).reshape(n, -1), flat("targets", np.int64).reshape(n, -1), flat("items", np.int64), np.repeat(np.arange(n), sizes), flat("dense", float).reshape(n, -1), label, flat("wide", np.int64).reshape(n, -1), flat("wide_dense", float).reshape(n, -1))
+
+
+def cross_layer(x0: Sequence[Column], x: Sequence[Column], v: Sequence[Sequence[float]], u: Sequence[Sequence[float]], b: Sequence[float]) -> list[Column]:
+    """One low-rank cross layer over columns: x0 times (x v u + b), plus x."""
+    total = lambda terms: sum(terms, F.lit(0.0))
+    low = [total(c * F.lit(float(row[k])) for c, row in zip(x, v)) for k in range(len(u))]
+    return [first * (total(c * F.lit(float(row[i])) for c, row in zip(low, u)) + F.lit(float(b[i]))) + own for i, (first, own) in enumerate(zip(x0, x))]
 
 
 def _flat(p: Params) -> np.ndarray:
@@ -208,6 +248,7 @@ def _unflat(like: Params, flat: np.ndarray) -> Params:
     return out
 
 
+_PARTS = ("scalars", "targets", "items", "dense", "wide", "wide_dense", "label")
 _SUMS = "part int, n long, loss double, gradient binary"
 
 
@@ -230,7 +271,7 @@ def gradient(rows: DataFrame, p: Params, inputs: Inputs) -> tuple[int, float, Pa
         sums = [pa.array([x]) for x in (sum(table.column("n").to_pylist()), sum(table.column("loss").to_pylist()))]
         return pa.table([table.column("part").slice(0, 1).combine_chunks(), *sums, pa.array([total.tobytes()], pa.binary())], ["part", "n", "loss", "gradient"])
 
-    sums = rows.select("scalars", "targets", "items", "dense", "label").mapInArrow(run, _SUMS).groupBy("part").applyInArrow(add, _SUMS).collect()
+    sums = rows.select(*_PARTS).mapInArrow(run, _SUMS).groupBy("part").applyInArrow(add, _SUMS).collect()
     told.destroy()
     flat = sum((np.frombuffer(r["gradient"], np.float64) for r in sorted(sums, key=lambda r: r["part"])), np.zeros(sum(x.size for x in p.values())))
     return sum(r["n"] for r in sums), sum(r["loss"] for r in sums), _unflat(p, flat)
@@ -262,10 +303,11 @@ class Fitted:
 
 def fit_interest(train: DataFrame, inputs: Inputs, shape: Shape = Shape(), passes: int = 5, shards: int = 8, rate: float = 0.02, decay: float = 1e-5, seed: int = 0) -> Fitted:
     """Fits by `passes` times `shards` rounds of Adam with a squared penalty of `decay`; each round reads one shard of the rows."""
-    told = fit_moments(train, inputs.dense).first() if inputs.dense else {}
-    moments = {c: (told[f"{c}_mean"] or 0.0, told[f"{c}_std"] or 1.0) for c in inputs.dense}
+    numbers = list(dict.fromkeys([*inputs.dense, *inputs.wide_dense]))
+    told = fit_moments(train, numbers).first() if numbers else {}
+    moments = {c: (told[f"{c}_mean"] or 0.0, told[f"{c}_std"] or 1.0) for c in numbers}
     rows = prepare(train.where(F.col(inputs.label).isNotNull()), inputs, shape, moments)
-    rows = written(rows.select("scalars", "targets", "items", "dense", "label", F.pmod(F.xxhash64(*(c for c in ("scalars", "targets", "items", "dense", "label"))), F.lit(shards)).cast("int").alias("shard")), "shard")
+    rows = written(rows.select(*_PARTS, F.pmod(F.xxhash64(*_PARTS), F.lit(shards)).cast("int").alias("shard")), "shard")
     p = shape.start(inputs, seed)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     out = Fitted(p, inputs, shape, moments)

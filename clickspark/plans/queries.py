@@ -842,6 +842,46 @@ _INTEREST = interest.Inputs(
 )
 
 
+#: Weights of two cross layers of rank 2 over four numbers, by a rule.
+_CROSS = [{"v": [[((3 * i + 5 * k + layer) % 7 - 3) / 4 for k in range(2)] for i in range(4)], "u": [[((2 * k + 3 * i + layer) % 5 - 2) / 4 for i in range(4)] for k in range(2)], "b": [0.1 * i - 0.2 for i in range(4)]} for layer in range(2)]
+
+
+def _cross_sql(x: str, w: dict) -> str:
+    low = [f"list_dot_product({x}, {[row[k] for row in w['v']]}::double[])" for k in range(2)]
+    return "[" + ", ".join(f"x0[{i + 1}] * ({low[0]} * ({w['u'][0][i]}) + {low[1]} * ({w['u'][1][i]}) + ({w['b'][i]})) + {x}[{i + 1}]" for i in range(4)) + "]"
+
+
+@_query(_WIDE + f""" , start as (select event_id, [coalesce(price, 0) / 1000.0, coalesce(age_level, 0) / 10.0, coalesce(shopping_level, 0) / 10.0, clk::double]::double[] as x0 from wide),
+  one as (select *, {_cross_sql("x0", _CROSS[0])} as x1 from start), two as (select *, {_cross_sql("x1", _CROSS[1])} as x2 from one)
+  select event_id, round(x2[1], 6) as a, round(x2[2], 6) as b, round(x2[3], 6) as c, round(x2[4], 6) as d from two""")
+def cross_layers(spark, sf_dir):
+    """Two low-rank cross layers of given weights over four numbers of each exposure."""
+    rows = _wide(spark, sf_dir)
+    x0 = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / scale for c, scale in (("price", 1000.0), ("age_level", 10.0), ("shopping_level", 10.0))] + [F.col("clk").cast("double")]
+    rows = rows.select("event_id", *(c.alias(f"x{i}") for i, c in enumerate(x0)))
+    first = [F.col(f"x{i}") for i in range(4)]
+    rows = rows.select("event_id", *first, *(c.alias(f"y{i}") for i, c in enumerate(interest.cross_layer(first, first, **_CROSS[0]))))
+    out = interest.cross_layer(first, [F.col(f"y{i}") for i in range(4)], **_CROSS[1])
+    return rows.select("event_id", *(_r(c, n) for c, n in zip(out, "abcd")))
+
+
+def _fit_network(spark: SparkSession, sf_dir: str, inputs: interest.Inputs, shape: interest.Shape) -> DataFrame:
+    train, valid = _model_rows(spark, sf_dir)
+    return interest.fit_interest(train, inputs, shape, passes=3, shards=4).score(valid).select("event_id", "clk", _r("score"))
+
+
+@_query()
+def score_cross_network(spark, sf_dir):
+    """Two low-rank cross layers before two hidden ones."""
+    return _fit_network(spark, sf_dir, interest.Inputs(*(_NET[0], {}, _NET[1])), interest.Shape(cross=2, rank=16))
+
+
+@_query()
+def score_wide_deep(spark, sf_dir):
+    """A wide part over crosses and a deep part, fitted together."""
+    return _fit_network(spark, sf_dir, interest.Inputs(_NET[0], {}, _NET[1], wide=_LINEAR[0], wide_dense=_LINEAR[1]), interest.Shape())
+
+
 @_query()
 def score_interest(spark, sf_dir):
     """Learned attention over each user's last behaviours, with user, ad and context; the scorer's width is chosen on the newest day

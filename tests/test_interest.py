@@ -14,16 +14,18 @@ def _block(rng, n=7):
     sizes = rng.integers(0, 5, n)
     sizes[2] = 0
     total = int(sizes.sum())
-    return interest.Block(rng.integers(0, 32, (n, 2)), rng.integers(0, 32, (n, 2)), rng.integers(0, 32, 2 * total), np.repeat(np.arange(n), sizes), rng.normal(0, 1, (n, 1)), rng.integers(0, 2, n).astype(float))
+    return interest.Block(rng.integers(0, 32, (n, 2)), rng.integers(0, 32, (n, 2)), rng.integers(0, 32, 2 * total), np.repeat(np.arange(n), sizes), rng.normal(0, 1, (n, 1)), rng.integers(0, 2, n).astype(float), rng.integers(0, 32, (n, 2)), rng.normal(0, 1, (n, 1)))
 
 
-def test_gradients():
+@pytest.mark.parametrize("crossed", [False, True])
+def test_gradients(crossed):
     rng = np.random.default_rng(0)
-    p = SMALL.start(INPUTS, 1)
+    shape = interest.Shape(places=32, width=3, scorer=(5, 4), hidden=(6, 5), cross=2, rank=4) if crossed else SMALL
+    p = shape.start(interest.Inputs(["user", "pid"], {"cate": "cates", "brand": "brands"}, ["price"], wide=["a", "b"], wide_dense=["x"]) if crossed else INPUTS, 1)
     p = {k: v + rng.normal(0, 0.3, v.shape) for k, v in p.items()}
     block = _block(rng)
     _, g = interest.loss_and_gradient(p, block)
-    assert set(g) == set(p)
+    assert set(g) == set(p) and (not crossed or {"w", "wd", "c1v"} <= set(p))
     for k in p:
         for at in rng.integers(0, p[k].size, 12):
             def moved(step, k=k, at=at):
@@ -73,6 +75,33 @@ def test_planted_interest(spark):
     assert learned > 0.9 and learned > fixed + 0.1
 
 
+def test_planted_three_way_cross(spark):
+    """A click follows the parity of three values: no pair of them says anything."""
+    rng = np.random.default_rng(4)
+    rows = [(i, *(int(x) for x in v), int(rng.random() < (0.95 if v.sum() % 2 else 0.05))) for i, v in enumerate(rng.integers(0, 2, (3000, 3)))]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int, clk int").repartition(4)
+    train, valid = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+    model = interest.fit_interest(train, interest.Inputs(["a", "b", "c"], {}, []), interest.Shape(places=64, width=4, hidden=(16, 8), cross=2, rank=4), passes=25, shards=2, rate=0.03)
+    pairs = models.fit_cross(train, ["a", "b", "c"], [], rank=4)
+    assert metrics.auc(model.score(valid)).first()[0] > 0.9 > 0.6 > metrics.auc(pairs.score(valid)).first()[0]
+
+
+def test_wide_and_deep_together(spark):
+    """One value is known by the wide part alone, another by the deep part alone; together they tell both."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        w, d, x = int(rng.integers(8)), int(rng.integers(8)), float(rng.normal())
+        logit = 2.5 * (w % 2) + 2.5 * (d % 2) - 2.5 + x
+        rows.append((i, w, d, x, int(rng.random() < 1 / (1 + np.exp(-logit))), float(logit)))
+    df = spark.createDataFrame(rows, "id long, w int, d int, x double, clk int, truth double").repartition(4)
+    train, valid = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
+    shape = interest.Shape(places=4096, width=4, hidden=(8, 4))  # so many places that no two values meet
+    score = lambda inputs: metrics.auc(interest.fit_interest(train, inputs, shape, passes=15, shards=2, rate=0.05).score(valid)).first()[0]
+    both = score(interest.Inputs(["d"], {}, [], wide=["w"], wide_dense=["x"]))
+    assert both > metrics.auc(valid, "truth").first()[0] - 0.03 and both > score(interest.Inputs(["d"], {}, [])) + 0.1
+
+
 def test_the_scorer_in_spark(spark):
     """The learned score as a column function equals the one in arrays."""
     p = SMALL.start(interest.Inputs([], {"cate": "cates"}, []), 5)
