@@ -120,9 +120,8 @@ def fit_moments(train: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def standardize(df: DataFrame, moments: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / std by training moments; a deviation of 0 counts as 1."""
-    m = moments.first()
-    scale = {c: 1.0 if m[f"{c}_std"] == 0 else m[f"{c}_std"] for c in columns}
-    return df.withColumns({c: (F.col(c) - F.lit(m[f"{c}_mean"])) / F.lit(scale[c]) for c in columns})
+    mean, std = (lambda c: moments.select(f"{c}_mean").scalar()), (lambda c: moments.select(f"{c}_std").scalar())
+    return df.withColumns({c: (F.col(c) - mean(c)) / F.when(std(c) == 0, F.lit(1.0)).otherwise(std(c)) for c in columns})
 
 
 def add_cross(df: DataFrame, a: str, b: str, out: str) -> DataFrame:

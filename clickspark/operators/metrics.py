@@ -12,10 +12,8 @@ def auc(df: DataFrame, score: str = "score", label: str = "clk", ranges: int = 1
     Rows are first added up by distinct score. Scores are then dealt into ranges by quantiles: negatives below a score are those
     in lower ranges, from a small table, and those lower in its own range, so that no window spans all scores."""
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("n"))
-    bounds = by.agg(F.percentile_approx("s", [i / ranges for i in range(1, ranges)])).first()[0] or []
-    bounds = sorted(set(bounds))
-    lists = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>") if bounds else F.array().cast("array<double>")
-    dealt = by.withColumn("r", F.size(F.filter(lists, lambda b: b < F.col("s"))))
+    bounds = by.agg(F.array_distinct(F.percentile_approx("s", [i / ranges for i in range(1, ranges)]))).scalar()
+    dealt = by.withColumn("_bounds", bounds).withColumn("r", F.size(F.filter("_bounds", lambda b: b < F.col("s")))).drop("_bounds")
     sums = dealt.groupBy("r").agg(F.sum("n").alias("rn"))
     lower = sums.select("r", (F.sum("rn").over(Window.orderBy("r")) - F.col("rn")).alias("below"))
     w = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
