@@ -435,6 +435,14 @@ def test_op9(spark, small, texts):
         assert r["held_out"] == (r["doc_id"] not in train)
 
 
+@given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, (1 << 64) - 1), st.sampled_from([1 << 63, (1 << 63) + 1, (1 << 63) + 2, (1 << 64) - 1, (1 << 64) - 2])), max_size=60), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_distinct_is_unique(values, wide):
+    keys = np.array(values, np.uint64) if wide else (np.array(values, np.uint64) >> np.uint64(1)).astype(np.int64)
+    found, expected = backoff_lm._distinct(keys), np.unique(keys, return_index=True, return_inverse=True)
+    assert found[0].dtype == keys.dtype and np.array_equal(found[0], expected[0]) and np.array_equal(found[1], expected[2]) and np.array_equal(found[2], expected[1])
+
+
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=12), min_size=1, max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_states_add_up_to_one(texts):
