@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def auc(df: DataFrame, score: str = "score", label: str = "clk", ranges: int = 1024) -> DataFrame:
     """One row, `auc`: the chance that a positive row scores above a negative one; ties count half.
 
-    Rows are first added up by distinct score. Scores are then dealt into ranges by quantiles: negatives below a score are those
+    Rows are first added up by distinct score, which is written once. Scores are then dealt into ranges by quantiles: negatives below a score are those
     in lower ranges, from a small table, and those lower in its own range, so that no window spans all scores."""
-    by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("n"))
+    by = written(df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("n")))
     bounds = by.agg(F.array_distinct(F.percentile_approx("s", [i / ranges for i in range(1, ranges)]))).scalar()
     dealt = by.withColumn("_bounds", bounds).withColumn("r", F.size(F.filter("_bounds", lambda b: b < F.col("s")))).drop("_bounds")
     sums = dealt.groupBy("r").agg(F.sum("n").alias("rn"))

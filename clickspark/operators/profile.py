@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 TAILS = (20, 50, 100, 200)
 
@@ -93,9 +95,9 @@ def behavior_counts_per_user(log: DataFrame, user: str = "user_key") -> DataFram
 def quantiles(df: DataFrame, column: str, at: Sequence[float], ranges: int = 256) -> DataFrame:
     """One row with a list `q` of exact quantiles, interpolated linearly between the two nearest ranks; NULL without values.
 
-    Rows are first counted by value. Values are dealt into ranges by approximate bounds, which only place them: ranks are running
+    Rows are first counted by value, which is written once. Values are dealt into ranges by approximate bounds, which only place them: ranks are running
     sums within a range and the sums of the ranges before it, so no task holds all distinct values."""
-    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    by = written(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")))
     bounds = by.agg(F.array_distinct(F.percentile_approx("v", [i / ranges for i in range(1, ranges)]))).scalar()
     dealt = by.withColumn("_bounds", bounds).withColumn("r", F.size(F.filter("_bounds", lambda b: b < F.col("v")))).drop("_bounds")
     sums = dealt.groupBy("r").agg(F.sum("n").alias("_all"))
