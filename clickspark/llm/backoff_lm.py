@@ -42,7 +42,7 @@ FOLDS, HELD_OUT = 5, 1
 ORDERS, LEAST_BIGRAM, LEAST_TRIGRAM = 3, 1, 2
 
 #: Text in a block; text whose n-grams of each order one shard owns; occurrences of a history in one part of its continuations.
-BLOCK_BYTES, SHARD_BYTES, PART_TOKENS = 6 << 20, (32 << 20, 8 << 20, 16 << 20), 100_000
+BLOCK_BYTES, SHARD_BYTES, PART_TOKENS = 7 << 20, (32 << 20, 8 << 20, 16 << 20), 100_000
 
 #: Tokens that one lane of a traversal reads; the next lane of the text starts in the state that the tokens before lead to.
 LANE = 512
