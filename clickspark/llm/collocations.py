@@ -6,10 +6,11 @@ last and all words but the first, reached the threshold; it is counted for one f
 phrases are long under way while rare words are still being counted. The scans end when no phrase is under way.
 
 Which subphrases have reached the threshold, and when, is told to all tasks by a table of fixed size: one byte, the step, for
-each of 2^24 hashes. Phrases that meet in a byte take the earlier step, which is set once and never changes; they may then be
-counted without need, but always for one full cycle. Counting goes by 48-bit hashes, packed and merged by ranges of hashes,
-and stops at the threshold: what counts together by chance makes a phrase pass too easily, never fail. A last scan counts
-the phrases that passed by their texts, so what is returned depends on no hash table.
+each of 2^24 hashes. Phrases that meet in a byte take the earlier step, which is set once and never changes, but no phrase
+counts as reached before it was active itself; phrases may then be counted without need, but always for one full cycle.
+Counting goes by 48-bit hashes, packed and merged by ranges of hashes, and stops at the threshold: what counts together by
+chance makes a phrase pass too easily, never fail. A last scan counts the phrases that passed by their texts, so what is
+returned depends on no hash table.
 
 Edge cases: null text counts as empty; a null language is `und`; documents count each, also repeated ones and those without an
 id; empty pieces have no words; words may be of any length and of any characters; a language without a candidate returns
@@ -85,7 +86,7 @@ class Block:
             taken = np.flatnonzero(both[at] < NEVER)
             at, active = at[taken], both[at[taken]]
             own = mix((own[taken] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) ^ self.hashes[at + k - 1])
-            step = reached[own >> shift]
+            step = np.maximum(reached[own >> shift], active)  # the byte may be another phrase's, earlier than this one's start
             yield k, at, own, active, step
 
     def texts(self, at: np.ndarray, k: int) -> pa.Array:
@@ -197,10 +198,10 @@ def reached_table(dealt: DataFrame, size: int) -> np.ndarray:
         for row in merged.select("range", "growing", "longest").collect():
             part = table[row["range"] << (SLOT_BITS - bits) : (row["range"] + 1) << (SLOT_BITS - bits)]
             for grows, marks in ((True, row["growing"]), (False, row["longest"])):
-                new = (np.unpackbits(np.frombuffer(marks, np.uint8)) > 0) & (part == NEVER)
-                part[new] = step + 1
-                if grows and new.any():
-                    last = step + 1
+                marked = np.unpackbits(np.frombuffer(marks, np.uint8)) > 0
+                part[marked & (part == NEVER)] = step + 1
+                if grows:
+                    last = max(last, int(part.max(initial=0, where=marked)))
         running = merged.select("range", "low", "high", "meta", "hits").where("low != x''")
         told.destroy()
         step += 1

@@ -83,6 +83,14 @@ def test_shards_activate_longer_phrases(spark):
     assert [r[2] for r in _mined(spark, rows)] == sorted(f"u{i} v{i} w{i} x{i}" for i in range(40))
 
 
+@pytest.mark.parametrize("slots", [8, 9, 10])
+def test_full_cycle_where_phrases_meet_in_a_byte(spark, monkeypatch, slots):
+    """Rare phrases whose bytes were set early by common words, before their own words had reached the threshold."""
+    monkeypatch.setattr(collocations, "SLOT_BITS", slots)
+    rows = [("en", f"c{i}. c{i}") for i in range(150) for _ in range(90)] + [("en", f"u{i} v{i} w{i} x{i}") for i in range(60) for _ in range(30)]
+    assert _mined(spark, rows) == _brute(rows)
+
+
 def test_empty_tables(spark, empty):
     assert collocations.collocations(empty).collect() == []
     assert _mined(spark, [("en", None), (None, "")]) == []
