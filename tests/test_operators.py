@@ -451,3 +451,23 @@ def test_the_test_day_never_chooses(planted):
     assert plain.name == odd.name == board[0][0] and board == [tuple(r)[:3] for r in odd.board.collect()]
     (told,), (other,) = plain.test.collect(), odd.test.collect()
     assert told["auc"] == pytest.approx(board[0][1]) and other["auc"] == pytest.approx(1 - told["auc"]) and told["model"] == other["model"] == plain.name
+
+
+def test_attention_adds_up_where_rows_are_and_is_shuffled_once(spark):
+    """No item's vector is shuffled: the plan has one exchange by key, after the sums of rows that follow each other. Keys that repeat
+    or are missing, items without a vector, and histories longer than a batch come out as by hand."""
+    rng = np.random.default_rng(3)
+    vecs = {i: rng.normal(size=4) for i in range(30)}
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vecs.items()], "id long, vector array<double>")
+    told = [(1, 3, [1, 2, 99, None]), (1, 4, [5]), (2, 3, [7] * 30_000 + [8]), (3, 77, [1]), (4, 2, None), (5, 2, []), (None, 2, [1, 2]), (None, 2, [1])]
+    rows = spark.createDataFrame(told, "key long, target long, h array<long>").repartition(3)
+    out = attention.attention_pool(rows, vectors, "key", "target", "h")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_key") == 1 and "Window" not in plan
+    found = sorted(((r["key"], r["interest"]) for r in out.collect()), key=lambda r: (r[0] is None, r[0]))
+    assert [k for k, _ in found] == [1, 1, 2, 3, 4, 5, None, None] and all(found[i][1] is None for i in (3, 4, 5, 6, 7))
+    for i, pairs in ((0, [(3, 1), (3, 2), (4, 5)]), (2, [(3, 7)] * 30_000 + [(3, 8)])):
+        s = np.array([vecs[t] @ vecs[h] / 2 for t, h in pairs])
+        w = np.exp(s - s.max())
+        assert np.allclose(found[i][1], (w / w.sum()) @ np.array([vecs[h] for _, h in pairs]))
+    assert found[0][1] == found[1][1]
