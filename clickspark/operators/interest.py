@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +93,10 @@ class Block:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.tanh(0.5 * x))
+    with np.errstate(over="ignore"):
+        out = np.exp(-x)
+    out += 1.0
+    return np.divide(1.0, out, out=out)
 
 
 def _by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -109,13 +113,17 @@ def forward(p: Params, block: Block) -> tuple[np.ndarray, dict]:
     n, row = len(block.targets), block.row
     target = p["table"][block.targets].reshape(n, -1)
     items = p["table"][block.items].reshape(len(row), target.shape[1])
-    of = target[row]
-    four = np.concatenate([of, items, of - items, of * items], 1)
-    a1 = _sigmoid(four @ p["s1"] + p["s1b"])
+    times, (w1, w2, w3, w4) = target[row] * items, np.split(p["s1"], 4)
+    u = items @ (w2 - w3)  # the input (target, item, target - item, product), whose target part is one product a row
+    u += times @ w4
+    u += (target @ (w1 + w3) + p["s1b"])[row]
+    a1 = _sigmoid(u)
     a2 = _sigmoid(a1 @ p["s2"] + p["s2b"])
     s = (a2 @ p["s3"] + p["s3b"]) / np.sqrt(max(target.shape[1], 1))
-    most = np.full(n, -np.inf)
-    np.maximum.at(most, row, s)
+    most = np.zeros(n)
+    if len(row):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        most[row[first]] = np.maximum.reduceat(s, first)
     e = np.exp(s - most[row])
     weight = e / np.bincount(row, e, n)[row]
     interest = _by_row(weight[:, None] * items, row, n)
@@ -132,7 +140,7 @@ def forward(p: Params, block: Block) -> tuple[np.ndarray, dict]:
     logit = v2 @ p["h3"] + p["h3b"]
     if "w" in p:
         logit = logit + p["w"][block.wide].sum(1) + block.wide_dense @ p["wd"]
-    return logit, {"crossed": crossed, "mixed": mixed, "target": target, "items": items, "four": four, "a1": a1, "a2": a2, "weight": weight, "x": x, "u1": u1, "v1": v1, "u2": u2, "v2": v2}
+    return logit, {"crossed": crossed, "mixed": mixed, "target": target, "items": items, "times": times, "a1": a1, "a2": a2, "weight": weight, "x": x, "u1": u1, "v1": v1, "u2": u2, "v2": v2}
 
 
 def backward(p: Params, block: Block, kept: dict, d: np.ndarray) -> Params:
@@ -158,19 +166,24 @@ def backward(p: Params, block: Block, kept: dict, d: np.ndarray) -> Params:
         g["wd"] = block.wide_dense.T @ d
     b, m = kept["target"].shape[1], block.scalars.shape[1] * p["table"].shape[1]
     dscalars, dtarget, dinterest = dv[:, :m], dv[:, m : m + b].copy(), dv[:, m + b : m + 2 * b]
-    weight, items = kept["weight"], kept["items"]
-    ditems = weight[:, None] * dinterest[row]
-    dweight = (items * dinterest[row]).sum(1)
+    weight, items, target = kept["weight"], kept["items"], kept["target"]
+    ditems = dinterest[row]
+    dweight = np.einsum("ij,ij->i", items, ditems)
+    ditems *= weight[:, None]
     ds = weight * (dweight - np.bincount(row, weight * dweight, n)[row]) / np.sqrt(max(b, 1))
     g["s3"], g["s3b"] = kept["a2"].T @ ds, ds.sum(keepdims=True)
     dz = ds[:, None] * p["s3"] * kept["a2"] * (1 - kept["a2"])
     g["s2"], g["s2b"] = kept["a1"].T @ dz, dz.sum(0)
     dz = (dz @ p["s2"].T) * kept["a1"] * (1 - kept["a1"])
-    g["s1"], g["s1b"] = kept["four"].T @ dz, dz.sum(0)
-    d1, d2, d3, d4 = np.split(dz @ p["s1"].T, 4, axis=1)
-    of = kept["target"][row]
-    ditems += d2 - d3 + d4 * of
-    dtarget += _by_row(d1 + d3 + d4 * items, row, n)
+    w1, w2, w3, w4 = np.split(p["s1"], 4)
+    by_row = _by_row(dz, row, n)
+    g1, g2 = target.T @ by_row, items.T @ dz
+    g["s1"], g["s1b"] = np.concatenate([g1, g2, g1 - g2, kept["times"].T @ dz]), by_row.sum(0)
+    d4 = dz @ w4.T
+    ditems += dz @ (w2 - w3).T
+    ditems += d4 * target[row]
+    d4 *= items
+    dtarget += by_row @ (w1 + w3).T + _by_row(d4, row, n)
     width = p["table"].shape[1]
     places = np.concatenate([block.scalars.ravel(), block.targets.ravel(), block.items.ravel()])
     rows = np.concatenate([x.reshape(-1, width) for x in (dscalars, dtarget, ditems)])
@@ -224,7 +237,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_targets: int) -> Iterator[tuple
             batch = whole.slice(at, BLOCK_ROWS)
             n = batch.num_rows
             flat = lambda c, kind: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(kind)  # noqa: B023, E731
-            sizes = np.array([len(x) for x in batch.column("items")], np.int64) // max(n_targets, 1)
+            sizes = pc.list_value_length(batch.column("items")).to_numpy(zero_copy_only=False).astype(np.int64) // max(n_targets, 1)
             label = batch.column("label").fill_null(0.0).to_numpy()
             yield batch, Block(flat("scalars", np.int64).reshape(n, -1), flat("targets", np.int64).reshape(n, -1), flat("items", np.int64), np.repeat(np.arange(n), sizes), flat("dense", float).reshape(n, -1), label, flat("wide", np.int64).reshape(n, -1), flat("wide_dense", float).reshape(n, -1))
 
