@@ -17,10 +17,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import descent
 from .encode import OneHot, one_hot
 from .metrics import auc, logloss
 
@@ -114,9 +116,16 @@ def cross(given: Ready, rank: int = 8, max_iter: int = 50, rate: float = 0.05, s
 
 
 def deep(given: Ready, hidden: Sequence[int] = (64, 32), max_iter: int = 100, seed: int = 0) -> Fitted:
-    """A multilayer perceptron over the features."""
-    width = len(given.rows.select("features").first()[0])
-    return given.fit(MultilayerPerceptronClassifier(labelCol=given.label, layers=[width, *hidden, 2], maxIter=max_iter, seed=seed))
+    """A multilayer perceptron over the features. Spark's perceptron gives the first weights and scores rows; the passes between are
+    those of `descent`, which keep vectors as short as they are stored."""
+    one = given.rows.limit(1).persist()
+    layers = [len(one.first()["features"]), *hidden, 2]
+    with_weights = lambda w: MultilayerPerceptronClassifier(labelCol=given.label, layers=layers, maxIter=0, seed=seed, initialWeights=w)
+    start = with_weights(None).fit(one).weights.toArray()
+    found = descent.fit_perceptron(descent.packed(given.rows, given.label), layers, start, max_iter)
+    out = PipelineModel(stages=[*given.inputs.stages, with_weights(Vectors.dense(found)).fit(one)])
+    one.unpersist()
+    return Fitted(out, given.texts, given.dense, given.encoder)
 
 
 def fit_lr(train: DataFrame, categories: Sequence[str], dense: Sequence[str], label: str = "clk", c: float = 1.0, max_iter: int = 100, hash_size: int | None = None) -> Fitted:
