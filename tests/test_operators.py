@@ -471,3 +471,12 @@ def test_attention_adds_up_where_rows_are_and_is_shuffled_once(spark):
         w = np.exp(s - s.max())
         assert np.allclose(found[i][1], (w / w.sum()) @ np.array([vecs[h] for _, h in pairs]))
     assert found[0][1] == found[1][1]
+
+
+def test_counters_look_for_heavy_keys_in_joined_rows(spark, small, monkeypatch):
+    """The rows that models learn from are joined once: no count of keys joins them again."""
+    plans = []
+    monkeypatch.setattr(history, "heavy", lambda df, keys, *more: plans.append(df.select(*keys)._jdf.queryExecution().executedPlan().toString()) or heavy.heavy(df, keys, *more))
+    queries._model_rows(spark, small)
+    spark.catalog.clearCache()
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
