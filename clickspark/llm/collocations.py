@@ -35,12 +35,13 @@ SHARDS, LONGEST, LEAST = 4, 4, 30
 #: Occurrences of a longer phrase, in hundredths of a shorter one's, from which the shorter is dropped; phrases of a language.
 COVERED, FIRST = 80, 2000
 
-#: Text bytes of a block in a task, and of a range of hashes; ranges are powers of two within these ends.
-BLOCK_BYTES, RANGE_BYTES, LEAST_BITS, MOST_BITS = 3 << 20, 32 << 20, 4, 20
+#: Text bytes of a block in a task of the last scan (the others take a third), of a slab whose words are hashed at once, and of a
+#: range of hashes; ranges are powers of two within these ends.
+BLOCK_BYTES, SLAB_BYTES, RANGE_BYTES, LEAST_BITS, MOST_BITS = 3 << 20, 256 << 10, 32 << 20, 4, 20
 
-#: Text bytes that a task reads at least where there are more tasks than the session runs at once, and distinct phrases that it
-#: adds up before it sends them on.
-TASK_BYTES, TASK_KEYS = 64 << 20, 3_000_000
+#: Text bytes that a task reads at least where there are more tasks than the session runs at once, and counts of phrases that it
+#: holds before it adds them up, and sends them on if this leaves more than three quarters.
+TASK_BYTES, TASK_KEYS = 64 << 20, 2_000_000
 
 #: Bits of the byte table's places, and the byte of a phrase that has not reached the threshold.
 SLOT_BITS, NEVER = 24, 255
@@ -56,6 +57,16 @@ _IS_GAP[list(_SPACES)] = True
 _PACKED = "range int, low binary, high binary, meta binary, hits binary"
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, slab by slab: hashing takes some 50 bytes for each byte of text, which a whole block has no room for."""
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + SLAB_BYTES, SLAB_BYTES))
+    out = np.empty(len(starts), np.uint64)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            out[a:b] = word_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], lower=True)
+    return out
+
+
 class Block:
     """The words of a block of texts."""
 
@@ -65,7 +76,7 @@ class Block:
         self.starts, self.ends, first = word_spans(data, at, _IS_GAP)
         self.first = first
         tongue = mix(batch.column("tongue").to_numpy(zero_copy_only=False).view(np.uint64))
-        self.hashes = mix(word_hashes(data, self.starts, self.ends, lower=True) ^ np.repeat(tongue, np.diff(first)))
+        self.hashes = mix(_hashed(data, self.starts, self.ends) ^ np.repeat(tongue, np.diff(first)))
         piece = np.cumsum(_IS_BREAK[data], dtype=np.int32)[self.starts] if len(self.starts) else np.zeros(0, np.int32)
         self.joined = piece[1:] == piece[:-1]
         inner = first[1:-1]
@@ -104,25 +115,32 @@ class Block:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(self.compact[index].tobytes())).cast(pa.string())
 
 
-def _pack(keys: np.ndarray, hits: np.ndarray, bits: int) -> list[tuple]:
-    """Sorted keys (48 bits of hash, 8 of meta) by range of hashes."""
-    number = (keys >> np.uint64(56 - bits)).astype(np.int64)
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(keys)]]) if len(keys) else []
-    low, high, meta = (keys >> np.uint64(8)).astype("<u4"), (keys >> np.uint64(40)).astype("<u2"), keys.astype(np.uint8)
-    return [(int(number[a]), low[a:b].tobytes(), high[a:b].tobytes(), meta[a:b].tobytes(), hits[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+def _pack(counts: np.ndarray, bits: int) -> list[tuple]:
+    """Sorted counts (48 bits of hash, 8 of meta, 8 of hits) by range of hashes."""
+    number = (counts >> np.uint64(64 - bits)).astype(np.int32)
+    cuts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(counts)]]) if len(counts) else []
+    low, high, meta, hits = ((counts >> np.uint64(at)).astype(kind) for at, kind in ((16, "<u4"), (48, "<u2"), (8, np.uint8), (0, np.uint8)))
+    return [(int(number[a]), *(x[a:b].tobytes() for x in (low, high, meta, hits))) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    low, high, meta, hits = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("low", "<u4"), ("high", "<u2"), ("meta", np.uint8), ("hits", np.uint8)))
-    return high.astype(np.uint64) << np.uint64(40) | low.astype(np.uint64) << np.uint64(8) | meta, hits
+def _unpack(table: pa.Table) -> np.ndarray:
+    out = np.zeros(sum(map(len, table.column("meta").to_pylist())), np.uint64)
+    for c, kind, at in (("low", "<u4", 16), ("high", "<u2", 48), ("meta", np.uint8, 8), ("hits", np.uint8, 0)):
+        out |= np.frombuffer(b"".join(table.column(c).to_pylist()), kind).astype(np.uint64) << np.uint64(at)
+    return out
 
 
-def _added(keys: np.ndarray, hits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and their hits up to `most`."""
-    order = np.argsort(keys, kind="stable")
-    keys, hits = keys[order], hits[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.minimum(np.add.reduceat(hits.astype(np.int64), first), most).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+def _added(counts: np.ndarray, most: int) -> np.ndarray:
+    """Counts of distinct hashes and metas in order, with their hits up to `most`. Sorts the given ones in place: as one number
+    each they need no second array of places."""
+    if not len(counts):
+        return counts
+    counts.sort()
+    keys = counts >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys = keys[first] << np.uint64(8)
+    counts &= np.uint64(255)
+    return keys | np.minimum(np.add.reduceat(counts, first), np.uint64(most))
 
 
 def _gathered(rows: DataFrame, size: int) -> DataFrame:
@@ -135,27 +153,34 @@ def _counted(shard: DataFrame, reached, step: int, bits: int) -> DataFrame:
     """Packed counts of all phrases that are under way in this step. The meta byte holds the step from which a phrase counts, and
     its length."""
 
-    def packed(keys: list[np.ndarray], hits: list[np.ndarray]) -> pa.RecordBatch:
-        rows = _pack(*_added(np.concatenate(keys), np.concatenate(hits), 255), bits)
+    def packed(counts: np.ndarray) -> pa.RecordBatch:
+        rows = _pack(counts, bits)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], ["range", "low", "high", "meta", "hits"])
 
+    def counts(batch: pa.RecordBatch) -> np.ndarray:
+        block, found = Block(batch), []
+        for k, _, own, active, _ in block.phrases(reached.value):
+            now = active + SHARDS > step
+            found.append((own[now] >> np.uint64(16)) << np.uint64(8) | active[now].astype(np.uint64) << np.uint64(2) | np.uint64(k - 1))
+        del block
+        found = np.concatenate(found)
+        found.sort()
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        return found[first] << np.uint64(8) | np.minimum(np.diff(np.concatenate([first, [len(found)]])), 255).astype(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, hits = [], []
-        for batch in steps(batches, most=BLOCK_BYTES):
-            block, found = Block(batch), []
-            for k, _, own, active, _ in block.phrases(reached.value):
-                now = active + SHARDS > step
-                found.append((own[now] >> np.uint64(16)) << np.uint64(8) | active[now].astype(np.uint64) << np.uint64(2) | np.uint64(k - 1))
-            found = np.concatenate(found)
-            found.sort()
-            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-            keys.append(found[first])
-            hits.append(np.minimum(np.diff(np.concatenate([first, [len(found)]])), 255).astype(np.uint8))
-            if sum(map(len, keys)) > TASK_KEYS:
-                yield packed(keys, hits)
-                keys, hits = [], []
-        if keys:
-            yield packed(keys, hits)
+        held, n = [], 0
+        for batch in steps(batches, most=BLOCK_BYTES // 3):
+            held.append(counts(batch))
+            n += len(held[-1])
+            if n > TASK_KEYS:
+                held = [_added(np.concatenate(held), 255)]
+                n = len(held[0])
+                if n > TASK_KEYS * 3 // 4:  # too little room until the next time
+                    yield packed(held.pop())
+                    n = 0
+        if held:
+            yield packed(_added(np.concatenate(held), 255))
 
     return shard.mapInArrow(run, _PACKED)
 
@@ -166,16 +191,17 @@ def _merged(counted: DataFrame, step: int, bits: int) -> DataFrame:
     places = 1 << (SLOT_BITS - bits)
 
     def run(table: pa.Table) -> pa.Table:
-        keys, hits = _added(*_unpack(table), LEAST)
-        own = (keys >> np.uint64(56 - SLOT_BITS)) & np.uint64(places - 1)
-        longest = (keys & np.uint64(3)) == LONGEST - 1
+        counts = _added(_unpack(table), LEAST)
+        own = (counts >> np.uint64(64 - SLOT_BITS)) & np.uint64(places - 1)
+        longest = (counts >> np.uint64(8) & np.uint64(3)) == LONGEST - 1
+        frequent = (counts & np.uint64(255)) >= LEAST
         maps = []
         for of in (~longest, longest):
             marks = np.zeros(places, bool)
-            marks[own[of & (hits >= LEAST)]] = True
+            marks[own[of & frequent]] = True
             maps.append(np.packbits(marks).tobytes())
-        going = (keys >> np.uint64(2) & np.uint64(63)).astype(np.int64) + SHARDS > step + 1
-        rows = _pack(keys[going], hits[going], bits) or [(table.column("range")[0].as_py(), b"", b"", b"", b"")]
+        going = (counts >> np.uint64(10) & np.uint64(63)).astype(np.int64) + SHARDS > step + 1
+        rows = _pack(counts[going], bits) or [(table.column("range")[0].as_py(), b"", b"", b"", b"")]
         names = ["range", "low", "high", "meta", "hits", "growing", "longest"]
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)), pa.array([maps[0]], pa.binary()), pa.array([maps[1]], pa.binary())], names)
 

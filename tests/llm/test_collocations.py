@@ -1,9 +1,11 @@
 """Operator 13 against plain counting."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clickspark.llm import collocations, queries
@@ -103,3 +105,58 @@ def test_odd_rows(odd, odd_rows):
 def test_query(spark, small):
     rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op13_collocations(spark, small).collect())) == _brute(rows)
+
+
+def _text_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), 7, np.int64)), pa.array(texts)], ["tongue", "text"])
+
+
+def _peak(run):
+    """The most bytes that the arrays of a call take at once, without those of a first call that stay."""
+    run()
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_takes_little_room():
+    """A block of 3 MB once took 64 MB while its words were hashed."""
+    batch = _text_batch(["some words of Text, and more. " * 35] * 3000)
+    assert _peak(lambda: collocations.Block(batch)) < 15 * batch.nbytes
+
+
+def test_counts_are_added_in_little_room():
+    counts = np.random.default_rng(1).integers(0, 1 << 63, 1_000_000).astype(np.uint64)
+    counts[1::2] = counts[::2]
+    assert _peak(lambda: collocations._added(counts.copy(), 255)) < 6 * counts.nbytes
+
+
+@pytest.mark.parametrize("slab", [1, 7, 64])
+def test_words_over_the_ends_of_slabs(monkeypatch, slab):
+    monkeypatch.setattr(collocations, "SLAB_BYTES", slab)
+    batch = _text_batch(["", "a", "A long-word " + "x" * 200 + " end", "  ", "É 日本\tb. c"])
+    block = collocations.Block(batch)
+    whole = collocations.word_hashes(block.data, block.starts, block.ends, lower=True)
+    assert (collocations._hashed(block.data, block.starts, block.ends) == whole).all()
+
+
+def test_counts_packed_and_added():
+    counts = np.array([5 << 60 | 9 << 8 | 200, 3 << 8 | 20, 5 << 60 | 9 << 8 | 100, 3 << 8 | 5], np.uint64)
+    added = collocations._added(counts, 255)
+    assert added.tolist() == [3 << 8 | 25, 5 << 60 | 9 << 8 | 255]
+    rows = collocations._pack(added, 4)
+    assert [r[0] for r in rows] == [0, 5]
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(["range", "low", "high", "meta", "hits"])})
+    assert collocations._unpack(table).tolist() == added.tolist()
+    assert collocations._pack(added[:0], 4) == [] and not len(collocations._added(added[:0], 255))
+
+
+def test_counts_sent_on_early(spark, monkeypatch):
+    """Also where a task has room for a few counts only."""
+    monkeypatch.setattr(collocations, "TASK_KEYS", 40)
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 3000)
+    rows = _corpus(5, 300)
+    assert _mined(spark, rows) == _brute(rows)
