@@ -480,3 +480,25 @@ def test_counters_look_for_heavy_keys_in_joined_rows(spark, small, monkeypatch):
     queries._model_rows(spark, small)
     spark.catalog.clearCache()
     assert len(plans) == 3 and not any("Join" in p for p in plans)
+
+
+def test_growing_tables_are_not_sent(spark, small):
+    """Ads, profiles and parts grow with the log, so they are merged in tasks, though here they lie far below Spark's threshold."""
+    for df in (samples.wide(*queries._parts(spark, small)), fixtures.behaviors(spark, small)):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()  # the final one, once sizes are known
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_score_interest_joins_its_rows_once(spark, small, monkeypatch):
+    """The history gets the joined rows as a written table, for whose heavy users only behaviours are joined again."""
+    class Seen(Exception):
+        pass
+
+    def seen(exposures, *more):
+        raise Seen(exposures._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(sequences, "asof_history", seen)
+    with pytest.raises(Seen) as told:
+        queries.score_interest(spark, small)
+    assert "FileScan" in str(told.value) and "Join" not in str(told.value)
