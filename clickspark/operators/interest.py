@@ -211,14 +211,13 @@ def prepare(df: DataFrame, inputs: Inputs, shape: Shape, moments: Mapping[str, t
     names = list(inputs.targets)
     histories = [F.coalesce(F.col(h), F.array().cast(df.schema[h].dataType)) for h in inputs.targets.values()]
     length = F.least(*(F.size(h) for h in histories), *[F.lit((1 << 31) - 1)] * 2)
-    lists = [F.transform(F.slice(h, F.lit(1), length), lambda x, c=c: _place(c, x, shape.places)) for c, h in zip(names, histories)]
     number = lambda c: F.coalesce((F.col(c).cast("double") - F.lit(moments[c][0])) / F.lit(moments[c][1]), F.lit(0.0))
     ints, doubles = F.array().cast("array<int>"), F.array().cast("array<double>")
     return df.select(
         F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("held"),
         (F.array(*(_place(c, F.col(c), shape.places) for c in inputs.scalars)) if inputs.scalars else ints).alias("scalars"),
         (F.array(*(_place(c, F.col(c), shape.places) for c in names)) if names else ints).alias("targets"),
-        (F.flatten(_interleaved(lists)) if names else ints).alias("items"),
+        (F.flatten(_interleaved(names, histories, length, shape.places)) if names else ints).alias("items"),
         (F.array(*(number(c) for c in inputs.dense)) if inputs.dense else doubles).alias("dense"),
         (F.array(*(_place(f"wide {c}", F.col(c), shape.places) for c in inputs.wide)) if inputs.wide else ints).alias("wide"),
         (F.array(*(number(c) for c in inputs.wide_dense)) if inputs.wide_dense else doubles).alias("wide_dense"),
@@ -226,9 +225,11 @@ def prepare(df: DataFrame, inputs: Inputs, shape: Shape, moments: Mapping[str, t
     )
 
 
-def _interleaved(lists: list[Column]) -> Column:
-    """For each behaviour the list of its places."""
-    return F.transform(lists[0], lambda x, i: F.array(x, *(F.get(other, i) for other in lists[1:])))
+def _interleaved(names: Sequence[str], histories: Sequence[Column], length: Column, places: int) -> Column:
+    """For each behaviour the list of its places. Other histories are looked up as they are: a list made of them would be made again for
+    each behaviour."""
+    others = list(zip(names, histories))[1:]
+    return F.transform(F.slice(histories[0], F.lit(1), length), lambda x, i: F.array(_place(names[0], x, places), *(_place(c, F.get(h, i), places) for c, h in others)))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n_targets: int) -> Iterator[tuple[pa.RecordBatch, Block]]:

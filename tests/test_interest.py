@@ -124,3 +124,19 @@ def test_odd_rows(spark):
     assert all(0 < r["score"] < 1 for r in found.collect())
     assert interest.fit_interest(df.where("false"), INPUTS, SMALL).losses == []
     assert model.score(df.where("false").drop("clk")).collect() == []
+
+
+def test_behaviours_share_the_places_of_targets(spark):
+    """A value has one place for its field, wherever it stands in a history; histories are taken apart once, whatever their length."""
+    told = [(5, 9, [5, 5, 6, 5], [9, 6, 9, None]), (None, 6, [None, 5], [6]), (6, None, [], [9]), (5, 5, None, [9])]
+    df = spark.createDataFrame(told, "cate long, brand long, cates array<long>, brands array<long>")
+    rows = interest.prepare(df, interest.Inputs([], {"cate": "cates", "brand": "brands"}, []), interest.Shape(places=1 << 20), {})
+    place = {}
+    found = rows.select("held", "targets", "items").collect()
+    for r in found:
+        place |= {("cate", r["held"]["cate"]): r["targets"][0], ("brand", r["held"]["brand"]): r["targets"][1]}
+    assert len(set(place.values())) == len(place) == 7
+    for r in found:
+        pairs = zip(r["held"]["cates"] or [], r["held"]["brands"])
+        assert r["items"] == [place[at] for c, b in pairs for at in (("cate", c), ("brand", b))]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
