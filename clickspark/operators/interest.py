@@ -315,18 +315,36 @@ class Fitted:
         return found.select(*(F.col("held").getField(c).alias(c) for c in names), F.col("probability").alias(out))
 
 
-def fit_interest(train: DataFrame, inputs: Inputs, shape: Shape = Shape(), passes: int = 5, shards: int = 8, rate: float = 0.02, decay: float = 1e-5, seed: int = 0) -> Fitted:
-    """Fits by `passes` times `shards` rounds of Adam with a squared penalty of `decay`; each round reads one shard of the rows."""
+@dataclass
+class Ready:
+    """Rows to learn from, written once by shard for as many fits as are wanted, and what their preparation needs."""
+
+    rows: DataFrame
+    inputs: Inputs
+    places: int
+    shards: int
+    moments: Mapping[str, tuple[float, float]]
+
+
+def ready(train: DataFrame, inputs: Inputs, places: int = Shape.places, shards: int = 8) -> Ready:
     numbers = list(dict.fromkeys([*inputs.dense, *inputs.wide_dense]))
     told = fit_moments(train, numbers).first() if numbers else {}
     moments = {c: (told[f"{c}_mean"] or 0.0, told[f"{c}_std"] or 1.0) for c in numbers}
-    rows = prepare(train.where(F.col(inputs.label).isNotNull()), inputs, shape, moments)
+    rows = prepare(train.where(F.col(inputs.label).isNotNull()), inputs, Shape(places=places), moments)
     rows = written(rows.select(*_PARTS, F.pmod(F.xxhash64(*_PARTS), F.lit(shards)).cast("int").alias("shard")), "shard")
-    p = shape.start(inputs, seed)
+    return Ready(rows, inputs, places, shards, moments)
+
+
+def fit(given: Ready, shape: Shape = Shape(), passes: int = 5, rate: float = 0.02, decay: float = 1e-5, seed: int = 0) -> Fitted:
+    """Fits by `passes` times as many rounds as there are shards of Adam with a squared penalty of `decay`; each round reads one shard
+    of the rows. The shape has the places of the rows."""
+    if shape.places != given.places:
+        raise ValueError(f"the rows have {given.places} places, the shape {shape.places}")
+    p = shape.start(given.inputs, seed)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    out = Fitted(p, inputs, shape, moments)
-    for step in range(1, passes * shards + 1):
-        n, loss, g = gradient(rows.where(F.col("shard") == step % shards), p, inputs)
+    out = Fitted(p, given.inputs, shape, given.moments)
+    for step in range(1, passes * given.shards + 1):
+        n, loss, g = gradient(given.rows.where(F.col("shard") == step % given.shards), p, given.inputs)
         if not n:
             continue
         out.losses.append(loss / n)
@@ -336,3 +354,8 @@ def fit_interest(train: DataFrame, inputs: Inputs, shape: Shape = Shape(), passe
             second[k] = 0.999 * second[k] + 0.001 * slope**2
             p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return out
+
+
+def fit_interest(train: DataFrame, inputs: Inputs, shape: Shape = Shape(), passes: int = 5, shards: int = 8, rate: float = 0.02, decay: float = 1e-5, seed: int = 0) -> Fitted:
+    """`fit` on its own inputs."""
+    return fit(ready(train, inputs, shape.places, shards), shape, passes, rate, decay, seed)

@@ -140,3 +140,19 @@ def test_behaviours_share_the_places_of_targets(spark):
         pairs = zip(r["held"]["cates"] or [], r["held"]["brands"])
         assert r["items"] == [place[at] for c, b in pairs for at in (("cate", c), ("brand", b))]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
+def test_fits_share_prepared_rows(spark, monkeypatch):
+    """Two shapes are fitted on rows written once, and each as on rows of its own; places must agree."""
+    df = _planted(spark, 300)
+    shapes = [SMALL, interest.Shape(places=32, width=3, scorer=(7, 4), hidden=(6, 5))]
+    own = [interest.fit_interest(df, INPUTS, shape, passes=1, shards=2) for shape in shapes]
+    wrote, write = [], interest.written
+    monkeypatch.setattr(interest, "written", lambda rows, *by: wrote.append(by) or write(rows, *by))
+    given = interest.ready(df, INPUTS, 32, shards=2)
+    for one, shape in zip(own, shapes):
+        shared = interest.fit(given, shape, passes=1)
+        assert shared.losses == pytest.approx(one.losses) and all(np.allclose(shared.params[k], one.params[k]) for k in one.params)
+    assert wrote == [("shard",)]
+    with pytest.raises(ValueError, match="places"):
+        interest.fit(given, interest.Shape())
